@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import sharding, token_counts
+from . import byte_bpe, packing, sharding, token_counts, topk
 
 
 def queries() -> dict:
     found = [
         token_counts.op2_token_counts,
         sharding.op3_jump_hash_shards,
+        topk.op4_threshold_top_k,
+        packing.op5_nnls_packing,
+        byte_bpe.op6_chunked_byte_bpe,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_threshold_top_k": topk.OP4_SQL}

@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage is cut, and lost executors cost nothing."""
     path = os.path.join(folder, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
