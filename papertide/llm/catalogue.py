@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, packing, sharding, token_counts, topk
+from . import byte_bpe, chat, jaccard, packing, quality, secrets_index, sharding, token_counts, topk
 
 
 def queries() -> dict:
     found = [
+        jaccard.op1_adaptive_prefix_jaccard,
         token_counts.op2_token_counts,
         sharding.op3_jump_hash_shards,
         topk.op4_threshold_top_k,
         packing.op5_nnls_packing,
         byte_bpe.op6_chunked_byte_bpe,
+        chat.op8_grammar_round_trip,
+        secrets_index.op9_trigram_secret_scan,
+        quality.op10_ngram_llr_quality,
     ]
     return {f.__name__: f for f in found}
 

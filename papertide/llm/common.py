@@ -53,3 +53,8 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
 def words_of(text: Column) -> Column:
     """Words of a text as an array: maximal runs of anything but ASCII white space (null text: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SPACE), lambda w: w != "")
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """Mark a written table for broadcasting if it has at most so many rows; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= rows else df
