@@ -1,0 +1,100 @@
+"""Focus and keyword predicates, and the papers that a topic stands for."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from papertide.sources.corpus import Corpus
+
+#: Words that carry no topic; a fixed list of this engine.
+STOPWORDS = frozenset("a an and as at by for from in is of on or the to using via with".split())
+
+
+def mentions(col: Column, focus: str | None) -> Column:
+    """Whether a text holds the focus in any case; % and _ are ordinary characters. No focus: always."""
+    return F.contains(F.lower(col), F.lit(focus.strip().lower())) if focus and focus.strip() else F.lit(True)
+
+
+def focus_papers(corpus: Corpus, focus: str) -> DataFrame:
+    """pmids of papers with a disease or a title that mentions the focus."""
+    diseases = corpus.of("Disease").filter(mentions(F.col("name"), focus)).select("pmid")
+    return diseases.union(corpus.papers.filter(mentions(F.col("title"), focus)).select("pmid")).distinct()
+
+
+def in_focus(rows: DataFrame, corpus: Corpus, focus: str | None) -> DataFrame:
+    return rows.join(focus_papers(corpus, focus), "pmid", "left_semi") if focus and focus.strip() else rows
+
+
+def meaningful_tokens(keyword: str) -> list[str]:
+    found = re.findall(r"[^\W_]+(?:[-#][^\W_]+)*", keyword.lower())
+    return list(dict.fromkeys(t for t in found if t not in STOPWORDS and len(t) > 1))
+
+
+def bigrams(tokens: list[str]) -> list[str]:
+    return [f"{a} {b}" for a, b in zip(tokens, tokens[1:], strict=False)]
+
+
+def min_hits(tokens: int) -> int:
+    return tokens if tokens <= 2 else max(2, (tokens + 1) // 2)
+
+
+def phrase_papers(corpus: Corpus, phrases: list[str]) -> DataFrame:
+    """pmids whose title or any entity holds one of the phrases."""
+    any_of = lambda c: F.exists(F.array(*[F.lit(p.lower()) for p in phrases]), lambda p: F.contains(F.lower(c), p))
+    titles = corpus.papers.filter(any_of(F.col("title"))).select("pmid")
+    return titles.union(corpus.relations.filter(any_of(F.col("name"))).select("pmid")).distinct()
+
+
+def token_scores(corpus: Corpus, tokens: list[str]) -> DataFrame:
+    """(pmid, match_score): title hits plus the hits of the best entity; at least min_hits of them."""
+    hits = lambda c: sum((F.contains(F.lower(c), F.lit(t)).cast("int") for t in tokens), F.lit(0))
+    best = corpus.relations.groupBy("pmid").agg(F.max(hits(F.col("name"))).alias("entity_hits"))
+    scored = corpus.papers.join(best, "pmid", "left").select("pmid", (hits(F.col("title")) + F.coalesce("entity_hits", F.lit(0))).cast("int").alias("match_score"))
+    return scored.filter(F.col("match_score") >= min_hits(len(tokens)))
+
+
+def topic_papers(corpus: Corpus, keyword: str) -> tuple[DataFrame, str]:
+    """(pmid, match_score) and the strategy that first found any: whole phrase, scored tokens, bigrams."""
+    tokens = meaningful_tokens(keyword)
+    phrase = phrase_papers(corpus, [keyword.strip()]).withColumn("match_score", F.lit(0))
+    if not phrase.isEmpty():
+        return phrase, "phrase"
+    if tokens:
+        scored = token_scores(corpus, tokens)
+        if not scored.isEmpty():
+            return scored, "tokens"
+    pairs = phrase_papers(corpus, bigrams(tokens) or [keyword.strip()]).withColumn("match_score", F.lit(0))
+    return pairs, "bigrams"
+
+
+def search_papers(corpus: Corpus, keyword: str, limit: int, least_year: int | None = None) -> DataFrame:
+    found, _ = topic_papers(corpus, keyword)
+    rows = corpus.judged.join(found, "pmid")
+    if least_year:
+        rows = rows.filter(F.col("year") >= least_year)
+    return rows.select("pmid", "title", F.col("year").alias("yr"), "citation_count", "match_score").orderBy(F.desc("match_score"), F.desc("yr"), "pmid").limit(limit)
+
+
+def entities_for_topic(corpus: Corpus, keyword: str, kind: str) -> DataFrame:
+    """Entities of one kind on a topic's papers: papers, first and last year."""
+    found, _ = topic_papers(corpus, keyword)
+    rows = corpus.of(kind).join(found.select("pmid"), "pmid", "left_semi").join(corpus.papers.select("pmid", "year"), "pmid")
+    return rows.groupBy("name").agg(F.count_distinct("pmid").alias("paper_cnt"), F.min("year").alias("first_used"), F.max("year").alias("last_used"))
+
+
+def datasets_for_topic(corpus: Corpus, keyword: str, limit: int) -> DataFrame:
+    used = entities_for_topic(corpus, keyword, "Dataset").join(corpus.datasets, "name", "left")
+    access = F.coalesce("access_class", F.lit("unknown"))
+    rank = F.when(access == "public", 0).when(access == "private", 1).otherwise(2)
+    return used.select("name", access.alias("access_class"), F.col("paper_cnt").alias("used_by"), rank.alias("rank")).orderBy("rank", F.desc("used_by"), "name").limit(limit).drop("rank")
+
+
+def metrics_for_topic(corpus: Corpus, keyword: str) -> DataFrame:
+    found, _ = topic_papers(corpus, keyword)
+    return (
+        corpus.of("Metric").join(found.select("pmid"), "pmid", "left_semi").join(corpus.papers.select("pmid", "year"), "pmid")
+        .select("pmid", "name", "metric_value", "section", F.col("year").alias("yr"))
+    )

@@ -2,12 +2,95 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from pyspark.sql import functions as F
+
+from papertide.config import DEFAULT
+from papertide.operators import documents, feasibility, focus, gap, graph, hotspot, lifecycle, merge
+from papertide.plans import oracle
+from papertide.sources.corpus import from_star
+
+FLAGSHIP = "t02_disease_task_coverage"
+#: Literal foci and keywords of the registered queries.
+FOCUS, KEYWORD, TOKENS = "anvil", "anvil", "blue anvil widget"
+
+
+def on_corpus(call):
+    return lambda spark, sf_dir: call(from_star(spark, sf_dir))
+
+
+def board(kind: str):
+    return on_corpus(lambda c: hotspot.emerging_entities(c, kind))
+
+
+CORPUS_QUERIES = {
+    "t01_author_stated_gaps": gap.author_stated_gaps,
+    "t01_author_stated_gaps_focus": lambda c: gap.author_stated_gaps(c, FOCUS),
+    "t02_disease_task_coverage": gap.disease_task_coverage,
+    "t03_corpus_focus_coverage": lambda c: gap.corpus_focus_coverage(c, FOCUS),
+    "t04_method_disease_combo_gap": gap.method_disease_combo_gap,
+    "t05_limitation_temporal": lambda c: lifecycle.temporal_profiles(c).select("limitation", "first_year", "last_year", "year_span", "as_of_year", "proposal_age", "paper_cnt", "asserted_cnt", "hypothesized_cnt", "early_cnt", "recent_cnt", "recent_ratio_milli", "sections", "temporal_status", "cites"),
+    "t05b_top_by_status": lambda c: lifecycle.latest_by_status(lifecycle.temporal_profiles(c), 10),
+    "t06_limitation_gap_status": lifecycle.limitation_gap_status,
+    "t06b_gap_status_board": lifecycle.gap_status_board,
+    "t07_combo_gap_temporal": lifecycle.combo_gap_temporal,
+    "t08_metric_evidence": gap.metric_evidence,
+    "t09_limitation_impact_rank": gap.limitation_impact_rank,
+    "t10_hotspot_entities": gap.hotspot_entities,
+    "t11_recent_highcite_papers": gap.recent_highcite_papers,
+    "t13_impact_priority_matrix": gap.impact_priority_matrix,
+    "t14_emerging_gap_opportunities": hotspot.emerging_gap_opportunities,
+    "t16_resolution_signals": lambda c: lifecycle.resolution_signals(lifecycle.limitation_gap_status(c)),
+    "t17_shared_entities": lambda c: lifecycle.shared_entities(c, lifecycle.temporal_profiles(c)),
+    "a09_corpus_stats": gap.corpus_stats,
+    "a16_method_disease_pivot": gap.method_disease_pivot,
+    "h01_window_counts": hotspot.window_counts,
+    "h02_emerging_methods": lambda c: hotspot.emerging_entities(c, "Method"),
+    "h02_heating_diseases": lambda c: hotspot.emerging_entities(c, "Disease"),
+    "h02_emerging_tasks": lambda c: hotspot.emerging_entities(c, "Task"),
+    "h03_hot_combos": hotspot.hot_combos,
+    "h04_emerging_limitations": hotspot.emerging_limitations,
+    "h05_top_papers": lambda c: hotspot.top_papers(c, "Method"),
+    "h09_board_snapshot": hotspot.boards,
+    "h10_week_over_week": hotspot.week_over_week,
+    "h11_week_ids": lambda c: c.papers.select(hotspot.week_id(F.col("pub_date")).alias("week"), hotspot.previous_week_id(F.col("pub_date")).alias("before")).groupBy("week", "before").agg(F.count(F.lit(1)).alias("papers")),
+    "i02_phrase_papers": lambda c: focus.phrase_papers(c, [KEYWORD]),
+    "i03_token_scores": lambda c: focus.token_scores(c, focus.meaningful_tokens(TOKENS)),
+    "i10_related_papers": lambda c: focus.search_papers(c, KEYWORD, DEFAULT.top_n),
+    "i11_methods_for_topic": lambda c: focus.entities_for_topic(c, KEYWORD, "Method"),
+    "i12_datasets_for_topic": lambda c: focus.datasets_for_topic(c, KEYWORD, DEFAULT.top_n),
+    "i13_metrics_for_topic": lambda c: focus.metrics_for_topic(c, KEYWORD),
+    "i14_limitations_for_topic": lambda c: focus.entities_for_topic(c, KEYWORD, "Limitation"),
+    "i16_recent_papers_for_topic": lambda c: focus.search_papers(c, KEYWORD, DEFAULT.top_n, DEFAULT.start_year),
+    "p04_focus_papers": lambda c: focus.focus_papers(c, FOCUS),
+    "g01_graph_stats": graph.graph_stats,
+    "g02_cooccurrence_edges": graph.cooccurrence_edges,
+    "g03_degrees": lambda c: graph.degrees(graph.cooccurrence_edges(c)),
+    "g04_entity_pagerank": graph.entity_pagerank,
+    "g05_community_gaps": graph.community_gaps,
+    "g06_disease_method_reach": graph.disease_method_reach,
+    "m05_entities": merge.entities_of,
+}
+TABLE_QUERIES = {
+    "m06_relation_merge": merge.merged_lines,
+    "m21_papers_without_relations": merge.papers_without_relations,
+    "x04_document_sections": documents.sections_of_documents,
+    "x08_merged_sections": documents.merged_sections,
+    "x13_fingerprints": documents.benchmark_fingerprints,
+    "x14_title_overlap": documents.title_overlap,
+    "v04_turn_funnel": documents.turn_funnel,
+    "v10_latest_assistant": documents.latest_assistant,
+    "x01_page_sections": documents.page_sections,
+    "b03_cohort_pools": feasibility.cohort_pools,
+    "b01_feasibility": feasibility.feasibility_of_cohorts,
+    "b09_attribute_distribution": feasibility.attribute_distribution,
+    "b10_marker_positivity": feasibility.marker_positivity,
+    "r03_event_windows": documents.event_windows,
+}
 
 
 def queries() -> dict:
-    return {}
+    return {name: on_corpus(call) for name, call in CORPUS_QUERIES.items()} | TABLE_QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.SQL
