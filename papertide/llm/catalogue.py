@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, jaccard, packing, quality, secrets_index, sharding, token_counts, topk
+from . import byte_bpe, chat, jaccard, packing, quality, secrets_index, sharding, token_counts, topk, training_order
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         topk.op4_threshold_top_k,
         packing.op5_nnls_packing,
         byte_bpe.op6_chunked_byte_bpe,
+        training_order.op7_feistel_order,
         chat.op8_grammar_round_trip,
         secrets_index.op9_trigram_secret_scan,
         quality.op10_ngram_llr_quality,

@@ -54,8 +54,12 @@ def encoder(path: str, ranks: str | None):
     return encode
 
 
-def pieces_of(docs: DataFrame, path: str, ranks: str | None, end: int, window: int) -> DataFrame:
-    """Each document's ids (with the end token), cut into full windows and a remainder."""
+def pieces_of(docs: DataFrame, path: str, ranks: str | None, end: int, window: int, kind: str = "<u4") -> DataFrame:
+    """Each document's ids (with the end token), cut into full windows and a remainder.
+
+    kind: the little-endian number type of an id. A piece's number is its task's, shifted by 33 bits,
+    plus its place in the task.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(path, ranks)
@@ -63,10 +67,10 @@ def pieces_of(docs: DataFrame, path: str, ranks: str | None, end: int, window: i
         rows, held = [], 0
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.array((encode(text) if text else []) + [end], dtype="<u4")
+                ids = np.array((encode(text) if text else []) + [end], dtype=kind)
                 for start in range(0, len(ids), window):
                     piece = ids[start : start + window].tobytes()
-                    rows.append((number, doc_id, start, len(piece) // 4, len(ids), zlib.crc32(piece), piece))
+                    rows.append((number, doc_id, start, len(piece) // ids.itemsize, len(ids), zlib.crc32(piece), piece))
                     number += 1
                     held += len(piece)
                     if held > 16 << 20:
