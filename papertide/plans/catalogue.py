@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from papertide.config import DEFAULT
@@ -18,10 +20,6 @@ def on_corpus(call):
     return lambda spark, sf_dir: call(from_star(spark, sf_dir))
 
 
-def board(kind: str):
-    return on_corpus(lambda c: hotspot.emerging_entities(c, kind))
-
-
 CORPUS_QUERIES = {
     "t01_author_stated_gaps": gap.author_stated_gaps,
     "t01_author_stated_gaps_focus": lambda c: gap.author_stated_gaps(c, FOCUS),
@@ -45,7 +43,7 @@ CORPUS_QUERIES = {
     "a16_method_disease_pivot": gap.method_disease_pivot,
     "h01_window_counts": hotspot.window_counts,
     "h02_emerging_methods": lambda c: hotspot.emerging_entities(c, "Method"),
-    "h02_heating_diseases": lambda c: hotspot.emerging_entities(c, "Disease"),
+    "h02_heating_diseases": lambda c: hotspot.emerging_entities(c, "Disease", replace(DEFAULT, min_recent=1)),
     "h02_emerging_tasks": lambda c: hotspot.emerging_entities(c, "Task"),
     "h03_hot_combos": hotspot.hot_combos,
     "h04_emerging_limitations": hotspot.emerging_limitations,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from papertide.operators.documents import SECTION_WORDS
 from papertide.sources.corpus import STAR_SQL
 
 #: The same literal settings as papertide.config.DEFAULT and papertide.plans.catalogue.
@@ -95,7 +96,7 @@ def windows(as_of: str) -> str:
     FROM judged WHERE date_precision IN ('day', 'month') AND pub_date IS NOT NULL"""
 
 
-def emerging_board(kind: str, seen: str = "seen") -> str:
+def emerging_board(kind: str, seen: str = "seen", least: int = 2) -> str:
     mean_if = "(CAST(if_cents AS DOUBLE) / n / 50000)"
     cpy = "coalesce(nullif(CAST(cpy_milli AS DOUBLE) / n / 1000, 0.0), CAST(cites AS DOUBLE) / n)"
     return f"""
@@ -107,7 +108,7 @@ def emerging_board(kind: str, seen: str = "seen") -> str:
                CAST(sum(CAST(floor(1000 * {CPY}) AS BIGINT)) FILTER (WHERE recent) AS BIGINT) AS cpy_milli,
                CAST(sum(coalesce(if_cents, 0)) FILTER (WHERE recent) AS BIGINT) AS if_cents
         FROM (SELECT r.name, s.* FROM relations r JOIN {seen} s ON s.pmid = r.pmid WHERE r.type = '{kind}') GROUP BY name
-    ) WHERE recent_cnt >= 2 ORDER BY score_milli DESC, name LIMIT {HOT}"""
+    ) WHERE recent_cnt >= {least} ORDER BY score_milli DESC, name LIMIT {HOT}"""
 
 
 def combos(seen: str = "seen") -> str:
@@ -259,7 +260,7 @@ SELECT * FROM (SELECT count(*) AS papers, count(*) FILTER (WHERE full_text_statu
 FROM pairs p JOIN cells c ON c.method = p.method AND c.disease = p.disease WHERE disease_rank <= 5 GROUP BY p.method"""),
     "h01_window_counts": star("", f"SELECT count(*) FILTER (WHERE date_precision IN ('day', 'month')) AS in_window, count(*) FILTER (WHERE date_precision NOT IN ('day', 'month')) AS low_precision FROM papers WHERE pub_date >= {AS_OF} - 14"),
     "h02_emerging_methods": star(SEEN, emerging_board("Method")),
-    "h02_heating_diseases": star(SEEN, emerging_board("Disease")),
+    "h02_heating_diseases": star(SEEN, emerging_board("Disease", least=1)),
     "h02_emerging_tasks": star(SEEN, emerging_board("Task")),
     "h03_hot_combos": star(f"{PAIRS.strip()}, {SEEN}", combos()),
     "h04_emerging_limitations": star(SEEN, limitation_board()),
@@ -338,8 +339,16 @@ SELECT *, CAST(row_number() OVER (ORDER BY recent_cnt DESC, event_type) AS INTEG
            count(*) FILTER (WHERE CAST(ts AS DATE) >= DATE '2024-01-31' - 28 AND CAST(ts AS DATE) < DATE '2024-01-31' - 14) AS prior_cnt,
            count(DISTINCT user_id) FILTER (WHERE CAST(ts AS DATE) >= DATE '2024-01-31' - 14) AS recent_users FROM events GROUP BY event_type)""",
 }
+SECTION = "CASE " + " ".join(
+    f"WHEN {' OR '.join(f'contains(lower(content), {chr(39)}{w}{chr(39)})' for w in words)} THEN '{name}'" for name, words in SECTION_WORDS
+) + " ELSE 'other' END"
+SQL["x04_document_sections"] = f"""
+SELECT lang, section_type, count(*) AS sections, count(DISTINCT doc_id) AS documents, CAST(sum(length(content)) AS BIGINT) AS chars
+FROM (SELECT doc_id, lang, content, {SECTION} AS section_type
+      FROM (SELECT doc_id, lang, unnest(string_split(coalesce(text, ''), chr(10))) AS content FROM documents) WHERE trim(content) <> '')
+GROUP BY lang, section_type"""
 SQL["b01_feasibility"] = f"""
-WITH pools AS ({SQL['b03_cohort_pools'].replace('WITH facts AS', 'WITH facts AS')}),
+WITH pools AS ({SQL['b03_cohort_pools']}),
 c AS (SELECT n_name, has_wsi AS wsi, least(has_wsi, has_survival, has_annotation, has_her2, meets_followup_12m) AS cohort FROM pools),
 s AS (SELECT *, least(1.0, floor(CAST(cohort AS DOUBLE) / greatest(wsi, 1) * 100 + 0.5) / 100) AS score FROM c)
 SELECT n_name, wsi, cohort, CAST(floor(score * 100 + 0.5) AS BIGINT) AS score_pct,
