@@ -7,9 +7,11 @@ first |B| - o + l of B. Each document picks how far to lengthen its prefix by th
 candidates that it would draw, and a pair must share correspondingly many prefix tokens before its
 sets are compared. Only then are components built from the verified links.
 
-Crowded tokens would draw pairs with the square of a group's size. Before the pairs are listed, every
-document of a crowded token is therefore compared with one leader of it; what links is merged, and
-pairs within one component are never listed, for they can add nothing to it.
+Crowded tokens would draw pairs with the square of a group's size. Every document of a crowded token
+is therefore first compared with one hub, the most typical document of it, and what links is merged;
+pairs within one component are never listed, for they can add nothing to it. Two documents of one hub
+overlap by at most the lesser of their overlaps with the hub plus the tokens that they share besides
+it. So they meet only by those tokens, which are few and rare, and by the few pairs that need none.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ WORDS, PERCENT = 5, 80
 #: Counters of the frequency sketch; how far a prefix may be lengthened; the cost of comparing two
 #: sets, in postings read; classes that share a token before it counts as crowded.
 SKETCH, LENGTHEN, COMPARE, CROWDED = 1 << 18, (0, 1, 3, 7, 15), 8, 16
-#: Rounds of leaders, at most; rows of a table that may be broadcast.
-ROUNDS, BROADCAST_ROWS = 5, 2_000_000
+#: Rows of a table of ids that may be broadcast.
+BROADCAST_ROWS = 2_000_000
 #: Word hashes that a Python worker keeps.
 KEEP = 400_000
 
@@ -120,22 +122,26 @@ def described(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     return docs.mapInPandas(describe, "doc_id long, digest long, n long, sig long, prefix array<long>")
 
 
-def compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those (a, b) of pairs whose sets link, found by comparing the whole sets.
+def with_sets(pairs: DataFrame, docs: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
+    """pairs (a, b) with their sets x and y, as sorted tokens in bytes.
 
     Sets are made anew from the texts of one document of each class that has a pair.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes, "cid").select("cid", F.col("n").alias("cn"), F.col("sig").alias("cs"), F.col("rep.doc_id").alias("d"), F.col("rep.digest").alias("g"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes, "cid").select("cid", F.col("rep.doc_id").alias("d"), F.col("rep.digest").alias("g"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
             yield pd.DataFrame({"cid": batch["cid"], "tokens": [shingles(text, hashes).tobytes() for text in batch["text"]]})
 
-    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     few = sized(settle(wanted, folder, "wanted"), BROADCAST_ROWS)
     chosen = docs.join(few, F.expr("digest = g AND doc_id <=> d")).select("cid", "text")
     tokens = settle(chosen.mapInPandas(sets, "cid long, tokens binary"), folder, "sets").dropDuplicates(["cid"])
+    return pairs.select("a", "b").join(tokens.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("cid").alias("b"), F.col("tokens").alias("y")), "b")
+
+
+def compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those (a, b) of pairs whose sets link, found by comparing the whole sets."""
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -146,18 +152,36 @@ def compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
             out.append(100 * both >= PERCENT * (len(x) + len(y) - both))
         return pd.Series(out, dtype=bool)
 
-    found = (
-        pairs.select("a", "b")
-        .join(tokens.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), "a")
-        .join(tokens.select(F.col("cid").alias("b"), F.col("tokens").alias("y")), "b")
-        .filter(linked("x", "y"))
-        .select("a", "b")
-    )
-    links = settle(found, shared_dir(spark), "links")
+    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
+    links = settle(with_sets(pairs, docs, classes, folder).filter(linked("x", "y")).select("a", "b"), shared_dir(spark), "links")
     drop_folder(spark, folder)
     return links
 
 
+def around_hubs(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cid, hub, held, linked, rest) of pairs (a: hub, b: cid): the overlap and what cid has besides it.
+
+    Of pairs that overlap by less than half of cid's set the hub says little; they are left out.
+    """
+
+    def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for hub, cid, x, y in zip(batch["a"], batch["b"], batch["x"], batch["y"], strict=True):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                rest = np.setdiff1d(y, x, assume_unique=True)
+                held = len(y) - len(rest)
+                if 2 * held >= len(y):
+                    rows.append((cid, hub, held, 100 * held >= PERCENT * (len(x) + len(rest)), rest.astype(np.int64)))
+            yield pd.DataFrame(rows, columns=["cid", "hub", "held", "linked", "rest"])
+
+    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
+    found = with_sets(pairs, docs, classes, folder).mapInPandas(facts, "cid long, hub long, held long, linked boolean, rest array<long>")
+    found = settle(found, shared_dir(spark), "hubs")
+    drop_folder(spark, folder)
+    return found
+
+
 def merged(components: DataFrame, links: DataFrame) -> DataFrame:
     """Components (cid, comp) after links (a, b) between cids: each component is named by its least cid.
 
@@ -188,7 +212,7 @@ def merged(components: DataFrame, links: DataFrame) -> DataFrame:
 def classes_and_components(docs: DataFrame, rows: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     """Classes (cid, n, sig, rep) that share a prefix token with another class, and their components (cid, comp)."""
     places = rows.filter("n > 0").select("n", "sig", F.size("prefix").alias("p"), F.posexplode("prefix").alias("pos", "token"))
-    twice = sized(settle(places.groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("token"), folder, "twice"), BROADCAST_ROWS)
+    twice = places.groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("token").hint("merge")  # grows with the corpus
     several = places.join(twice, "token").distinct()  # copies of one set count once
     several = settle(several, folder, "several")
     crowd = several.groupBy("token").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1")
@@ -200,39 +224,40 @@ def classes_and_components(docs: DataFrame, rows: DataFrame, folder: str) -> tup
     components = settle(classes.select("cid", F.col("cid").alias("comp")), folder, "components")
     near = F.expr(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)")
 
-    for turn in range(ROUNDS):
-        crowded = postings.filter(F.col("crowd") >= CROWDED).select("token", "cid", "n").join(components, "cid")
-        leaders = (
-            crowded.groupBy("token")
-            .agg(F.min(F.struct("comp", "cid", "n")).alias("lead"), F.max("comp").alias("last"))
-            .filter("last > lead.comp")
-            .select("token", F.col("lead.comp").alias("lead_comp"), F.col("lead.cid").alias("lead"), F.col("lead.n").alias("m"))
-        )
-        drawn = crowded.join(leaders, "token").filter("comp <> lead_comp").filter(near).groupBy("cid", "lead").agg(F.count(F.lit(1)).alias("times"))
-        best = drawn.groupBy("cid").agg(F.max(F.struct("times", "lead")).alias("best")).select(F.col("best.lead").alias("a"), F.col("cid").alias("b"))
-        pairs = settle(best, folder, f"led{turn}")
-        if pairs.isEmpty():
-            break
-        links = compared(pairs, docs, classes)
-        if links.isEmpty():
-            break
-        components = merged(components, links)
-
-    held = postings.join(components, "cid")
-    mixed_tokens = held.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
-    left = settle(held.join(mixed_tokens, "token").select("token", "cid", "n", "p", "comp"), folder, "held")
-    right = left.select("token", F.col("cid").alias("other"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("comp").alias("comp2"))
-    # required overlap o; prefixes of p and q tokens then share at least o - max(n - p, m - q), capped by o
-    need = F.expr(f"(({PERCENT} * (n + m)) + {99 + PERCENT}) div {100 + PERCENT}")
-    pairs = (
-        left.join(right, "token")
-        .filter("cid < other AND comp <> comp2")
-        .filter(near)
-        .groupBy("cid", "other", "n", "m", "p", "q")
-        .agg(F.count(F.lit(1)).alias("times"))
-        .filter(F.col("times") >= need - F.greatest(F.col("n") - F.col("p"), F.col("m") - F.col("q")))
-        .select(F.col("cid").alias("a"), F.col("other").alias("b"))
-    )
+    crowded = postings.filter(F.col("crowd") >= CROWDED).select("token", "cid", "n", "p")
+    typical = crowded.groupBy("cid", "n", "p").agg(F.count(F.lit(1)).alias("k")).select("cid", F.struct((F.col("k") / F.col("p")).alias("share"), "cid", F.col("n").alias("m")).alias("rank"))
+    leaders = crowded.join(typical, "cid").groupBy("token").agg(F.max("rank").alias("rank")).select("token", F.col("rank.cid").alias("lead"), F.col("rank.m").alias("m"))
+    drawn = crowded.join(leaders, "token").filter("cid <> lead").filter(near).groupBy("cid", "lead").agg(F.count(F.lit(1)).alias("times"))
+    best = settle(drawn.groupBy("cid").agg(F.max(F.struct("times", "lead")).alias("best")).select(F.col("best.lead").alias("a"), F.col("cid").alias("b")), folder, "best")
+    hubs = around_hubs(best.join(best.select(F.col("a").alias("b")).distinct(), "b", "left_anti"), docs, classes)  # a hub has no hub besides itself
+    components = merged(components, hubs.filter("linked").select(F.col("hub").alias("a"), F.col("cid").alias("b")))
+
+    # every posting of a prefix, and every token that a document has besides its hub
+    rest = hubs.select("cid", F.explode("rest").alias("token")).withColumn("res", F.lit(True))
+    both = postings.select("cid", "token").withColumn("pre", F.lit(True)).join(rest, ["cid", "token"], "full")
+    sizes = postings.groupBy("cid").agg(F.first("n").alias("n"), F.first("p").alias("p"))
+    facts = sizes.join(components, "cid").join(hubs.select("cid", "hub", "held"), "cid", "left").withColumns({"hub": F.coalesce("hub", "cid"), "held": F.coalesce("held", "n")})
+    facts = settle(facts, folder, "facts")
+    held = both.join(facts, "cid")
+    apart = held.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
+    left = settle(held.join(apart, "token").select("token", "cid", "n", "p", "comp", "hub", "held", "pre", "res"), folder, "held")
+    names = {"cid": "other", "n": "m", "p": "q", "comp": "comp2", "hub": "hub2", "held": "held2"}
+    right = left.withColumnsRenamed(names)
+    need = F.expr(f"({PERCENT} * (n + m) + {99 + PERCENT}) div {100 + PERCENT}")  # the least overlap of a link
+    pair, apart = ["cid", "other", "n", "m", "p", "q", "held", "held2"], F.expr("cid < other AND comp <> comp2")
+    # prefixes of p and q tokens share all but max(n - p, m - q) of an overlap
+    elsewhere = left.filter("pre").join(right.filter("pre").drop("pre", "res"), "token").filter("hub <> hub2").filter(apart).filter(near)
+    by_prefix = elsewhere.groupBy(pair).agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") >= need - F.greatest(F.col("n") - F.col("p"), F.col("m") - F.col("q")))
+    # of one hub: an overlap is at most the lesser part of the hub and what else is shared
+    within = left.filter("res").join(right.filter("res").drop("pre", "res").withColumnRenamed("hub2", "hub"), ["token", "hub"]).filter(apart).filter(near)
+    by_rest = within.groupBy(pair).agg(F.count(F.lit(1)).alias("times")).filter(F.least("held", "held2") + F.col("times") >= need)
+    # of one hub, sharing nothing else: only a document short of its hub that would do for a smaller one
+    members = facts.filter("cid <> hub")
+    least = members.groupBy("hub").agg(F.min("n").alias("m"))
+    short = members.join(hubs.filter("NOT linked").select("cid"), "cid", "left_semi").join(least, "hub").filter(F.col("held") >= need).drop("m")
+    by_size = short.join(members.withColumnsRenamed({k: v for k, v in names.items() if k != "hub"}), "hub").filter("comp <> comp2").filter(near).filter(F.least("held", "held2") >= need)
+    ends = lambda df: df.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b"))
+    pairs = ends(by_prefix).union(ends(by_rest)).union(ends(by_size)).distinct()
     links = compared(settle(pairs, folder, "pairs"), docs, classes)
     return classes, merged(components, links)
 
