@@ -111,3 +111,26 @@ def op8_grammar_round_trip(spark, sf_dir):
         F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+OP8_SQL = r"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+sized AS (
+    SELECT *,
+        CASE role WHEN 'system' THEN 7 WHEN 'user' THEN 6 WHEN 'assistant' THEN 3 ELSE 4 + length(role) END
+        + CASE role WHEN 'system' THEN 8 WHEN 'user' THEN 7 ELSE 4 END + 3 + length(text)
+        + CASE WHEN regexp_matches(text, ' (<</SYS>>|\[/INST\]|</s>)\n') OR regexp_matches(text, '(?s)\\.')
+               THEN length(text) - length(replace(replace(replace(text, '\', ''), '<', ''), '[', '')) ELSE 0 END AS chars
+    FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
