@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_threshold_top_k": topk.OP4_SQL, "op8_grammar_round_trip": chat.OP8_SQL}
+    return {"op1_adaptive_prefix_jaccard": jaccard.OP1_SQL, "op4_threshold_top_k": topk.OP4_SQL, "op8_grammar_round_trip": chat.OP8_SQL}

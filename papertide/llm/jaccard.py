@@ -308,3 +308,27 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def op1_adaptive_prefix_jaccard(spark, sf_dir):
     return jaccard_components(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents
+),
+s AS (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))
+                               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle
+    FROM w
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 180 * c >= 80 * (nx.n + ny.n)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (
+    SELECT doc_id, doc_id AS root FROM n
+    UNION
+    SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id AND e.y > r.root
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.root, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) m ON m.doc_id = d.doc_id
+"""
