@@ -19,6 +19,9 @@ from .common import read_table, settle, shared_dir, sized
 
 #: Most strings that the analysis spells out for one stretch of an expression.
 SPELLED = 64
+#: Trigrams that the query keeps of each alternative, every other one from its start: more would cost
+#: the index more than they save the search.
+KEPT = 2
 #: Candidates that may be broadcast; hits of a text that are numbered in one go.
 BROADCAST_ROWS, RUN = 1_000_000, 256
 
@@ -33,19 +36,21 @@ class Rule:
     least: int = 1
 
 
-#: The base rules, and published forms of well-known credentials; fixed values.
+#: The base rules, and published forms of well-known credentials; fixed values. A run that is long
+#: enough is the same match whether its length is asked for in the expression (as here, where a run
+#: that is too short holds no longer one) or afterwards; an assignment's value must be judged afterwards.
 BASE = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 24),
+    Rule("access", r"AKIA[A-Z0-9]{16,}"),
+    Rule("hex", r"[0-9a-f]{24,}"),
 )
 MORE = (
-    Rule("github", r"gh[oprsu]_[A-Za-z0-9]+", 0, 40),
-    Rule("google", r"AIza[A-Za-z0-9_-]+", 0, 39),
+    Rule("github", r"gh[oprsu]_[A-Za-z0-9]{36,}"),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
-    Rule("stripe", r"[rs]k_live_[A-Za-z0-9]+", 0, 24),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{15,}"),
+    Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
 )
 RULES = BASE + MORE
 
@@ -85,7 +90,7 @@ def strings_of(items) -> set[str] | None:
 def alternatives(strings: set[str]) -> list[frozenset[str]]:
     """One set of trigrams for each string, without those that imply another; a string too short for any
     makes the whole say nothing."""
-    sets = [frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in strings]
+    sets = [frozenset([s[i : i + 3] for i in range(0, len(s) - 2, 2)][:KEPT]) for s in strings]
     return [] if frozenset() in sets else sorted({s for s in sets if not any(t < s for t in sets)}, key=sorted)
 
 
@@ -125,9 +130,9 @@ def alternatives_of(rules) -> list[tuple[str, int, int, int, str]]:
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """The inverted index: a row (trigram, doc_id, digest) for each text of docs that holds the trigram in any case."""
-    low = F.lower("text")
-    here = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams]))
-    return docs.select("doc_id", "digest", F.explode(here).alias("trigram"))
+    here = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams]))
+    lowered = docs.select("doc_id", "digest", F.lower("text").alias("low"))  # by itself: once for all trigrams
+    return lowered.select("doc_id", "digest", F.explode(here).alias("trigram"))
 
 
 def candidates(spark: SparkSession, docs: DataFrame, rules) -> DataFrame:
