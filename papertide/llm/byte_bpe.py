@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read_table, tokenizer_path
+from .common import read_table, settle, shared_dir, tokenizer_path
 
 #: Characters of a chunk, and those that it shares with the next one (at most half of a chunk).
 CHUNK, OVERLAP = 32_768, 2_048
@@ -50,10 +50,9 @@ def encoded(path: str, text: Column) -> Column:
     """Ids of a text as little-endian unsigned 32-bit numbers (null text: none)."""
 
     @F.pandas_udf("binary")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def ids(texts: pd.Series) -> pd.Series:
         encode = encoding(path).encode_ordinary
-        for texts in batches:
-            yield pd.Series([np.array(encode(t), dtype="<u4").tobytes() if t else b"" for t in texts], dtype=object)
+        return pd.Series([np.array(encode(t), dtype="<u4").tobytes() if t else b"" for t in texts], dtype=object)
 
     return ids(text)
 
@@ -62,22 +61,28 @@ def decoded(path: str, ids: Column) -> Column:
     """The bytes that ids stand for."""
 
     @F.pandas_udf("binary")
-    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def text(many: pd.Series) -> pd.Series:
         decode = encoding(path).decode_bytes
-        for many in batches:
-            yield pd.Series([decode(np.frombuffer(x, dtype="<u4").tolist()) if x else b"" for x in many], dtype=object)
+        return pd.Series([decode(np.frombuffer(x, dtype="<u4").tolist()) if x else b"" for x in many], dtype=object)
 
     return text(ids)
 
 
-def ids_digest(ids: Column) -> Column:
-    """SHA-256 of the decimal ids, joined by commas."""
+def digests(path: str, ids: Column) -> Column:
+    """n_tokens, ids_sha256 (of the decimal ids, joined by commas) and decoded_sha256 (of decoded ids).
 
-    @F.pandas_udf("string")
-    def digest(many: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256(",".join(map(str, np.frombuffer(x or b"", dtype="<u4").tolist())).encode()).hexdigest() for x in many])
+    Laid upon encoded(), it runs in the same Python worker, so that the ids needn't pass through Spark.
+    """
+
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def told(many: pd.Series) -> pd.DataFrame:
+        decode, rows = encoding(path).decode_bytes, []
+        for x in many:
+            numbers = np.frombuffer(x or b"", dtype="<u4").tolist()
+            rows.append((len(numbers), hashlib.sha256(",".join(map(str, numbers)).encode()).hexdigest(), hashlib.sha256(decode(numbers)).hexdigest()))
+        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return digest(ids)
+    return told(ids)
 
 
 def boundaries(chunk: str, start: int, overlap: int, size: int, last: bool) -> tuple[list[int], list[int]]:
@@ -126,6 +131,7 @@ def encode_long(texts: DataFrame, path: str, chunk: int, overlap: int) -> DataFr
         .withColumn("since", F.coalesce(F.lag("until").over(near), F.lit(0)))
         .withColumn("broken", F.max(F.col("until").isNull() & ~F.col("last")).over(whole))
     )
+    cuts = settle(cuts, shared_dir(texts.sparkSession), "cuts")  # three numbers a chunk
     pieces = (
         slices.withColumnsRenamed({"doc_id": "d", "digest": "g", "chunk_no": "c"})
         .join(cuts.filter(~F.col("broken")).drop("last"), F.expr("d <=> doc_id AND g = digest AND c = chunk_no"))
@@ -176,9 +182,4 @@ def encode_documents(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: in
 def op6_chunked_byte_bpe(spark, sf_dir):
     path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
     ids = encode_documents(read_table(spark, sf_dir, "documents"), path)
-    return ids.select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        ids_digest(F.col("ids")).alias("ids_sha256"),
-        F.sha2(decoded(path, F.col("ids")), 256).alias("decoded_sha256"),
-    )
+    return ids.select("doc_id", digests(path, F.col("ids")).alias("told")).select("doc_id", "told.*")
