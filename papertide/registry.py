@@ -33,7 +33,7 @@ TOOLS: dict[str, Callable[..., DataFrame]] = {
     "datasets_for_topic": lambda corpus, keyword: focus.datasets_for_topic(corpus, keyword, DEFAULT.top_n),
     "metrics_for_topic": focus.metrics_for_topic,
     "limitations_for_topic": lambda corpus, keyword: focus.entities_for_topic(corpus, keyword, "Limitation"),
-    "modality_coverage_for_topic": lambda corpus, keyword: focus.entities_for_topic(corpus, keyword, "Task"),
+    "modality_coverage_for_topic": lambda corpus, keyword: focus.entities_for_topic(corpus, keyword, "Modality"),
 }
 
 

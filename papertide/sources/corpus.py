@@ -12,6 +12,8 @@ RELATION_OF = {
     "Disease": "TARGETS_DISEASE",
     "Method": "APPLIES_METHOD",
     "Task": "PERFORMS_TASK",
+    "Tissue": "OPERATES_ON",
+    "Modality": "USES_MODALITY",
     "Dataset": "USES_DATASET",
     "Metric": "ACHIEVES_METRIC",
     "Limitation": "REPORTS_LIMITATION",

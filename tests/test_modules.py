@@ -148,3 +148,27 @@ def test_registry(spark):
     assert text.startswith("## author_stated_gaps") and text.count("\n") == 23
     with pytest.raises(KeyError):
         registry.run_tool("nothing", corpus)
+
+
+def small_corpus(spark, relations, papers=()):
+    """A corpus of (pmid, relation, type, name) rows; papers are their pmids and those given, all titled paper."""
+    from papertide.sources.corpus import Corpus
+
+    pmids = sorted({r[0] for r in relations} | set(papers))
+    dated = spark.createDataFrame([(p, "paper", 2001, "2001-07-25", 10) for p in pmids], "pmid long, title string, year int, day string, citation_count long")
+    return Corpus(
+        dated.selectExpr("pmid", "title", "year", "cast(day as date) pub_date", "'day' date_precision", "citation_count", "'1' study_type", "'available' full_text_status", "true extraction_done", "1L journal_id"),
+        spark.createDataFrame([(1, "J", 100, "Q1")], "journal_id long, journal string, if_cents long, quartile string"),
+        spark.createDataFrame([(*r, "results", "asserted", "q", None) for r in relations], "pmid long, relation string, type string, name string, section string, polarity string, quote string, metric_value double"),
+        spark.createDataFrame([], "name string, access_class string"),
+    )
+
+
+def test_modality_tool_counts_modalities(spark):
+    corpus = small_corpus(spark, [
+        (1, "TARGETS_DISEASE", "Disease", "glioma"), (1, "USES_MODALITY", "Modality", "wsi"), (1, "PERFORMS_TASK", "Task", "grading"),
+        (2, "TARGETS_DISEASE", "Disease", "glioma"), (2, "USES_MODALITY", "Modality", "wsi"), (2, "USES_MODALITY", "Modality", "ihc"), (2, "OPERATES_ON", "Tissue", "brain"),
+        (3, "TARGETS_DISEASE", "Disease", "melanoma"), (3, "USES_MODALITY", "Modality", "ct"),
+    ])
+    assert {r["name"]: r["paper_cnt"] for r in registry.run_tool("modality_coverage_for_topic", corpus, keyword="glioma").collect()} == {"wsi": 2, "ihc": 1}
+    assert [r["name"] for r in corpus.of("Tissue").collect()] == ["brain"]
