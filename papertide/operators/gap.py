@@ -92,9 +92,9 @@ def method_disease_combo_gap(corpus: Corpus, focus: str | None = None, config: E
     return filled.withColumn("gap", gap).filter("gap IS NOT NULL").orderBy("method_rank", "disease_rank").limit(config.gap_rows).select("method", "disease", "paper_cnt", "gap", "method_rank", "disease_rank")
 
 
-def metric_evidence(corpus: Corpus) -> DataFrame:
-    """All metric statements, and whether they are backed by a results section."""
-    return corpus.of("Metric").select("pmid", F.col("name").alias("metric"), "metric_value", "section", (F.col("section") == "results").alias("results_backed"))
+def metric_evidence(corpus: Corpus, focus: str | None = None) -> DataFrame:
+    """All statements of metrics whose names mention the focus, and whether they are backed by a results section."""
+    return corpus.of("Metric").filter(mentions(F.col("name"), focus)).select("pmid", F.col("name").alias("metric"), "metric_value", "section", (F.col("section") == "results").alias("results_backed"))
 
 
 def impact_sums(config: EngineConfig) -> list[Column]:

@@ -130,9 +130,12 @@ def week_over_week(corpus: Corpus, config: EngineConfig = DEFAULT) -> DataFrame:
     return compare_weeks(now, boards(corpus, earlier).filter(F.col("board").isin(chosen)))
 
 
-def emerging_gap_opportunities(corpus: Corpus, config: EngineConfig = DEFAULT) -> DataFrame:
-    """Hot pairs that the literature hardly covers, and scarce cells of hot methods or diseases."""
-    gaps = gap.method_disease_combo_gap(corpus, None, config).select("method", "disease", "gap", F.col("paper_cnt").alias("papers"))
+def emerging_gap_opportunities(corpus: Corpus, focus: str | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
+    """Hot pairs that the literature hardly covers, and scarce cells of hot methods or diseases.
+
+    The focus chooses the gap grid; the boards of hot pairs, methods and diseases are those of all papers.
+    """
+    gaps = gap.method_disease_combo_gap(corpus, focus, config).select("method", "disease", "gap", F.col("paper_cnt").alias("papers"))
     combos = hot_combos(corpus, config).join(F.broadcast(gaps), ["method", "disease"], "left")
     hot = combos.select(
         "method", "disease", F.coalesce("gap", F.lit("active")).alias("literature_gap"), F.coalesce("papers", "recent_cnt").alias("paper_cnt"),

@@ -15,7 +15,7 @@ TOOLS: dict[str, Callable[..., DataFrame]] = {
     "disease_task_coverage": gap.disease_task_coverage,
     "corpus_focus_coverage": gap.corpus_focus_coverage,
     "method_disease_combo_gap": gap.method_disease_combo_gap,
-    "metric_evidence": lambda corpus, focus=None: gap.metric_evidence(corpus),
+    "metric_evidence": gap.metric_evidence,
     "limitation_temporal_profile": lifecycle.temporal_profiles,
     "limitation_gap_status": lifecycle.gap_status_board,
     "combo_gap_temporal": lifecycle.combo_gap_temporal,
@@ -23,10 +23,10 @@ TOOLS: dict[str, Callable[..., DataFrame]] = {
     "hotspot_entities": gap.hotspot_entities,
     "recent_highcite_papers": gap.recent_highcite_papers,
     "impact_priority_matrix": gap.impact_priority_matrix,
-    "emerging_gap_opportunities": lambda corpus, focus=None: hotspot.emerging_gap_opportunities(corpus),
+    "emerging_gap_opportunities": hotspot.emerging_gap_opportunities,
     "graph_entity_pagerank": lambda corpus, focus=None, kind="Method": graph.entity_pagerank(corpus, kind, focus),
     "graph_community_gaps": graph.community_gaps,
-    "graph_disease_method_reach": lambda corpus, focus=None: graph.disease_method_reach(corpus),
+    "graph_disease_method_reach": graph.disease_method_reach,
     "related_papers": lambda corpus, keyword: focus.search_papers(corpus, keyword, DEFAULT.top_n),
     "recent_papers_for_topic": lambda corpus, keyword: focus.search_papers(corpus, keyword, DEFAULT.top_n, DEFAULT.start_year),
     "methods_for_topic": lambda corpus, keyword: focus.entities_for_topic(corpus, keyword, "Method"),

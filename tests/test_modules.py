@@ -172,3 +172,22 @@ def test_modality_tool_counts_modalities(spark):
     ])
     assert {r["name"]: r["paper_cnt"] for r in registry.run_tool("modality_coverage_for_topic", corpus, keyword="glioma").collect()} == {"wsi": 2, "ihc": 1}
     assert [r["name"] for r in corpus.of("Tissue").collect()] == ["brain"]
+
+
+def test_focus_reaches_the_tools(spark):
+    common = [(p, "TARGETS_DISEASE", "Disease", f"common {d:02}") for d in range(32) for p in (10 * d, 10 * d + 1)]
+    methods = [(10 * d, "APPLIES_METHOD", "Method", f"net {d:02}") for d in range(32)]
+    rare = [
+        (900, "TARGETS_DISEASE", "Disease", "rare glioma"), (900, "APPLIES_METHOD", "Method", "unet"), (900, "PERFORMS_TASK", "Task", "t"), (900, "ACHIEVES_METRIC", "Metric", "auc"),
+        (901, "APPLIES_METHOD", "Method", "vit"), (901, "APPLIES_METHOD", "Method", "glioma net"), (901, "PERFORMS_TASK", "Task", "t"), (901, "ACHIEVES_METRIC", "Metric", "dice"), (901, "TARGETS_DISEASE", "Disease", "common 00"),
+        (902, "APPLIES_METHOD", "Method", "unet"),
+    ]
+    corpus = small_corpus(spark, common + methods + rare)
+    assert [r["metric"] for r in registry.run_tool("metric_evidence", corpus, focus="AUC").collect()] == ["auc"]
+    assert registry.run_tool("metric_evidence", corpus).count() == 2
+    reach = lambda focus: [tuple(r) for r in registry.run_tool("graph_disease_method_reach", corpus, focus=focus).select("disease", "gap_methods", "strongest", "direct_methods").collect()]
+    assert reach("glioma") == [("rare glioma", 1, "glioma net", 1)]
+    assert [d for d, *_ in reach("vit")] == ["common 00"] and reach("nothing") == []
+    assert "rare glioma" not in [d for d, *_ in reach(None)]
+    pairs = lambda focus: {(r["method"], r["disease"]) for r in registry.run_tool("emerging_gap_opportunities", corpus, focus=focus).filter("literature_gap <> 'active'").collect()}
+    assert ("unet", "rare glioma") in pairs("glioma") and ("unet", "rare glioma") not in pairs(None)
