@@ -34,20 +34,21 @@ def clean_markdown(text: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
-def markdown_sections(docs: DataFrame, key: str, text: str, least: int = 120, most: int = 12_000, whole: int = 50_000) -> DataFrame:
+def markdown_sections(docs: DataFrame, key: str, text: str, least: int = 120, most: int | None = None, whole: int | None = None) -> DataFrame:
     """(key, order_idx, title, section_type, content) of Markdown texts, split at # to ### headings.
 
-    What stands before the first heading is `other`; short sections go and long ones are cut, as the
-    section table defines it; a text without any section left is one section by itself.
+    What stands before the first heading is `other`; short sections go; a text without any section left is
+    one section by itself. Nothing is cut unless lengths are stated: most for sections, whole for such texts.
     """
+    upto = lambda content, n: content if n is None else F.substring(content, 1, n)
     marked = F.concat(F.lit("\n"), F.col(text))
-    parts = F.transform(F.split(marked, r"\n(?=#{1,3} )"), lambda p, i: F.struct(i.alias("i"), p.alias("p")))
-    rows = docs.select(key, text, F.explode(parts).alias("x")).select(key, text, "x.*")
-    head = F.regexp_extract("p", r"^#{1,3} +([^\n]*)", 1)
-    cut = rows.select(key, F.col("i").alias("order_idx"), head.alias("title"), clean_markdown(F.regexp_replace("p", r"^#{1,3} +[^\n]*\n?", "")).alias("content"))
-    kept = cut.filter(F.length("content") >= least).withColumn("content", F.substring("content", 1, most))
-    rest = docs.join(kept.select(key).distinct(), key, "left_anti").select(key, F.lit(0).alias("order_idx"), F.lit("").alias("title"), F.substring(clean_markdown(F.col(text)), 1, whole).alias("content"))
-    return kept.unionByName(rest).withColumn("section_type", section_type(F.col("title")))
+    section = lambda i, title, content: F.struct(i.alias("order_idx"), title.alias("title"), content.alias("content"))
+    parts = F.transform(F.split(marked, r"\n(?=#{1,3} )"), lambda p, i: section(i, F.regexp_extract(p, r"^#{1,3} +([^\n]*)", 1), clean_markdown(F.regexp_replace(p, r"^#{1,3} +[^\n]*\n?", ""))))
+    long = F.filter(parts, lambda s: F.length(s["content"]) >= least)
+    rest = F.array(section(F.lit(0), F.lit(""), upto(clean_markdown(F.col(text)), whole)))
+    rows = docs.select(key, text, long.alias("_s"))
+    kept = F.transform("_s", lambda s: section(s["order_idx"], s["title"], upto(s["content"], most)))
+    return rows.select(key, F.explode(F.when(F.size("_s") > 0, kept).otherwise(rest)).alias("x")).select(key, "x.*").withColumn("section_type", section_type(F.col("title")))
 
 
 def merge_sections(sections: DataFrame, key: str) -> DataFrame:
@@ -108,6 +109,11 @@ def sections_of_documents(spark, sf_dir: str) -> DataFrame:
     return typed.groupBy("lang", "section_type").agg(F.count(F.lit(1)).alias("sections"), F.count_distinct("doc_id").alias("documents"), F.sum(F.length("content")).alias("chars"))
 
 
+def markdown_sections_of_documents(spark, sf_dir: str) -> DataFrame:
+    """Every document as Markdown: its sections in full."""
+    return markdown_sections(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def merged_sections(spark, sf_dir: str) -> DataFrame:
     """Conversation turns as sections, merged by role."""
     turns = read(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("section_type"), F.col("turn").cast("int").alias("order_idx"), F.lit("").alias("title"), F.coalesce("text", F.lit("")).alias("content"))

@@ -72,6 +72,7 @@ TABLE_QUERIES = {
     "m06_relation_merge": merge.merged_lines,
     "m21_papers_without_relations": merge.papers_without_relations,
     "x04_document_sections": documents.sections_of_documents,
+    "x04_markdown_sections": documents.markdown_sections_of_documents,
     "x08_merged_sections": documents.merged_sections,
     "x13_fingerprints": documents.benchmark_fingerprints,
     "x14_title_overlap": documents.title_overlap,
