@@ -28,7 +28,7 @@ def threshold_top(vectors: np.ndarray, ids: np.ndarray, lists: np.ndarray, query
     """
     n = len(ids)
     up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-    seen, scores = np.zeros(n, dtype=bool), None
+    seen, scores = ids == own, None  # no row under the query's own id is met
     best_ids, best_scores = np.empty(0, dtype=np.int64), np.empty(0, dtype=vectors.dtype)
     depth, step = 0, FIRST_STEP
     while depth < n:
@@ -50,10 +50,9 @@ def threshold_top(vectors: np.ndarray, ids: np.ndarray, lists: np.ndarray, query
             hope = got >= best_scores[-1]
             new, got = new[hope], got[hope]
         elif len(got) > 4 * k:
-            hope = got >= np.partition(got, len(got) - k - 1)[len(got) - k - 1]  # k others, besides the query's own row
+            hope = got >= np.partition(got, len(got) - k)[len(got) - k]
             new, got = new[hope], got[hope]
-        other = ids[new] != own
-        all_ids, all_scores = np.concatenate([best_ids, ids[new[other]]]), np.concatenate([best_scores, got[other]])
+        all_ids, all_scores = np.concatenate([best_ids, ids[new]]), np.concatenate([best_scores, got])
         order = np.lexsort((all_ids, -all_scores))[:k]
         best_ids, best_scores = all_ids[order], all_scores[order]
         depth, step = until, step * 2
@@ -87,32 +86,36 @@ def search_block(k: int):
     return search
 
 
-def quantised(table: DataFrame, scale: int = 64, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, v) with v = floor(scale * x) of each component; see exact_top_k for the rows left out."""
+def quantised(table: DataFrame, scale: int = 64, key: str = "vec_id", vector: str = "embedding", repeats: bool = False) -> DataFrame:
+    """(vec_id, v) with v = floor(scale * x) of each component; see exact_top_k for the rows left out.
+
+    Rows alike in vec_id and v are one row, unless repeats keeps every row as it is.
+    """
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return (
+    rows = (
         table.filter(F.col(vector).isNotNull() & F.col(key).isNotNull())
         .filter(~bad)
         .select(F.col(key).cast("long").alias("vec_id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
-        .groupBy("vec_id")
-        .agg(F.min("v").alias("v"))
     )
+    return rows if repeats else rows.distinct()
 
 
 def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products with other candidates.
 
-    Both tables are (vec_id, v) with integer components, one row per vec_id, as quantised() makes them:
-    it leaves out vectors that are null or hold a null, NaN or infinite component and rows without an
-    id, and of rows that repeat a vec_id it keeps the smallest vector. Ties go to the smaller vec_id; a
-    query with fewer than k others gets all of them; vectors of different lengths don't meet. Scores
-    must fit in a long. Blocks have about the stated rows, at any size of the input.
+    Both tables are (vec_id, v) with integer components, as quantised() makes them: it leaves out vectors
+    that are null or hold a null, NaN or infinite component and rows without an id. Rows that repeat a
+    vec_id are candidates each, but not for a query of that id, and queries that repeat one share its k
+    places, as in OP4_SQL. Ties go to the smaller vec_id; a query with fewer than k others gets all of
+    them; vectors of different lengths don't meet. Scores must fit in a long. Blocks have about the stated
+    rows, at any size of the input and however often an id is repeated.
     """
     parts = max(1, -(-candidates.count() // candidate_block))
     asks = max(1, -(-queries.count() // query_block))
-    place = F.xxhash64("vec_id")
-    c = candidates.select("vec_id", "v", F.size("v").alias("dims"), F.pmod(place, F.lit(parts)).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("q"))
-    q = queries.select("vec_id", "v", F.size("v").alias("dims"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("c"), F.pmod(place, F.lit(asks)).alias("q"))
+    place = F.xxhash64("vec_id", "_pt_row")
+    numbered = lambda rows: rows.withColumn("_pt_row", F.monotonically_increasing_id())
+    c = numbered(candidates).select("vec_id", "v", F.size("v").alias("dims"), F.pmod(place, F.lit(parts)).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("q"))
+    q = numbered(queries).select("vec_id", "v", F.size("v").alias("dims"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("c"), F.pmod(place, F.lit(asks)).alias("q"))
     keys = ["dims", "c", "q"]
     found = (
         c.withColumn("c", F.col("c").cast("int")).groupBy(*keys)
@@ -124,7 +127,7 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, query_bl
 
 
 def op4_threshold_top_k(spark, sf_dir):
-    vectors = quantised(read_table(spark, sf_dir, "embeddings"))
+    vectors = quantised(read_table(spark, sf_dir, "embeddings"), repeats=True)
     return exact_top_k(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
