@@ -120,11 +120,17 @@ def combo_gap_temporal(corpus: Corpus, focus: str | None = None, config: EngineC
     )
 
 
-def shared_entities(corpus: Corpus, profiles: DataFrame) -> DataFrame:
-    """What the anchor papers of each eligible limitation share with later work, as sorted lists."""
+def shared_entity_rows(corpus: Corpus, profiles: DataFrame) -> DataFrame:
+    """(limitation, type, name): what the anchor papers of each eligible limitation share with later work."""
     targets = profiles.filter(F.col("temporal_status").isin("persistent", "declining")).select("limitation", "first_year")
     anchors = dated_limitations(corpus).select("limitation", "pmid", "year").join(targets, "limitation").filter(F.col("year") <= F.col("first_year") + 1).select("limitation", "pmid").distinct()
     found = anchors.join(corpus.relations.filter(F.col("type").isin("Disease", "Task", "Method")), "pmid")
+    return found.select("limitation", "type", "name").distinct()
+
+
+def shared_entities(corpus: Corpus, profiles: DataFrame) -> DataFrame:
+    """The rows of shared_entity_rows as sorted lists, which makes one row of each limitation."""
+    found = shared_entity_rows(corpus, profiles)
     names = lambda kind: F.array_join(F.array_sort(F.collect_set(F.when(F.col("type") == kind, F.col("name")))), "|")
     return found.groupBy("limitation").agg(names("Disease").alias("diseases"), names("Task").alias("tasks"), names("Method").alias("methods"))
 

@@ -39,6 +39,7 @@ CORPUS_QUERIES = {
     "t14_emerging_gap_opportunities": hotspot.emerging_gap_opportunities,
     "t16_resolution_signals": lambda c: lifecycle.resolution_signals(lifecycle.limitation_gap_status(c)),
     "t17_shared_entities": lambda c: lifecycle.shared_entities(c, lifecycle.temporal_profiles(c)),
+    "t17_shared_entity_rows": lambda c: lifecycle.shared_entity_rows(c, lifecycle.temporal_profiles(c)),
     "a09_corpus_stats": gap.corpus_stats,
     "a16_method_disease_pivot": gap.method_disease_pivot,
     "h01_window_counts": hotspot.window_counts,
