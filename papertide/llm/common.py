@@ -23,17 +23,26 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Folders made by this driver, so that release() can remove them.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is missing (tests on one machine), a folder below the warehouse is set.
+    Where the setting is missing, one is set below the warehouse, on a local master (tests) only: a
+    cluster must name a folder that all its machines see.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/papertide/{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/papertide/{uuid.uuid4().hex}"
+    _made.append(folder)
+    return folder
 
 
 def settle(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -48,6 +57,18 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if folder in _made:
+        _made.remove(folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all that the operators have written to the shared folder for results of this driver.
+
+    A result reads what its operator has settled, so call this once results are written or no longer
+    needed. Operators remove by themselves what none of their results reads.
+    """
+    for folder in list(_made):
+        drop_folder(spark, folder)
 
 
 def words_of(text: Column) -> Column:
@@ -58,3 +79,16 @@ def words_of(text: Column) -> Column:
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """Mark a written table for broadcasting if it has at most so many rows; else joins shuffle it."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def join_few(rows: DataFrame, few: DataFrame, key: str, most: int, how: str = "left", spread: int = 32) -> DataFrame:
+    """rows joined to few, a written table with one row a key, where one key may hold most of rows.
+
+    A few table of at most `most` rows is broadcast; a larger one goes to each of `spread` parts of
+    every key, so that the rows of one key are dealt over as many tasks.
+    """
+    if few.count() <= most:
+        return rows.join(F.broadcast(few), key, how)
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(spread)).cast("int")
+    copies = few.withColumn("_pt_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    return rows.withColumn("_pt_salt", salt).join(copies, [key, "_pt_salt"], how).drop("_pt_salt")

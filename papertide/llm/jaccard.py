@@ -1,17 +1,25 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 A document is the set of its distinct word 5-grams; two link when 100 * |A & B| >= 80 * |A | B|.
-All sets are sorted alike, by an estimate of how many documents hold a token, rarest first. A link
-needs an overlap of o tokens, so the first |A| - o + l tokens of A share at least l tokens with the
-first |B| - o + l of B. Each document picks how far to lengthen its prefix by the cost of the
-candidates that it would draw, and a pair must share correspondingly many prefix tokens before its
-sets are compared. Only then are components built from the verified links.
-
-Crowded tokens would draw pairs with the square of a group's size. Every document of a crowded token
-is therefore first compared with one hub, the most typical document of it, and what links is merged;
-pairs within one component are never listed, for they can add nothing to it. Two documents of one hub
-overlap by at most the lesser of their overlaps with the hub plus the tokens that they share besides
-it. So they meet only by those tokens, which are few and rare, and by the few pairs that need none.
+All sets are sorted alike, by how many documents hold a token, rarest first. A link needs an overlap
+of o tokens, so the first |A| - o + l tokens of A share at least l tokens with the first |B| - o + l
+of B. Each document picks how far to lengthen its prefix by the cost of the candidates that it would
+draw, and a pair must share correspondingly many prefix tokens before its sets are compared. Only
+then are components built from the verified links.
+
+The order needs counts of all documents. Prefixes of a hash order come from its lowest part, so the
+tokens of that part (LOW of all) are counted exactly; those above it by a sketch of fixed size, which
+matters only to documents that consist of crowded tokens for the most part. As crowded tokens come
+last, a document that merely holds a passage of many others has none of them in its prefix.
+
+The smaller document of a pair needs a ninth of its tokens as a prefix, the larger one a fifth, and a
+shared token counts only where it stands early enough in both for an overlap of o. Every document of
+a crowded token is first compared with one hub, the most typical document of it, and what links is
+merged, again and again while that links many; pairs within one component are never listed, for they
+can add nothing to it, and a token's largest component meets only the others. Two documents of one
+hub overlap by at most the lesser of their overlaps with the hub plus the tokens that they share
+besides it. So they meet only by those tokens, which are few and rare, and by the few pairs that need
+none.
 """
 
 from __future__ import annotations
@@ -22,19 +30,22 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_folder, read_table, settle, shared_dir, sized
+from .common import drop_folder, join_few, read_table, settle, shared_dir, sized
 
 WORDS, PERCENT = 5, 80
-#: Counters of the frequency sketch; how far a prefix may be lengthened; the cost of comparing two
-#: sets, in postings read; classes that share a token before it counts as crowded.
-SKETCH, LENGTHEN, COMPARE, CROWDED = 1 << 18, (0, 1, 3, 7, 15), 8, 16
-#: Rows of a table of ids that may be broadcast.
-BROADCAST_ROWS = 2_000_000
-#: Word hashes that a Python worker keeps.
+#: The part of the hash order that is counted exactly; counters of the sketch for the rest; crowded
+#: tokens that are told to all tasks (beyond so many, only the most crowded); how far a prefix may be
+#: lengthened; the cost of comparing two sets, in postings read; documents that make a token crowded.
+LOW, SKETCH, TOLD, LENGTHEN, COMPARE, CROWDED = 0.3, 1 << 18, 2_000_000, (0, 1, 3, 7, 15), 8, 16
+LEAST_HIGH = np.uint64(int(LOW * 2**64))
+#: Rows of a table of ids that may be broadcast (of 16 to 32 bytes each).
+BROADCAST_ROWS = 500_000
+#: Word hashes that a Python worker keeps, and sets whose prefix it has told already.
 KEEP = 400_000
 
 #: Odd factors that set the words of a shingle apart by their place.
@@ -69,57 +80,109 @@ def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.unique(mixed(sum((codes[i : n + i] * PLACES[i] for i in range(1, WORDS)), codes[:n] * PLACES[0])))
 
 
-def sketch_of(docs: DataFrame) -> np.ndarray:
-    """Estimated documents, beyond what chance puts there, for each counter of the sketch."""
+class Crowds:
+    """How many documents hold a token, as far as it is crowded, else 0; the same for all tasks."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, total, held = WordHashes(), np.zeros(SKETCH, dtype=np.int64), []
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray, sketch: np.ndarray):
+        self.tokens, self.counts, self.sketch = tokens, counts, sketch
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        """Counts of sorted tokens."""
+        out = np.zeros(len(tokens), dtype=np.float32)
+        low = int(np.searchsorted(tokens, LEAST_HIGH))
+        if len(self.tokens) and low:
+            at = np.minimum(np.searchsorted(self.tokens, tokens[:low]), len(self.tokens) - 1)
+            out[:low] = np.where(self.tokens[at] == tokens[:low], self.counts[at], 0)
+        out[low:] = self.sketch[(tokens[low:] % np.uint64(SKETCH)).astype(np.int64)]
+        return out
+
+
+def crowds_of(docs: DataFrame, folder: str, told: int = TOLD) -> Crowds:
+    """Counts of the crowded tokens of all rows of docs.
+
+    Of the lower tokens every one is counted, and the counts are told to all tasks from CROWDED up, or
+    from the least power of two that leaves at most `told` of them. Counters of the sketch are told as
+    what they hold beyond chance.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, high = WordHashes(), np.zeros(SKETCH, dtype=np.int64)
+        row = lambda tokens, n: pa.RecordBatch.from_arrays([pa.array(tokens.astype(np.int64)), pa.array(n)], ["token", "n"])
         for batch in batches:
-            for text in batch["text"]:
+            held, size = [], 0
+            for text in batch.column(0).to_pylist():
                 held.append(shingles(text, hashes))
-                if len(held) >= 1_000 or len(held[-1]) > 100_000:
-                    total += np.bincount((np.concatenate(held) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-                    held = []
-        total += np.bincount((np.concatenate([*held, np.empty(0, dtype=np.uint64)]) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"at": at, "n": total[at]})
-
-    counts = docs.select("text").mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(SKETCH)
-    out[counts["at"]] = counts["n"]
-    usual = np.median(out)
-    return np.maximum(0.0, out - usual - 4 * np.sqrt(usual)).astype(np.float32)
-
-
-def prefix_of(tokens: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """The lengthened prefix: rarest tokens first, ties by hash, as everywhere."""
+                size += len(held[-1])
+                if size > 500_000:
+                    yield row(*split(held, high))
+                    held, size = [], 0
+            if held:
+                yield row(*split(held, high))
+        at = np.flatnonzero(high)
+        yield row(-1 - at, high[at])
+
+    def split(held: list[np.ndarray], high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        tokens = np.concatenate(held)
+        is_low = tokens < LEAST_HIGH
+        high += np.bincount((tokens[~is_low] % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+        low = tokens[is_low]
+        return low, np.ones(len(low), dtype=np.int64)
+
+    counts = docs.select("text").mapInArrow(emit, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(f"token < 0 OR n >= {CROWDED}")
+    counts = settle(counts, folder, "crowds")
+    sizes = {r["bits"]: r["tokens"] for r in counts.filter("token >= 0").groupBy(F.floor(F.log2("n")).alias("bits")).agg(F.count(F.lit(1)).alias("tokens")).collect()}  # a row for each power of two
+    least = CROWDED
+    while sum(tokens for bits, tokens in sizes.items() if 1 << bits >= least) > told:
+        least *= 2
+    found = counts.filter(f"token < 0 OR n >= {least}").toPandas()  # SKETCH + told rows at most
+    upper, lower = found[found["token"] < 0], found[found["token"] >= 0].sort_values("token")
+    sketch = np.zeros(SKETCH)
+    sketch[-1 - upper["token"].to_numpy()] = upper["n"]
+    usual = np.median(sketch)
+    beyond = np.maximum(0.0, sketch - usual - 4 * np.sqrt(usual))
+    return Crowds(lower["token"].to_numpy().astype(np.uint64), lower["n"].to_numpy(dtype=np.float32), np.where(beyond >= CROWDED, beyond, 0).astype(np.float32))
+
+
+def prefix_of(tokens: np.ndarray, crowds: Crowds) -> tuple[np.ndarray, int]:
+    """The lengthened prefix, and by how many tokens: rarest tokens first, ties by hash, as everywhere."""
     n = len(tokens)
-    often = sketch[(tokens % np.uint64(SKETCH)).astype(np.int64)]
-    order = np.lexsort((tokens, np.floor(np.log2(1 + often))))
+    often = crowds.of(tokens)
+    order = np.argsort(np.floor(np.log2(1 + often)), kind="stable")
     least = n - ceil(Fraction(PERCENT * n, 100)) + 1
     drawn = np.cumsum(often[order])
-    lengths = [min(n, least + more) for more in LENGTHEN]
-    costs = [drawn[p - 1] * (1 + COMPARE / (1 + p - least)) for p in lengths]
-    return tokens[order[: lengths[int(np.argmin(costs))]]]
+    costs = [drawn[min(n, least + more) - 1] * (1 + COMPARE / (1 + more)) for more in LENGTHEN]
+    more = LENGTHEN[int(np.argmin(costs))]
+    return tokens[order[: min(n, least + more)]], more
+
 
+def described(docs: DataFrame, crowds: Crowds) -> DataFrame:
+    """(doc_id, digest, n, sig, more, prefix) of every row; (n, sig) stands for the set, digest for the text.
 
-def described(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(doc_id, digest, n, sig, prefix) of every row; (n, sig) stands for the set, digest for the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)  # SKETCH numbers, whatever the input
+    A task tells the prefix of a set once, as long as it remembers it; for later copies it is null.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(crowds)  # SKETCH + TOLD numbers at most
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, told = WordHashes(), set()
         for batch in batches:
-            sets = [shingles(text, hashes) for text in batch["text"]]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"),
-                "digest": batch["digest"],
-                "n": [len(s) for s in sets],
-                "sig": np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).astype(np.int64),
-                "prefix": [prefix_of(s, shared.value).astype(np.int64) if len(s) else [] for s in sets],
-            })
-
-    return docs.mapInPandas(describe, "doc_id long, digest long, n long, sig long, prefix array<long>")
+            out = []
+            for text in batch["text"]:
+                tokens = shingles(text, hashes)
+                sig = int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
+                if not len(tokens) or sig in told:
+                    out.append((len(tokens), sig, 0, None))
+                    continue
+                if len(told) > KEEP:
+                    told.clear()
+                told.add(sig)
+                prefix, more = prefix_of(tokens, shared.value)
+                out.append((len(tokens), sig, more, prefix.astype(np.int64)))
+            rows = pd.DataFrame(out, columns=["n", "sig", "more", "prefix"])
+            rows.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
+            rows.insert(1, "digest", batch["digest"].to_numpy())
+            yield rows
+
+    return docs.mapInPandas(describe, "doc_id long, digest long, n long, sig long, more int, prefix array<long>")
 
 
 def with_sets(pairs: DataFrame, docs: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
@@ -140,7 +203,7 @@ def with_sets(pairs: DataFrame, docs: DataFrame, classes: DataFrame, folder: str
     return pairs.select("a", "b").join(tokens.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("cid").alias("b"), F.col("tokens").alias("y")), "b")
 
 
-def compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+def compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
     """Those (a, b) of pairs whose sets link, found by comparing the whole sets."""
 
     @F.pandas_udf("boolean")
@@ -152,13 +215,13 @@ def compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
             out.append(100 * both >= PERCENT * (len(x) + len(y) - both))
         return pd.Series(out, dtype=bool)
 
-    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
-    links = settle(with_sets(pairs, docs, classes, folder).filter(linked("x", "y")).select("a", "b"), shared_dir(spark), "links")
-    drop_folder(spark, folder)
+    held = shared_dir(docs.sparkSession)
+    links = settle(with_sets(pairs, docs, classes, held).filter(linked("x", "y")).select("a", "b"), folder, "links")
+    drop_folder(docs.sparkSession, held)
     return links
 
 
-def around_hubs(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+def around_hubs(pairs: DataFrame, docs: DataFrame, classes: DataFrame, folder: str, name: str) -> DataFrame:
     """(cid, hub, held, linked, rest) of pairs (a: hub, b: cid): the overlap and what cid has besides it.
 
     Of pairs that overlap by less than half of cid's set the hub says little; they are left out.
@@ -175,43 +238,78 @@ def around_hubs(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFr
                     rows.append((cid, hub, held, 100 * held >= PERCENT * (len(x) + len(rest)), rest.astype(np.int64)))
             yield pd.DataFrame(rows, columns=["cid", "hub", "held", "linked", "rest"])
 
-    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
-    found = with_sets(pairs, docs, classes, folder).mapInPandas(facts, "cid long, hub long, held long, linked boolean, rest array<long>")
-    found = settle(found, shared_dir(spark), "hubs")
-    drop_folder(spark, folder)
+    sets = shared_dir(docs.sparkSession)
+    found = with_sets(pairs, docs, classes, sets).mapInPandas(facts, "cid long, hub long, held long, linked boolean, rest array<long>")
+    found = settle(found, folder, name)
+    drop_folder(docs.sparkSession, sets)
     return found
 
 
-def merged(components: DataFrame, links: DataFrame) -> DataFrame:
+def merged(components: DataFrame, links: DataFrame, folder: str, name: str) -> DataFrame:
     """Components (cid, comp) after links (a, b) between cids: each component is named by its least cid.
 
     Every component with a smaller neighbour points to the least one; pointers are then followed by
     doubling, and the links between what remains are merged in the same way until there are none.
     """
-    spark = components.sparkSession
-    folder, step = shared_dir(spark), 0
+    step = 0
     edges = links.select("a", "b")
     while True:
         of = lambda c: components.select(F.col("cid").alias(c), F.col("comp").alias(f"comp_{c}"))
         between = edges.join(of("a"), "a").join(of("b"), "b").filter("comp_a <> comp_b")
-        pointers = settle(between.groupBy(F.greatest("comp_a", "comp_b").alias("node")).agg(F.min(F.least("comp_a", "comp_b")).alias("to")), folder, f"pointers{step}")
+        pointers = settle(between.groupBy(F.greatest("comp_a", "comp_b").alias("node")).agg(F.min(F.least("comp_a", "comp_b")).alias("to")), folder, f"{name}_pointers{step}")
         if pointers.isEmpty():
             return components
         while True:
             step += 1
-            onward = pointers.select(F.col("node").alias("to"), F.col("to").alias("further"))
-            doubled = settle(pointers.join(onward, "to", "left").select("node", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")), folder, f"pointers{step}")
+            onward = settle(pointers.select(F.col("node").alias("to"), F.col("to").alias("further")), folder, f"{name}_onward{step}")
+            doubled = join_few(pointers, onward, "to", BROADCAST_ROWS).select("node", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved"))
+            doubled = settle(doubled, folder, f"{name}_pointers{step}")
             pointers = doubled.select("node", "to")
             if doubled.filter("moved").isEmpty():
                 break
         step += 1
-        renamed = components.join(pointers.withColumnRenamed("node", "comp"), "comp", "left").select("cid", F.coalesce("to", "comp").alias("comp"))
-        components = settle(renamed, folder, f"components{step}")
+        renamed = join_few(components, pointers.withColumnRenamed("node", "comp"), "comp", BROADCAST_ROWS).select("cid", F.coalesce("to", "comp").alias("comp"))
+        components = settle(renamed, folder, f"{name}{step}")
+
+
+#: Of two sets of n and m tokens: whether their sizes allow a link, and the least overlap of one.
+NEAR, NEED = f"100 * least(n, m) >= {PERCENT} * greatest(n, m)", f"(({PERCENT} * (n + m) + {99 + PERCENT}) div {100 + PERCENT})"
+#: Size classes a tenth apart.
+CLASS = "CAST(floor(ln({}) / ln(1.1D)) AS INT)"
+
+
+def around_leaders(crowded: DataFrame, docs: DataFrame, classes: DataFrame, components: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Facts of around_hubs for the documents of crowded postings, and the components after their links.
+
+    Each round compares every document without a linked hub with the leader that it shares most
+    tokens with, and goes on while a round links a tenth of what it compares. Facts are those of a
+    document's linked hub, or of its first one.
+    """
+    known, number = None, 0
+    while True:
+        typical = crowded.groupBy("cid", "n", "p").agg(F.count(F.lit(1)).alias("k")).select("cid", F.struct((F.col("k") / F.col("p")).alias("share"), "cid", F.col("n").alias("m")).alias("rank"))
+        leaders = crowded.join(typical, "cid").groupBy("token").agg(F.max("rank").alias("rank")).select("token", F.col("rank.cid").alias("lead"), F.col("rank.m").alias("m"))
+        drawn = crowded.join(leaders, "token").filter("cid <> lead").filter(NEAR).groupBy("cid", "lead").agg(F.count(F.lit(1)).alias("times"))
+        best = settle(drawn.groupBy("cid").agg(F.max(F.struct("times", "lead")).alias("best")).select(F.col("best.lead").alias("a"), F.col("cid").alias("b")), folder, f"best{number}")
+        hubs = around_hubs(best.join(best.select(F.col("a").alias("b")).distinct(), "b", "left_anti"), docs, classes, folder, f"hubs{number}")  # a hub has no hub besides itself
+        linked = hubs.filter("linked")
+        components = merged(components, linked.select(F.col("hub").alias("a"), F.col("cid").alias("b")), folder, f"around{number}")
+        if known is None:
+            known = hubs
+        else:
+            known = known.join(linked.select("cid"), "cid", "left_anti").unionByName(hubs.join(known.select("cid"), "cid", "left_anti").unionByName(linked.join(known.select("cid"), "cid", "left_semi")))
+        known = settle(known, folder, f"known{number}")
+        links, tried = linked.count(), hubs.count()
+        if 10 * links < max(tried, 10 * CROWDED):
+            return known, components
+        done = linked.select("cid").union(hubs.select("hub")).distinct()
+        crowded = settle(crowded.join(done, "cid", "left_anti"), folder, f"crowded{number}")
+        number += 1
 
 
 def classes_and_components(docs: DataFrame, rows: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     """Classes (cid, n, sig, rep) that share a prefix token with another class, and their components (cid, comp)."""
-    places = rows.filter("n > 0").select("n", "sig", F.size("prefix").alias("p"), F.posexplode("prefix").alias("pos", "token"))
+    places = rows.filter("prefix IS NOT NULL").select("n", "sig", "more", F.size("prefix").alias("p"), F.posexplode("prefix").alias("pos", "token"))
     twice = places.groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("token").hint("merge")  # grows with the corpus
     several = places.join(twice, "token").distinct()  # copies of one set count once
     several = settle(several, folder, "several")
@@ -220,86 +318,115 @@ def classes_and_components(docs: DataFrame, rows: DataFrame, folder: str) -> tup
     reps = rows.filter("n > 0").groupBy("n", "sig").agg(F.min(F.struct("doc_id", "digest")).alias("rep"))
     named = kept.select("n", "sig").distinct().join(reps, ["n", "sig"]).withColumn("cid", F.monotonically_increasing_id())
     classes = settle(named, folder, "classes")
-    postings = settle(kept.join(classes.select("n", "sig", "cid"), ["n", "sig"]).select("token", "cid", "n", "p", "pos", "crowd"), folder, "postings")
+    postings = settle(kept.join(classes.select("n", "sig", "cid"), ["n", "sig"]).select("token", "cid", "n", "p", "more", "pos", "crowd"), folder, "postings")
     components = settle(classes.select("cid", F.col("cid").alias("comp")), folder, "components")
-    near = F.expr(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)")
-
     crowded = postings.filter(F.col("crowd") >= CROWDED).select("token", "cid", "n", "p")
-    typical = crowded.groupBy("cid", "n", "p").agg(F.count(F.lit(1)).alias("k")).select("cid", F.struct((F.col("k") / F.col("p")).alias("share"), "cid", F.col("n").alias("m")).alias("rank"))
-    leaders = crowded.join(typical, "cid").groupBy("token").agg(F.max("rank").alias("rank")).select("token", F.col("rank.cid").alias("lead"), F.col("rank.m").alias("m"))
-    drawn = crowded.join(leaders, "token").filter("cid <> lead").filter(near).groupBy("cid", "lead").agg(F.count(F.lit(1)).alias("times"))
-    best = settle(drawn.groupBy("cid").agg(F.max(F.struct("times", "lead")).alias("best")).select(F.col("best.lead").alias("a"), F.col("cid").alias("b")), folder, "best")
-    hubs = around_hubs(best.join(best.select(F.col("a").alias("b")).distinct(), "b", "left_anti"), docs, classes)  # a hub has no hub besides itself
-    components = merged(components, hubs.filter("linked").select(F.col("hub").alias("a"), F.col("cid").alias("b")))
-
-    # every posting of a prefix, and every token that a document has besides its hub
-    rest = hubs.select("cid", F.explode("rest").alias("token")).withColumn("res", F.lit(True))
-    both = postings.select("cid", "token").withColumn("pre", F.lit(True)).join(rest, ["cid", "token"], "full")
-    sizes = postings.groupBy("cid").agg(F.first("n").alias("n"), F.first("p").alias("p"))
-    facts = sizes.join(components, "cid").join(hubs.select("cid", "hub", "held"), "cid", "left").withColumns({"hub": F.coalesce("hub", "cid"), "held": F.coalesce("held", "n")})
-    facts = settle(facts, folder, "facts")
-    held = both.join(facts, "cid")
-    apart = held.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
-    left = settle(held.join(apart, "token").select("token", "cid", "n", "p", "comp", "hub", "held", "pre", "res"), folder, "held")
-    names = {"cid": "other", "n": "m", "p": "q", "comp": "comp2", "hub": "hub2", "held": "held2"}
-    right = left.withColumnsRenamed(names)
-    need = F.expr(f"({PERCENT} * (n + m) + {99 + PERCENT}) div {100 + PERCENT}")  # the least overlap of a link
-    pair, apart = ["cid", "other", "n", "m", "p", "q", "held", "held2"], F.expr("cid < other AND comp <> comp2")
-    # prefixes of p and q tokens share all but max(n - p, m - q) of an overlap
-    elsewhere = left.filter("pre").join(right.filter("pre").drop("pre", "res"), "token").filter("hub <> hub2").filter(apart).filter(near)
-    by_prefix = elsewhere.groupBy(pair).agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") >= need - F.greatest(F.col("n") - F.col("p"), F.col("m") - F.col("q")))
-    # of one hub: an overlap is at most the lesser part of the hub and what else is shared
-    within = left.filter("res").join(right.filter("res").drop("pre", "res").withColumnRenamed("hub2", "hub"), ["token", "hub"]).filter(apart).filter(near)
-    by_rest = within.groupBy(pair).agg(F.count(F.lit(1)).alias("times")).filter(F.least("held", "held2") + F.col("times") >= need)
-    # of one hub, sharing nothing else: only a document short of its hub that would do for a smaller one
+    hubs, components = around_leaders(crowded, docs, classes, components, folder)
+
+    facts = classes.select("cid", "n").join(components, "cid").join(hubs.select("cid", "hub", "held", "linked"), "cid", "left")
+    facts = settle(facts.withColumns({"hub": F.coalesce("hub", "cid"), "held": F.coalesce("held", "n")}), folder, "facts")
+    pairs = [f(facts) for f in (lambda x: by_prefix(postings, x, folder), lambda x: by_rest(hubs, x), by_size)]
+    ends = [df.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")) for df in pairs]
+    links = compared(settle(ends[0].union(ends[1]).union(ends[2]).distinct(), folder, "pairs"), docs, classes, folder)
+    return classes, merged(components, links, folder, "all")
+
+
+def renamed(df: DataFrame) -> DataFrame:
+    names = {"cid": "other", "n": "m", "more": "more2", "pos": "pos2", "comp": "comp2", "hub": "hub2", "held": "held2"}
+    return df.withColumnsRenamed(names)
+
+
+def by_prefix(postings: DataFrame, facts: DataFrame, folder: str) -> DataFrame:
+    """(cid, other) of different hubs and components that share enough prefix tokens, early enough in both.
+
+    Of n <= m tokens, with prefixes lengthened by k at least, one of the pair's overlaps of o has 1 + k
+    tokens among the first n - o + 1 + k and m - o + 1 + k. A token's postings in its largest component
+    meet only the others, so that a component in which nearly all of them are isn't listed.
+    """
+    held = settle(postings.join(facts.select("cid", "comp", "hub"), "cid").select("token", "cid", "n", "more", "pos", "comp", "hub"), folder, "held")
+    sizes = held.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"))
+    apart = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("size", "comp")).alias("main")).filter("comps > 1").select("token", F.col("main.comp").alias("main"))
+    left = settle(held.join(apart, "token").withColumn("inside", F.expr("comp = main")).drop("main"), folder, "left")
+    # 0: inside with outside, 1: outside with inside, 2: outside with outside
+    small = left.filter(f"pos <= n - ({PERCENT} * 2 * n + {99 + PERCENT}) div {100 + PERCENT} + more").withColumn("side", F.explode(F.expr("IF(inside, array(0), array(1, 2))"))).drop("inside")
+    large = renamed(left).withColumn("side", F.explode(F.expr("IF(inside, array(1), array(0, 2))"))).drop("inside")
+    more = f"least(more, more2, {NEED} - 1)"  # a pair can't be asked to share more tokens than a link does
+    early = f"pos <= n - {NEED} + {more} AND pos2 <= m - {NEED} + {more}"
+    met = small.join(large, ["token", "side"]).filter(f"(n < m OR n = m AND cid < other) AND comp <> comp2 AND hub <> hub2 AND {NEAR} AND {early}")
+    return met.groupBy("cid", "other", F.expr(more).alias("k")).agg(F.count(F.lit(1)).alias("times")).filter("times > k")
+
+
+def by_rest(hubs: DataFrame, facts: DataFrame) -> DataFrame:
+    """(cid, other) of one hub: an overlap is at most the lesser part of the hub and what else is shared."""
+    rest = hubs.select("cid", F.explode("rest").alias("token")).join(facts.select("cid", "n", "comp", "hub", "held"), "cid")
+    apart = rest.groupBy("token", "hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token", "hub")
+    left = rest.join(apart, ["token", "hub"])
+    right = left.select("token", "hub", F.col("cid").alias("other"), F.col("n").alias("m"), F.col("comp").alias("comp2"), F.col("held").alias("held2"))
+    met = left.join(right, ["token", "hub"]).filter("cid < other AND comp <> comp2").filter(NEAR)
+    return met.groupBy("cid", "other", "n", "m", "held", "held2").agg(F.count(F.lit(1)).alias("times")).filter(f"least(held, held2) + times >= {NEED}")
+
+
+def by_size(facts: DataFrame) -> DataFrame:
+    """(cid, other) of one hub that may share nothing else: only a document short of its hub that would do
+    for a smaller one, which is in a size class between the least for a link and the most that its part
+    of the hub allows."""
     members = facts.filter("cid <> hub")
-    least = members.groupBy("hub").agg(F.min("n").alias("m"))
-    short = members.join(hubs.filter("NOT linked").select("cid"), "cid", "left_semi").join(least, "hub").filter(F.col("held") >= need).drop("m")
-    by_size = short.join(members.withColumnsRenamed({k: v for k, v in names.items() if k != "hub"}), "hub").filter("comp <> comp2").filter(near).filter(F.least("held", "held2") >= need)
-    ends = lambda df: df.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b"))
-    pairs = ends(by_prefix).union(ends(by_rest)).union(ends(by_size)).distinct()
-    links = compared(settle(pairs, folder, "pairs"), docs, classes)
-    return classes, merged(components, links)
+    short = members.filter("NOT linked").withColumn("most", F.expr(f"({100 + PERCENT} * held) div {PERCENT} - n")).filter(f"100 * most >= {PERCENT} * n")
+    short = short.withColumn("size", F.explode(F.expr(f"sequence({CLASS.format(f'greatest(1, {PERCENT} * n div 100)')}, {CLASS.format('most')})")))
+    others = members.select("hub", F.col("cid").alias("other"), F.col("n").alias("m"), F.col("comp").alias("comp2"), F.col("held").alias("held2")).withColumn("size", F.expr(CLASS.format("m")))
+    return short.join(others, ["hub", "size"]).filter(f"comp <> comp2 AND {NEAR} AND least(held, held2) >= {NEED}")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, n_shingles, component_id) of every row of docs (doc_id, text).
+    """(doc_id, digest, n_shingles, component_id, member_of) of every row of docs (doc_id, text).
 
     Words are runs of anything but ASCII white space after lower-casing A-Z. A null, empty or blank
     text has no shingles and links with nothing, so that its component is its own doc_id. Repeated
     rows and copies share their class and stay apart as rows. Of null doc_ids, the component is the
-    least other doc_id reachable, or null. An empty table gives an empty result; other columns of docs
-    aren't read. digest is a hash of the text, by which rows that share a doc_id are told apart.
+    least other doc_id reachable, or null; member_of names the component of every document with
+    shingles, whatever its ids, and is null for the others. An empty table gives an empty result; other
+    columns of docs aren't read, however named. digest is a hash of the text, by which rows that share
+    a doc_id are told apart. All that was written on the way is removed, but for the result.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = settle(described(docs, sketch_of(docs)), folder, "rows")
+    rows = settle(described(docs, crowds_of(docs, folder)), folder, "rows")
     classes, components = classes_and_components(docs, rows, folder)
     sets = rows.filter("n > 0").groupBy("n", "sig").agg(F.min("doc_id").alias("least"))
-    placed = sets.join(classes.select("n", "sig", "cid"), ["n", "sig"], "left").join(components, "cid", "left")
-    joined = placed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = placed.join(joined, "comp", "left").select("n", "sig", F.coalesce("component_id", "least").alias("component_id"))
-    return (
+    placed = sets.join(classes.join(components, "cid").select("n", "sig", "comp"), ["n", "sig"], "left")
+    placed = settle(placed, folder, "placed")
+    joined = settle(placed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("least").alias("component_id")), folder, "joined")
+    together = join_few(placed.filter("comp IS NOT NULL"), joined, "comp", BROADCAST_ROWS).select("n", "sig", "component_id", F.concat(F.lit("c"), "comp").alias("member_of"))
+    alone = placed.filter("comp IS NULL").select("n", "sig", F.col("least").alias("component_id"), F.concat_ws(":", "n", "sig").alias("member_of"))
+    out = (
         rows.select("doc_id", "digest", "n", "sig")
-        .join(named, ["n", "sig"], "left")
-        .select("doc_id", "digest", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        .join(together.union(alone), ["n", "sig"], "left")
+        .select("doc_id", "digest", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "member_of")
     )
+    out = settle(out, shared_dir(spark), "components")
+    drop_folder(spark, folder)
+    return out
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of the least (doc_id, text hash); blank texts all stay."""
-    found = settle(jaccard_components(docs), shared_dir(docs.sparkSession), "components")
-    some = found.filter("n_shingles > 0")
-    first = some.groupBy("component_id").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.count(F.lit(1)).alias("rows"))
-    goes = some.alias("s").join(first.filter("rows > 1").alias("f"), F.expr("s.component_id <=> f.component_id"))
-    digest = F.xxhash64(F.coalesce("text", F.lit("")))
-    keys = goes.select(F.col("s.doc_id").alias("_pt_d"), F.col("s.digest").alias("_pt_g"), F.expr("s.doc_id <=> f.first.doc_id AND s.digest = f.first.digest").alias("_pt_first"))
-    keys = keys.groupBy("_pt_d", "_pt_g", "_pt_first").agg(F.count(F.lit(1)).alias("_pt_rows"))
+    """docs with one row of each component: that of the least (doc_id, text hash), null ids last.
+
+    Documents without shingles (null, empty and blank texts) all stay, repeated ones too. Of repeated
+    rows of a component's first document one stays, whichever. Documents with null doc_ids are told
+    apart by their texts: only those in one component are copies of each other. An empty table gives
+    an empty result; other columns stay as they are, and names that begin with _pt_ are reserved.
+    """
+    found = jaccard_components(docs)
     folder = shared_dir(docs.sparkSession)
-    lost = sized(settle(keys.filter("NOT _pt_first"), folder, "lost"), BROADCAST_ROWS)
-    again = sized(settle(keys.filter("_pt_first AND _pt_rows > 1"), folder, "again"), BROADCAST_ROWS)
-    marked = docs.withColumn("_pt_digest", digest)
+    some = found.filter("n_shingles > 0").select(F.col("doc_id").alias("_pt_d"), F.col("digest").alias("_pt_g"), "member_of")
+    first = some.groupBy("member_of").agg(F.min(F.struct(F.col("_pt_d").isNull(), "_pt_d", "_pt_g")).alias("first")).select(F.col("first._pt_d").alias("f"), F.col("first._pt_g").alias("g"))
+    first = settle(first, folder, "first")
+    rows = some.groupBy("_pt_d", "_pt_g").agg(F.count(F.lit(1)).alias("_pt_rows"))  # (doc_id, digest) lies in one component
+    is_first = F.expr("_pt_g = g AND _pt_d <=> f")
+    lost = sized(settle(rows.join(first, is_first, "left_anti").select("_pt_d", "_pt_g"), folder, "lost"), BROADCAST_ROWS)
+    again = sized(settle(rows.filter("_pt_rows > 1").join(first, is_first, "left_semi").select("_pt_d", "_pt_g"), folder, "again"), BROADCAST_ROWS)
+    marked = docs.withColumn("_pt_digest", F.xxhash64(F.coalesce("text", F.lit(""))))
     same = F.expr("_pt_digest = _pt_g AND doc_id <=> _pt_d")
     stays = marked.join(lost, same, "left_anti")
     repeated = stays.join(again, same, "left_semi").dropDuplicates(["doc_id", "_pt_digest"])

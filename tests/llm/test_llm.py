@@ -104,14 +104,18 @@ def test_jaccard_keeps_one_of_each(docs):
 def test_prefix_bound(shared, left, right, seed):
     """Linked sets share at least as many lengthened-prefix tokens as the join asks for."""
     rng = np.random.default_rng(seed)
-    sketch = rng.choice(np.array([0, 0, 3, 500], dtype=np.float32), jaccard.SKETCH)
-    tokens = rng.permutation(np.unique(rng.integers(0, 1 << 60, 400, dtype=np.uint64)))[: shared + left + right]
+    sketch = rng.choice(np.array([0, 0, 30, 500], dtype=np.float32), jaccard.SKETCH)
+    tokens = rng.permutation(np.unique(rng.integers(0, 2**64, 400, dtype=np.uint64)))[: shared + left + right]
+    told = np.sort(rng.choice(tokens, rng.integers(0, len(tokens) + 1), replace=False))
+    crowds = jaccard.Crowds(told, rng.choice(np.array([16, 40, 900], dtype=np.float32), len(told)), sketch)
     a, b = np.sort(tokens[: shared + left]), np.sort(np.concatenate([tokens[:shared], tokens[shared + left :]]))
     if 100 * shared < 80 * (shared + left + right):
         return
-    p, q = jaccard.prefix_of(a, sketch), jaccard.prefix_of(b, sketch)
-    need = -(-80 * (len(a) + len(b)) // 180) - max(len(a) - len(p), len(b) - len(q))
-    assert 1 <= need <= len(np.intersect1d(p, q))
+    (p, j), (q, k) = jaccard.prefix_of(a, crowds), jaccard.prefix_of(b, crowds)
+    least = -(-80 * (len(a) + len(b)) // 180)
+    more = min(j, k, least - 1)
+    early = [set(x[: max(0, n - least + 1 + more)].tolist()) for x, n in ((p, len(a)), (q, len(b)))]
+    assert len(early[0] & early[1]) > more
 
 
 # 2 ---------------------------------------------------------------------------------------------
