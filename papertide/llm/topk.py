@@ -1,10 +1,11 @@
 """Exact top-k search by Fagin's threshold algorithm.
 
 Queries and candidates meet in blocks of bounded size. Within a pair of blocks each dimension has a
-list of the candidates sorted by that component; a query reads its lists from the favourable end in
-growing steps, scores every candidate that it meets, and stops when the bound on all others (the sum
-of the last read components, weighted by the query's) is below the k-th score. Each query's best of
-all blocks are then ranked.
+list of the candidates, sorted once for all queries of the block; a query reads its lists from the
+favourable end in growing steps, scores the candidates that it hasn't met before and no others, and
+stops when the bound on all that it hasn't met (the sum of the last read components, weighted by the
+query's) is below the k-th score. Each query's best of all blocks are then ranked. How far the lists
+are read depends on the vectors: search_effort tells.
 """
 
 from __future__ import annotations
@@ -17,20 +18,22 @@ from pyspark.sql.window import Window
 
 from .common import read_table
 
-#: Rows of a block of queries and of candidates, and entries that a query first reads of each list.
-QUERY_BLOCK, CANDIDATE_BLOCK, FIRST_STEP = 1_024, 16_384, 16
+#: Rows of a block of queries and of candidates (each candidate goes to every block of queries, and the
+#: other way round), and entries that a query first reads of each list.
+QUERY_BLOCK, CANDIDATE_BLOCK, FIRST_STEP = 8_192, 16_384, 16
 
 
-def threshold_top(vectors: np.ndarray, ids: np.ndarray, lists: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the k best candidates (ties: smaller id) of one query.
+def threshold_top(vectors: np.ndarray, ids: np.ndarray, lists: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Ids and scores of the k best candidates (ties: smaller id) of one query, entries read, scores computed.
 
-    vectors: a row per candidate; lists: for each dimension the rows by falling component.
+    vectors: a row per candidate; lists: for each dimension the rows by falling component. Entries read
+    are those of one list; all lists of non-zero weight are read to the same depth.
     """
     n = len(ids)
     up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-    seen, scores = ids == own, None  # no row under the query's own id is met
+    seen = ids == own  # no row under the query's own id is met
     best_ids, best_scores = np.empty(0, dtype=np.int64), np.empty(0, dtype=vectors.dtype)
-    depth, step = 0, FIRST_STEP
+    depth, step, scored = 0, FIRST_STEP, 0
     while depth < n:
         until = min(n, depth + step)
         met = np.zeros(n, dtype=bool)
@@ -43,9 +46,8 @@ def threshold_top(vectors: np.ndarray, ids: np.ndarray, lists: np.ndarray, query
         met &= ~seen
         seen |= met
         new = np.flatnonzero(met)
-        if scores is None and len(new) > n // 8:
-            scores = vectors @ query
-        got = scores[new] if scores is not None else vectors[new] @ query
+        got = vectors[new] @ query
+        scored += len(new)
         if len(best_ids) >= k:
             hope = got >= best_scores[-1]
             new, got = new[hope], got[hope]
@@ -59,7 +61,7 @@ def threshold_top(vectors: np.ndarray, ids: np.ndarray, lists: np.ndarray, query
         bound = query[up] @ vectors[lists[up, depth - 1], up] + query[down] @ vectors[lists[down, n - depth], down]
         if len(best_ids) == k and bound < best_scores[-1]:
             break
-    return best_ids, best_scores
+    return best_ids, best_scores, depth, scored
 
 
 def exact_type(a: np.ndarray, b: np.ndarray) -> type:
@@ -68,19 +70,24 @@ def exact_type(a: np.ndarray, b: np.ndarray) -> type:
     return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
 
 
-def search_block(k: int):
+FOUND, EFFORT = "query_id long, vec_id long, score long", "query_id long, candidates long, depth long, scored long"
+
+
+def search_block(k: int, effort: bool = False):
     def search(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(candidates) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+            return pd.DataFrame({x.split()[0]: [] for x in (EFFORT if effort else FOUND).split(", ")}).astype("int64")
         vectors, asked = np.stack(candidates["v"].to_numpy()).astype(np.int64), np.stack(queries["v"].to_numpy()).astype(np.int64)
         kind = exact_type(vectors, asked)
         lists = np.ascontiguousarray(np.argsort(-vectors, axis=0, kind="stable").T)
         vectors, asked, ids = vectors.astype(kind), asked.astype(kind), candidates["vec_id"].to_numpy(np.int64)
         found = [(q, *threshold_top(vectors, ids, lists, v, q, k)) for q, v in zip(queries["vec_id"].to_numpy(np.int64), asked, strict=True)]
+        if effort:
+            return pd.DataFrame([(q, len(ids), depth, scored) for q, _, _, depth, scored in found], columns=["query_id", "candidates", "depth", "scored"])
         return pd.DataFrame({
-            "query_id": np.repeat([q for q, _, _ in found], [len(i) for _, i, _ in found]).astype(np.int64),
-            "vec_id": np.concatenate([i for _, i, _ in found]),
-            "score": np.concatenate([s for _, _, s in found]).astype(np.int64),
+            "query_id": np.repeat([q for q, *_ in found], [len(i) for _, i, *_ in found]).astype(np.int64),
+            "vec_id": np.concatenate([i for _, i, *_ in found]),
+            "score": np.concatenate([s for _, _, s, *_ in found]).astype(np.int64),
         })
 
     return search
@@ -100,6 +107,18 @@ def quantised(table: DataFrame, scale: int = 64, key: str = "vec_id", vector: st
     return rows if repeats else rows.distinct()
 
 
+def searched_blocks(candidates: DataFrame, queries: DataFrame, query_block: int, candidate_block: int, search, schema: str) -> DataFrame:
+    """What search gives for every block of candidates with every block of queries."""
+    parts = max(1, -(-candidates.count() // candidate_block))
+    asks = max(1, -(-queries.count() // query_block))
+    place = F.xxhash64("vec_id", "_pt_row")
+    numbered = lambda rows: rows.withColumn("_pt_row", F.monotonically_increasing_id())
+    c = numbered(candidates).select("vec_id", "v", F.size("v").alias("dims"), F.pmod(place, F.lit(parts)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("q"))
+    q = numbered(queries).select("vec_id", "v", F.size("v").alias("dims"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("c"), F.pmod(place, F.lit(asks)).cast("int").alias("q"))
+    keys = ["dims", "c", "q"]
+    return c.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(search, schema)
+
+
 def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products with other candidates.
 
@@ -108,24 +127,20 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, query_bl
     vec_id are candidates each, but not for a query of that id, and queries that repeat one share its k
     places, as in OP4_SQL. Ties go to the smaller vec_id; a query with fewer than k others gets all of
     them; vectors of different lengths don't meet. Scores must fit in a long. Blocks have about the stated
-    rows, at any size of the input and however often an id is repeated.
+    rows, at any size of the input and however often an id is repeated. Empty tables give an empty result;
+    other columns are left out by quantised().
     """
-    parts = max(1, -(-candidates.count() // candidate_block))
-    asks = max(1, -(-queries.count() // query_block))
-    place = F.xxhash64("vec_id", "_pt_row")
-    numbered = lambda rows: rows.withColumn("_pt_row", F.monotonically_increasing_id())
-    c = numbered(candidates).select("vec_id", "v", F.size("v").alias("dims"), F.pmod(place, F.lit(parts)).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("q"))
-    q = numbered(queries).select("vec_id", "v", F.size("v").alias("dims"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("c"), F.pmod(place, F.lit(asks)).alias("q"))
-    keys = ["dims", "c", "q"]
-    found = (
-        c.withColumn("c", F.col("c").cast("int")).groupBy(*keys)
-        .cogroup(q.withColumn("q", F.col("q").cast("int")).groupBy(*keys))
-        .applyInPandas(search_block(k), "query_id long, vec_id long, score long")
-    )
+    found = searched_blocks(candidates, queries, query_block, candidate_block, search_block(k), FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def search_effort(candidates: DataFrame, queries: DataFrame, k: int = 20, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
+    """(query_id, candidates, depth, scored): what exact_top_k reads of each query's lists and scores, of how many."""
+    found = searched_blocks(candidates, queries, query_block, candidate_block, search_block(k, True), EFFORT)
+    return found.groupBy("query_id").agg(*[F.sum(x).alias(x) for x in ("candidates", "depth", "scored")])
+
+
 def op4_threshold_top_k(spark, sf_dir):
     vectors = quantised(read_table(spark, sf_dir, "embeddings"), repeats=True)
     return exact_top_k(vectors, vectors.filter("vec_id % 20 = 0"))

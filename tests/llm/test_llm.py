@@ -215,8 +215,21 @@ def test_threshold_stops_early():
     vectors = np.zeros((4096, 2), dtype=np.float64)
     vectors[:, 0] = np.arange(4096)
     ids, lists = np.arange(4096), np.argsort(-vectors, axis=0, kind="stable").T
-    best, scores = topk.threshold_top(vectors, ids, lists, np.array([1.0, 0.0]), -1, 3)
+    best, scores, depth, scored = topk.threshold_top(vectors, ids, lists, np.array([1.0, 0.0]), -1, 3)
     assert best.tolist() == [4095, 4094, 4093] and scores.tolist() == [4095, 4094, 4093]
+    assert depth == scored == topk.FIRST_STEP
+    rng = np.random.default_rng(1)
+    vectors = np.exp(rng.normal(0, 2, (4096, 6)))  # a few outstanding components
+    lists = np.argsort(-vectors, axis=0, kind="stable").T
+    best, scores, depth, scored = topk.threshold_top(vectors, ids, lists, np.abs(rng.normal(0, 1, 6)), -1, 3)
+    assert depth < 4096 // 8 and depth <= scored < 4096 // 2
+
+
+def test_search_effort(spark):
+    rows = [(i, [float(i % 97), float(i % 89)]) for i in range(3000)]
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    for r in topk.search_effort(vectors, vectors.filter("vec_id % 500 = 499"), 5, 10, 1000).collect():
+        assert r["candidates"] == 3000 and 0 < r["depth"] <= r["scored"] < 1500
 
 
 # 5 ---------------------------------------------------------------------------------------------
