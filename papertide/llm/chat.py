@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 
+#: Turns that are cut out of one stretch of an output, so that a long output isn't gone through for each turn.
+RUN = 256
 #: Open and close marks; fixed values of this grammar.
 OPEN = {"system": "<<SYS>>", "user": "[INST]", "assistant": "<s>"}
 CLOSE = {"system": "<</SYS>>", "user": "[/INST]", "assistant": "</s>"}
@@ -76,7 +78,7 @@ def format_conversations(turns: DataFrame, mask: str = "assistant") -> DataFrame
     raw); it equals the source, or the query fails. `loss_runs` is the loss mask over `formatted` in
     characters: for each turn, how many to skip and how many then to keep (none but for the masked
     role). An empty table gives an empty result; other columns of turns aren't read. A conversation is
-    one row, so that one of them must fit in a task.
+    one row, so that one of them, and all rows with a null conv_id together, must fit in a task.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
@@ -97,12 +99,30 @@ def format_conversations(turns: DataFrame, mask: str = "assistant") -> DataFrame
     return out.select("conv_id", F.when(exact, F.col("formatted")).otherwise(failed).alias("formatted"), "turns", runs.alias("loss_runs"))
 
 
+def masked_text(formatted: Column, loss_runs: Column) -> Column:
+    """The text under the loss mask, read from the output itself: its pieces in order, unescaped, nothing between."""
+    length = lambda r: r["skip"] + r["keep"] + r["rest"]
+
+    def piece(state: Column, r: Column) -> Column:
+        text = unescaped(F.substring(state["chunk"], state["at"] + r["skip"] + 1, r["keep"]))
+        return F.struct((state["at"] + length(r)).alias("at"), state["chunk"].alias("chunk"), F.concat(state["found"], F.array(text)).alias("found"))
+
+    def stretch(state: Column, runs: Column) -> Column:
+        chars = F.aggregate(runs, F.lit(0), lambda n, r: n + length(r))
+        start = F.struct(F.lit(0).alias("at"), F.substring(formatted, state["at"] + 1, chars).alias("chunk"), F.array().cast("array<string>").alias("found"))
+        return F.struct((state["at"] + chars).alias("at"), F.concat(state["found"], F.aggregate(runs, start, piece, lambda s: s["found"])).alias("found"))
+
+    stretches = F.transform(F.sequence(F.lit(0), F.floor(F.size(loss_runs) / RUN).cast("int")), lambda i: F.slice(loss_runs, i * RUN + 1, RUN))
+    return F.array_join(F.aggregate(stretches, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("found")), stretch, lambda s: s["found"]), "")
+
+
 def op8_grammar_round_trip(spark, sf_dir):
     extra = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     out = format_conversations(turns)
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    out = out.withColumn("loss", masked_text(F.col("formatted"), F.col("loss_runs")))
+    loss = F.col("loss")
     return out.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -347,6 +347,18 @@ def test_round_trip(spark):
     assert chat.format_conversations(df.filter("false")).count() == 0
 
 
+def test_loss_is_read_through_the_mask(spark):
+    rows = [(c, t, ("user", "assistant", "tool")[t % 3], HARD[(c + t) % len(HARD)]) for c in range(4) for t in range(700 * (c == 0) + 9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_conversations(df)
+    moved = F.transform("loss_runs", lambda r, i: F.when(i == 1, F.struct((r["skip"] + 1).alias("skip"), r["keep"].alias("keep"), (r["rest"] - 1).alias("rest"))).otherwise(r))
+    for r in out.select("conv_id", chat.masked_text(F.col("formatted"), F.col("loss_runs")).alias("loss"), chat.masked_text(F.col("formatted"), moved).alias("moved")).collect():
+        assert r["loss"] == "".join(x for c, _, role, x in rows if c == r["conv_id"] and role == "assistant")
+        assert r["loss"] != r["moved"] or not HARD[(r["conv_id"] + 1) % len(HARD)].strip()
+    long = spark.createDataFrame([(1, 0, "user", "[x] " * 200_000), (1, 1, "assistant", " </s>\n\\" * 150_000)], "conv_id long, turn long, role string, text string")
+    assert chat.format_conversations(long).select(F.length(chat.masked_text(F.col("formatted"), F.col("loss_runs")))).first()[0] == 7 * 150_000
+
+
 # 9 ---------------------------------------------------------------------------------------------
 
 SECRETS = [
