@@ -428,6 +428,47 @@ def test_quality_rules(docs, nothing, spark):
     assert all(r["llr_sum"] == 0 and r["kept"] == (not r["base_failed"]) for r in unjudged)
 
 
+def brute_scores(rows, labels):
+    """llr sums, and the threshold, as the module's head says; hashes are 64-bit xxhash with Spark's seed."""
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    one = lambda w: signed(xxhash.xxh64_intdigest(w.encode(), 42))
+    then = lambda h, x: signed(xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), h % (1 << 64)))
+    good = {d for d, q, t in labels if q == 1 and not t and d is not None}
+    fold = {d: signed(xxhash.xxh64_intdigest(b"fold", then(42, d) % (1 << 64))) % 4 for d in good}
+    grams = []
+    for _, text in rows:
+        h = [one(w) for w in WORD.findall(text or "")]
+        grams.append([x % quality.BUCKETS for x in h + [then(then(42, a), b) for a, b in zip(h, h[1:])]])
+    raw, trusted = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    for (d, _), g in zip(rows, grams, strict=True):
+        np.add.at(raw, g, 1)
+        np.add.at(trusted, g, float(fold.get(d, 9) in (0, 1)))
+    share = lambda c: (c + 1) / (c.sum() + quality.BUCKETS)
+    weights = np.floor((np.log(share(trusted)) - np.log(share(raw))) * 2**20 + 0.5).astype(int)
+    weights[raw == 0] = 0
+    sums = [int(weights[g].sum()) for g in grams]
+    means = [s / len(g) for s, g, (d, t) in zip(sums, grams, rows, strict=True) if fold.get(d) == 2 and len(WORD.findall(t or "")) >= 50]
+    low, middle = np.quantile(means, [0.001, 0.5])
+    return sums, [len(g) for g in grams], 2 * low - middle
+
+
+def test_scores_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 200))) + (" #!" * 30 if i % 9 == 0 else "")) for i in range(150)] + [(None, "a b c"), (3, None), (5, " \t")]
+    labels = [(i, int(i % 9 != 0), i % 7 == 0 or None and 1) for i in range(100)]
+    labels = [(d, q, int(bool(t))) for d, q, t in labels]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    judged = quality.with_quality(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    sums, n, least = brute_scores(rows, labels)
+    got = collections.Counter((r["doc_id"], r["text"], r["llr_sum"], r["kept"]) for r in judged)
+    assert got == collections.Counter((d, t, s, not base_rules(t)[-1] and s >= k * int(least)) for (d, t), s, k in zip(rows, sums, n, strict=True))
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(["a", "b", "c", "#", "\n", "d|"]), max_size=60).map(" ".join), min_size=1, max_size=25))
 def test_base_rules_random(spark, texts):
