@@ -19,9 +19,6 @@ from .common import read_table, settle, shared_dir, sized
 
 #: Most strings that the analysis spells out for one stretch of an expression.
 SPELLED = 64
-#: Trigrams that the query keeps of each alternative, every other one from its start: more would cost
-#: the index more than they save the search.
-KEPT = 2
 #: Candidates that may be broadcast; hits of a text that are numbered in one go.
 BROADCAST_ROWS, RUN = 1_000_000, 256
 
@@ -88,9 +85,9 @@ def strings_of(items) -> set[str] | None:
 
 
 def alternatives(strings: set[str]) -> list[frozenset[str]]:
-    """One set of trigrams for each string, without those that imply another; a string too short for any
-    makes the whole say nothing."""
-    sets = [frozenset([s[i : i + 3] for i in range(0, len(s) - 2, 2)][:KEPT]) for s in strings]
+    """One set of all its trigrams for each string, without those that imply another; a string too short for
+    any makes the whole say nothing."""
+    sets = [frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in strings]
     return [] if frozenset() in sets else sorted({s for s in sets if not any(t < s for t in sets)}, key=sorted)
 
 
@@ -224,7 +221,11 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
 
 
 def redact(docs: DataFrame, rules=RULES, text: str = "text", mark: str = "[REDACTED]") -> DataFrame:
-    """docs with every secret's value in its texts replaced by a mark, rule by rule; other columns stay."""
+    """docs with every secret's value in its texts replaced by a mark, rule by rule; other columns stay.
+
+    All rows stay, repeated ones and those with null ids too; a null text stays null, and a text without
+    secrets as it is. An empty table gives an empty result. Names that begin with _pt_ are reserved.
+    """
     rows = searched(docs, rules)
     for rule in rules:
         rows = with_hits(rows, rule, text)

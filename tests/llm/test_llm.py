@@ -91,6 +91,47 @@ def test_jaccard_crowded_group(spark):
     assert table(jaccard.jaccard_components(df), "doc_id", "n_shingles", "component_id") == components(rows)
 
 
+def test_jaccard_linked_and_unlinked_crowds(spark):
+    """Crowds of 500: near copies of one text, texts cut off at many lengths, and a passage in unlike texts."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, passage, rows = [word() for _ in range(150)], [word() for _ in range(60)], []
+    for i in range(500):
+        near = list(base)
+        for at in rng.sample(range(150), rng.randint(0, 6)):
+            near[at] = word()
+        rows.append((i, " ".join(near)))
+    long = [word() for _ in range(400)]
+    rows += [(1000 + i, " ".join(long[: rng.randint(20, 400)])) for i in range(500)]
+    rows += [(2000 + i, " ".join([word() for _ in range(rng.randint(0, 25))] + passage + [word() for _ in range(rng.randint(0, 25))])) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert table(jaccard.jaccard_components(df), "doc_id", "n_shingles", "component_id") == components(rows)
+
+
+def test_crowded_tokens_are_told(spark, tmp_path):
+    text = lambda i: " ".join(f"w{j}" for j in range(40)) + f" x{i} y{i} z{i} u{i} v{i}"
+    df = spark.createDataFrame([(text(i),) for i in range(40)], "text string").repartition(3)
+    common_tokens = np.intersect1d(jaccard.shingles(text(0), jaccard.WordHashes()), jaccard.shingles(text(1), jaccard.WordHashes()))
+    low = common_tokens[common_tokens < jaccard.LEAST_HIGH]
+    crowds = jaccard.crowds_of(df, f"file://{tmp_path}/c")
+    assert crowds.tokens.tolist() == low.tolist() and set(crowds.counts.tolist()) <= {40.0}
+    assert len(jaccard.crowds_of(df, f"file://{tmp_path}/d", told=1).tokens) == 0
+
+
+def test_jaccard_keeps_unrelated_documents_without_ids(spark):
+    rng = np.random.default_rng(2)
+    fresh = [" ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(30)) for _ in range(12)]
+    rows = [(None, t) for t in fresh] + [(None, fresh[0]), (None, fresh[1]), (None, fresh[1] + " tail"), (7, fresh[2]), (None, None), (None, ""), (None, None)]
+    df = spark.createDataFrame([(d, t, "m", 1) for d, t in rows], "doc_id long, text string, member_of string, digest int").repartition(3)
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.one_of_each(df).collect()]
+    want = collections.Counter([(None, t) for t in fresh if t not in (fresh[1], fresh[2])] + [(7, fresh[2]), (None, None), (None, None), (None, "")])
+    got = collections.Counter(kept)
+    assert sum(got.values()) == sum(want.values()) + 1 and not want - got
+    assert sum((got - want).values()) == 1 and next(iter(got - want))[1] in (fresh[1], fresh[1] + " tail")
+
+
 def test_jaccard_keeps_one_of_each(docs):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
@@ -401,8 +442,15 @@ def test_trigram_queries_lose_no_match(text):
 
 def test_trigram_queries():
     query = {r.kind: secrets_index.trigram_query(r.pattern) for r in secrets_index.RULES}
-    assert query["hex"] == [] and query["access"] == [[frozenset({"aki"})]]
-    assert frozenset({"tok", "ken"}) in query["assign"][0]
+    assert query["hex"] == [] and query["access"] == [[frozenset({"aki", "kia"})]]
+    assert frozenset({"tok", "oke", "ken"}) in query["assign"][0]
+
+
+def test_secrets_in_long_texts(spark):
+    rows = [(1, "word " * 300_000 + "password=abcdef " + "word " * 10), (2, "0123456789abcdef01234567 " * 20_000), (None, "a" * 1_000_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], [tuple(s) for s in r["spans"]]) for r in secrets_index.scan(df).collect()), key=repr)
+    assert got == sorted(((d, spans_in(t, secrets_index.RULES)) for d, t in rows), key=repr)
 
 
 # 10 --------------------------------------------------------------------------------------------
