@@ -325,7 +325,7 @@ def classes_and_components(docs: DataFrame, rows: DataFrame, folder: str) -> tup
 
     facts = classes.select("cid", "n").join(components, "cid").join(hubs.select("cid", "hub", "held", "linked"), "cid", "left")
     facts = settle(facts.withColumns({"hub": F.coalesce("hub", "cid"), "held": F.coalesce("held", "n")}), folder, "facts")
-    pairs = [f(facts) for f in (lambda x: by_prefix(postings, x, folder), lambda x: by_rest(hubs, x), by_size)]
+    pairs = [by_prefix(postings, facts, folder), by_rest(hubs, facts, folder), by_size(facts)]
     ends = [df.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")) for df in pairs]
     links = compared(settle(ends[0].union(ends[1]).union(ends[2]).distinct(), folder, "pairs"), docs, classes, folder)
     return classes, merged(components, links, folder, "all")
@@ -346,6 +346,7 @@ def by_prefix(postings: DataFrame, facts: DataFrame, folder: str) -> DataFrame:
     held = settle(postings.join(facts.select("cid", "comp", "hub"), "cid").select("token", "cid", "n", "more", "pos", "comp", "hub"), folder, "held")
     sizes = held.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"))
     apart = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("size", "comp")).alias("main")).filter("comps > 1").select("token", F.col("main.comp").alias("main"))
+    apart = settle(apart, folder, "apart")  # by itself, so that a join of a crowded token can be split
     left = settle(held.join(apart, "token").withColumn("inside", F.expr("comp = main")).drop("main"), folder, "left")
     # 0: inside with outside, 1: outside with inside, 2: outside with outside
     small = left.filter(f"pos <= n - ({PERCENT} * 2 * n + {99 + PERCENT}) div {100 + PERCENT} + more").withColumn("side", F.explode(F.expr("IF(inside, array(0), array(1, 2))"))).drop("inside")
@@ -356,11 +357,11 @@ def by_prefix(postings: DataFrame, facts: DataFrame, folder: str) -> DataFrame:
     return met.groupBy("cid", "other", F.expr(more).alias("k")).agg(F.count(F.lit(1)).alias("times")).filter("times > k")
 
 
-def by_rest(hubs: DataFrame, facts: DataFrame) -> DataFrame:
+def by_rest(hubs: DataFrame, facts: DataFrame, folder: str) -> DataFrame:
     """(cid, other) of one hub: an overlap is at most the lesser part of the hub and what else is shared."""
     rest = hubs.select("cid", F.explode("rest").alias("token")).join(facts.select("cid", "n", "comp", "hub", "held"), "cid")
     apart = rest.groupBy("token", "hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token", "hub")
-    left = rest.join(apart, ["token", "hub"])
+    left = rest.join(settle(apart, folder, "rest_apart"), ["token", "hub"])
     right = left.select("token", "hub", F.col("cid").alias("other"), F.col("n").alias("m"), F.col("comp").alias("comp2"), F.col("held").alias("held2"))
     met = left.join(right, ["token", "hub"]).filter("cid < other AND comp <> comp2").filter(NEAR)
     return met.groupBy("cid", "other", "n", "m", "held", "held2").agg(F.count(F.lit(1)).alias("times")).filter(f"least(held, held2) + times >= {NEED}")
