@@ -1,7 +1,9 @@
 """A training corpus from raw documents: quality rules, near duplicates, secrets, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but
-the last return the columns of documents. Between stages rows are written as Parquet and read again.
+the last return the columns of documents. Between stages rows are written as Parquet and read again,
+and removed when the next stage has been written. Columns besides those of documents are left out,
+whatever their names. An empty table of documents gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,30 +12,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papertide.llm import jaccard, packing, quality, secrets_index
-from papertide.llm.common import read_table, settle, shared_dir, tokenizer_path
+from papertide.llm.common import drop_folder, read_table, settle, shared_dir, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go.
+
+    Null, empty and blank texts have no words and go; repeated rows are judged, and stay, one by one;
+    null ids don't matter but that such documents are never trusted.
+    """
     return quality.kept_documents(docs.select(COLUMNS), read_table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that of the least doc_id."""
+    """One document of each group of near duplicates stays: that of the least doc_id, null ids last.
+
+    Repeated rows are near duplicates; documents with null ids are told apart by their texts; texts
+    without words all stay.
+    """
     return jaccard.one_of_each(docs).select(COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, its secrets blotted out and its n_chars counted anew where that changed it."""
+    """Every document stays, its secrets blotted out and its n_chars counted anew where that changed it.
+
+    Null texts stay null; repeated rows and null ids stay as they are.
+    """
     clean = secrets_index.redact(docs.withColumn("_pt_before", F.xxhash64("text")))
     changed = F.xxhash64("text") != F.col("_pt_before")
     return clean.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All remaining documents as pieces of token sequences."""
+    """All remaining documents as pieces of token sequences.
+
+    A null or empty text is its end token alone; repeated rows and null ids are packed one by one.
+    """
     return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken")).drop("piece_id")
 
 
@@ -50,9 +66,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one behind the other, from the documents of sf_dir."""
-    rows, folder = read_table(spark, sf_dir, "documents"), shared_dir(spark)
+    rows, before = read_table(spark, sf_dir, "documents"), None
     for number, (name, stage) in enumerate(STAGES):
         rows = stage(spark, rows, sf_dir)
         if number < len(STAGES) - 1:
+            folder = shared_dir(spark)
             rows = settle(rows, folder, f"{number}_{name}")
+            if before:
+                drop_folder(spark, before)
+            before = folder
     return rows
