@@ -53,3 +53,38 @@ def test_stages(spark, tmp_path):
 
 def test_run_is_the_stages(spark):
     assert len(corpus_pipeline.STAGES) == 4 and corpus_pipeline.run(spark, DATA).count() > 0
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, kept string, spans int, member_of int, ids string, sequence_id string"
+
+
+def odd_rows():
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    fresh = [" ".join(word() for _ in range(80)) for _ in range(20)]
+    texts = [(None, t) for t in fresh[:12]] + [(None, fresh[0]), (1, fresh[13]), (1, fresh[13]), (2, fresh[13] + " tail"), (3, fresh[14] + " password=abcdef99"), (None, None), (4, ""), (5, " \n"), (6, "few words"), (7, " ".join(word() for _ in range(60_000)))]
+    return [(d, t, "en", "s", None if t is None else len(t), "k", 1, 2, "i", "q") for d, t in texts], fresh
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null ids, repeated rows, blank and long texts and clashing names; and no rows at all."""
+    rows, fresh = odd_rows()
+    base = f"file://{tmp_path}/in"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    for name, some in (("all", rows), ("none", [])):
+        docs = spark.createDataFrame(some, ODD)
+        out = []
+        for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, base).write.parquet(f"{base}/{name}{n}")
+            docs = spark.read.parquet(f"{base}/{name}{n}")
+            out.append(docs.collect())
+        if not some:
+            assert out == [[], [], [], []]
+            continue
+        assert collections.Counter((r["doc_id"], r["text"]) for r in out[0]) == collections.Counter((d, t) for d, t, *_ in rows if not base_rules(t)[-1])
+        assert sorted(r["text"] for r in out[1]) == sorted([*fresh[:12], fresh[13], fresh[14] + " password=abcdef99", rows[-1][1]])
+        assert [r["doc_id"] for r in out[1] if r["text"] == fresh[13]] == [1]
+        assert {r["text"] for r in out[1]} - {r["text"] for r in out[2]} == {fresh[14] + " password=abcdef99"} and len(out[2]) == len(out[1])
+        assert {(r["doc_id"], r["doc_tokens"]) for r in out[3] if r["doc_id"]} and len({r["sequence_id"] for r in out[3]}) > 1
