@@ -35,7 +35,7 @@ def literature_gap_points(gap: Column) -> Column:
 
 
 def data_support_points(cases: Column) -> Column:
-    return F.when(cases >= 500, 3).when(cases >= 200, 2).otherwise(1)
+    return F.when(cases >= 500, 3).when(cases >= 200, 1).otherwise(0)
 
 
 def emerging_score(recent: Column, prior: Column, avg_cpy: Column, avg_if: Column) -> Column:

@@ -9,13 +9,30 @@ from pyspark.sql import functions as F
 
 from papertide.sources.corpus import Corpus
 
-#: Words that carry no topic; a fixed list of this engine.
-STOPWORDS = frozenset("a an and as at by for from in is of on or the to using via with".split())
+#: Words that stand for no focus, and words that carry no topic; fixed values.
+NO_FOCUS = frozenset({"all", "any", "full", "corpus", "entire"})
+STOPWORDS = NO_FOCUS | frozenset("for of the and in with to a an on by from via using based into over under between".split())
+
+
+def normalized(focus: str | None) -> str | None:
+    """The focus without outer blanks; None for blanks and for words that stand for everything."""
+    found = (focus or "").strip()
+    return found if found and found.lower() not in NO_FOCUS else None
 
 
 def mentions(col: Column, focus: str | None) -> Column:
-    """Whether a text holds the focus in any case; % and _ are ordinary characters. No focus: always."""
-    return F.contains(F.lower(col), F.lit(focus.strip().lower())) if focus and focus.strip() else F.lit(True)
+    """Whether a text holds the focus, or all of its telling words where it has two, in any case; % and _ are
+    ordinary characters. No focus: always."""
+    if not (phrase := normalized(focus)):
+        return F.lit(True)
+    low, words = F.lower(col), [w for w in phrase.lower().split() if len(w) >= 2 and w not in STOPWORDS]
+    holds = F.contains(low, F.lit(phrase.lower()))
+    if len(words) < 2:
+        return holds
+    every = F.lit(True)
+    for word in words:
+        every = every & F.contains(low, F.lit(word))
+    return holds | every
 
 
 def focus_papers(corpus: Corpus, focus: str) -> DataFrame:
@@ -25,7 +42,7 @@ def focus_papers(corpus: Corpus, focus: str) -> DataFrame:
 
 
 def in_focus(rows: DataFrame, corpus: Corpus, focus: str | None) -> DataFrame:
-    return rows.join(focus_papers(corpus, focus), "pmid", "left_semi") if focus and focus.strip() else rows
+    return rows.join(focus_papers(corpus, focus), "pmid", "left_semi") if normalized(focus) else rows
 
 
 def meaningful_tokens(keyword: str) -> list[str]:
@@ -85,6 +102,17 @@ def entities_for_topic(corpus: Corpus, keyword: str, kind: str) -> DataFrame:
     return rows.groupBy("name").agg(F.count_distinct("pmid").alias("paper_cnt"), F.min("year").alias("first_used"), F.max("year").alias("last_used"))
 
 
+def methods_for_topic(corpus: Corpus, keyword: str, limit: int) -> DataFrame:
+    """The methods that most of a topic's papers apply."""
+    return entities_for_topic(corpus, keyword, "Method").orderBy(F.desc("paper_cnt"), "name").limit(limit)
+
+
+def modalities_for_topic(corpus: Corpus, keyword: str, limit: int) -> DataFrame:
+    """The modalities that most of a topic's papers use."""
+    found = entities_for_topic(corpus, keyword, "Modality").select(F.col("name").alias("modality"), "paper_cnt")
+    return found.orderBy(F.desc("paper_cnt"), "modality").limit(limit)
+
+
 def datasets_for_topic(corpus: Corpus, keyword: str, limit: int) -> DataFrame:
     used = entities_for_topic(corpus, keyword, "Dataset").join(corpus.datasets, "name", "left")
     access = F.coalesce("access_class", F.lit("unknown"))
@@ -92,9 +120,26 @@ def datasets_for_topic(corpus: Corpus, keyword: str, limit: int) -> DataFrame:
     return used.select("name", access.alias("access_class"), F.col("paper_cnt").alias("used_by"), rank.alias("rank")).orderBy("rank", F.desc("used_by"), "name").limit(limit).drop("rank")
 
 
-def metrics_for_topic(corpus: Corpus, keyword: str) -> DataFrame:
+def metrics_for_topic(corpus: Corpus, keyword: str, limit: int) -> DataFrame:
+    """Statements of metrics on a topic's papers, latest papers first.
+
+    A statement is there once for each relation of its paper, as the tool that this follows has it; only
+    the first `limit` statements can be among the first `limit` rows, so that no more are repeated.
+    """
     found, _ = topic_papers(corpus, keyword)
-    return (
-        corpus.of("Metric").join(found.select("pmid"), "pmid", "left_semi").join(corpus.papers.select("pmid", "year"), "pmid")
-        .select("pmid", "name", "metric_value", "section", F.col("year").alias("yr"))
+    rows = (
+        corpus.of("Metric").join(found.select("pmid"), "pmid", "left_semi").join(corpus.papers.select("pmid", "title", "year"), "pmid")
+        .select("pmid", "title", F.col("name").alias("metric"), "metric_value", "section", "quote", F.col("year").alias("yr"))
     )
+    order = [F.desc("yr"), "pmid", "metric", "section", "quote"]
+    first = rows.orderBy(*order).limit(limit)
+    repeats = corpus.relations.join(F.broadcast(first.select("pmid").distinct()), "pmid", "left_semi").groupBy("pmid").agg(F.count(F.lit(1)).cast("int").alias("times"))  # `limit` rows at most
+    repeated = first.join(repeats, "pmid").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("time", "times")
+    return repeated.orderBy(*order).limit(limit)
+
+
+def limitations_for_topic(corpus: Corpus, keyword: str, limit: int) -> DataFrame:
+    """What a topic's papers state as limitations, with where and how they say it, by paper."""
+    found, _ = topic_papers(corpus, keyword)
+    rows = corpus.of("Limitation").join(found.select("pmid"), "pmid", "left_semi").join(corpus.papers.select("pmid"), "pmid", "left_semi")
+    return rows.select(F.col("name").alias("limitation"), "pmid", "section", "quote").orderBy("pmid", "limitation").limit(limit)

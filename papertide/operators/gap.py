@@ -106,6 +106,7 @@ def impact_sums(config: EngineConfig) -> list[Column]:
         F.sum("citation_count").alias("cites"),
         F.sum(cpy).alias("cpy_milli"),
         F.sum(F.coalesce("if_cents", F.lit(0))).alias("if_cents"),
+        F.count_if(F.col("if_cents") > 0).alias("if_rows"),
         F.count_if(F.col("study_type") != "5-LOW").alias("non_review_cnt"),
     ]
 
@@ -116,8 +117,8 @@ def averages(rows: DataFrame) -> DataFrame:
 
 
 def limitation_impact_rank(corpus: Corpus, focus: str | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
-    """Limitations by papers x mean citations, with an impact score of 0 to 3."""
-    rows = in_focus(corpus.of("Limitation"), corpus, focus).join(corpus.judged, "pmid").groupBy(F.col("name").alias("limitation")).agg(*impact_sums(config))
+    """Limitations whose names mention the focus by papers x mean citations, with an impact score of 0 to 3."""
+    rows = corpus.of("Limitation").filter(mentions(F.col("name"), focus)).join(corpus.judged, "pmid").groupBy(F.col("name").alias("limitation")).agg(*impact_sums(config))
     heat = F.floor(F.col("paper_cnt") * F.col("cites") * 1000 / F.col("rows")).cast("long")
     top = averages(rows).withColumn("heat_milli", heat).orderBy(F.desc("heat_milli"), "limitation").limit(config.top_n)
     score = scoring.impact_score(F.col("avg_cite"), F.col("avg_cite_per_year"), F.col("avg_if"), F.when(F.col("avg_if") >= 5, 1.0).otherwise(0.0))
@@ -125,8 +126,12 @@ def limitation_impact_rank(corpus: Corpus, focus: str | None = None, config: Eng
 
 
 def hotspot_entities(corpus: Corpus, focus: str | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
-    """Entities of at least two papers by papers x mean citations."""
-    rows = in_focus(corpus.relations, corpus, focus).join(corpus.judged, "pmid").groupBy("name", "type").agg(*impact_sums(config)).filter("paper_cnt >= 2")
+    """Entities of at least two papers whose names mention the focus by papers x mean citations.
+
+    Methods count where they are applied, not where they are only mentioned.
+    """
+    told = corpus.relations.filter(mentions(F.col("name"), focus)).filter("type <> 'Method' OR relation = 'APPLIES_METHOD'")
+    rows = told.join(corpus.judged, "pmid").groupBy("name", "type").agg(*impact_sums(config)).filter("paper_cnt >= 2")
     heat = F.floor(F.col("paper_cnt") * F.col("cites") / F.col("rows") + 0.5).cast("long")
     return rows.withColumn("heat", heat).orderBy(F.desc("heat"), "name", "type").limit(config.top_n).select("name", "type", "paper_cnt", "cites", "heat")
 
@@ -148,7 +153,9 @@ def impact_priority_matrix(corpus: Corpus, focus: str | None = None, config: Eng
     """The first gaps of the grid by gap points plus the impact of the papers that fill them a little."""
     gaps = method_disease_combo_gap(corpus, focus, config).limit(config.top_n)
     support = averages(combo_support_papers(corpus, gaps).groupBy("method", "disease").agg(*impact_sums(config), F.count_if(F.col("quartile") == "Q1").alias("q1")).drop("paper_cnt"))
-    score = scoring.impact_score(F.col("avg_cite"), F.col("avg_cite_per_year"), F.col("avg_if"), F.col("q1") / F.col("rows"))
+    # the mean impact factor is over the papers that have one
+    avg_if = F.when(F.col("if_rows") > 0, F.col("if_cents") / F.col("if_rows") / 50000).otherwise(0.0)
+    score = scoring.impact_score(F.col("avg_cite"), F.col("avg_cite_per_year"), avg_if, F.col("q1") / F.col("rows"))
     ranked = gaps.join(support.select("method", "disease", score.alias("impact_score")), ["method", "disease"], "left").withColumn("impact_score", F.coalesce("impact_score", F.lit(0.0)))
     priority = F.floor((scoring.literature_gap_points(F.col("gap")) + F.col("impact_score")) * 100 + 0.5).cast("long")
     return ranked.withColumn("priority_pct", priority).orderBy(F.desc("priority_pct"), "method_rank", "disease_rank").select("method", "disease", "paper_cnt", "gap", "priority_pct")

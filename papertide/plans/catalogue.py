@@ -9,13 +9,25 @@ from pyspark.sql import functions as F
 from papertide.config import DEFAULT
 from papertide.operators import documents, feasibility, focus, gap, graph, hotspot, lifecycle, merge
 from papertide.plans import oracle
-from papertide.sources.corpus import from_star
+from papertide.sources.corpus import Corpus, from_star
 
 FLAGSHIP = "t02_disease_task_coverage"
 #: Literal foci and keywords of the registered queries.
 FOCUS, KEYWORD, TOKENS = "anvil", "anvil", "blue anvil widget"
 
 
+def with_modalities(corpus: Corpus) -> Corpus:
+    """The corpus with every task as a modality too."""
+    more = corpus.of("Task").withColumns({"relation": F.lit("USES_MODALITY"), "type": F.lit("Modality")})
+    return replace(corpus, relations=corpus.relations.unionByName(more), stated=None)
+
+
+def with_mentions(corpus: Corpus) -> Corpus:
+    """The corpus with the methods that a discussion names as mentions, not applications."""
+    mention = F.expr("IF(type = 'Method' AND section = 'discussion', 'RELATED_TO', relation)")
+    return replace(corpus, relations=corpus.relations.withColumn("relation", mention), stated=None)
+
+
 def on_corpus(call):
     return lambda spark, sf_dir: call(from_star(spark, sf_dir))
 
@@ -33,7 +45,9 @@ CORPUS_QUERIES = {
     "t07_combo_gap_temporal": lifecycle.combo_gap_temporal,
     "t08_metric_evidence": gap.metric_evidence,
     "t09_limitation_impact_rank": gap.limitation_impact_rank,
+    "t09_limitation_impact_rank_focus": lambda c: gap.limitation_impact_rank(c, FOCUS),
     "t10_hotspot_entities": gap.hotspot_entities,
+    "t10_hotspot_entities_focus": lambda c: gap.hotspot_entities(with_mentions(c), FOCUS),
     "t11_recent_highcite_papers": gap.recent_highcite_papers,
     "t13_impact_priority_matrix": gap.impact_priority_matrix,
     "t14_emerging_gap_opportunities": hotspot.emerging_gap_opportunities,
@@ -55,10 +69,11 @@ CORPUS_QUERIES = {
     "i02_phrase_papers": lambda c: focus.phrase_papers(c, [KEYWORD]),
     "i03_token_scores": lambda c: focus.token_scores(c, focus.meaningful_tokens(TOKENS)),
     "i10_related_papers": lambda c: focus.search_papers(c, KEYWORD, DEFAULT.top_n),
-    "i11_methods_for_topic": lambda c: focus.entities_for_topic(c, KEYWORD, "Method"),
+    "i11_methods_for_topic": lambda c: focus.methods_for_topic(c, KEYWORD, DEFAULT.top_n),
     "i12_datasets_for_topic": lambda c: focus.datasets_for_topic(c, KEYWORD, DEFAULT.top_n),
-    "i13_metrics_for_topic": lambda c: focus.metrics_for_topic(c, KEYWORD),
-    "i14_limitations_for_topic": lambda c: focus.entities_for_topic(c, KEYWORD, "Limitation"),
+    "i13_metrics_for_topic": lambda c: focus.metrics_for_topic(c, KEYWORD, DEFAULT.top_n),
+    "i14_limitations_for_topic": lambda c: focus.limitations_for_topic(c, KEYWORD, DEFAULT.top_n),
+    "i15_modalities_for_topic": lambda c: focus.modalities_for_topic(with_modalities(c), KEYWORD, DEFAULT.top_n),
     "i16_recent_papers_for_topic": lambda c: focus.search_papers(c, KEYWORD, DEFAULT.top_n, DEFAULT.start_year),
     "p04_focus_papers": lambda c: focus.focus_papers(c, FOCUS),
     "g01_graph_stats": graph.graph_stats,

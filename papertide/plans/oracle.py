@@ -86,7 +86,7 @@ status AS (
     FROM targets t LEFT JOIN followups f ON f.limitation = t.limitation
 )"""
 SUMS = f"""count(DISTINCT r.pmid) AS paper_cnt, count(*) AS n, CAST(sum(citation_count) AS BIGINT) AS cites,
-           CAST(sum(CAST(floor(1000 * {CPY}) AS BIGINT)) AS BIGINT) AS cpy_milli, CAST(sum(coalesce(if_cents, 0)) AS BIGINT) AS if_cents,
+           CAST(sum(CAST(floor(1000 * {CPY}) AS BIGINT)) AS BIGINT) AS cpy_milli, CAST(sum(coalesce(if_cents, 0)) AS BIGINT) AS if_cents, count(*) FILTER (WHERE if_cents > 0) AS if_n,
            count(*) FILTER (WHERE study_type <> '5-LOW') AS non_review_cnt, count(*) FILTER (WHERE quartile = 'Q1') AS q1"""
 
 
@@ -224,7 +224,7 @@ FROM (SELECT name, type, {SUMS} FROM relations r JOIN judged j ON j.pmid = r.pmi
     "t13_impact_priority_matrix": star(f"""{GAPS},
 few AS (SELECT * FROM gaps ORDER BY method_rank, disease_rank LIMIT {TOP}),
 support AS (
-    SELECT method, disease, {impact('(CAST(cites AS DOUBLE) / n)', '(CAST(cpy_milli AS DOUBLE) / n / 1000)', '(CAST(if_cents AS DOUBLE) / n / 50000)', '(CAST(q1 AS DOUBLE) / n)')} AS impact_score
+    SELECT method, disease, {impact('(CAST(cites AS DOUBLE) / n)', '(CAST(cpy_milli AS DOUBLE) / n / 1000)', '(CASE WHEN if_n > 0 THEN CAST(if_cents AS DOUBLE) / if_n / 50000 ELSE 0.0 END)', '(CAST(q1 AS DOUBLE) / n)')} AS impact_score
     FROM (SELECT r.method, r.disease, {SUMS} FROM pairs r JOIN judged j ON j.pmid = r.pmid GROUP BY r.method, r.disease)
 )""", """
 SELECT f.method, f.disease, paper_cnt, gap, CAST(floor((CASE gap WHEN 'unexplored' THEN 3 WHEN 'minimal' THEN 2 ELSE 1 END + coalesce(impact_score, 0.0)) * 100 + 0.5) AS BIGINT) AS priority_pct
@@ -284,13 +284,24 @@ SELECT * FROM (
     FROM papers p LEFT JOIN (SELECT pmid, max({TOKEN_HITS.format('name')}) AS hits FROM relations GROUP BY pmid) b ON b.pmid = p.pmid
 ) WHERE match_score >= 2"""),
     "i10_related_papers": papers_for_topic(""),
-    "i11_methods_for_topic": for_topic("Method"),
+    "i11_methods_for_topic": for_topic("Method") + f" ORDER BY paper_cnt DESC, name LIMIT {TOP}",
     "i12_datasets_for_topic": star(TOPIC, f"""
 SELECT r.name, coalesce(access_class, 'unknown') AS access_class, count(DISTINCT r.pmid) AS used_by
 FROM relations r LEFT JOIN datasets d ON d.name = r.name WHERE r.type = 'Dataset' AND r.pmid IN (SELECT t.pmid FROM topic t JOIN papers p ON p.pmid = t.pmid)
 GROUP BY r.name, access_class ORDER BY CASE coalesce(access_class, 'unknown') WHEN 'public' THEN 0 WHEN 'private' THEN 1 ELSE 2 END, used_by DESC, r.name LIMIT {TOP}"""),
-    "i13_metrics_for_topic": star(TOPIC, "SELECT r.pmid, name, metric_value, section, yr FROM relations r JOIN papers p ON p.pmid = r.pmid WHERE r.type = 'Metric' AND r.pmid IN (SELECT pmid FROM topic)"),
-    "i14_limitations_for_topic": for_topic("Limitation"),
+    "i13_metrics_for_topic": star(TOPIC, f"""
+SELECT m.pmid, title, m.name AS metric, m.metric_value, m.section, m.quote, yr
+FROM relations any_of JOIN papers p ON any_of.pmid = p.pmid JOIN relations m ON m.pmid = p.pmid
+WHERE m.relation = 'ACHIEVES_METRIC' AND m.type = 'Metric' AND any_of.pmid IN (SELECT pmid FROM topic)
+ORDER BY yr DESC, m.pmid, metric, m.section, m.quote LIMIT {TOP}"""),
+    "i14_limitations_for_topic": star(TOPIC, f"""
+SELECT name AS limitation, r.pmid, section, quote FROM relations r JOIN papers p ON p.pmid = r.pmid
+WHERE r.type = 'Limitation' AND r.pmid IN (SELECT pmid FROM topic) ORDER BY r.pmid, limitation LIMIT {TOP}"""),
+    "i15_modalities_for_topic": star(f"""
+shown AS (SELECT * FROM relations UNION ALL SELECT * REPLACE ('USES_MODALITY' AS relation, 'Modality' AS type) FROM relations WHERE type = 'Task'),
+{TOPIC}""", f"""
+SELECT name AS modality, count(DISTINCT r.pmid) AS paper_cnt FROM shown r JOIN papers p ON p.pmid = r.pmid
+WHERE r.relation = 'USES_MODALITY' AND r.type = 'Modality' AND r.pmid IN (SELECT pmid FROM topic) GROUP BY name ORDER BY paper_cnt DESC, name LIMIT {TOP}"""),
     "i16_recent_papers_for_topic": papers_for_topic(f"AND yr >= {START}"),
     "p04_focus_papers": star(FOCUS, "SELECT pmid FROM chosen"),
     "g01_graph_stats": star("", """
@@ -339,6 +350,11 @@ SELECT *, CAST(row_number() OVER (ORDER BY recent_cnt DESC, event_type) AS INTEG
            count(*) FILTER (WHERE CAST(ts AS DATE) >= DATE '2024-01-31' - 28 AND CAST(ts AS DATE) < DATE '2024-01-31' - 14) AS prior_cnt,
            count(DISTINCT user_id) FILTER (WHERE CAST(ts AS DATE) >= DATE '2024-01-31' - 14) AS recent_users FROM events GROUP BY event_type)""",
 }
+#: t09 and t10 for a focus, by the entity's name; t10 with methods of discussions as mentions only.
+SQL["t09_limitation_impact_rank_focus"] = SQL["t09_limitation_impact_rank"].replace("WHERE type = 'Limitation' GROUP BY name)", "WHERE type = 'Limitation' AND contains(name, 'anvil') GROUP BY name)")
+SQL["t10_hotspot_entities_focus"] = SQL["t10_hotspot_entities"].replace(
+    "ON j.pmid = r.pmid GROUP BY name, type)", "ON j.pmid = r.pmid WHERE contains(name, 'anvil') AND (type <> 'Method' OR section <> 'discussion') GROUP BY name, type)"
+)
 SECTION = "CASE " + " ".join(
     f"WHEN {' OR '.join(f'contains(lower(content), {chr(39)}{w}{chr(39)})' for w in words)} THEN '{name}'" for name, words in SECTION_WORDS
 ) + " ELSE 'other' END"

@@ -29,11 +29,11 @@ TOOLS: dict[str, Callable[..., DataFrame]] = {
     "graph_disease_method_reach": graph.disease_method_reach,
     "related_papers": lambda corpus, keyword: focus.search_papers(corpus, keyword, DEFAULT.top_n),
     "recent_papers_for_topic": lambda corpus, keyword: focus.search_papers(corpus, keyword, DEFAULT.top_n, DEFAULT.start_year),
-    "methods_for_topic": lambda corpus, keyword: focus.entities_for_topic(corpus, keyword, "Method"),
+    "methods_for_topic": lambda corpus, keyword: focus.methods_for_topic(corpus, keyword, DEFAULT.top_n),
     "datasets_for_topic": lambda corpus, keyword: focus.datasets_for_topic(corpus, keyword, DEFAULT.top_n),
-    "metrics_for_topic": focus.metrics_for_topic,
-    "limitations_for_topic": lambda corpus, keyword: focus.entities_for_topic(corpus, keyword, "Limitation"),
-    "modality_coverage_for_topic": lambda corpus, keyword: focus.entities_for_topic(corpus, keyword, "Modality"),
+    "metrics_for_topic": lambda corpus, keyword: focus.metrics_for_topic(corpus, keyword, DEFAULT.top_n),
+    "limitations_for_topic": lambda corpus, keyword: focus.limitations_for_topic(corpus, keyword, DEFAULT.top_n),
+    "modality_coverage_for_topic": lambda corpus, keyword: focus.modalities_for_topic(corpus, keyword, DEFAULT.top_n),
 }
 
 

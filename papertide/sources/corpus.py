@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The relation that belongs to each type of entity; fixed values of the schema.
 RELATION_OF = {
     "Disease": "TARGETS_DISEASE",
     "Method": "APPLIES_METHOD",
@@ -25,15 +27,19 @@ class Corpus:
     """papers: pmid, title, year, pub_date, date_precision, citation_count, study_type, full_text_status,
     extraction_done, journal_id. journals: journal_id, if_cents (impact factor x 50000), quartile.
     relations: pmid, relation, type, name, section, polarity, quote, metric_value, one row per
-    (pmid, relation, name). datasets: name, access_class."""
+    (pmid, relation, name). datasets: name, access_class. stated: the relations of one type by
+    themselves, where they can be had for less than all."""
 
     papers: DataFrame
     journals: DataFrame
     relations: DataFrame
     datasets: DataFrame
+    stated: Callable[[str], DataFrame] | None = None
 
     def of(self, kind: str) -> DataFrame:
         """Relation rows whose object has this type, through the relation that belongs to it."""
+        if self.stated:
+            return self.stated(kind)
         return self.relations.filter((F.col("relation") == RELATION_OF[kind]) & (F.col("type") == kind))
 
     @cached_property
@@ -51,7 +57,7 @@ def from_star(spark: SparkSession, sf_dir: str) -> Corpus:
     """Play the corpus' roles with a star schema of orders, lines, parts, suppliers and customers.
 
     The lines are joined once and each gives all its relations, so that the large table is scanned and
-    shuffled once however many roles a query uses; the filter on a role reaches below the shuffle.
+    shuffled once however many roles a query uses; a query of one role makes no others.
     """
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     orders, customer = t("orders"), t("customer")
@@ -78,35 +84,34 @@ def from_star(spark: SparkSession, sf_dir: str) -> Corpus:
     wide = lines.join(part, lines.l_partkey == part.p_partkey).join(supplier, lines.l_suppkey == supplier.s_suppkey)
     name = lambda *c: F.lower(F.concat_ws(" ", *c))
     role = lambda kind, what, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(RELATION_OF[kind]).alias("relation"), F.lit(kind).alias("type"), what.alias("name")))
-    roles = F.array_compact(F.array(
-        role("Disease", name("p_name", "s_name"), F.col("l_linenumber") == 1),
-        role("Method", name("p_brand", "p_name")),
-        role("Task", name("p_type", F.col("p_size").cast("string"))),
-        role("Dataset", F.lower("p_name")),
-        role("Metric", F.concat(F.lit("discount_"), F.round(F.col("l_discount") * 100).cast("int").cast("string"))),
-        role("Limitation", F.lower(F.concat_ws(" by ", "p_name", "s_name")), F.col("l_returnflag") == "R"),
-    ))
-    each = wide.select(
-        F.col("l_orderkey").alias("pmid"),
-        F.struct(
-            "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey", "l_linestatus",
-            F.lower(F.concat_ws(" ", "p_type", "p_brand")).alias("quote"),
-        ).alias("seen"),
-        F.explode(roles).alias("o"),
-    ).select("pmid", "o.*", "seen")
-    # the first line that states a relation gives its evidence
-    first = each.groupBy("pmid", "relation", "type", "name").agg(F.min("seen").alias("seen"))
-    relations = first.select(
-        "pmid", "relation", "type", "name",
-        section_of(F.col("seen.l_linenumber")).alias("section"),
-        F.when((F.col("type") == "Limitation") & (F.col("seen.l_linestatus") == "O"), "hypothesized").otherwise("asserted").alias("polarity"),
-        F.col("seen.quote").alias("quote"),
-        F.when(F.col("type") == "Metric", F.col("seen.l_extendedprice")).alias("metric_value"),
-    )
+    roles = {
+        "Disease": role("Disease", name("p_name", "s_name"), F.col("l_linenumber") == 1),
+        "Method": role("Method", name("p_brand", "p_name")),
+        "Task": role("Task", name("p_type", F.col("p_size").cast("string"))),
+        "Dataset": role("Dataset", F.lower("p_name")),
+        "Metric": role("Metric", F.concat(F.lit("discount_"), F.round(F.col("l_discount") * 100).cast("int").cast("string"))),
+        "Limitation": role("Limitation", F.lower(F.concat_ws(" by ", "p_name", "s_name")), F.col("l_returnflag") == "R"),
+    }
+    seen = F.struct("l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey", "l_linestatus", F.lower(F.concat_ws(" ", "p_type", "p_brand")).alias("quote"))
+
+    def of(object_: Column) -> DataFrame:
+        each = wide.select(F.col("l_orderkey").alias("pmid"), seen.alias("seen"), object_.alias("o")).filter("o IS NOT NULL").select("pmid", "o.*", "seen")
+        # the first line that states a relation gives its evidence
+        first = each.groupBy("pmid", "relation", "type", "name").agg(F.min("seen").alias("seen"))
+        return first.select(
+            "pmid", "relation", "type", "name",
+            section_of(F.col("seen.l_linenumber")).alias("section"),
+            F.when((F.col("type") == "Limitation") & (F.col("seen.l_linestatus") == "O"), "hypothesized").otherwise("asserted").alias("polarity"),
+            F.col("seen.quote").alias("quote"),
+            F.when(F.col("type") == "Metric", F.col("seen.l_extendedprice")).alias("metric_value"),
+        )
+
+    nothing = F.lit(None).cast("struct<relation:string,type:string,name:string>")
+    relations = of(F.explode(F.array_compact(F.array(*roles.values()))))
     datasets = part.groupBy(F.lower("p_name").alias("name")).agg(F.min(F.struct("p_partkey", "p_size")).alias("first")).select(
         "name", F.expr("CASE first.p_size % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'private' ELSE 'unknown' END").alias("access_class")
     )
-    return Corpus(papers, journals, relations, datasets)
+    return Corpus(papers, journals, relations, datasets, lambda kind: of(roles.get(kind, nothing)))
 
 
 #: The same roles in DuckDB's SQL, as the beginning of a WITH clause.

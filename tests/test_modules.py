@@ -170,7 +170,7 @@ def test_modality_tool_counts_modalities(spark):
         (2, "TARGETS_DISEASE", "Disease", "glioma"), (2, "USES_MODALITY", "Modality", "wsi"), (2, "USES_MODALITY", "Modality", "ihc"), (2, "OPERATES_ON", "Tissue", "brain"),
         (3, "TARGETS_DISEASE", "Disease", "melanoma"), (3, "USES_MODALITY", "Modality", "ct"),
     ])
-    assert {r["name"]: r["paper_cnt"] for r in registry.run_tool("modality_coverage_for_topic", corpus, keyword="glioma").collect()} == {"wsi": 2, "ihc": 1}
+    assert {r["modality"]: r["paper_cnt"] for r in registry.run_tool("modality_coverage_for_topic", corpus, keyword="glioma").collect()} == {"wsi": 2, "ihc": 1}
     assert [r["name"] for r in corpus.of("Tissue").collect()] == ["brain"]
 
 
