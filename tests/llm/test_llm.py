@@ -553,6 +553,37 @@ def test_feistel_depends_on_the_key():
     assert (a != b).mean() > 0.9 and (a != np.arange(1000)).mean() > 0.9
 
 
+def test_every_sequence_has_its_slot(spark, tmp_path):
+    """Slot by slot: sequence i of the written ones lies where the key's permutation sends i."""
+    rows = TEXTS + [(100 + i, "word " * (i % 37)) for i in range(80)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, slot int, data string").repartition(3)
+    folder = f"file://{tmp_path}/f"
+    shards = training_order.training_shards(df, common.tokenizer_path("byte_bpe_50k.json"), common.tokenizer_path("byte_bpe_50k.tiktoken"), key=7, window=16, size=8, folder=folder)
+    training_order.write_shards(shards, f"file://{tmp_path}/s", per_folder=5)
+    sequences = spark.read.parquet(f"{folder}/sequences").orderBy("piece_id").collect()
+    slots = training_order.permuted(np.arange(len(sequences)), len(sequences), 7)
+    back = {r["slot"]: (r["doc_id"], r["start"], bytes(r["ids"])) for r in training_order.read_from(spark, f"file://{tmp_path}/s", 0, 5, 8).collect()}
+    assert back == {int(slot): (r["doc_id"], r["start"], bytes(r["ids"])) for slot, r in zip(slots, sequences, strict=True)}
+
+
+def test_ranks_give_the_tokenizers_ids(spark):
+    """op5 takes its ids by the ranks: over a whole table they are those of the tokenizers library."""
+    import os
+
+    from tokenizers import Tokenizer
+
+    table_path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(table_path):
+        pytest.skip("no test tables here")
+    tokenizer = Tokenizer.from_file(common.tokenizer_path("byte_bpe_50k.json"))
+    docs = spark.read.parquet(table_path)
+    ids = collections.defaultdict(list)
+    for r in packing.pieces_of(docs, common.tokenizer_path("byte_bpe_50k.json"), common.tokenizer_path("byte_bpe_50k.tiktoken"), 1, 2048).collect():
+        ids[r["doc_id"]].append((r["start"], np.frombuffer(bytes(r["ids"]), "<u4").tolist()))
+    for r in docs.select("doc_id", "text").collect():
+        assert sum((x for _, x in sorted(ids[r["doc_id"]])), []) == [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+
+
 def test_training_shards(spark, nothing, tmp_path):
     from tokenizers import Tokenizer
 
