@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from papertide.config import DEFAULT, EngineConfig
 from papertide.functions import scoring
 from papertide.operators import gap
-from papertide.operators.focus import in_focus
+from papertide.operators.focus import focus_papers, normalized
 from papertide.sources.corpus import Corpus
 
 
@@ -25,30 +25,41 @@ def temporal_profiles(corpus: Corpus, focus: str | None = None, config: EngineCo
     """
     rows = dated_limitations(corpus)
     as_of = F.broadcast(rows.agg(F.max("year").alias("as_of_year")))  # one row
-    clocked = in_focus(rows, corpus, focus).join(as_of, F.lit(True))
-    base = clocked.groupBy("limitation", "as_of_year").agg(
-        F.min("year").alias("first_year"),
-        F.max("year").alias("last_year"),
-        F.count_distinct("pmid").alias("paper_cnt"),
-        F.count_if(F.col("polarity") == "asserted").alias("asserted_cnt"),
-        F.count_if(F.col("polarity") == "hypothesized").alias("hypothesized_cnt"),
-        F.count_if(F.col("year") >= F.col("as_of_year") - config.recent_years).alias("recent_cnt"),
-        F.array_join(F.array_sort(F.collect_set("section")), ",").alias("sections"),
-        F.sum("citation_count").alias("cites"),
-    )
-    early = (
-        rows.select("limitation", "pmid", "year").join(base.select("limitation", "first_year"), "limitation")
-        .filter(F.col("year") <= F.col("first_year") + config.early_years)
-        .groupBy("limitation").agg(F.count_distinct("pmid").alias("early_cnt"))
+    chosen = rows.withColumn("chosen", F.lit(1))
+    if normalized(focus):
+        chosen = rows.join(focus_papers(corpus, focus).withColumn("chosen", F.lit(1)), "pmid", "left")
+    here = F.col("chosen").isNotNull()
+    # a paper has one year, so that papers of the years add up; a limitation has no more rows than years
+    yearly = chosen.groupBy("limitation", "year").agg(
+        F.count_distinct("pmid").alias("all_papers"),
+        F.count_distinct(F.when(here, F.col("pmid"))).alias("papers"),
+        F.count_if(here).alias("stated"),
+        F.count_if(here & (F.col("polarity") == "asserted")).alias("asserted"),
+        F.count_if(here & (F.col("polarity") == "hypothesized")).alias("hypothesized"),
+        F.collect_set(F.when(here, F.col("section"))).alias("sections"),
+        F.sum(F.when(here, F.col("citation_count"))).alias("cites"),
     )
+    base = yearly.join(as_of, F.lit(True)).groupBy("limitation", "as_of_year").agg(
+        F.min(F.when(F.col("stated") > 0, F.col("year"))).alias("first_year"),
+        F.max(F.when(F.col("stated") > 0, F.col("year"))).alias("last_year"),
+        F.sum("papers").alias("paper_cnt"),
+        F.sum("asserted").alias("asserted_cnt"),
+        F.sum("hypothesized").alias("hypothesized_cnt"),
+        F.sum(F.when(F.col("year") >= F.col("as_of_year") - config.recent_years, F.col("stated")).otherwise(0)).alias("recent_cnt"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sections")))), ",").alias("sections"),
+        F.sum("cites").alias("cites"),
+        F.collect_list(F.struct("year", "all_papers")).alias("years"),
+    ).filter("paper_cnt > 0")
+    early = F.filter("years", lambda y: y["year"] <= F.col("first_year") + config.early_years)
     status = scoring.temporal_status(F.col("first_year"), F.col("last_year"), F.col("paper_cnt"), F.col("recent_cnt"), F.col("as_of_year"), config.recent_years, config.emerging_max_age, config.persistent_ratio)
     span = F.when((F.col("first_year") != 0) & (F.col("last_year") != 0), F.col("last_year") - F.col("first_year")).otherwise(0)
-    return base.join(early, "limitation").withColumns({
+    return base.withColumns({
+        "early_cnt": F.aggregate(early, F.lit(0).cast("long"), lambda n, y: n + y["all_papers"]),
         "year_span": span,
         "proposal_age": F.col("as_of_year") - F.col("first_year"),
         "recent_ratio_milli": F.floor(F.col("recent_cnt") * 1000 / F.col("paper_cnt") + 0.5).cast("long"),
         "temporal_status": status,
-    })
+    }).drop("years")
 
 
 def followup_stats(corpus: Corpus, profiles: DataFrame) -> DataFrame:
@@ -56,25 +67,28 @@ def followup_stats(corpus: Corpus, profiles: DataFrame) -> DataFrame:
 
     Anchors are the diseases of a limitation's papers of its first two years that also have a method or
     a task; follow-ups are later papers on such a disease with a method or task stated in their methods
-    or results. Anchor diseases are made distinct before the range join, which is keyed by disease.
+    or results. Later papers that name the same diseases in the same year are counted before they meet the
+    anchors, so that a disease of many papers costs an anchor its years and sets of diseases, not its papers.
     """
-    targets = profiles.filter(F.col("temporal_status").isin("persistent", "declining")).select("limitation", "first_year", "last_year")
-    means = corpus.relations.filter(F.col("type").isin("Method", "Task"))
+    targets = profiles.filter(F.col("temporal_status").isin("persistent", "declining")).select("limitation", "first_year")
+    means = corpus.typed("Method", "Task")
     diseases = corpus.of("Disease").select("pmid", F.col("name").alias("disease"))
     anchors = (
         dated_limitations(corpus).select("limitation", "pmid", "year").join(targets, "limitation")
         .filter(F.col("year") <= F.col("first_year") + 1)
         .join(means.select("pmid"), "pmid", "left_semi")
-        .join(diseases, "pmid").select("limitation", "first_year", "last_year", "disease").distinct()
+        .join(diseases, "pmid").select("limitation", "first_year", "disease").distinct()
     )
+    dated = corpus.papers.select("pmid", F.col("year").alias("followup_year")).filter("followup_year IS NOT NULL")
     later = (
-        diseases.join(corpus.papers.select("pmid", F.col("year").alias("followup_year")).filter("followup_year IS NOT NULL"), "pmid")
-        .join(means.filter(F.col("section").isin("methods", "results")).select("pmid"), "pmid", "left_semi").distinct()
-    )
-    return (
-        anchors.join(later, "disease").filter("followup_year > first_year").groupBy("limitation")
-        .agg(F.count_distinct("pmid").alias("followup_cnt"), F.min("followup_year").alias("first_followup"))
+        diseases.join(dated, "pmid").join(means.filter(F.col("section").isin("methods", "results")).select("pmid"), "pmid", "left_semi")
+        .groupBy("pmid", "followup_year").agg(F.array_sort(F.collect_set("disease")).alias("on"))  # a paper's diseases
+        .groupBy("on", "followup_year").agg(F.count(F.lit(1)).alias("papers"))
     )
+    met = anchors.join(later.withColumn("disease", F.explode("on")), "disease").filter("followup_year > first_year")
+    # a set of diseases may be met through several of them
+    once = met.groupBy("limitation", "on", "followup_year").agg(F.max("papers").alias("papers"))
+    return once.groupBy("limitation").agg(F.sum("papers").alias("followup_cnt"), F.min("followup_year").alias("first_followup"))
 
 
 def limitation_gap_status(corpus: Corpus, focus: str | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -124,7 +138,7 @@ def shared_entity_rows(corpus: Corpus, profiles: DataFrame) -> DataFrame:
     """(limitation, type, name): what the anchor papers of each eligible limitation share with later work."""
     targets = profiles.filter(F.col("temporal_status").isin("persistent", "declining")).select("limitation", "first_year")
     anchors = dated_limitations(corpus).select("limitation", "pmid", "year").join(targets, "limitation").filter(F.col("year") <= F.col("first_year") + 1).select("limitation", "pmid").distinct()
-    found = anchors.join(corpus.relations.filter(F.col("type").isin("Disease", "Task", "Method")), "pmid")
+    found = anchors.join(corpus.typed("Disease", "Task", "Method"), "pmid")
     return found.select("limitation", "type", "name").distinct()
 
 

@@ -27,20 +27,22 @@ class Corpus:
     """papers: pmid, title, year, pub_date, date_precision, citation_count, study_type, full_text_status,
     extraction_done, journal_id. journals: journal_id, if_cents (impact factor x 50000), quartile.
     relations: pmid, relation, type, name, section, polarity, quote, metric_value, one row per
-    (pmid, relation, name). datasets: name, access_class. stated: the relations of one type by
+    (pmid, relation, name). datasets: name, access_class. stated: the relations of some types by
     themselves, where they can be had for less than all."""
 
     papers: DataFrame
     journals: DataFrame
     relations: DataFrame
     datasets: DataFrame
-    stated: Callable[[str], DataFrame] | None = None
+    stated: Callable[..., DataFrame] | None = None
 
     def of(self, kind: str) -> DataFrame:
         """Relation rows whose object has this type, through the relation that belongs to it."""
-        if self.stated:
-            return self.stated(kind)
-        return self.relations.filter((F.col("relation") == RELATION_OF[kind]) & (F.col("type") == kind))
+        return self.typed(kind).filter(F.col("relation") == RELATION_OF[kind])
+
+    def typed(self, *kinds: str) -> DataFrame:
+        """Relation rows whose object has one of these types, through any relation."""
+        return self.stated(*kinds) if self.stated else self.relations.filter(F.col("type").isin(*kinds))
 
     @cached_property
     def judged(self) -> DataFrame:
@@ -57,7 +59,8 @@ def from_star(spark: SparkSession, sf_dir: str) -> Corpus:
     """Play the corpus' roles with a star schema of orders, lines, parts, suppliers and customers.
 
     The lines are joined once and each gives all its relations, so that the large table is scanned and
-    shuffled once however many roles a query uses; a query of one role makes no others.
+    shuffled once however many roles a query uses; a query of some roles makes no others, and joins the
+    suppliers only if one of them is named after a supplier.
     """
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     orders, customer = t("orders"), t("customer")
@@ -81,7 +84,8 @@ def from_star(spark: SparkSession, sf_dir: str) -> Corpus:
         F.expr("CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Q1' WHEN 'BUILDING' THEN 'Q2' WHEN 'FURNITURE' THEN 'Q3' WHEN 'HOUSEHOLD' THEN 'Q4' END").alias("quartile"),
     )
     lines, part, supplier = t("lineitem"), t("part"), t("supplier")
-    wide = lines.join(part, lines.l_partkey == part.p_partkey).join(supplier, lines.l_suppkey == supplier.s_suppkey)
+    of_parts = lines.join(part, lines.l_partkey == part.p_partkey)
+    of_suppliers = of_parts.join(supplier, lines.l_suppkey == supplier.s_suppkey)
     name = lambda *c: F.lower(F.concat_ws(" ", *c))
     role = lambda kind, what, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(RELATION_OF[kind]).alias("relation"), F.lit(kind).alias("type"), what.alias("name")))
     roles = {
@@ -94,7 +98,12 @@ def from_star(spark: SparkSession, sf_dir: str) -> Corpus:
     }
     seen = F.struct("l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey", "l_linestatus", F.lower(F.concat_ws(" ", "p_type", "p_brand")).alias("quote"))
 
-    def of(object_: Column) -> DataFrame:
+    nothing = F.lit(None).cast("struct<relation:string,type:string,name:string>")
+
+    def of(*kinds: str) -> DataFrame:
+        told = [roles[kind] for kind in kinds if kind in roles] or [nothing]
+        object_ = F.explode(F.array_compact(F.array(*told))) if len(told) > 1 else told[0]
+        wide = of_suppliers if {"Disease", "Limitation"} & set(kinds) else of_parts
         each = wide.select(F.col("l_orderkey").alias("pmid"), seen.alias("seen"), object_.alias("o")).filter("o IS NOT NULL").select("pmid", "o.*", "seen")
         # the first line that states a relation gives its evidence
         first = each.groupBy("pmid", "relation", "type", "name").agg(F.min("seen").alias("seen"))
@@ -106,12 +115,11 @@ def from_star(spark: SparkSession, sf_dir: str) -> Corpus:
             F.when(F.col("type") == "Metric", F.col("seen.l_extendedprice")).alias("metric_value"),
         )
 
-    nothing = F.lit(None).cast("struct<relation:string,type:string,name:string>")
-    relations = of(F.explode(F.array_compact(F.array(*roles.values()))))
+    relations = of(*roles)
     datasets = part.groupBy(F.lower("p_name").alias("name")).agg(F.min(F.struct("p_partkey", "p_size")).alias("first")).select(
         "name", F.expr("CASE first.p_size % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'private' ELSE 'unknown' END").alias("access_class")
     )
-    return Corpus(papers, journals, relations, datasets, lambda kind: of(roles.get(kind, nothing)))
+    return Corpus(papers, journals, relations, datasets, of)
 
 
 #: The same roles in DuckDB's SQL, as the beginning of a WITH clause.
