@@ -82,3 +82,30 @@ def feasibility_status(score: Column) -> Column:
 
 def data_support_tier(cohort: Column, mapped: Column) -> Column:
     return F.when(~mapped, "none").when(cohort >= 500, "high").when(cohort >= 200, "medium").otherwise("low")
+
+
+def total_priority(gap: Column, cases: Column, impact: Column, weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> Column:
+    """Points of the literature gap, of the data and of the impact, each by its weight; unknown cases and impact count as 0."""
+    points = literature_gap_points(gap) * weights[0] + data_support_points(F.coalesce(cases, F.lit(0))) * weights[1] + F.coalesce(impact, F.lit(0.0)) * weights[2]
+    return half_up(points, 2)
+
+
+def recommendation(score: Column, cohort: Column) -> Column:
+    return F.when((score >= 0.8) & (cohort >= 500), "FEASIBLE").when((score >= 0.5) | (cohort >= 200), "MARGINAL").when((score >= 0.2) | (cohort >= 50), "RISKY").otherwise("INSUFFICIENT")
+
+
+def recommendation_note(recommended: Column, score: Column, cohort: Column) -> Column:
+    """What a recommendation means for a cohort; the wordings are fixed values."""
+    return (
+        F.when(recommended == "FEASIBLE", F.format_string("%d例满足全部条件，建议80/20训练测试划分后训练集%d例，可支撑深度学习建模", cohort, F.floor(cohort * 0.8)))
+        .when(recommended == "MARGINAL", F.concat(F.format_string("%d例可用，建议结合迁移学习或数据增强（feasibility_score=", cohort), score.cast("string"), F.lit("）")))
+        .when(recommended == "RISKY", F.format_string("仅%d例满足条件，风险较高，建议调整假说范围", cohort))
+        .otherwise(F.format_string("数据不足（%d例），Idea 降级或舍弃", cohort))
+    )
+
+
+def is_positive(result: Column) -> Column:
+    """Whether a result's wording is positive; a negative wording outweighs it. The wordings are fixed values."""
+    low = F.lower(F.trim(F.coalesce(result, F.lit(""))))
+    says = lambda *words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    return ~says("阴", "negative") & says("阳性", "positive", "+", "阳")

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papertide.config import DEFAULT, EngineConfig
 from papertide.functions import scoring
+from papertide.operators import gap
+from papertide.sources.corpus import Corpus
 
 
 def pool(pools: Column, key: Column, default: Column) -> Column:
@@ -41,6 +44,74 @@ def coverage_gaps(assessed: DataFrame) -> DataFrame:
     return rows.withColumn("coverage", scoring.half_up(share, 3)).withColumn("severity", F.when(F.col("coverage") < 0.5, "HIGH").when(F.col("coverage") < 0.7, "MEDIUM").otherwise("LOW"))
 
 
+def keyword_patients(attributes: DataFrame, patients: DataFrame, keywords: list[str], fields: list[str], key: str = "patient_id") -> DataFrame:
+    """Distinct patients of a cohort with a keyword in one of an attribute's fields, in any case; null fields are empty."""
+    told = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]))
+    hit = F.exists(F.array(*[F.lit(k.lower()) for k in keywords]), lambda k: F.contains(told, k))
+    return attributes.filter(hit).select(key).distinct().join(patients.select(key), key, "left_semi")
+
+
+def hospital_stats(rows: DataFrame, key: list[str], sums: list[str]) -> DataFrame:
+    """Sums over the hospitals of each key, unknown numbers as 0, and the number of hospital rows."""
+    return rows.groupBy(*key).agg(*[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in sums], F.count(F.lit(1)).alias("hospital_count"))
+
+
+def cohort_counts(stats: DataFrame, patients: DataFrame, key: list[str]) -> DataFrame:
+    """hospital_stats with patient_count taken from the patients where the hospitals tell none; patient_rows: theirs."""
+    listed = patients.groupBy(*key).agg(F.count(F.lit(1)).alias("patient_rows"))
+    both = stats.join(listed, key, "left").withColumn("patient_rows", F.coalesce("patient_rows", F.lit(0)))
+    return both.withColumn("patient_count", F.coalesce(F.nullif(F.col("patient_count"), F.lit(0)), F.col("patient_rows")))
+
+
+def subtype_distribution(subtypes: DataFrame, patients: DataFrame, disease_name: str | None = None) -> DataFrame:
+    """(subtype, n): rows of subtypes (patient_id, disease_name, subtype, subtype_code) of the cohort or of a disease
+    whose name holds disease_name; subtypes without name or code are (unknown)."""
+    cohort = patients.select("patient_id").distinct().withColumn("_in", F.lit(True))
+    named = F.contains(F.coalesce("disease_name", F.lit("")), F.lit(disease_name)) if disease_name else F.lit(False)
+    rows = subtypes.join(cohort, "patient_id", "left").filter(F.coalesce("_in", F.lit(False)) | named)
+    label = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("subtype", "subtype_code")], F.lit("(unknown)"))
+    return rows.groupBy(label.alias("subtype")).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Verification states that wait for a review; fixed values.
+PENDING = ("待审核", "pending", "待核验", "待确认")
+
+
+def match_summary(matches: DataFrame, pending_only: bool = False, top: int = 20) -> DataFrame:
+    """(histogram, value, n): matches (status, method, mention, raw_mention) by state, by method, and the `top` mentions."""
+    if pending_only:
+        state = F.coalesce("status", F.lit(""))
+        matches = matches.filter(F.exists(F.array(*map(F.lit, PENDING)), lambda s: F.contains(state, s)))
+    filled = lambda *c: F.coalesce(*[F.nullif(F.col(x), F.lit("")) for x in c])
+    cell = lambda kind, value: F.struct(F.lit(kind).alias("histogram"), value.alias("value"))
+    cells = F.array(cell("status", F.coalesce(filled("status"), F.lit("(unknown)"))), cell("method", F.coalesce(filled("method"), F.lit("(unknown)"))), cell("mention", F.coalesce(filled("mention", "raw_mention"), F.lit("(mention)"))))
+    counts = matches.select(F.explode(cells).alias("x")).groupBy("x.histogram", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    mentions = counts.filter("histogram = 'mention'").orderBy(F.desc("n"), "value").limit(top)
+    return counts.filter("histogram <> 'mention'").unionByName(mentions)
+
+
+def matched_catalogue(names: DataFrame, catalogue: DataFrame, column: str = "disease") -> DataFrame:
+    """names with the first entry of a catalogue (place, disease_id, name, cases) whose name holds theirs or is held by
+    it, in any case; null where none does. The catalogue is a list kept by hand, so that it may be broadcast."""
+    asked = names.select(column).distinct()
+    own, other = F.lower(F.col(column)), F.lower("name")
+    entries = F.broadcast(catalogue.filter("name <> ''").select("place", "disease_id", "name", "cases"))
+    met = asked.join(entries, (F.contains(own, other) | F.contains(other, own)) & (own != ""))
+    best = met.groupBy(column).agg(F.min_by(F.struct("disease_id", "cases"), "place").alias("_best"))
+    return names.join(best, column, "left").select(*names.columns, "_best.disease_id", "_best.cases")
+
+
+def cross_matrix(corpus: Corpus, catalogue: DataFrame, focus: str | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
+    """The first gaps of the grid with the cohort of their disease in the catalogue, the impact of the papers that fill
+    them a little and the priority of all three, the highest first."""
+    gaps = gap.impact_priority_matrix(corpus, focus, config)  # priority_pct: gap points and impact
+    rows = matched_catalogue(gaps, catalogue).withColumn("cases", F.coalesce("cases", F.lit(0)))
+    support = F.when(F.col("cases") >= 500, "high").when(F.col("cases") >= 200, "medium").otherwise("low")
+    impact = F.col("priority_pct") / 100 - scoring.literature_gap_points(F.col("gap"))
+    total = F.floor(scoring.total_priority(F.col("gap"), F.col("cases"), impact) * 100 + 0.5).cast("long")
+    return rows.select("method", "disease", "disease_id", "gap", "paper_cnt", F.col("cases").cast("long").alias("cohort"), support.alias("data_support"), total.alias("priority_pct")).orderBy(F.desc("priority_pct"), "method", "disease")
+
+
 def read(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -85,3 +156,46 @@ def marker_positivity(spark, sf_dir: str) -> DataFrame:
     rows = o.join(c, o.o_custkey == c.c_custkey)
     counts = rows.groupBy("c_mktsegment").agg(F.count_distinct("c_custkey").alias("tested"), F.count_distinct(F.when(F.col("o_orderpriority") == "1-URGENT", F.col("c_custkey"))).alias("positive"))
     return counts.withColumn("rate_milli", F.floor(F.col("positive") * 1000 / F.col("tested") + 0.5).cast("long"))
+
+
+def urgent_patients(spark, sf_dir: str) -> DataFrame:
+    """Customers in credit with an urgent or high order, as patients with a keyword among their attributes."""
+    c = read(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("patient_id"))
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("patient_id"), "o_orderpriority", "o_orderstatus")
+    return keyword_patients(o, c, ["urgent", "HIGH"], ["o_orderpriority", "o_orderstatus"])
+
+
+def counts_of_segments(spark, sf_dir: str) -> DataFrame:
+    """Segments as diseases: their nations' sums of patients in credit, orders the slides."""
+    c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders")
+    slides = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("slides"))
+    rows = c.join(slides, "c_custkey", "left").groupBy("c_mktsegment", "c_nationkey").agg(F.count_if((F.col("c_acctbal") > 0) & (F.col("c_mktsegment") != "MACHINERY")).alias("patient_count"), F.sum("slides").alias("slide_count"))
+    return cohort_counts(hospital_stats(rows, ["c_mktsegment"], ["patient_count", "slide_count"]), c, ["c_mktsegment"])
+
+
+def subtypes_of_orders(spark, sf_dir: str) -> DataFrame:
+    """Orders as subtype rows (their priority the subtype) of one segment's customers or of finished orders."""
+    patients = read(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("patient_id"))
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("patient_id"), F.col("o_orderstatus").alias("disease_name"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("subtype"), F.lit("").alias("subtype_code"))
+    return subtype_distribution(rows, patients, "F")
+
+
+def matches_of_lines(spark, sf_dir: str) -> DataFrame:
+    """Order lines as matches of mentions: their state, the way they were returned, and the part's name."""
+    lines, part = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "part")
+    rows = lines.join(part, lines.l_partkey == part.p_partkey).select(F.when(F.col("l_linestatus") == "F", "pending review").otherwise("confirmed").alias("status"), F.nullif(F.col("l_returnflag"), F.lit("N")).alias("method"), F.nullif(F.col("p_type"), F.lit("PROMO")).alias("mention"), F.col("p_name").alias("raw_mention"))
+    return match_summary(rows, pending_only=True)
+
+
+def recommended_cohorts(spark, sf_dir: str) -> DataFrame:
+    """feasibility_of_cohorts with what is recommended."""
+    scored = feasibility_of_cohorts(spark, sf_dir)
+    return scored.select("n_name", "cohort", scoring.recommendation(F.col("score_pct") / 100, F.col("cohort")).alias("recommendation"))
+
+
+def catalogue_of_nations(spark, sf_dir: str) -> DataFrame:
+    """Suppliers' names as the names of a catalogue, which diseases of the star schema end with, at most one a nation;
+    cases: the nation's customers."""
+    cases = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("cases"))
+    first = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.min_by("s_name", "s_suppkey").alias("name"))
+    return first.join(cases, "nation").select(F.col("nation").alias("place"), F.concat(F.lit("D"), F.col("nation").cast("string")).alias("disease_id"), "name", (F.col("cases") * 10).alias("cases"))

@@ -7,22 +7,43 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papertide.operators.concepts import Concept, belongs, holds_any
 from papertide.sources.corpus import Corpus
 
 #: Words that stand for no focus, and words that carry no topic; fixed values.
 NO_FOCUS = frozenset({"all", "any", "full", "corpus", "entire"})
+#: Words that stand for each other in a focus of several words; fixed values.
+SAME = {
+    "cancer": ["cancer", "carcinoma", "tumor", "tumour", "neoplasm", "neoplasms"],
+    "carcinoma": ["cancer", "carcinoma", "tumor", "tumour", "neoplasm", "neoplasms"],
+    "neoplasm": ["cancer", "carcinoma", "tumor", "tumour", "neoplasm", "neoplasms"],
+    "neoplasms": ["cancer", "carcinoma", "tumor", "tumour", "neoplasm", "neoplasms"],
+    "tumor": ["cancer", "carcinoma", "tumor", "tumour", "neoplasm", "neoplasms"],
+    "tumour": ["cancer", "carcinoma", "tumor", "tumour", "neoplasm", "neoplasms"],
+    "breast": ["breast", "mammary"],
+    "lung": ["lung", "pulmonary"],
+    "liver": ["liver", "hepatic", "hepatocellular"],
+    "colon": ["colon", "colorectal", "rectal"],
+    "nasopharyngeal": ["nasopharyngeal", "nasopharynx"],
+    "npc": ["npc", "nasopharyngeal"],
+}
 STOPWORDS = NO_FOCUS | frozenset("for of the and in with to a an on by from via using based into over under between".split())
 
 
-def normalized(focus: str | None) -> str | None:
-    """The focus without outer blanks; None for blanks and for words that stand for everything."""
+def normalized(focus: str | Concept | None) -> str | None:
+    """The focus without outer blanks (a concept's canonical name); None for blanks and for words that stand for
+    everything."""
+    if isinstance(focus, Concept):
+        return focus.canonical
     found = (focus or "").strip()
     return found if found and found.lower() not in NO_FOCUS else None
 
 
-def mentions(col: Column, focus: str | None) -> Column:
-    """Whether a text holds the focus, or all of its telling words where it has two, in any case; % and _ are
-    ordinary characters. No focus: always."""
+def mentions(col: Column, focus: str | Concept | None, same: dict[str, list[str]] = SAME) -> Column:
+    """Whether a text belongs to a concept; or holds the focus, or all of its telling words (or words that
+    stand for them) where it has two, in any case; % and _ are ordinary characters. No focus: always."""
+    if isinstance(focus, Concept):
+        return belongs(col, focus)
     if not (phrase := normalized(focus)):
         return F.lit(True)
     low, words = F.lower(col), [w for w in phrase.lower().split() if len(w) >= 2 and w not in STOPWORDS]
@@ -31,17 +52,17 @@ def mentions(col: Column, focus: str | None) -> Column:
         return holds
     every = F.lit(True)
     for word in words:
-        every = every & F.contains(low, F.lit(word))
+        every = every & holds_any(col, same.get(word, [word]))
     return holds | every
 
 
-def focus_papers(corpus: Corpus, focus: str) -> DataFrame:
+def focus_papers(corpus: Corpus, focus: str | Concept) -> DataFrame:
     """pmids of papers with a disease or a title that mentions the focus."""
     diseases = corpus.of("Disease").filter(mentions(F.col("name"), focus)).select("pmid")
     return diseases.union(corpus.papers.filter(mentions(F.col("title"), focus)).select("pmid")).distinct()
 
 
-def in_focus(rows: DataFrame, corpus: Corpus, focus: str | None) -> DataFrame:
+def in_focus(rows: DataFrame, corpus: Corpus, focus: str | Concept | None) -> DataFrame:
     return rows.join(focus_papers(corpus, focus), "pmid", "left_semi") if normalized(focus) else rows
 
 

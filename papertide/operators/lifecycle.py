@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from papertide.config import DEFAULT, EngineConfig
 from papertide.functions import scoring
 from papertide.operators import gap
-from papertide.operators.focus import focus_papers, normalized
+from papertide.operators.focus import focus_papers, mentions, normalized
 from papertide.sources.corpus import Corpus
 
 
@@ -93,7 +93,11 @@ def followup_stats(corpus: Corpus, profiles: DataFrame) -> DataFrame:
 
 def limitation_gap_status(corpus: Corpus, focus: str | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
     """Persistent and declining limitations with the signal of their follow-up papers."""
-    profiles = temporal_profiles(corpus, focus, config).filter(F.col("temporal_status").isin("persistent", "declining"))
+    return limitation_gap_status_of(corpus, temporal_profiles(corpus, focus, config), config)
+
+
+def limitation_gap_status_of(corpus: Corpus, profiles: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    profiles = profiles.filter(F.col("temporal_status").isin("persistent", "declining"))
     joined = profiles.join(followup_stats(corpus, profiles), "limitation", "left").withColumn("followup_cnt", F.coalesce("followup_cnt", F.lit(0)))
     signal = scoring.resolution_signal(F.col("first_year"), F.col("last_year"), F.col("followup_cnt"), F.col("first_followup"), config.min_followups)
     return joined.select("limitation", "temporal_status", "first_year", "last_year", "paper_cnt", "followup_cnt", "first_followup", signal.alias("resolution_signal"))
@@ -153,3 +157,50 @@ def latest_by_status(profiles: DataFrame, n: int) -> DataFrame:
     """The n most written-about limitations of each status."""
     place = Window.partitionBy("temporal_status").orderBy(F.desc("paper_cnt"), F.desc("recent_ratio_milli"), "limitation")
     return profiles.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= n).select("temporal_status", "rank", "limitation", "paper_cnt", "recent_ratio_milli")
+
+
+def limitation_impact(corpus: Corpus, config: EngineConfig = DEFAULT) -> DataFrame:
+    """Every limitation's impact by the papers with a year that state it: papers, mean citations, mean impact factor
+    of those that have one, share of first-quartile journals, score and tier."""
+    rows = corpus.of("Limitation").join(corpus.judged.filter("year IS NOT NULL"), "pmid").groupBy(F.col("name").alias("limitation"))
+    sums = gap.averages(rows.agg(*gap.impact_sums(config), F.count_if(F.col("quartile").startswith("Q1")).alias("q1")).drop("paper_cnt"))
+    avg_if = F.when(F.col("if_rows") > 0, F.col("if_cents") / F.col("if_rows") / 50000).otherwise(0.0)
+    score = scoring.impact_score(F.col("avg_cite"), F.col("avg_cite_per_year"), avg_if, F.col("q1") / F.col("rows"))
+    return sums.withColumn("impact_score", score).select("limitation", F.col("rows").alias("support_papers"), "cites", "q1", "impact_score", scoring.impact_tier(F.col("impact_score")).alias("impact_tier"))
+
+
+def profile_rows(profiles: DataFrame, focus: str | None = None, statuses: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Stored profiles whose limitation mentions the focus, of the statuses asked for, most papers first."""
+    rows = profiles.filter(mentions(F.col("limitation"), focus))
+    rows = rows.filter(F.col("temporal_status").isin(statuses)) if statuses else rows
+    ordered = rows.orderBy(F.desc("paper_cnt"), F.desc("recent_ratio_milli"), "limitation")
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def signal_rows(signals: DataFrame, limitation: str | None = None, signal_type: str | None = None, limit: int | None = None) -> DataFrame:
+    """Stored signals of a limitation and a type, where asked for, the surest and latest first."""
+    for name, value in (("limitation", limitation), ("signal_type", signal_type)):
+        signals = signals if value is None else signals.filter(F.col(name) == value)
+    ordered = signals.orderBy(F.desc("confidence_pct"), F.desc_nulls_last("followup_year"), "limitation", "signal_type")
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def run_lifecycle(corpus: Corpus, folder: str, temporal_only: bool = False, config: EngineConfig = DEFAULT) -> DataFrame:
+    """Write all profiles with their impact to `folder`/profiles and all signals to `folder`/signals, in place of what is
+    there, and give the counts of both as read back (lifecycle_stats). A run that is repeated writes the same."""
+    spark = corpus.papers.sparkSession
+    profiles = temporal_profiles(corpus, None, config).join(limitation_impact(corpus, config).select("limitation", "impact_score", "impact_tier"), "limitation", "left")
+    profiles.write.mode("overwrite").parquet(f"{folder}/profiles")
+    stored = spark.read.parquet(f"{folder}/profiles")
+    if not temporal_only:
+        resolution_signals(limitation_gap_status_of(corpus, stored, config)).write.mode("overwrite").parquet(f"{folder}/signals")
+    signals = None if temporal_only else spark.read.parquet(f"{folder}/signals")
+    return lifecycle_stats(stored, signals)
+
+
+def lifecycle_stats(profiles: DataFrame, signals: DataFrame | None = None) -> DataFrame:
+    """(kind, value, n): profiles by status and signals by type."""
+    counts = profiles.groupBy(F.col("temporal_status").alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("status").alias("kind"), "value", "n")
+    if signals is None:
+        return counts
+    return counts.unionByName(signals.groupBy(F.col("signal_type").alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("signal").alias("kind"), "value", "n"))

@@ -7,13 +7,20 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from papertide.config import DEFAULT
-from papertide.operators import documents, feasibility, focus, gap, graph, hotspot, lifecycle, merge
-from papertide.plans import oracle
+from papertide.operators import articles, concepts, documents, feasibility, focus, gap, graph, hotspot, lifecycle, merge, queue, reports
+from papertide.operators.concepts import Concept
+from papertide.plans import oracle, twins
 from papertide.sources.corpus import Corpus, from_star
 
 FLAGSHIP = "t02_disease_task_coverage"
 #: Literal foci and keywords of the registered queries.
 FOCUS, KEYWORD, TOKENS = "anvil", "anvil", "blue anvil widget"
+#: Concepts of the star schema's part names, and words that stand for each other there.
+CONCEPTS = [
+    Concept("anvils", "blue anvil", phrases=("red anvil", "new  gear"), sites=("hot", "cold"), histology=("gear", "plate"), abbreviations=("rod",), zh=("砧",)),
+    Concept("widgets", "old widget", phrases=("small widget",), sites=("widget", "gizmo"), morphology=("large", "tiny"), abbreviations=("old",)),
+]
+SAME = {"anvil": ["anvil", "rod"], "red": ["red", "blue", "hot"]}
 
 
 def with_modalities(corpus: Corpus) -> Corpus:
@@ -75,7 +82,15 @@ CORPUS_QUERIES = {
     "i14_limitations_for_topic": lambda c: focus.limitations_for_topic(c, KEYWORD, DEFAULT.top_n),
     "i15_modalities_for_topic": lambda c: focus.modalities_for_topic(with_modalities(c), KEYWORD, DEFAULT.top_n),
     "i16_recent_papers_for_topic": lambda c: focus.search_papers(c, KEYWORD, DEFAULT.top_n, DEFAULT.start_year),
+    "p02_synonym_papers": lambda c: c.of("Disease").filter(focus.mentions(F.col("name"), "red anvil", SAME)).select("pmid", "name"),
+    "p03_concept_papers": lambda c: focus.focus_papers(c, CONCEPTS[0]),
+    "p03_morphology_papers": lambda c: focus.focus_papers(c, CONCEPTS[1]),
     "p04_focus_papers": lambda c: focus.focus_papers(c, FOCUS),
+    "p05_resolved_foci": lambda c: concepts.resolved(c.of("Disease").select("name").distinct(), concepts.table(c.papers.sparkSession, CONCEPTS), "name"),
+    "x18_focus_keys": lambda c: concepts.focus_keys(c.of("Disease").select("name"), concepts.table(c.papers.sparkSession, CONCEPTS), "name").groupBy("focus_key").agg(F.count(F.lit(1)).alias("n")),
+    "p11_profile_rows": lambda c: lifecycle.profile_rows(lifecycle.temporal_profiles(c), FOCUS, ["persistent", "emerging"]).select("limitation", "temporal_status", "paper_cnt", "recent_ratio_milli"),
+    "p12_signal_rows": lambda c: lifecycle.signal_rows(lifecycle.resolution_signals(lifecycle.limitation_gap_status(c)), signal_type="topic_followup", limit=DEFAULT.gap_rows),
+    "t19_limitation_impact": lifecycle.limitation_impact,
     "g01_graph_stats": graph.graph_stats,
     "g02_cooccurrence_edges": graph.cooccurrence_edges,
     "g03_degrees": lambda c: graph.degrees(graph.cooccurrence_edges(c)),
@@ -99,6 +114,18 @@ TABLE_QUERIES = {
     "b01_feasibility": feasibility.feasibility_of_cohorts,
     "b09_attribute_distribution": feasibility.attribute_distribution,
     "b10_marker_positivity": feasibility.marker_positivity,
+    "b04_keyword_patients": feasibility.urgent_patients,
+    "b07_cohort_counts": feasibility.counts_of_segments,
+    "b08_subtype_distribution": feasibility.subtypes_of_orders,
+    "b11_match_summary": feasibility.matches_of_lines,
+    "b21_cross_matrix": lambda spark, sf_dir: feasibility.cross_matrix(from_star(spark, sf_dir), feasibility.catalogue_of_nations(spark, sf_dir)),
+    "f14_recommendations": feasibility.recommended_cohorts,
+    "p09_extraction_queue": queue.queue_of_orders,
+    "p14_skip_reasons": queue.skip_reasons_of_texts,
+    "m08_marked_papers": queue.marked_orders,
+    "m22_mismatches": queue.mismatched_orders,
+    "x01_article_sections": articles.article_sections_of_documents,
+    "x11_gap_items": reports.gap_items_of_conversations,
     "r03_event_windows": documents.event_windows,
 }
 
@@ -108,4 +135,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.SQL
+    return oracle.SQL | twins.SQL
