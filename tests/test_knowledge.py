@@ -210,3 +210,21 @@ def test_early_papers_count_out_of_focus(spark):
     relations = spark.createDataFrame(said, "pmid long, relation string, type string, name string, section string, polarity string, quote string, metric_value double")
     row = lifecycle.temporal_profiles(Corpus(papers, None, relations, None), "lung").collect()[0]
     assert (row["first_year"], row["last_year"], row["paper_cnt"], row["early_cnt"], row["cites"]) == (2000, 2004, 2, 3, 7)
+
+
+def test_followups_on_several_diseases_count_once(spark):
+    """A later paper on two of a limitation's diseases is one follow-up; brute force over the papers."""
+    from papertide.sources.corpus import Corpus
+
+    diseases = {1: "ab", 2: "b", 3: "ab", 4: "ab", 5: "a", 6: "abc", 7: "c", 8: "a", 9: "bc"}
+    years = {1: 2000, 2: 2001, 3: 2003, 4: 2003, 5: 2004, 6: 2005, 7: 2006, 8: 2000, 9: None}
+    said = [(p, "TARGETS_DISEASE", "Disease", d, "results", "asserted") for p, ds in diseases.items() for d in ds]
+    said += [(p, "APPLIES_METHOD", "Method", "cnn", "methods" if p != 5 else "discussion", "asserted") for p in diseases]
+    said += [(p, "REPORTS_LIMITATION", "Limitation", "small", "results", "asserted") for p in (1, 2)]
+    relations = spark.createDataFrame(said, "pmid long, relation string, type string, name string, section string, polarity string")
+    papers = spark.createDataFrame([(p, y, 0) for p, y in years.items()], "pmid long, year int, citation_count long")
+    profiles = spark.createDataFrame([("small", 2000, 2001, "persistent")], "limitation string, first_year int, last_year int, temporal_status string")
+    row = lifecycle.followup_stats(Corpus(papers, None, relations, None), profiles).collect()
+    anchors = {d for p in (1, 2) for d in diseases[p]}
+    later = [p for p in diseases if years[p] and years[p] > 2000 and p != 5 and anchors & set(diseases[p])]
+    assert [tuple(r) for r in row] == [("small", len(later), min(years[p] for p in later))]
