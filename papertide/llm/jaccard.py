@@ -29,7 +29,6 @@ from fractions import Fraction
 from math import ceil
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -45,8 +44,9 @@ LOW, SKETCH, TOLD, LENGTHEN, COMPARE, CROWDED = 0.3, 1 << 18, 2_000_000, (0, 1,
 LEAST_HIGH = np.uint64(int(LOW * 2**64))
 #: Rows of a table of ids that may be broadcast (of 16 to 32 bytes each).
 BROADCAST_ROWS = 500_000
-#: Word hashes that a Python worker keeps, and sets whose prefix it has told already.
-KEEP = 400_000
+#: Word hashes that a Python worker keeps, and sets whose prefix it has told already; rows that it holds as Python objects
+#: at once, whatever the size of the batches that Spark sends.
+KEEP, STEP = 400_000, 256
 
 #: Odd factors that set the words of a shingle apart by their place.
 PLACES = [np.uint64(int(xxhash.xxh64_intdigest(f"place {i}")) | 1) for i in range(WORDS)]
@@ -67,6 +67,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def stepwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of at most STEP rows, so that neither what is read nor what is told is held for a whole batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, STEP):
+            yield batch.slice(at, STEP)
+
+
 def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
     """Sorted 64-bit hashes of a text's distinct shingles; with fewer words, of the whole sequence as one."""
     words = text.encode().lower().split() if text else []  # on bytes, both treat ASCII alone
@@ -162,11 +169,11 @@ def described(docs: DataFrame, crowds: Crowds) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(crowds)  # SKETCH + TOLD numbers at most
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, told = WordHashes(), set()
-        for batch in batches:
+        for batch in stepwise(batches):
             out = []
-            for text in batch["text"]:
+            for text in batch.column("text").to_pylist():
                 tokens = shingles(text, hashes)
                 sig = int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
                 if not len(tokens) or sig in told:
@@ -177,12 +184,11 @@ def described(docs: DataFrame, crowds: Crowds) -> DataFrame:
                 told.add(sig)
                 prefix, more = prefix_of(tokens, shared.value)
                 out.append((len(tokens), sig, more, prefix.astype(np.int64)))
-            rows = pd.DataFrame(out, columns=["n", "sig", "more", "prefix"])
-            rows.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            rows.insert(1, "digest", batch["digest"].to_numpy())
-            yield rows
+            n, sig, more, prefix = zip(*out, strict=True)
+            made = [pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(more, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), *made], ["doc_id", "digest", "n", "sig", "more", "prefix"])
 
-    return docs.mapInPandas(describe, "doc_id long, digest long, n long, sig long, more int, prefix array<long>")
+    return docs.select("doc_id", "digest", "text").mapInArrow(describe, "doc_id long, digest long, n long, sig long, more int, prefix array<long>")
 
 
 def with_sets(pairs: DataFrame, docs: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
@@ -192,31 +198,32 @@ def with_sets(pairs: DataFrame, docs: DataFrame, classes: DataFrame, folder: str
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes, "cid").select("cid", F.col("rep.doc_id").alias("d"), F.col("rep.digest").alias("g"))
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
-            yield pd.DataFrame({"cid": batch["cid"], "tokens": [shingles(text, hashes).tobytes() for text in batch["text"]]})
+        for batch in stepwise(batches):
+            tokens = [shingles(text, hashes).tobytes() for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(tokens, pa.binary())], ["cid", "tokens"])
 
     few = sized(settle(wanted, folder, "wanted"), BROADCAST_ROWS)
     chosen = docs.join(few, F.expr("digest = g AND doc_id <=> d")).select("cid", "text")
-    tokens = settle(chosen.mapInPandas(sets, "cid long, tokens binary"), folder, "sets").dropDuplicates(["cid"])
+    tokens = settle(chosen.mapInArrow(sets, "cid long, tokens binary"), folder, "sets").dropDuplicates(["cid"])
     return pairs.select("a", "b").join(tokens.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("cid").alias("b"), F.col("tokens").alias("y")), "b")
 
 
 def compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
     """Those (a, b) of pairs whose sets link, found by comparing the whole sets."""
 
-    @F.pandas_udf("boolean")
-    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stepwise(batches):
+            out = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(out, pa.bool_()))
 
     held = shared_dir(docs.sparkSession)
-    links = settle(with_sets(pairs, docs, classes, held).filter(linked("x", "y")).select("a", "b"), folder, "links")
+    links = settle(with_sets(pairs, docs, classes, held).mapInArrow(linked, "a long, b long"), folder, "links")
     drop_folder(docs.sparkSession, held)
     return links
 
@@ -227,19 +234,20 @@ def around_hubs(pairs: DataFrame, docs: DataFrame, classes: DataFrame, folder: s
     Of pairs that overlap by less than half of cid's set the hub says little; they are left out.
     """
 
-    def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("cid", pa.int64()), ("hub", pa.int64()), ("held", pa.int64()), ("linked", pa.bool_()), ("rest", pa.list_(pa.int64()))])
+        for batch in stepwise(batches):
             rows = []
-            for hub, cid, x, y in zip(batch["a"], batch["b"], batch["x"], batch["y"], strict=True):
+            for hub, cid, x, y in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "x", "y")], strict=True):
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
                 rest = np.setdiff1d(y, x, assume_unique=True)
                 held = len(y) - len(rest)
                 if 2 * held >= len(y):
                     rows.append((cid, hub, held, 100 * held >= PERCENT * (len(x) + len(rest)), rest.astype(np.int64)))
-            yield pd.DataFrame(rows, columns=["cid", "hub", "held", "linked", "rest"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], field.type) for i, field in enumerate(schema)], schema=schema)
 
     sets = shared_dir(docs.sparkSession)
-    found = with_sets(pairs, docs, classes, sets).mapInPandas(facts, "cid long, hub long, held long, linked boolean, rest array<long>")
+    found = with_sets(pairs, docs, classes, sets).mapInArrow(facts, "cid long, hub long, held long, linked boolean, rest array<long>")
     found = settle(found, folder, name)
     drop_folder(docs.sparkSession, sets)
     return found
