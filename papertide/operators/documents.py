@@ -78,6 +78,13 @@ def merge_sections(sections: DataFrame, key: str) -> DataFrame:
     return grouped.select(key, "section_type", F.array_join(F.transform("s", lambda x: x["content"]), "\n\n").alias("content"), F.coalesce(F.get(titles, F.lit(0)), F.lit("")).alias("title"), F.get("s", F.lit(0))["order_idx"].alias("first_idx"))
 
 
+def other_as_discussion(sections: DataFrame, key: str, least: int = 1500) -> DataFrame:
+    """The merged `other` sections of each key as its discussion, where they have `least` characters or more."""
+    long = merge_sections(sections.filter("section_type = 'other'"), key).filter(F.length(F.trim("content")) >= least)
+    title = F.coalesce(F.nullif("title", F.lit("")), F.lit("discussion (from other)"))
+    return long.select(key, F.lit("discussion").alias("section_type"), title.alias("title"), "content")
+
+
 def fingerprint_tokens(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9\x{4e00}-\x{9fff}]+)"), F.lit(1))))
 
@@ -140,6 +147,13 @@ def merged_sections(spark, sf_dir: str) -> DataFrame:
     return merged.select("conv_id", "section_type", F.length("content").cast("long").alias("chars"), F.sha1("content").alias("content_sha1"), F.col("first_idx").cast("long").alias("first_idx"))
 
 
+def user_turns_as_discussion(spark, sf_dir: str) -> DataFrame:
+    """User turns as sections without a class of their own, by conversation."""
+    turns = read(spark, sf_dir, "conversations").filter("role = 'user' AND conv_id IS NOT NULL")
+    sections = turns.select("conv_id", F.lit("other").alias("section_type"), F.col("turn").cast("int").alias("order_idx"), F.lit("").alias("title"), F.coalesce("text", F.lit("")).alias("content"))
+    return other_as_discussion(sections, "conv_id", 200).select("conv_id", "section_type", "title", F.length("content").cast("long").alias("chars"))
+
+
 def benchmark_fingerprints(spark, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select("item_id", fingerprint(F.col("text")).alias("fingerprint"))
 

@@ -112,6 +112,14 @@ def cross_matrix(corpus: Corpus, catalogue: DataFrame, focus: str | None = None,
     return rows.select("method", "disease", "disease_id", "gap", "paper_cnt", F.col("cases").cast("long").alias("cohort"), support.alias("data_support"), total.alias("priority_pct")).orderBy(F.desc("priority_pct"), "method", "disease")
 
 
+def opportunity_summary(rows: DataFrame) -> DataFrame:
+    """One row over opportunities (gap, disease_id, data_support): all, scarce and mapped ones, and the share with high
+    support in hundredths of a percent, 0 for none."""
+    scarce, high = F.count_if(F.col("gap").isin("unexplored", "minimal")), F.count_if(F.col("data_support") == "high")
+    share = F.coalesce(F.floor(high * 10000 / F.nullif(F.count(F.lit(1)), F.lit(0)) + 0.5), F.lit(0)).cast("long")
+    return rows.agg(F.count(F.lit(1)).alias("combo_count"), scarce.alias("scarce_count"), F.count_if(F.col("disease_id") != "").alias("mapped_count"), share.alias("high_bp"))
+
+
 def read(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -170,6 +170,17 @@ def method_disease_pivot(corpus: Corpus, config: EngineConfig = DEFAULT, columns
     return wide.toDF("method", *names).fillna(0, names)
 
 
+def top_entities(corpus: Corpus, kind: str, relation: str, n: int = 20) -> DataFrame:
+    """(name, n): the entities of a kind with most rows of a relation, ties by name."""
+    rows = corpus.typed(kind).filter(F.col("relation") == relation)
+    return rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(n)
+
+
+def counts_by_group(papers: DataFrame, groups: str) -> DataFrame:
+    """(name, n): papers of each query group of an array column; null and empty arrays belong to none."""
+    return papers.select(F.explode(groups).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
 def corpus_stats(corpus: Corpus) -> DataFrame:
     """One row of counts over the corpus."""
     papers = corpus.papers.agg(

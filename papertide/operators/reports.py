@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from papertide.operators.documents import fingerprint, fingerprint_tokens, jaccard
 
@@ -84,6 +85,19 @@ def resolved_items(titles: DataFrame, items: DataFrame, run: str = "run_id", lea
     return titles.join(best, [run, "title"], "left")
 
 
+def recent_runs(runs: DataFrame, n: int) -> DataFrame:
+    """The n last finished runs (run_id, focus_key, finished_at) of each focus, later ones of the same time by run_id."""
+    place = F.row_number().over(Window.partitionBy("focus_key").orderBy(F.desc("finished_at"), F.desc("run_id")))
+    return runs.filter("finished_at IS NOT NULL").withColumn("place", place).filter(F.col("place") <= n)
+
+
+def recent_orders(spark, sf_dir: str) -> DataFrame:
+    """Orders that aren't open as finished runs, their priority the focus."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    runs = o.select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("focus_key"), F.when(F.col("o_orderstatus") != "O", F.to_date("o_orderdate")).alias("finished_at"))
+    return recent_runs(runs, 5).select("run_id", "focus_key", "place")
+
+
 def reports_of_conversations(spark, sf_dir: str) -> DataFrame:
     """Conversations as reports, a gap each turn: the role and turn its title, the text its body."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")

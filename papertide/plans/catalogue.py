@@ -98,6 +98,7 @@ CORPUS_QUERIES = {
     "g05_community_gaps": graph.community_gaps,
     "g06_disease_method_reach": graph.disease_method_reach,
     "m05_entities": merge.entities_of,
+    "o08_top_entities": lambda c: gap.top_entities(c, "Method", "APPLIES_METHOD"),
 }
 TABLE_QUERIES = {
     "m06_relation_merge": merge.merged_lines,
@@ -119,6 +120,9 @@ TABLE_QUERIES = {
     "b08_subtype_distribution": feasibility.subtypes_of_orders,
     "b11_match_summary": feasibility.matches_of_lines,
     "b21_cross_matrix": lambda spark, sf_dir: feasibility.cross_matrix(from_star(spark, sf_dir), feasibility.catalogue_of_nations(spark, sf_dir)),
+    "a17_opportunity_summary": lambda spark, sf_dir: feasibility.opportunity_summary(feasibility.cross_matrix(from_star(spark, sf_dir), feasibility.catalogue_of_nations(spark, sf_dir))),
+    "w06_recent_runs": reports.recent_orders,
+    "x09_other_as_discussion": documents.user_turns_as_discussion,
     "f14_recommendations": feasibility.recommended_cohorts,
     "p09_extraction_queue": queue.queue_of_orders,
     "p14_skip_reasons": queue.skip_reasons_of_texts,

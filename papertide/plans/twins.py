@@ -151,4 +151,16 @@ told AS (SELECT doc_id, lower(' ' || split_part(line, ' ', 1)) AS title, trim(re
 SELECT doc_id, CASE {' '.join(f"WHEN {either('title', *words)} THEN '{name}'" for name, words in SECTION_WORDS)} ELSE 'other' END AS section_type,
        count(*) AS sections, CAST(sum(length(content)) AS BIGINT) AS chars, count(*) AS own
 FROM told WHERE content <> '' GROUP BY 1, 2""",
+    "o08_top_entities": star("", "SELECT name, count(*) AS n FROM relations WHERE type = 'Method' AND relation = 'APPLIES_METHOD' GROUP BY name ORDER BY n DESC, name LIMIT 20"),
+    "w06_recent_runs": """
+SELECT o_orderkey AS run_id, o_orderpriority AS focus_key, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey DESC) AS INTEGER) AS place
+FROM orders WHERE o_orderstatus <> 'O' QUALIFY place <= 5""",
+    "x09_other_as_discussion": """
+SELECT conv_id, 'discussion' AS section_type, 'discussion (from other)' AS title, CAST(length(content) AS BIGINT) AS chars
+FROM (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS content FROM conversations
+      WHERE role = 'user' AND conv_id IS NOT NULL AND trim(coalesce(text, '')) <> '' GROUP BY conv_id) WHERE length(trim(content)) >= 200""",
 }
+SQL["a17_opportunity_summary"] = f"""
+SELECT count(*) AS combo_count, count(*) FILTER (WHERE gap IN ('unexplored', 'minimal')) AS scarce_count, count(*) FILTER (WHERE disease_id <> '') AS mapped_count,
+       CAST(coalesce(floor(count(*) FILTER (WHERE data_support = 'high') * 10000.0 / nullif(count(*), 0) + 0.5), 0) AS BIGINT) AS high_bp
+FROM ({SQL['b21_cross_matrix']})"""
