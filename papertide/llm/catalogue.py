@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, jaccard, packing, quality, secrets_index, sharding, token_counts, topk, training_order
+from . import byte_bpe, chat, jaccard, packing, quality, secrets_index, sharding, suffix_dedup, token_counts, topk, training_order
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         chat.op8_grammar_round_trip,
         secrets_index.op9_trigram_secret_scan,
         quality.op10_ngram_llr_quality,
+        suffix_dedup.op11_suffix_array_dedup,
     ]
     return {f.__name__: f for f in found}
 
