@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, conversation_repair, jaccard, packing, quality, secrets_index, sharding, suffix_dedup, token_counts, topk, training_order
+from . import byte_bpe, chat, conversation_repair, jaccard, packing, quality, secrets_index, sharding, suffix_dedup, token_counts, topk, training_order, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         secrets_index.op9_trigram_secret_scan,
         quality.op10_ngram_llr_quality,
         suffix_dedup.op11_suffix_array_dedup,
+        whitening.op12_block_lanczos_whitening,
         conversation_repair.op13_conversation_repair,
     ]
     return {f.__name__: f for f in found}
