@@ -45,10 +45,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Spark removes a query's shuffle files at its end if this is set, not only when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage is cut, and lost executors cost nothing."""
-    path = os.path.join(folder, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    """Write df to the shared folder and read it back: its lineage is cut, and lost executors cost nothing.
+
+    Nothing reads the shuffles of the write again, so their files go with it.
+    """
+    path, conf = os.path.join(folder, name), df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
