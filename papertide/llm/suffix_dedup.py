@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_folder, read_table, settle, shared_dir
 
-SPAN, GRAM = 50, 25
+SPAN, GRAM = 50, 32
 #: Grams in a string of SPAN bytes.
 WINDOW = SPAN - GRAM + 1
 #: Bytes of texts in a bundle, anchors and suffixes of a part, least parts of a round, most rounds.
@@ -207,7 +207,7 @@ class Block:
     """One block's string: bytes, the places of its characters in tracks, and those of the sample in the next string."""
 
     def __init__(self, body: bytes):
-        self.n = len(body) + PAD
+        self.n, self.numbers = len(body) + PAD, None
         self.bytes = np.full(self.n + 64, END, dtype=np.uint8)
         self.bytes[: len(body)] = np.frombuffer(body, dtype=np.uint8)
         tracks = [np.append(np.arange(r, self.n, TRACKS), self.n) for r in range(TRACKS)]
@@ -220,11 +220,19 @@ class Block:
         rows = sliding_window_view(self.bytes, size)[places]
         return np.ascontiguousarray(rows).view(f"S{size}").ravel()
 
+    def heads(self) -> np.ndarray:
+        """The eight bytes from every place on, as numbers."""
+        if self.numbers is None:
+            n, data = self.n + 1, self.bytes.tobytes()
+            self.numbers = np.empty(n, dtype=np.uint64)
+            for k in range(8):
+                words = np.frombuffer(data, dtype=">u8", count=(len(data) - k) // 8, offset=k)
+                self.numbers[k::8] = words[: len(self.numbers[k::8])]
+        return self.numbers
+
     def characters(self) -> np.ndarray:
         """Of every place of the tracks; three of END beyond."""
-        x = self.bytes.astype(np.uint64)
-        n = self.n + 1
-        values = sum((x[k : k + n] << np.uint64(8 * (TRACKS - 1 - k)) for k in range(1, TRACKS)), x[:n] << np.uint64(8 * (TRACKS - 1)))
+        values = self.heads() >> np.uint64(8 * (8 - TRACKS))
         return np.append(values[self.places], np.full(3, (1 << 8 * TRACKS) - 1, dtype=np.uint64))
 
 
@@ -235,8 +243,11 @@ def distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         mixed = (mixed ^ column.astype(np.uint64)) * np.uint64(FACTOR)
         mixed ^= mixed >> np.uint64(31)
     order = np.argsort(mixed)
+    ranked = mixed[order]
     new = np.ones(len(order), dtype=bool)
-    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0) if len(order) else True
+    alike = np.flatnonzero(ranked[1:] == ranked[:-1]) + 1
+    one, other = order[alike], order[alike - 1]
+    new[alike] = np.any([c[one] != c[other] for c in columns], axis=0)
     number = np.empty(len(order), dtype=np.int64)
     number[order] = np.cumsum(new) - 1
     return order[new], number
@@ -245,7 +256,7 @@ def distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def dealt(columns: list[np.ndarray], part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows to tell, sorted by part; their parts; and for every row the number of the told one."""
     first, number = distinct(columns)
-    order = np.argsort(part[first], kind="stable")
+    order = np.argsort(part[first].astype(np.uint16) if part.max(initial=0) < 1 << 16 else part[first], kind="stable")
     place = np.empty(len(order), dtype=np.int64)
     place[order] = np.arange(len(order))
     return first[order], part[first[order]], place[number]
@@ -284,39 +295,38 @@ def named(table: pa.Table, kinds: list[type]) -> tuple[np.ndarray, list[int]]:
     return ranks, sizes
 
 
-def below(ours: list[np.ndarray], theirs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """How many of theirs are less than each of ours, and of ours than each of theirs."""
-    both = [np.concatenate(pair) for pair in zip(ours, theirs, strict=True)]
-    n = len(ours[0])
-    order, new = groups(both)
-    start = np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else order
-    is_ours = order < n
-    before = np.concatenate([[0], np.cumsum(is_ours)])[start]
-    less = np.empty(len(order), dtype=np.int64)
-    less[order] = np.where(is_ours, start - before, before)
-    return less[:n], less[n:]
+def dense(values: np.ndarray) -> np.ndarray:
+    """Ranks of values, equal ones alike."""
+    return np.unique(values, return_inverse=True)[1].astype(np.uint64)
 
 
-def strictly(columns: list[np.ndarray]) -> np.ndarray:
-    """How many rows are less than each."""
-    order, new = groups(columns)
-    out = np.empty(len(order), dtype=np.int64)
-    out[order] = np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else order
-    return out
+def paired(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """One number for each pair, in the order of the pairs; high and low are less than 2 ** 32."""
+    return high << np.uint64(32) | low.astype(np.uint64)
 
 
 def merged(columns: list[np.ndarray]) -> np.ndarray:
     """How many suffixes come before each: the sample by rank, place 0 between by characters and ranks."""
     turn, rank, c0, c1, x, y = columns[:6]
+    if x.dtype.itemsize > 4:
+        x, y = dense(np.concatenate([x, y])).reshape(2, -1)
+    head = dense(c0)
+    both = dense(paired(head, dense(c1)))
     zero, one, two = (np.flatnonzero(turn == k) for k in range(3))
     less = np.zeros(len(turn), dtype=np.int64)
+
+    def count(these: np.ndarray, those: np.ndarray, keys: np.ndarray) -> None:
+        less[these] += np.searchsorted(np.sort(keys[those]), keys[these])
+
     sample = np.concatenate([one, two])
-    less[sample] = strictly([rank[sample]])
-    less[zero] = strictly([c0[zero], x[zero]])
-    for other, ours, theirs in ((one, [c0, x], [c0, x]), (two, [c0, c1, y], [c0, c1, x])):
-        of_other, of_zero = below([c[zero] for c in ours], [c[other] for c in theirs])
-        less[zero] += of_other
-        less[other] += of_zero
+    count(sample, sample, rank)
+    by_one = paired(head, x)
+    count(zero, zero, by_one)
+    count(zero, one, by_one)
+    count(one, zero, by_one)
+    by_two = paired(both, np.where(turn == 0, y, x))
+    count(zero, two, by_two)
+    count(two, zero, by_two)
     return less
 
 
@@ -435,7 +445,14 @@ def repeats(blocks: DataFrame, parts: int, rounds: int, folder: str) -> DataFram
     borders = blocks.sparkSession.sparkContext.broadcast(borders_of(blocks, parts))  # parts * PREFIX bytes at most
 
     def parts_of(block: Block, places: np.ndarray, size: int) -> np.ndarray:
-        return np.searchsorted(borders.value.astype(f"S{size}"), block.prefixes(places, size), side="right")
+        """By their first eight bytes; where a border begins alike, by `size` bytes."""
+        cut = borders.value.astype(f"S{size}")
+        heads = np.array([int.from_bytes(c[:8].ljust(8, b"\0"), "big") for c in cut.tolist()], dtype=np.uint64)
+        of = block.heads()[places]
+        part = np.searchsorted(heads, of, side="left")
+        unsure = np.flatnonzero(heads[np.minimum(part, len(heads) - 1)] == of) if len(heads) else np.empty(0, dtype=np.int64)
+        part[unsure] = np.searchsorted(cut, block.prefixes(places[unsure], size), side="right")
+        return part
 
     def triples(one: dict) -> tuple[list[np.ndarray], np.ndarray]:
         block = Block(one["body"])
@@ -446,6 +463,10 @@ def repeats(blocks: DataFrame, parts: int, rounds: int, folder: str) -> DataFram
         columns = [a << np.uint64(16) | b >> np.uint64(32), (b & low) << np.uint64(32) | d >> np.uint64(16), (d & np.uint64(0xFFFF)).astype(np.uint16)]
         return columns, parts_of(block, block.sample_places, 3 * TRACKS)
 
+    def done(name: str, turns: int) -> None:
+        for turn in range(turns):
+            drop_folder(blocks.sparkSession, f"{folder}/{name}{turn}")
+
     first = Step(triples, [np.uint64, np.uint64, np.uint16], named)
     answers = all_of(first.run(blocks.select("block", "body"), rounds, folder, "first"))
     offsets, kind = offsets_of(answers)
@@ -454,11 +475,11 @@ def repeats(blocks: DataFrame, parts: int, rounds: int, folder: str) -> DataFram
         block = Block(one["body"])
         names = first.values(one, rounds, offsets).astype(kind)
         names[block.sample == len(block.places)] = 0  # between the two
-        return [{"block": one["block"], "names": names.tobytes()}]
+        return [{"block": one["block"], "body": one["body"], "names": names.tobytes()}]
 
-    strings = with_answers(blocks.select("block", "body"), answers).mapInArrow(each(string_of, pa.schema([("block", pa.int64()), ("names", pa.binary())])), "block long, names binary")
-    strings = settle(strings, folder, "strings")
-    rows = settle(blocks.select("block", "body").join(strings, "block"), folder, "second_rows")
+    schema = pa.schema([("block", pa.int64()), ("body", pa.binary()), ("names", pa.binary())])
+    rows = settle(with_answers(blocks.select("block", "body"), answers).mapInArrow(each(string_of, schema), "block long, body binary, names binary"), folder, "second_rows")
+    done("first", rounds)
 
     def names_of(one: dict) -> np.ndarray:
         return np.append(np.frombuffer(one["names"], dtype=kind), np.zeros(3, dtype=kind))
@@ -481,6 +502,8 @@ def repeats(blocks: DataFrame, parts: int, rounds: int, folder: str) -> DataFram
 
     schema = pa.schema([("block", pa.int64()), ("body", pa.binary()), ("names", pa.binary()), ("ranks", pa.binary())])
     rows = settle(with_answers(rows, answers).mapInArrow(each(second_ranks, schema), "block long, body binary, names binary, ranks binary"), folder, "third_rows")
+    done("second", rounds)
+    drop_folder(blocks.sparkSession, f"{folder}/second_rows")
 
     def name_suffixes(one: dict) -> tuple[list[np.ndarray], np.ndarray]:
         block, names = Block(one["body"]), names_of(one)
@@ -503,7 +526,11 @@ def repeats(blocks: DataFrame, parts: int, rounds: int, folder: str) -> DataFram
         return [{"block": one["block"], "ranks": ranks[:-1].tobytes()}]
 
     ranked = with_answers(rows, answers).mapInArrow(each(sample_ranks, pa.schema([("block", pa.int64()), ("ranks", pa.binary())])), "block long, ranks binary")
-    rows = settle(blocks.join(settle(ranked, folder, "ranked"), "block"), folder, "last_rows")
+    ranked = settle(ranked, folder, "ranked")
+    done("third", rounds)
+    drop_folder(blocks.sparkSession, f"{folder}/third_rows")
+    rows = settle(blocks.join(ranked, "block"), folder, "last_rows")
+    drop_folder(blocks.sparkSession, f"{folder}/ranked")
 
     def suffixes(one: dict) -> tuple[list[np.ndarray], np.ndarray]:
         """Only suffixes with SPAN bytes of their stretch before them."""
