@@ -39,8 +39,8 @@ from .common import drop_folder, read_table, settle, shared_dir
 SPAN, GRAM = 50, 32
 #: Grams in a string of SPAN bytes.
 WINDOW = SPAN - GRAM + 1
-#: Bytes of texts in a bundle, anchors and suffixes of a part, least parts of a round, most rounds.
-BUNDLE, ANCHORS, SUFFIXES, ROUND_PARTS, ROUNDS = 2_000_000, 3_000_000, 600_000, 24, 8
+#: Bytes of texts in a bundle, anchors and suffixes of a part, least parts of a round, rounds of the four sorts.
+BUNDLE, ANCHORS, SUFFIXES, ROUND_PARTS, ROUNDS = 2_000_000, 3_000_000, 600_000, 16, (3, 1, 3, 6)
 #: Bytes of a character, and tracks; bytes behind a block's last stretch, all END, which no text holds.
 TRACKS, PAD, END = 6, 60, 0xFF
 PREFIX = 48
@@ -350,11 +350,11 @@ class Step:
     def __init__(self, columns: Callable, kinds: list[type], answer: Callable):
         self.columns, self.kinds, self.answer = columns, kinds, answer
 
-    def told(self, one: dict, turn: int, rounds: int) -> tuple:
-        columns, part = self.columns(one)
-        mine = np.flatnonzero(part % rounds == turn)
+    @staticmethod
+    def told(columns: list[np.ndarray], part: np.ndarray, turn: int, rounds: int) -> tuple:
+        mine = np.flatnonzero(part % rounds == turn) if rounds > 1 else np.arange(len(part))
         columns = [c[mine] for c in columns]
-        return mine, columns, *dealt(columns, part[mine]), len(part)
+        return mine, columns, *dealt(columns, part[mine])
 
     def run(self, rows: DataFrame, rounds: int, folder: str, name: str) -> list[DataFrame]:
         """Answers of all parts, a table for each round."""
@@ -364,7 +364,7 @@ class Step:
                 for batch in batches:
                     for row in range(batch.num_rows):
                         one = batch.slice(row, 1).to_pylist()[0]
-                        _, columns, first, part, _, _ = self.told(one, turn, rounds)
+                        _, columns, first, part, _ = self.told(*self.columns(one), turn, rounds)
                         yield pa.RecordBatch.from_pylist([{"part": p, "block": one["block"], "data": packed([c[first[a:b]] for c in columns])} for p, a, b in slices(part)], TOLD)
 
             return emit
@@ -381,10 +381,10 @@ class Step:
     def values(self, one: dict, rounds: int, offsets: dict | None) -> np.ndarray:
         """What the parts have answered, for every suffix that was told; ranks count from 1 over all parts."""
         answers = {a["part"]: a["data"] for a in one["answers"] or []}
-        out = None
+        columns, parts = self.columns(one)
+        out = np.zeros(len(parts), dtype=np.int64)
         for turn in range(rounds):
-            mine, _, first, part, number, n = self.told(one, turn, rounds)
-            out = np.zeros(n, dtype=np.int64) if out is None else out
+            mine, _, first, part, number = self.told(columns, parts, turn, rounds)
             got = np.empty(len(first), dtype=np.int64)
             for p, a, b in slices(part):
                 data = answers[p]
@@ -440,7 +440,7 @@ def borders_of(blocks: DataFrame, parts: int) -> np.ndarray:
     return found[np.linspace(0, len(found), parts + 1).astype(int)[1:-1]] if len(found) else found
 
 
-def repeats(blocks: DataFrame, parts: int, rounds: int, folder: str) -> DataFrame:
+def repeats(blocks: DataFrame, parts: int, rounds: list[int], folder: str) -> DataFrame:
     """(digest, runs): maximal runs (from, to) of bytes to remove from the text, 64-bit numbers."""
     borders = blocks.sparkSession.sparkContext.broadcast(borders_of(blocks, parts))  # parts * PREFIX bytes at most
 
@@ -468,18 +468,18 @@ def repeats(blocks: DataFrame, parts: int, rounds: int, folder: str) -> DataFram
             drop_folder(blocks.sparkSession, f"{folder}/{name}{turn}")
 
     first = Step(triples, [np.uint64, np.uint64, np.uint16], named)
-    answers = all_of(first.run(blocks.select("block", "body"), rounds, folder, "first"))
+    answers = all_of(first.run(blocks.select("block", "body"), rounds[0], folder, "first"))
     offsets, kind = offsets_of(answers)
 
     def string_of(one: dict) -> list[dict]:
         block = Block(one["body"])
-        names = first.values(one, rounds, offsets).astype(kind)
+        names = first.values(one, rounds[0], offsets).astype(kind)
         names[block.sample == len(block.places)] = 0  # between the two
         return [{"block": one["block"], "body": one["body"], "names": names.tobytes()}]
 
     schema = pa.schema([("block", pa.int64()), ("body", pa.binary()), ("names", pa.binary())])
     rows = settle(with_answers(blocks.select("block", "body"), answers).mapInArrow(each(string_of, schema), "block long, body binary, names binary"), folder, "second_rows")
-    done("first", rounds)
+    done("first", rounds[0])
 
     def names_of(one: dict) -> np.ndarray:
         return np.append(np.frombuffer(one["names"], dtype=kind), np.zeros(3, dtype=kind))
@@ -491,18 +491,18 @@ def repeats(blocks: DataFrame, parts: int, rounds: int, folder: str) -> DataFram
         return [names[at], names[at + 1], names[at + 2]], parts_of(block, block.sample_places[at], PREFIX)
 
     second = Step(name_triples, [kind] * 3, named)
-    answers = all_of(second.run(rows, rounds, folder, "second"))
+    answers = all_of(second.run(rows, rounds[1], folder, "second"))
     offsets2, kind2 = offsets_of(answers)
 
     def second_ranks(one: dict) -> list[dict]:
         m = len(names_of(one)) - 3
         ranks = np.zeros(m, dtype=kind2)
-        ranks[np.concatenate([np.arange(1, m, 3), np.arange(2, m, 3)])] = second.values(one, rounds, offsets2)
+        ranks[np.concatenate([np.arange(1, m, 3), np.arange(2, m, 3)])] = second.values(one, rounds[1], offsets2)
         return [{"block": one["block"], "body": one["body"], "names": one["names"], "ranks": ranks.tobytes()}]
 
     schema = pa.schema([("block", pa.int64()), ("body", pa.binary()), ("names", pa.binary()), ("ranks", pa.binary())])
     rows = settle(with_answers(rows, answers).mapInArrow(each(second_ranks, schema), "block long, body binary, names binary, ranks binary"), folder, "third_rows")
-    done("second", rounds)
+    done("second", rounds[1])
     drop_folder(blocks.sparkSession, f"{folder}/second_rows")
 
     def name_suffixes(one: dict) -> tuple[list[np.ndarray], np.ndarray]:
@@ -515,22 +515,23 @@ def repeats(blocks: DataFrame, parts: int, rounds: int, folder: str) -> DataFram
         return merged(columns), sizes
 
     third = Step(name_suffixes, [np.uint8, kind2, kind, kind, kind2, kind2], merged_ranks)
-    answers = all_of(third.run(rows, rounds, folder, "third"))
+    answers = all_of(third.run(rows, rounds[2], folder, "third"))
     offsets3, kind3 = offsets_of(answers)
 
     def sample_ranks(one: dict) -> list[dict]:
         block = Block(one["body"])
         ranks = np.zeros(len(block.places) + 1, dtype=kind3)
-        ranks[block.sample] = third.values(one, rounds, offsets3)
+        ranks[block.sample] = third.values(one, rounds[2], offsets3)
         ranks[-1] = 0
         return [{"block": one["block"], "ranks": ranks[:-1].tobytes()}]
 
     ranked = with_answers(rows, answers).mapInArrow(each(sample_ranks, pa.schema([("block", pa.int64()), ("ranks", pa.binary())])), "block long, ranks binary")
     ranked = settle(ranked, folder, "ranked")
-    done("third", rounds)
+    done("third", rounds[2])
     drop_folder(blocks.sparkSession, f"{folder}/third_rows")
     rows = settle(blocks.join(ranked, "block"), folder, "last_rows")
-    drop_folder(blocks.sparkSession, f"{folder}/ranked")
+    for name in ("ranked", "blocks"):
+        drop_folder(blocks.sparkSession, f"{folder}/{name}")
 
     def suffixes(one: dict) -> tuple[list[np.ndarray], np.ndarray]:
         """Only suffixes with SPAN bytes of their stretch before them."""
@@ -559,7 +560,7 @@ def repeats(blocks: DataFrame, parts: int, rounds: int, folder: str) -> DataFram
         return out, sizes
 
     last = Step(suffixes, [np.uint8, kind3, np.uint64, np.uint64, kind3, kind3, np.uint64, np.int64], marked)
-    answers = all_of(last.run(rows, rounds, folder, "last"))
+    answers = all_of(last.run(rows, rounds[3], folder, "last"))
 
     def runs_of(one: dict) -> list[dict]:
         block = Block(one["body"])
@@ -569,7 +570,7 @@ def repeats(blocks: DataFrame, parts: int, rounds: int, folder: str) -> DataFram
         for low, size in zip(begin.tolist(), one["length"], strict=True):
             held[low : low + size - SPAN + 1] = True
         at = np.flatnonzero(held[block.places])
-        hits = np.sort(block.places[at[last.values(one, rounds, None) > 0]])
+        hits = np.sort(block.places[at[last.values(one, rounds[3], None) > 0]])
         stretch = np.searchsorted(begin, hits, side="right") - 1
         shift = np.asarray(one["start"])[stretch] - begin[stretch]
         owner = np.asarray(one["owner"])[stretch]
@@ -627,7 +628,7 @@ def without_repeats(docs: DataFrame, suffixes: int = SUFFIXES, round_parts: int
         drop_folder(spark, f"{folder}/{name}")
     total = blocks.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     sorts = ceil(total / suffixes) or 1
-    runs = repeats(blocks, sorts, max(1, min(ROUNDS, sorts // round_parts)), folder)
+    runs = repeats(blocks, sorts, [max(1, min(r, sorts // round_parts)) for r in ROUNDS], folder)
     # a long text that isn't found under its own id stands, as a whole, under a smaller one
     known = settle(least.join(runs, "digest", "left").withColumn("known", F.lit(True)), facts, "known")
     drop_folder(spark, folder)
