@@ -7,9 +7,9 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from papertide.config import DEFAULT
-from papertide.operators import articles, concepts, documents, feasibility, focus, gap, graph, hotspot, lifecycle, mapping, merge, queue, reports
+from papertide.operators import articles, concepts, documents, feasibility, focus, gap, graph, hotspot, landscape, lifecycle, mapping, merge, queue, reports
 from papertide.operators.concepts import Concept
-from papertide.plans import mapping_twins, oracle, twins
+from papertide.plans import landscape_twins, mapping_twins, oracle, twins
 from papertide.sources.corpus import Corpus, from_star
 
 FLAGSHIP = "t02_disease_task_coverage"
@@ -131,6 +131,11 @@ TABLE_QUERIES = {
     "x01_article_sections": articles.article_sections_of_documents,
     "x11_gap_items": reports.gap_items_of_conversations,
     "r03_event_windows": documents.event_windows,
+    "b03_centre_pools": landscape.pool_rows,
+    "b05_catalogue": landscape.catalogue_of_centre,
+    "b06_coverage": landscape.coverage_of_centre,
+    "b13_extras": landscape.extras_rows,
+    "v09_scale_metrics": landscape.metrics_of_centre,
     "b12_mentions": mapping.mentions_of_parts,
     "b14_gap_diseases": mapping.gaps_of_parts,
     "b14_title_diseases": mapping.titles_of_parts,
@@ -143,4 +148,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.SQL | twins.SQL | mapping_twins.SQL
+    return oracle.SQL | twins.SQL | mapping_twins.SQL | landscape_twins.SQL
