@@ -41,6 +41,8 @@ SPAN, GRAM = 50, 32
 WINDOW = SPAN - GRAM + 1
 #: Bytes of texts in a bundle, anchors and suffixes of a part, least parts of a round, rounds of the four sorts.
 BUNDLE, ANCHORS, SUFFIXES, ROUND_PARTS, ROUNDS = 2_000_000, 3_000_000, 600_000, 16, (3, 1, 3, 6)
+#: Slices of the blocks that receive their answers one after the other.
+SLICES = 4
 #: Bytes of a character, and tracks; bytes behind a block's last stretch, all END, which no text holds.
 TRACKS, PAD, END = 6, 60, 0xFF
 PREFIX = 48
@@ -410,6 +412,12 @@ def with_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:
     return rows.join(answers.groupBy("block").agg(F.collect_list(F.struct("part", "data")).alias("answers")), "block", "left")
 
 
+def expanded(rows: DataFrame, answers: DataFrame, make: Callable[[dict], list[dict]], schema: pa.Schema, ddl: str, folder: str, name: str) -> DataFrame:
+    """Rows made from blocks and their answers, a slice of the blocks at a time, so that only a slice is shuffled at once."""
+    mine = lambda table, turn: table.filter(F.pmod(F.xxhash64("block"), F.lit(SLICES)) == turn)
+    return all_of([settle(with_answers(mine(rows, turn), mine(answers, turn)).mapInArrow(each(make, schema), ddl), folder, f"{name}{turn}") for turn in range(SLICES)])
+
+
 def all_of(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for table in tables[1:]:
@@ -478,7 +486,7 @@ def repeats(blocks: DataFrame, parts: int, rounds: list[int], folder: str) -> Da
         return [{"block": one["block"], "body": one["body"], "names": names.tobytes()}]
 
     schema = pa.schema([("block", pa.int64()), ("body", pa.binary()), ("names", pa.binary())])
-    rows = settle(with_answers(blocks.select("block", "body"), answers).mapInArrow(each(string_of, schema), "block long, body binary, names binary"), folder, "second_rows")
+    rows = expanded(blocks.select("block", "body"), answers, string_of, schema, "block long, body binary, names binary", folder, "second_rows")
     done("first", rounds[0])
 
     def names_of(one: dict) -> np.ndarray:
@@ -501,9 +509,9 @@ def repeats(blocks: DataFrame, parts: int, rounds: list[int], folder: str) -> Da
         return [{"block": one["block"], "body": one["body"], "names": one["names"], "ranks": ranks.tobytes()}]
 
     schema = pa.schema([("block", pa.int64()), ("body", pa.binary()), ("names", pa.binary()), ("ranks", pa.binary())])
-    rows = settle(with_answers(rows, answers).mapInArrow(each(second_ranks, schema), "block long, body binary, names binary, ranks binary"), folder, "third_rows")
+    rows = expanded(rows, answers, second_ranks, schema, "block long, body binary, names binary, ranks binary", folder, "third_rows")
     done("second", rounds[1])
-    drop_folder(blocks.sparkSession, f"{folder}/second_rows")
+    done("second_rows", SLICES)
 
     def name_suffixes(one: dict) -> tuple[list[np.ndarray], np.ndarray]:
         block, names = Block(one["body"]), names_of(one)
@@ -525,13 +533,13 @@ def repeats(blocks: DataFrame, parts: int, rounds: list[int], folder: str) -> Da
         ranks[-1] = 0
         return [{"block": one["block"], "ranks": ranks[:-1].tobytes()}]
 
-    ranked = with_answers(rows, answers).mapInArrow(each(sample_ranks, pa.schema([("block", pa.int64()), ("ranks", pa.binary())])), "block long, ranks binary")
-    ranked = settle(ranked, folder, "ranked")
+    schema = pa.schema([("block", pa.int64()), ("ranks", pa.binary())])
+    ranked = expanded(rows, answers, sample_ranks, schema, "block long, ranks binary", folder, "ranked")
     done("third", rounds[2])
-    drop_folder(blocks.sparkSession, f"{folder}/third_rows")
+    done("third_rows", SLICES)
     rows = settle(blocks.join(ranked, "block"), folder, "last_rows")
-    for name in ("ranked", "blocks"):
-        drop_folder(blocks.sparkSession, f"{folder}/{name}")
+    done("ranked", SLICES)
+    drop_folder(blocks.sparkSession, f"{folder}/blocks")
 
     def suffixes(one: dict) -> tuple[list[np.ndarray], np.ndarray]:
         """Only suffixes with SPAN bytes of their stretch before them."""
@@ -582,8 +590,7 @@ def repeats(blocks: DataFrame, parts: int, rounds: list[int], folder: str) -> Da
             out.append({"digest": one["digest"][text], "runs": runs.astype(np.int64).tobytes()})
         return out
 
-    found = with_answers(rows, answers).mapInArrow(each(runs_of, pa.schema([("digest", pa.binary()), ("runs", pa.binary())])), "digest binary, runs binary")
-    return settle(found, folder, "runs")
+    return expanded(rows, answers, runs_of, pa.schema([("digest", pa.binary()), ("runs", pa.binary())]), "digest binary, runs binary", folder, "runs")
 
 
 def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
