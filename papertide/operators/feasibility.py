@@ -37,11 +37,11 @@ def assess_from_pools(requests: DataFrame) -> DataFrame:
 
 
 def coverage_gaps(assessed: DataFrame) -> DataFrame:
-    """One row for each required marker: its coverage of the whole-slide pool and how grave the gap is."""
+    """One row for each required marker that covers less than seven tenths of the whole-slide pool, and how grave that is."""
     rows = assessed.withColumn("marker", F.explode("markers"))
     have = pool(F.col("pools"), F.concat(F.lit("has_"), F.lower("marker")), F.lit(0))
-    share = have / F.greatest("wsi", F.lit(1))
-    return rows.withColumn("coverage", scoring.half_up(share, 3)).withColumn("severity", F.when(F.col("coverage") < 0.5, "HIGH").when(F.col("coverage") < 0.7, "MEDIUM").otherwise("LOW"))
+    rows = rows.withColumn("coverage", scoring.half_up(have / F.greatest("wsi", F.lit(1)), 2)).filter("coverage < 0.7")
+    return rows.withColumn("severity", F.when(F.col("coverage") < 0.5, "HIGH").otherwise("MEDIUM"))
 
 
 def keyword_patients(attributes: DataFrame, patients: DataFrame, keywords: list[str], fields: list[str], key: str = "patient_id") -> DataFrame:

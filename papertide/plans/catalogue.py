@@ -7,9 +7,9 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from papertide.config import DEFAULT
-from papertide.operators import articles, concepts, documents, feasibility, focus, gap, graph, hotspot, landscape, lifecycle, mapping, merge, queue, reports
+from papertide.operators import articles, concepts, documents, feasibility, focus, gap, graph, hotspot, hypotheses, landscape, lifecycle, mapping, merge, queue, reports
 from papertide.operators.concepts import Concept
-from papertide.plans import landscape_twins, mapping_twins, oracle, twins
+from papertide.plans import hypothesis_twins, landscape_twins, mapping_twins, oracle, twins
 from papertide.sources.corpus import Corpus, from_star
 
 FLAGSHIP = "t02_disease_task_coverage"
@@ -136,6 +136,9 @@ TABLE_QUERIES = {
     "b06_coverage": landscape.coverage_of_centre,
     "b13_extras": landscape.extras_rows,
     "v09_scale_metrics": landscape.metrics_of_centre,
+    "b17_hypotheses": hypotheses.hypotheses_of_orders,
+    "b02_data_gaps": hypotheses.data_gaps_of_orders,
+    "b18_evolution": hypotheses.evolved_orders,
     "b12_mentions": mapping.mentions_of_parts,
     "b14_gap_diseases": mapping.gaps_of_parts,
     "b14_title_diseases": mapping.titles_of_parts,
@@ -148,4 +151,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.SQL | twins.SQL | mapping_twins.SQL | landscape_twins.SQL
+    return oracle.SQL | twins.SQL | mapping_twins.SQL | landscape_twins.SQL | hypothesis_twins.SQL
