@@ -7,9 +7,9 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from papertide.config import DEFAULT
-from papertide.operators import articles, concepts, documents, feasibility, focus, gap, graph, hotspot, hypotheses, landscape, lifecycle, mapping, merge, queue, reports
+from papertide.operators import articles, concepts, documents, feasibility, focus, gap, graph, hotspot, hypotheses, landscape, lifecycle, mapping, merge, projection, queue, reports
 from papertide.operators.concepts import Concept
-from papertide.plans import hypothesis_twins, landscape_twins, mapping_twins, oracle, twins
+from papertide.plans import hypothesis_twins, landscape_twins, mapping_twins, oracle, topic_twins, twins
 from papertide.sources.corpus import Corpus, from_star
 
 FLAGSHIP = "t02_disease_task_coverage"
@@ -97,6 +97,7 @@ CORPUS_QUERIES = {
     "g04_entity_pagerank": graph.entity_pagerank,
     "g05_community_gaps": graph.community_gaps,
     "g06_disease_method_reach": graph.disease_method_reach,
+    "g08_entity_projection": projection.projection_of_corpus,
     "m05_entities": merge.entities_of,
     "o08_top_entities": lambda c: gap.top_entities(c, "Method", "APPLIES_METHOD"),
 }
@@ -151,4 +152,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.SQL | twins.SQL | mapping_twins.SQL | landscape_twins.SQL | hypothesis_twins.SQL
+    return oracle.SQL | twins.SQL | mapping_twins.SQL | landscape_twins.SQL | hypothesis_twins.SQL | topic_twins.SQL
