@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papertide.operators import concepts as known_concepts
+from papertide.operators.checkpoints import checkpointed
 from papertide.operators.concepts import Concept, belongs, holds_any
 from papertide.sources.corpus import Corpus
 
@@ -27,7 +29,9 @@ SAME = {
     "nasopharyngeal": ["nasopharyngeal", "nasopharynx"],
     "npc": ["npc", "nasopharyngeal"],
 }
-STOPWORDS = NO_FOCUS | frozenset("for of the and in with to a an on by from via using based into over under between".split())
+STOPWORDS = frozenset(
+    "all any full corpus entire for of the and in with to a an on by from via using based into over under between".split()
+)
 
 
 def normalized(focus: str | Concept | None) -> str | None:
@@ -67,8 +71,8 @@ def in_focus(rows: DataFrame, corpus: Corpus, focus: str | Concept | None) -> Da
 
 
 def meaningful_tokens(keyword: str) -> list[str]:
-    found = re.findall(r"[^\W_]+(?:[-#][^\W_]+)*", keyword.lower())
-    return list(dict.fromkeys(t for t in found if t not in STOPWORDS and len(t) > 1))
+    """The words of a keyword, split at blanks, in lower case, repeats included, but for stopwords and single characters."""
+    return [t for t in keyword.lower().split() if len(t) >= 2 and t not in STOPWORDS]
 
 
 def bigrams(tokens: list[str]) -> list[str]:
@@ -94,22 +98,80 @@ def token_scores(corpus: Corpus, tokens: list[str]) -> DataFrame:
     return scored.filter(F.col("match_score") >= min_hits(len(tokens)))
 
 
-def topic_papers(corpus: Corpus, keyword: str) -> tuple[DataFrame, str]:
-    """(pmid, match_score) and the strategy that first found any: whole phrase, scored tokens, bigrams."""
-    tokens = meaningful_tokens(keyword)
-    phrase = phrase_papers(corpus, [keyword.strip()]).withColumn("match_score", F.lit(0))
-    if not phrase.isEmpty():
-        return phrase, "phrase"
-    if tokens:
-        scored = token_scores(corpus, tokens)
-        if not scored.isEmpty():
-            return scored, "tokens"
-    pairs = phrase_papers(corpus, bigrams(tokens) or [keyword.strip()]).withColumn("match_score", F.lit(0))
-    return pairs, "bigrams"
+def concept_of(corpus: Corpus, keyword: str, concepts: Iterable[Concept]) -> Concept | None:
+    """The concept that a keyword stands for, of a list kept by hand."""
+    listed = list(concepts)
+    if not listed:
+        return None
+    spark = corpus.papers.sparkSession
+    asked = spark.createDataFrame([(keyword,)], "focus string")
+    row = known_concepts.resolved(asked, known_concepts.table(spark, listed)).first()  # one row
+    return next((c for c in listed if c.concept_id == row["concept_id"]), None)
 
 
-def search_papers(corpus: Corpus, keyword: str, limit: int, least_year: int | None = None) -> DataFrame:
-    found, _ = topic_papers(corpus, keyword)
+def topic_candidates(corpus: Corpus, steps: dict[str, list[str]], tokens: list[str]) -> DataFrame:
+    """(pmid, a flag for each step of phrases, hits, titled): all that a keyword's steps find, by one pass.
+
+    Only the names and titles that hold any of the phrases or tokens are shuffled. hits: those of the title
+    and of the best entity; titled: whether the paper is there.
+    """
+    flags = lambda c: [F.coalesce(holds_any(c, phrases), F.lit(False)).alias(name) for name, phrases in steps.items()]
+    hits = lambda c: sum((F.contains(F.lower(c), F.lit(t)).cast("int") for t in tokens), F.lit(0))
+    every = [p for phrases in steps.values() for p in phrases] + tokens
+    names = corpus.relations.filter(holds_any(F.col("name"), every)).select("pmid", *flags(F.col("name")), hits(F.col("name")).alias("entity_hits"))
+    names = names.groupBy("pmid").agg(*[F.max(n).alias(n) for n in steps], F.max("entity_hits").alias("entity_hits"), F.lit(0).alias("title_hits"))
+    titles = corpus.papers.filter(holds_any(F.col("title"), every)).select("pmid", *flags(F.col("title")), F.lit(0).alias("entity_hits"), hits(F.col("title")).alias("title_hits"))
+    both = names.unionByName(titles).groupBy("pmid").agg(*[F.max(n).alias(n) for n in steps], (F.max("entity_hits") + F.max("title_hits")).alias("hits"))
+    there = corpus.papers.select(F.col("pmid").alias("_p")).distinct()
+    return both.join(there, both.pmid == there["_p"], "left").withColumn("titled", F.col("_p").isNotNull()).drop("_p")
+
+
+def topic_papers(corpus: Corpus, keyword: str | None, concepts: Iterable[Concept] = ()) -> tuple[DataFrame, str]:
+    """(pmid, match_score) and the first strategy that finds any papers.
+
+    A concept that the keyword stands for, by its phrases; the keyword as a whole; from two telling words
+    on, those words, at least min_hits of them (match_score), and then pairs of neighbouring words. Each
+    looks in titles and in names of entities, in any case. Blank keywords find nothing, nor does a single
+    telling word in a phrase that isn't there. What all steps find is settled once, and the strategy
+    chosen from it.
+    """
+    phrase = (keyword or "").strip()
+    nothing = corpus.papers.select("pmid", F.lit(0).alias("match_score")).limit(0)
+    if not phrase:
+        return nothing, "empty"
+    concept, tokens = concept_of(corpus, phrase, concepts), meaningful_tokens(phrase)
+    if len(tokens) < 2:
+        tokens = []
+    steps = {"full_phrase": [phrase]}
+    if concept:
+        steps = {"concept": sorted({concept.canonical.lower(), *(p.lower() for p in concept.phrases)})} | steps
+    if tokens:
+        steps["key_phrases"] = bigrams(tokens)
+    found = checkpointed(topic_candidates(corpus, steps, tokens))
+    scored = F.col("titled") & (F.col("hits") >= min_hits(len(tokens))) if tokens else F.lit(False)
+    order = [("concept", f"concept({concept.concept_id})" if concept else ""), ("full_phrase", "full_phrase"), ("token_score", "token_score"), ("key_phrases", "key_phrases")]
+    ways = {name: (scored if name == "token_score" else F.col(name)) for name, _ in order if name in steps or name == "token_score"}
+    any_found = found.agg(*[F.max(test).alias(name) for name, test in ways.items()]).first()  # one row
+    for name, told in order:
+        if name in ways and any_found[name]:
+            score = F.col("hits") if name == "token_score" else F.lit(0)
+            return found.filter(ways[name]).select("pmid", score.cast("int").alias("match_score")), told
+    return nothing, "no_match"
+
+
+def topic_strategies(corpus: Corpus, keywords: Iterable[str], concepts: Iterable[Concept] = ()) -> DataFrame:
+    """(keyword, strategy, papers, pmids, score): how each keyword finds its papers, how many, and sums of ids and scores."""
+    rows = None
+    for keyword in keywords:
+        found, strategy = topic_papers(corpus, keyword, concepts)
+        total = found.agg(F.count(F.lit(1)).alias("papers"), F.coalesce(F.sum("pmid"), F.lit(0)).cast("long").alias("pmids"), F.coalesce(F.sum("match_score"), F.lit(0)).cast("long").alias("score"))
+        row = total.select(F.lit(keyword).alias("keyword"), F.lit(strategy).alias("strategy"), "papers", "pmids", "score")
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+def search_papers(corpus: Corpus, keyword: str, limit: int, least_year: int | None = None, concepts: Iterable[Concept] = ()) -> DataFrame:
+    found, _ = topic_papers(corpus, keyword, concepts)
     rows = corpus.judged.join(found, "pmid")
     if least_year:
         rows = rows.filter(F.col("year") >= least_year)

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from papertide.config import DEFAULT, EngineConfig
 from papertide.functions import scoring
 from papertide.operators.focus import focus_papers, in_focus, mentions
-from papertide.sources.corpus import Corpus
+from papertide.sources.corpus import RELATION_OF, Corpus
 
 
 def joined(col: str) -> Column:
@@ -18,14 +18,12 @@ def joined(col: str) -> Column:
 
 def author_stated_gaps(corpus: Corpus, focus: str | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
     """Limitations by the papers that state them; where none is stated, by any relation to one."""
-    stated = corpus.of("Limitation").filter(mentions(F.col("name"), focus))
-    if stated.isEmpty():
-        stated = corpus.relations.filter(F.col("type") == "Limitation").filter(mentions(F.col("name"), focus))
-    return (
-        stated.groupBy(F.col("name").alias("limitation"))
-        .agg(F.count_distinct("pmid").alias("paper_cnt"), joined("section").alias("sections"), joined("quote").alias("quotes"))
-        .orderBy(F.desc("paper_cnt"), "limitation").limit(config.top_n)
-    )
+    rows = corpus.typed("Limitation").filter(mentions(F.col("name"), focus))
+    level = F.when(F.col("relation") == RELATION_OF["Limitation"], 0).otherwise(1).alias("_level")
+    counts = rows.groupBy(level, F.col("name").alias("limitation")).agg(F.count_distinct("pmid").alias("paper_cnt"), joined("section").alias("sections"), joined("quote").alias("quotes"))
+    # the first rows in the order of levels tell the least one; rows of the other may fill the list and go
+    first = counts.orderBy("_level", F.desc("paper_cnt"), "limitation").limit(config.top_n).withColumn("_least", F.min("_level").over(Window.partitionBy(F.lit(0))))  # top_n rows
+    return first.filter("_level = _least").drop("_level", "_least").orderBy(F.desc("paper_cnt"), "limitation")
 
 
 def disease_task_coverage(corpus: Corpus, focus: str | None = None, config: EngineConfig = DEFAULT) -> DataFrame:

@@ -20,6 +20,8 @@ CONCEPTS = [
     Concept("anvils", "blue anvil", phrases=("red anvil", "new  gear"), sites=("hot", "cold"), histology=("gear", "plate"), abbreviations=("rod",), zh=("砧",)),
     Concept("widgets", "old widget", phrases=("small widget",), sites=("widget", "gizmo"), morphology=("large", "tiny"), abbreviations=("old",)),
 ]
+#: A concept, a phrase, telling words, neighbouring words, blanks, a single telling word, and words that aren't there.
+TOPICS = ["about RED anvil", "Small Ring", "urgent widget of blue economy", "blue ring qqq www eee rrr", "  ", "the urgent", "qqq www"]
 SAME = {"anvil": ["anvil", "rod"], "red": ["red", "blue", "hot"]}
 
 
@@ -73,6 +75,7 @@ CORPUS_QUERIES = {
     "h09_board_snapshot": hotspot.boards,
     "h10_week_over_week": hotspot.week_over_week,
     "h11_week_ids": lambda c: c.papers.select(hotspot.week_id(F.col("pub_date")).alias("week"), hotspot.previous_week_id(F.col("pub_date")).alias("before")).groupBy("week", "before").agg(F.count(F.lit(1)).alias("papers")),
+    "i01_topic_strategies": lambda c: focus.topic_strategies(c, TOPICS, CONCEPTS),
     "i02_phrase_papers": lambda c: focus.phrase_papers(c, [KEYWORD]),
     "i03_token_scores": lambda c: focus.token_scores(c, focus.meaningful_tokens(TOKENS)),
     "i10_related_papers": lambda c: focus.search_papers(c, KEYWORD, DEFAULT.top_n),

@@ -4,6 +4,18 @@ from __future__ import annotations
 
 from papertide.plans.oracle import star
 
+
+
+def hits(column: str, *tokens: str) -> str:
+    return "(" + " + ".join(f"CAST(contains(lower({column}), '{t}') AS INTEGER)" for t in tokens) + ")"
+
+
+FOUR, SIX = ("urgent", "widget", "blue", "economy"), ("blue", "ring", "qqq", "www", "eee", "rrr")
+BEST = "\n".join(
+    f"{name} AS (SELECT p.pmid, {hits('title', *words)} + coalesce(best, 0) AS score FROM papers p LEFT JOIN (SELECT pmid, max({hits('name', *words)}) AS best FROM relations GROUP BY pmid) b ON b.pmid = p.pmid),"
+    for name, words in (("scored", FOUR), ("six", SIX))
+)
+
 SQL = {
     "g08_entity_projection": star(
         """links AS (SELECT pmid AS paper, type || '|' || name AS node, relation, section, substr(quote, 1, 120) AS quote, quote AS whole, row_number() OVER (PARTITION BY pmid ORDER BY type || '|' || name, relation) AS place FROM relations WHERE type IN ('Disease', 'Task')),
@@ -20,4 +32,19 @@ more AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, count(*) AS n, arg_ma
 CASE WHEN n IS NULL THEN relations ELSE 'RELATED_TO' END AS relations, CASE WHEN n IS NULL THEN sections ELSE m.section END AS sections, CASE WHEN n IS NULL THEN quotes ELSE m.quote END AS quotes
 FROM wei w LEFT JOIN rel USING (src, dst) LEFT JOIN sec USING (src, dst) LEFT JOIN quo USING (src, dst) FULL JOIN more m ON m.src = w.src AND m.dst = w.dst""",
     ),
+    "i01_topic_strategies": star(
+        f"""asked(no, keyword, strategy, need) AS (VALUES (0, 'about RED anvil', 'concept(anvils)', 0), (1, 'Small Ring', 'full_phrase', 0), (2, 'urgent widget of blue economy', 'token_score', 2), (3, 'blue ring qqq www eee rrr', 'key_phrases', 0)),
+phrases(no, phrase) AS (VALUES (0, 'blue anvil'), (0, 'new  gear'), (0, 'red anvil'), (1, 'small ring'), (3, 'blue ring'), (3, 'ring qqq'), (3, 'qqq www'), (3, 'www eee'), (3, 'eee rrr')),
+named AS (SELECT DISTINCT no, pmid FROM relations JOIN phrases ON contains(lower(name), phrase) UNION SELECT no, pmid FROM papers JOIN phrases ON contains(lower(title), phrase)),
+{BEST}
+found AS (SELECT no, pmid, 0 AS score FROM named UNION ALL SELECT 2, pmid, score FROM scored WHERE score >= 2),
+missing AS (  -- the strategies above hold only if no earlier one finds any paper, and the last topic none at all
+    SELECT count(*) AS n FROM (SELECT pmid FROM relations WHERE contains(lower(name), 'urgent widget of blue economy') OR contains(lower(name), 'qqq') OR contains(lower(name), 'the urgent')
+    UNION ALL SELECT pmid FROM papers WHERE contains(lower(title), 'urgent widget of blue economy') OR contains(lower(title), 'qqq') OR contains(lower(title), 'the urgent')
+    UNION ALL SELECT pmid FROM six WHERE score >= 3)
+)""",
+        """SELECT keyword, strategy, count(pmid) AS papers, CAST(coalesce(sum(pmid), 0) AS BIGINT) AS pmids, CAST(coalesce(sum(score), 0) AS BIGINT) AS score
+FROM asked LEFT JOIN found USING (no), missing WHERE n = 0 GROUP BY keyword, strategy
+UNION ALL SELECT '  ', 'empty', 0, 0, 0 UNION ALL SELECT 'the urgent', 'no_match', 0, 0, 0 UNION ALL SELECT 'qqq www', 'no_match', 0, 0, 0""",
+    ),
 }
