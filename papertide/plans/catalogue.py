@@ -7,9 +7,9 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from papertide.config import DEFAULT
-from papertide.operators import articles, concepts, documents, feasibility, focus, gap, graph, hotspot, hypotheses, landscape, lifecycle, mapping, merge, projection, queue, reports
+from papertide.operators import articles, concepts, documents, feasibility, focus, gap, graph, hotspot, hypotheses, landscape, lifecycle, mapping, merge, projection, queue, reports, runs, sampling
 from papertide.operators.concepts import Concept
-from papertide.plans import hypothesis_twins, landscape_twins, mapping_twins, oracle, topic_twins, twins
+from papertide.plans import hypothesis_twins, landscape_twins, mapping_twins, oracle, run_twins, topic_twins, twins
 from papertide.sources.corpus import Corpus, from_star
 
 FLAGSHIP = "t02_disease_task_coverage"
@@ -143,6 +143,11 @@ TABLE_QUERIES = {
     "b17_hypotheses": hypotheses.hypotheses_of_orders,
     "b02_data_gaps": hypotheses.data_gaps_of_orders,
     "b18_evolution": hypotheses.evolved_orders,
+    "m16_run_states": runs.runs_of_orders,
+    "m16_latest_runs": runs.weeks_of_orders,
+    "v06_latest_results": runs.results_of_events,
+    "v11_support_pmids": runs.support_of_events,
+    "o07_sample": sampling.papers_to_compare,
     "b12_mentions": mapping.mentions_of_parts,
     "b14_gap_diseases": mapping.gaps_of_parts,
     "b14_title_diseases": mapping.titles_of_parts,
@@ -155,4 +160,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.SQL | twins.SQL | mapping_twins.SQL | landscape_twins.SQL | hypothesis_twins.SQL | topic_twins.SQL
+    return oracle.SQL | twins.SQL | mapping_twins.SQL | landscape_twins.SQL | hypothesis_twins.SQL | topic_twins.SQL | run_twins.SQL
