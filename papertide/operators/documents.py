@@ -48,26 +48,37 @@ def heading_type(title: Column) -> Column:
 
 
 def clean_markdown(text: Column) -> Column:
-    """Without images, links unwrapped, white space collapsed."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"!\[[^\]]*\]\([^)]*\)", ""), r"\[([^\]]*)\]\([^)]*\)", "$1")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    """With a blank for each image, links unwrapped, white space of any kind collapsed."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"!\[[^\]]*\]\([^)]+\)", " "), r"\[([^\]]+)\]\([^)]+\)", "$1")
+    return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
+
+
+#: A heading of one to three signs: white space of any kind, its title, and the white space behind it.
+HEADING = r"(?mdU)^#{1,3}\s+(.+?)\s*$"
+#: What stands before and behind a title while a text is split; in texts they are blanks.
+BEFORE, BEHIND = "\ue000", "\ue001"
 
 
 def markdown_sections(docs: DataFrame, key: str, text: str, least: int = 120, most: int | None = None, whole: int | None = None) -> DataFrame:
     """(key, order_idx, title, section_type, content) of Markdown texts, split at # to ### headings.
 
-    What stands before the first heading is `other`; short sections go; a text without any section left is
-    one section by itself. Nothing is cut unless lengths are stated: most for sections, whole for such texts.
+    What stands before the first heading is `other` and called Preamble; short sections go, and those that
+    stay are counted from 0; a text without any section left is one section by itself, Full document.
+    Nothing is cut unless lengths are stated: most for sections, whole for such texts.
     """
     upto = lambda content, n: content if n is None else F.substring(content, 1, n)
-    marked = F.concat(F.lit("\n"), F.col(text))
+    marked = F.regexp_replace(F.translate(F.col(text), BEFORE + BEHIND, "  "), HEADING, f"{BEFORE}$1{BEHIND}")
     section = lambda i, title, content: F.struct(i.alias("order_idx"), title.alias("title"), content.alias("content"))
-    parts = F.transform(F.split(marked, r"\n(?=#{1,3} )"), lambda p, i: section(i, F.regexp_extract(p, r"^#{1,3} +([^\n]*)", 1), clean_markdown(F.regexp_replace(p, r"^#{1,3} +[^\n]*\n?", ""))))
+    pieces = F.split(marked, BEFORE)
+    title = lambda p, i: F.when(i == 0, "Preamble").otherwise(F.substring_index(p, BEHIND, 1))
+    parts = F.transform(pieces, lambda p, i: section(i, F.trim(title(p, i)), clean_markdown(F.substring_index(p, BEHIND, -1))))
     long = F.filter(parts, lambda s: F.length(s["content"]) >= least)
-    rest = F.array(section(F.lit(0), F.lit(""), upto(clean_markdown(F.col(text)), whole)))
+    rest = F.array(section(F.lit(0), F.lit("Full document"), upto(clean_markdown(F.col(text)), whole)))
     rows = docs.select(key, text, long.alias("_s"))
-    kept = F.transform("_s", lambda s: section(s["order_idx"], s["title"], upto(s["content"], most)))
-    return rows.select(key, F.explode(F.when(F.size("_s") > 0, kept).otherwise(rest)).alias("x")).select(key, "x.*").withColumn("section_type", heading_type(F.col("title")))
+    kept = F.transform("_s", lambda s, i: section(i, s["title"], upto(s["content"], most)))
+    named = F.col("title").isin("Preamble", "Full document")
+    out = rows.select(key, F.explode(F.when(F.size("_s") > 0, kept).otherwise(rest)).alias("x")).select(key, "x.*")
+    return out.withColumn("section_type", F.when(named, "other").otherwise(heading_type(F.col("title"))))
 
 
 def merge_sections(sections: DataFrame, key: str) -> DataFrame:

@@ -37,22 +37,36 @@ def disease_task_coverage(corpus: Corpus, focus: str | None = None, config: Engi
     )
 
 
+#: What a small subset is warned of; fixed values.
+FEW_PAPERS = "Focus subset has only {} papers — temporal/combo statistics are low-confidence; do not cite corpus-wide totals."
+NO_PAPERS = "No papers match this focus — gaps may reflect missing extraction, not true absence."
+
+
 def corpus_focus_coverage(corpus: Corpus, focus: str, config: EngineConfig = DEFAULT) -> DataFrame:
-    """One row: how much of the corpus a focus covers."""
+    """One row: how much of the corpus a focus covers.
+
+    Limitations and methods are those of the focus' papers; diseases are those whose names mention the
+    focus, on whatever papers, the five commonest of them listed as name (papers). A subset of few papers
+    carries warnings.
+    """
     chosen = focus_papers(corpus, focus)
     papers = corpus.papers.join(chosen.withColumn("chosen", F.lit(1)), "pmid", "left").agg(
         F.count(F.lit(1)).alias("total_papers"),
         F.count("chosen").alias("focus_papers"),
         F.count_if(F.col("chosen").isNotNull() & F.col("extraction_done")).alias("extracted_papers"),
     )
-    found = corpus.relations.join(chosen, "pmid", "left_semi").agg(
+    found = corpus.typed("Method", "Limitation").join(chosen, "pmid", "left_semi").agg(
         F.count_if(F.col("relation") == "REPORTS_LIMITATION").alias("limitation_relations"),
-        F.count_distinct(F.when(F.col("type") == "Method", F.col("name"))).alias("methods"),
-        F.count_distinct(F.when(F.col("type") == "Disease", F.col("name"))).alias("diseases"),
+        F.count_distinct(F.when((F.col("type") == "Method") & (F.col("relation") == "APPLIES_METHOD"), F.col("name"))).alias("methods"),
     )
+    named = corpus.of("Disease").filter(mentions(F.col("name"), focus)).groupBy("name").agg(F.count_distinct("pmid").alias("n"))
+    first = named.orderBy(F.desc("n"), "name").limit(5).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("r"), "name"))).alias("_top"))  # five rows
+    listed = F.array_join(F.transform("_top", lambda d: F.concat(d["name"], F.lit(" ("), (-d["r"]).cast("string"), F.lit(")"))), "|")
     ratio = F.when(F.col("total_papers") > 0, F.floor(F.col("focus_papers") * 10000 / F.col("total_papers") + 0.5)).otherwise(0)
-    both = papers.withColumn("one", F.lit(1)).join(found.withColumn("one", F.lit(1)), "one").drop("one")
-    return both.withColumns({"coverage_bp": ratio.cast("long"), "analysis_ready": F.col("focus_papers") >= config.ready_papers})
+    both = papers.join(found).join(named.agg(F.count(F.lit(1)).alias("diseases"))).join(first)  # one row each
+    few = F.when(F.col("focus_papers") < config.ready_papers, F.format_string(FEW_PAPERS.replace("{}", "%d"), "focus_papers"))
+    warnings = F.array_join(F.array_compact(F.array(few, F.when(F.col("focus_papers") == 0, NO_PAPERS))), "|")
+    return both.withColumns({"coverage_bp": ratio.cast("long"), "analysis_ready": F.col("focus_papers") >= config.ready_papers, "top_diseases": listed, "warnings": warnings}).drop("_top")
 
 
 def commonest(rows: DataFrame, n: int, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ finds the pairs whose matching blocks cover enough of both by a prefix of their
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from fractions import Fraction
 
@@ -75,9 +75,39 @@ def numbered(text: Column) -> Column:
     return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda o: o == c)).cast("string")))
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, a: str, b: str, percent: int) -> DataFrame:
+def indels(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Twice the longest common subsequence, of all characters; 1 for two empty strings."""
+    for a, b in parts:
+        yield pd.Series([indel(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def indel(x: str, y: str) -> float:
+    """Rows of the subsequence table as bits of one number, a character of y a step."""
+    if not x and not y:
+        return 1.0
+    places: dict[str, int] = {}
+    for i, c in enumerate(x):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    row = full
+    for c in y:
+        met = row & places.get(c, 0)
+        row = ((row + met) | (row - met)) & full
+    return 2 * (len(x) - row.bit_count()) / (len(x) + len(y))
+
+
+def indel_similarity(a: Column, b: Column) -> Column:
+    """The share of characters that insertions and deletions leave; null of null."""
+    ratio = pandas_udf(indels, "double")
+    return F.when(a.isNotNull() & b.isNotNull(), ratio(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, a: str, b: str, percent: int, score: Callable[[Column, Column], Column] = similarity) -> DataFrame:
     """(a, b, similarity): distinct pairs of strings whose similarity is at least `percent` in a hundred.
 
+    score is a measure of the characters in common, of all characters, such as similarity and
+    indel_similarity.
+
     A pair needs that share of common characters, so that the rarest characters of the one, as many as
     can be missed and one more, hold one of the other's; only pairs that share enough are scored. Null
     and empty strings meet nothing.
@@ -102,5 +132,5 @@ def similar_pairs(left: DataFrame, right: DataFrame, a: str, b: str, percent: in
 
     met = prefix(one, "_a").join(prefix(other, "_b"), "char").filter(f"200 * least(_a_n, _b_n) >= {percent} * (_a_n + _b_n)").select("_a", "_b").distinct()
     bound = met.filter(most_similar(F.col("_a"), F.col("_b")) >= percent / 100 - 1e-9)
-    scored = bound.select(F.col("_a").alias(a), F.col("_b").alias(b), similarity(F.col("_a"), F.col("_b")).alias("similarity"))
+    scored = bound.select(F.col("_a").alias(a), F.col("_b").alias(b), score(F.col("_a"), F.col("_b")).alias("similarity"))
     return scored.filter(F.col("similarity") >= percent / 100)

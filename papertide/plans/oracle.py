@@ -185,11 +185,15 @@ SELECT d.name AS disease, count(DISTINCT d.pmid) AS paper_cnt, count(DISTINCT t.
 FROM relations d LEFT JOIN relations t ON t.pmid = d.pmid AND t.type = 'Task'
 WHERE d.type = 'Disease' GROUP BY d.name ORDER BY task_variety, paper_cnt DESC, disease LIMIT {TOP}"""),
     "t03_corpus_focus_coverage": star(FOCUS, """
-SELECT *, CAST(CASE WHEN total_papers > 0 THEN floor(CAST(focus_papers * 10000 AS DOUBLE) / total_papers + 0.5) ELSE 0 END AS BIGINT) AS coverage_bp, focus_papers >= 30 AS analysis_ready
+SELECT *, CAST(CASE WHEN total_papers > 0 THEN floor(CAST(focus_papers * 10000 AS DOUBLE) / total_papers + 0.5) ELSE 0 END AS BIGINT) AS coverage_bp, focus_papers >= 30 AS analysis_ready,
+       CASE WHEN focus_papers < 30 THEN 'Focus subset has only ' || focus_papers || ' papers — temporal/combo statistics are low-confidence; do not cite corpus-wide totals.' ELSE '' END AS warnings
 FROM (SELECT count(*) AS total_papers, count(c.pmid) AS focus_papers, count(*) FILTER (WHERE c.pmid IS NOT NULL AND extraction_done) AS extracted_papers
       FROM papers p LEFT JOIN chosen c ON c.pmid = p.pmid),
-     (SELECT count(*) FILTER (WHERE type = 'Limitation') AS limitation_relations, count(DISTINCT name) FILTER (WHERE type = 'Method') AS methods,
-             count(DISTINCT name) FILTER (WHERE type = 'Disease') AS diseases FROM relations WHERE pmid IN (SELECT pmid FROM chosen))"""),
+     (SELECT count(*) FILTER (WHERE relation = 'REPORTS_LIMITATION') AS limitation_relations, count(DISTINCT name) FILTER (WHERE relation = 'APPLIES_METHOD') AS methods
+      FROM relations WHERE pmid IN (SELECT pmid FROM chosen)),
+     (SELECT count(DISTINCT name) AS diseases FROM relations WHERE relation = 'TARGETS_DISEASE' AND contains(lower(name), 'anvil')),
+     (SELECT string_agg(name || ' (' || n || ')', '|' ORDER BY n DESC, name) AS top_diseases
+      FROM (SELECT name, count(DISTINCT pmid) AS n FROM relations WHERE relation = 'TARGETS_DISEASE' AND contains(lower(name), 'anvil') GROUP BY name ORDER BY n DESC, name LIMIT 5))"""),
     "t04_method_disease_combo_gap": star(GAPS, "SELECT * FROM gaps"),
     "t05_limitation_temporal": star(PROFILES, "SELECT limitation, first_year, last_year, year_span, as_of_year, proposal_age, paper_cnt, asserted_cnt, hypothesized_cnt, early_cnt, recent_cnt, recent_ratio_milli, sections, temporal_status, cites FROM profiles"),
     "t05b_top_by_status": star(PROFILES, """

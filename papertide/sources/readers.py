@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papertide.operators.strings import indel_similarity, similar_pairs
+
 from papertide.functions.dates import parts_date
 
 ARTICLE = """
@@ -80,27 +82,54 @@ def with_citations(papers: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def token_sort_key(name: Column) -> Column:
-    return F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(name, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))), " ")
+    """The words of a name in lower case, between blanks, sorted, repeats included."""
+    return F.array_join(F.array_sort(F.filter(F.split(F.lower(F.coalesce(name, F.lit(""))), r"(?U)\s+"), lambda w: w != "")), " ")
 
 
-def match_journals(imported: DataFrame, journals: DataFrame, threshold: int = 85) -> DataFrame:
-    """imported (row_id, issn, eissn, name) with journal_id: by issn, eissn, name, then by similar sorted words.
+def issn_key(issn: Column) -> Column:
+    """An issn in capitals with a plain hyphen in its middle; null for blanks."""
+    bare = F.regexp_replace(F.translate(F.trim(F.coalesce(issn, F.lit(""))), "–—", "--"), " ", "")
+    whole = F.when(~F.contains(bare, F.lit("-")) & (F.length(bare) == 8), F.concat(F.substring(bare, 1, 4), F.lit("-"), F.substring(bare, 5, 4))).otherwise(bare)
+    return F.nullif(F.upper(whole), F.lit(""))
+
+
+def name_key(name: Column) -> Column:
+    return F.nullif(F.lower(F.trim(F.coalesce(name, F.lit("")))), F.lit(""))
+
 
-    Names compare by edit distance only where they share a word, and the best one at or above the
-    threshold (in percent) is taken.
+def cascade(rows: DataFrame, journals: DataFrame, steps: list[tuple[Column, Column]]) -> DataFrame:
+    """rows with journal_id by the first of some equalities (key of the row, key of the journal); of journals that share a
+    key the last id counts."""
+    tries = []
+    for number, (own, key) in enumerate(steps):
+        table = journals.groupBy(key.alias(f"_k{number}")).agg(F.max("journal_id").alias(f"_j{number}")).filter(F.col(f"_k{number}").isNotNull())
+        rows = rows.join(table, own == F.col(f"_k{number}"), "left").drop(f"_k{number}")
+        tries.append(f"_j{number}")
+    return rows.withColumn("journal_id", F.coalesce(*tries)).drop(*tries)
+
+
+def match_journals(imported: DataFrame, journals: DataFrame, threshold: int = 85) -> DataFrame:
+    """imported (row_id, issn, eissn, name, abbr if it has one) with journal_id: by issn, eissn, name, abbreviation, then
+    by like names.
+
+    Names are alike by their sorted words, in percent of what insertions and deletions leave; the most
+    alike from the threshold on is taken, the least id of equals. journals may have an abbr, too. Names
+    meet by their rarest characters, as many as the threshold lets them miss, so that no common word
+    brings all of them together. A row is matched against the journals as they are, not against rows
+    before it.
     """
-    clean = lambda c: F.nullif(F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), "[^0-9X]", ""), F.lit(""))
-    low = lambda c: F.nullif(F.lower(F.trim(F.coalesce(c, F.lit("")))), F.lit(""))
-    j = journals.groupBy(clean(F.col("issn")).alias("_i")).agg(F.min("journal_id").alias("_id"))
-    n = journals.groupBy(low(F.col("name")).alias("_n")).agg(F.min("journal_id").alias("_id"))
-    exact = lambda rows, table, on, key, out: rows.join(table.withColumnsRenamed({key: f"_{out}k", "_id": out}), on == F.col(f"_{out}k"), "left").drop(f"_{out}k")
-    rows = exact(imported, j, clean(F.col("issn")), "_i", "_1")
-    rows = exact(rows, j, clean(F.col("eissn")), "_i", "_2")
-    rows = exact(rows, n, low(F.col("name")), "_n", "_3").withColumn("journal_id", F.coalesce("_1", "_2", "_3")).drop("_1", "_2", "_3")
-    word = lambda df, c: df.withColumn("_w", F.explode(F.split(c, " ")))
+    abbr = lambda df: F.col("abbr") if "abbr" in df.columns else F.lit(None).cast("string")
+    rows = cascade(imported, journals, [(issn_key(F.col("issn")), issn_key(F.col("issn"))), (issn_key(F.col("eissn")), issn_key(F.col("issn"))), (name_key(F.col("name")), name_key(F.col("name"))), (name_key(abbr(imported)), name_key(abbr(journals)))])
     left = rows.filter("journal_id IS NULL").select("row_id", token_sort_key(F.col("name")).alias("_x"))
     right = journals.select(F.col("journal_id").alias("_id"), token_sort_key(F.col("name")).alias("_y"))
-    near = word(left, "_x").join(word(right, "_y"), "_w").select("row_id", "_id", "_x", "_y").distinct()
-    ratio = F.round(100 * (1 - F.levenshtein("_x", "_y") / F.greatest(F.length("_x"), F.length("_y"), F.lit(1))))
-    best = near.withColumn("ratio", ratio).filter(F.col("ratio") >= threshold).groupBy("row_id").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "_id")).alias("b")).select("row_id", F.col("b._id").alias("_f"))
+    near = similar_pairs(left, right, "_x", "_y", threshold, indel_similarity).join(right, "_y")
+    best = left.join(near, "_x").groupBy("row_id").agg(F.min(F.struct((-F.col("similarity")).alias("r"), "_id")).alias("b")).select("row_id", F.col("b._id").alias("_f"))
     return rows.join(best, "row_id", "left").withColumn("journal_id", F.coalesce("journal_id", "_f")).drop("_f")
+
+
+def linked_papers(papers: DataFrame, journals: DataFrame) -> DataFrame:
+    """papers (journal_id, issn, journal_name, journal_abbr) whose journal is unknown get it by issn, name or abbreviation."""
+    known, unknown = papers.filter("journal_id IS NOT NULL"), papers.filter("journal_id IS NULL").drop("journal_id")
+    low = lambda c: F.nullif(F.lower(F.coalesce(c, F.lit(""))), F.lit(""))
+    found = cascade(unknown, journals, [(issn_key(F.col("issn")), issn_key(F.col("issn"))), (low(F.col("journal_name")), name_key(F.col("name"))), (low(F.col("journal_abbr")), name_key(F.col("abbr")))])
+    return known.unionByName(found)

@@ -64,7 +64,7 @@ def test_markdown_sections(spark):
     docs = spark.createDataFrame([(1, text), (2, "no heading"), (3, "")], "id int, text string")
     got = {(r["id"], r["order_idx"]): r for r in documents.markdown_sections(docs, "id", "text").collect()}
     assert [got[k]["section_type"] for k in sorted(got)] == ["other", "methods", "results", "other", "other"]
-    assert got[1, 3]["content"].startswith("link word") and got[2, 0]["content"] == "no heading"
+    assert got[1, 2]["content"].startswith("link word") and got[2, 0]["content"] == "no heading"
 
 
 def test_fingerprint_and_overlap(spark):
