@@ -73,6 +73,17 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
         _made.remove(folder)
 
 
+def made() -> set[str]:
+    """The folders that this driver has made and not removed yet."""
+    return set(_made)
+
+
+def drop_since(spark: SparkSession, before: set[str], but: str) -> None:
+    """Remove the folders made since made() gave `before`, but for one: call it when what read them is written."""
+    for folder in made() - before - {but}:
+        drop_folder(spark, folder)
+
+
 def release(spark: SparkSession) -> None:
     """Remove all that the operators have written to the shared folder for results of this driver.
 

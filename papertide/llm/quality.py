@@ -4,6 +4,7 @@ Two multinomials over hashed word unigrams and bigrams are counted: one over tru
 (labelled good and not toxic), one over all documents. A document's score is the mean log-ratio of its
 n-grams, whatever its length; every document is held against one threshold, which lies as far below
 the scores' lower end as that lies below their middle, among trusted documents that weren't counted.
+Where documents labelled bad score lower than that end, it lies at least halfway between the two.
 Only DataFrame functions run here.
 """
 
@@ -21,8 +22,10 @@ from .common import WORD_SPACE, drop_folder, read_table, settle, shared_dir
 BUCKETS, TRUSTED, PSEUDO, SCALE_BITS = 32_768, 20_000, 1.0, 20
 #: Trusted documents are dealt into four folds by id: counted, counted, for the threshold, held out.
 COUNTED, CALIBRATION, HELD_OUT = (0, 1), 2, 3
-#: The lower end: the part of trusted documents below it. The threshold where none is left to find one by.
-LOWER_END, UNCALIBRATED = 0.001, -0.25
+#: Documents labelled bad are dealt alike: those whose scores place the threshold; the others are held out.
+REJECTED = (0, 1)
+#: The lower end: the part of trusted documents below it. The upper end of bad ones: the part below it. The threshold where none is left to find one by.
+LOWER_END, UPPER_END, UNCALIBRATED = 0.001, 0.84, -0.25
 #: Characters that count as symbols, and the base rules' limits; fixed values.
 SYMBOLS, MIN_WORDS, REPEAT_PERCENT = "#*$%&|<>", 50, 50
 BLANK = " \t\n\x0b\x0c\r"
@@ -49,12 +52,6 @@ def bucket(hash_: Column) -> Column:
     return F.pmod(hash_, F.lit(BUCKETS)).cast("int")
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """(_pt_trusted, _pt_fold) of at most so many documents that are labelled good and not toxic."""
-    good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_pt_trusted")).distinct()
-    return good.orderBy(F.xxhash64("_pt_trusted"), "_pt_trusted").limit(most).withColumn("_pt_fold", F.pmod(F.xxhash64("_pt_trusted", F.lit("fold")), F.lit(4)))
-
-
 def weights_of(docs: DataFrame, trusted: DataFrame, folder: str) -> list[int] | None:
     """The log-ratio of each counter, in whole 2**-SCALE_BITS; None without any trusted text.
 
@@ -89,18 +86,43 @@ def grams_of(words: Column) -> Column:
     return F.greatest(2 * words - 1, F.lit(0))
 
 
-def scores_of(docs: DataFrame, trusted: DataFrame, weights: list[int], fold: int) -> DataFrame:
-    """(doc_id, score): the mean log-ratio of the trusted documents of one fold, in 2**-SCALE_BITS nats."""
-    few = F.broadcast(trusted.filter(F.col("_pt_fold") == fold).select("_pt_trusted"))  # TRUSTED rows at most
-    words = counted_words(docs.join(few, F.col("doc_id") == F.col("_pt_trusted"), "left_semi")).filter(F.size("_pt_words") >= MIN_WORDS)
-    return words.select("doc_id", (summed(constant(weights), "_pt_one", "_pt_two") / grams_of(F.size("_pt_words"))).alias("score"))
+def dealt(labels: DataFrame, which: str, most: int) -> DataFrame:
+    """(_pt_trusted, _pt_fold) of at most so many labelled documents, those of the least id hashes."""
+    some = labels.filter(which).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_pt_trusted")).distinct()
+    return some.orderBy(F.xxhash64("_pt_trusted"), "_pt_trusted").limit(most).withColumn("_pt_fold", F.pmod(F.xxhash64("_pt_trusted", F.lit("fold")), F.lit(4)))
+
+
+def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
+    """Documents that are labelled good and not toxic."""
+    return dealt(labels, "quality = 1 AND coalesce(toxic, 0) = 0", most)
+
+
+def rejected_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
+    """Documents that are labelled bad, and not good besides."""
+    good = labels.filter("quality = 1").select("doc_id")
+    return dealt(labels.join(good, "doc_id", "left_anti"), "quality = 0", most)
+
 
+def scores_of(docs: DataFrame, ids: DataFrame, weights: list[int]) -> DataFrame:
+    """(doc_id, good, score): the mean log-ratio of the documents of a bounded table (_pt_trusted, good), in 2**-SCALE_BITS nats."""
+    words = counted_words(docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_pt_trusted"))).filter(F.size("_pt_words") >= MIN_WORDS)  # 2 * TRUSTED rows at most
+    return words.select("doc_id", "good", (summed(constant(weights), "_pt_one", "_pt_two") / grams_of(F.size("_pt_words"))).alias("score"))
 
-def threshold_of(docs: DataFrame, trusted: DataFrame, weights: list[int]) -> int:
-    """The least mean log-ratio, in whole 2**-SCALE_BITS nats, from the scores of the fold kept for it."""
-    scores = scores_of(docs, trusted, weights, CALIBRATION)
-    low, middle = scores.agg(F.percentile("score", F.array(F.lit(LOWER_END), F.lit(0.5))).alias("p")).first()["p"] or (None, None)
-    return int(UNCALIBRATED * (1 << SCALE_BITS)) if low is None else int(2 * low - middle)
+
+def threshold_of(docs: DataFrame, trusted: DataFrame, rejected: DataFrame, weights: list[int]) -> int:
+    """The least mean log-ratio, in whole 2**-SCALE_BITS nats, from the scores of the folds kept for it, by one pass.
+
+    From few trusted documents the lower end is uncertain, and so is what lies below it; the bad ones then
+    keep the threshold from falling among them.
+    """
+    ids = trusted.filter(F.col("_pt_fold") == CALIBRATION).select("_pt_trusted", F.lit(True).alias("good")).union(rejected.filter(F.col("_pt_fold").isin(*REJECTED)).select("_pt_trusted", F.lit(False).alias("good")))
+    of = lambda good, *parts: F.percentile(F.when(F.col("good") == good, F.col("score")), F.array(*map(F.lit, parts)))
+    row = scores_of(docs, ids, weights).agg(of(True, LOWER_END, 0.5).alias("good"), of(False, UPPER_END).alias("bad")).first()
+    if row["good"] is None:
+        return int(UNCALIBRATED * (1 << SCALE_BITS))
+    low, middle = row["good"]
+    high = row["bad"][0] if row["bad"] else None
+    return int(2 * low - middle if high is None or high >= low else max(2 * low - middle, (low + high) / 2))
 
 
 def with_quality(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
@@ -120,7 +142,8 @@ def with_quality(docs: DataFrame, labels: DataFrame, threshold: float | None = N
     if weights is None:
         least = 0
     else:
-        least = threshold_of(plain, trusted, weights) if threshold is None else int(threshold * (1 << SCALE_BITS))
+        rejected = settle(rejected_ids(labels), folder, "rejected")
+        least = threshold_of(plain, trusted, rejected, weights) if threshold is None else int(threshold * (1 << SCALE_BITS))
     drop_folder(docs.sparkSession, folder)
     text = F.coalesce(F.col("text"), F.lit(""))
     w, lines = F.col("_pt_words"), F.col("_pt_lines")
@@ -153,9 +176,10 @@ def with_quality(docs: DataFrame, labels: DataFrame, threshold: float | None = N
 def held_out_recall(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(quality, toxic, docs, base_kept, kept): verdicts on labelled documents that took no part in the fit.
 
-    Of good ones that is the fold held out; of the others, all, since the fit reads none of them.
+    Of good ones that is the fold held out, of bad ones those that don't place the threshold; of the
+    others, all, since the fit reads none of them.
     """
-    fit = trusted_ids(labels).filter(F.col("_pt_fold") != HELD_OUT).select("_pt_trusted")
+    fit = trusted_ids(labels).filter(F.col("_pt_fold") != HELD_OUT).union(rejected_ids(labels).filter(F.col("_pt_fold").isin(*REJECTED))).select("_pt_trusted")
     judged = with_quality(docs.select("doc_id", "text"), labels).join(F.broadcast(fit), F.col("doc_id") == F.col("_pt_trusted"), "left_anti")
     marks = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     tally = judged.join(marks, "doc_id").groupBy("quality", "toxic")

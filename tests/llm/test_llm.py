@@ -484,7 +484,9 @@ def brute_scores(rows, labels):
     one = lambda w: signed(xxhash.xxh64_intdigest(w.encode(), 42))
     then = lambda h, x: signed(xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), h % (1 << 64)))
     good = {d for d, q, t in labels if q == 1 and not t and d is not None}
-    fold = {d: signed(xxhash.xxh64_intdigest(b"fold", then(42, d) % (1 << 64))) % 4 for d in good}
+    place = lambda d: signed(xxhash.xxh64_intdigest(b"fold", then(42, d) % (1 << 64))) % 4
+    fold = {d: place(d) for d in good}
+    bad = {d for d, q, _ in labels if q == 0} - {d for d, q, _ in labels if q == 1}
     grams = []
     for _, text in rows:
         h = [one(w) for w in WORD.findall(text or "")]
@@ -497,9 +499,10 @@ def brute_scores(rows, labels):
     weights = np.floor((np.log(share(trusted)) - np.log(share(raw))) * 2**20 + 0.5).astype(int)
     weights[raw == 0] = 0
     sums = [int(weights[g].sum()) for g in grams]
-    means = [s / len(g) for s, g, (d, t) in zip(sums, grams, rows, strict=True) if fold.get(d) == 2 and len(WORD.findall(t or "")) >= 50]
-    low, middle = np.quantile(means, [0.001, 0.5])
-    return sums, [len(g) for g in grams], 2 * low - middle
+    means = lambda chosen: [s / len(g) for s, g, (d, t) in zip(sums, grams, rows, strict=True) if d is not None and chosen(d) and len(WORD.findall(t or "")) >= 50]
+    low, middle = np.quantile(means(lambda d: fold.get(d) == 2), [0.001, 0.5])
+    high = np.quantile(means(lambda d: d in bad and place(d) in (0, 1)), 0.84)
+    return sums, [len(g) for g in grams], max(2 * low - middle, (low + high) / 2) if high < low else 2 * low - middle
 
 
 def test_scores_against_brute_force(spark):
