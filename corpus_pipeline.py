@@ -1,8 +1,8 @@
 """A training corpus from raw documents: quality rules, near duplicates, secrets, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but
-the last return the columns of documents. Between stages rows are written as Parquet and read again,
-and removed when the next stage has been written. Columns besides those of documents are left out,
+the last return the columns of documents. Between stages rows are written as Parquet and read again;
+when a stage has been written, the rows that it read and all that its operators have left go. Columns besides those of documents are left out,
 whatever their names. An empty table of documents gives an empty result.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papertide.llm import jaccard, packing, quality, secrets_index
-from papertide.llm.common import drop_folder, read_table, settle, shared_dir, tokenizer_path
+from papertide.llm.common import drop_folder, drop_since, made, read_table, settle, shared_dir, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -68,10 +68,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one behind the other, from the documents of sf_dir."""
     rows, before = read_table(spark, sf_dir, "documents"), None
     for number, (name, stage) in enumerate(STAGES):
+        held = made()
         rows = stage(spark, rows, sf_dir)
         if number < len(STAGES) - 1:
             folder = shared_dir(spark)
             rows = settle(rows, folder, f"{number}_{name}")
+            drop_since(spark, held, folder)
             if before:
                 drop_folder(spark, before)
             before = folder
