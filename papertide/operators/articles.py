@@ -30,10 +30,13 @@ def parsed(xml: str | None) -> dict | None:
     except ET.ParseError:
         return None
     ids: dict[str, str] = {}
-    for found in root.findall(".//article-meta/article-id"):
-        kind = {"pmc": "pmcid"}.get(found.get("pub-id-type", ""), found.get("pub-id-type", ""))
-        if value := (found.text or "").strip():
-            ids.setdefault(kind, value)
+    meta = root.find(".//article-meta")  # a second one belongs to an inner article
+    for found in meta.findall("article-id") if meta is not None else []:
+        kind, value = found.get("pub-id-type", ""), (found.text or "").strip()
+        if value and kind in ("pmid", "doi"):
+            ids[kind] = value  # the last one counts
+        elif value and kind in ("pmcid", "pmc"):
+            ids.setdefault("pmcid", value)
     abstract, parts = root.find(".//abstract"), []
     if abstract is not None:
         parts = [piece(sec, 0, plain(sec)) for sec in abstract.findall("sec")] or [{"title": None, "sec_type": None, "depth": 0, "content": plain(abstract)}]

@@ -114,3 +114,15 @@ def alias_map(concepts: DataFrame, target: str = "canonical") -> DataFrame:
     named = aliases(concepts).select("place", "alias").join(concepts.select("place", F.col(target).alias("target")), "place")
     low = named.unionByName(sites).withColumn("alias", F.lower("alias"))
     return low.groupBy("alias").agg(F.max_by("target", "place").alias("target"))
+
+
+def expanded(foci: DataFrame, concepts: DataFrame, column: str = "focus") -> DataFrame:
+    """foci with all that their concept stands for: concept_id, canonical, phrases (in lower case with the canonical name,
+    sorted, without repeats), sites, histology, abbreviations, zh and morphology; null and empty where there is none."""
+    known = resolved(foci, concepts, column)
+    phrases = F.array_sort(F.array_distinct(F.transform(F.concat(F.array("canonical"), "phrases"), lambda p: F.lower(p))))
+    lists = ("sites", "histology", "abbreviations", "zh", "morphology")
+    table_ = concepts.groupBy("concept_id").agg(F.min_by(F.struct(phrases.alias("phrases"), *lists), "place").alias("_c"))
+    none = F.array().cast("array<string>")
+    rows = known.join(table_, "concept_id", "left")
+    return rows.select(*foci.columns, "concept_id", "canonical", *[F.coalesce(F.col("_c")[c], none).alias(c) for c in ("phrases", *lists)])

@@ -81,6 +81,11 @@ def markdown_sections(docs: DataFrame, key: str, text: str, least: int = 120, mo
     return out.withColumn("section_type", F.when(named, "other").otherwise(heading_type(F.col("title"))))
 
 
+def truncated(text: Column, most: int) -> Column:
+    """The text, or so many of its characters and a mark that more follow; none or fewer than none is no limit."""
+    return text if most <= 0 else F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("\n... [truncated]"))).otherwise(text)
+
+
 def merge_sections(sections: DataFrame, key: str) -> DataFrame:
     """One row for each key and section type: contents in order, joined by blank lines, the first title that isn't empty."""
     filled = sections.filter(F.trim("content") != "")

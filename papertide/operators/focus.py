@@ -226,3 +226,27 @@ def limitations_for_topic(corpus: Corpus, keyword: str, limit: int) -> DataFrame
     found, _ = topic_papers(corpus, keyword)
     rows = corpus.of("Limitation").join(found.select("pmid"), "pmid", "left_semi").join(corpus.papers.select("pmid"), "pmid", "left_semi")
     return rows.select(F.col("name").alias("limitation"), "pmid", "section", "quote").orderBy("pmid", "limitation").limit(limit)
+
+
+def supporting_papers(corpus: Corpus, pmids: DataFrame, limit: int) -> DataFrame:
+    """The papers of some pmids (pmid) with their journal's quartile and impact factor, the latest first; blank and repeated
+    pmids don't matter."""
+    asked = pmids.select(F.expr("try_cast(trim(CAST(pmid AS STRING)) AS BIGINT)").alias("pmid")).filter("pmid IS NOT NULL").distinct()
+    rows = corpus.judged.join(asked, "pmid", "left_semi").select("pmid", "title", F.col("year").alias("yr"), "citation_count", "quartile", "if_cents")
+    return rows.orderBy(F.desc("yr"), "pmid").limit(max(limit, 0))
+
+
+def supporting_papers_for(corpus: Corpus, keyword: str, limit: int, concepts: Iterable[Concept] = ()) -> DataFrame:
+    """The latest papers of a topic."""
+    return supporting_papers(corpus, topic_papers(corpus, keyword, concepts)[0].select("pmid"), limit)
+
+
+def harvested_or_corpus(corpus: Corpus, harvested: DataFrame, focus: str | None, limit: int = 50, concepts: Iterable[Concept] = ()) -> tuple[DataFrame, str]:
+    """Papers that tools have brought (place, ...), the first of them; if there are none, those of the focus, and how they
+    were found."""
+    first = harvested.orderBy("place").limit(limit)
+    if not first.isEmpty():
+        return first, "debate_tools"
+    if not (phrase := normalized(focus)):
+        return first, "empty"
+    return search_papers(corpus, phrase, limit, concepts=concepts), f"corpus_{topic_papers(corpus, phrase, concepts)[1]}"

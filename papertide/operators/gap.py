@@ -203,3 +203,45 @@ def corpus_stats(corpus: Corpus) -> DataFrame:
         F.count(F.lit(1)).alias("relations"), F.count_distinct("type", "name").alias("entities"), F.count_if(F.col("polarity") == "hypothesized").alias("hypothesized"),
     )
     return papers.withColumn("one", F.lit(1)).join(found.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+def metric_lists(corpus: Corpus, focus: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The statements of metrics whose names mention the focus: those backed by a results section, by paper, and all."""
+    rows = metric_evidence(corpus, focus)
+    return rows.filter("results_backed").orderBy("pmid", "metric"), rows
+
+
+#: Where a paper's full text comes from by its status, what a relation was extracted from, and sources of citations; fixed values.
+STATUSES = {"fulltext_jats": "available", "fulltext_mineru_pdf": "pdf_available", "fulltext_unavailable": "unavailable"}
+GRANULARITIES = {"relations_fulltext": "fulltext", "relations_mineru_pdf": "mineru_pdf", "relations_abstract": "abstract"}
+SOURCES = {"citations_openalex": "openalex", "citations_semantic_scholar": "semantic_scholar"}
+PRECISIONS = {f"date_precision_{p}": p for p in ("day", "month", "year", "unknown")}
+
+
+def database_stats(papers: DataFrame, relations: DataFrame, journals: DataFrame, sections: DataFrame) -> DataFrame:
+    """(metric, value): the counts of a whole database, one pass over each table.
+
+    papers (full_text_status, extraction_done, citation_source, date_precision), relations (type, name,
+    granularity), journals (if_cents) and sections, of which rows are counted. Null and empty precisions are
+    missing; null, empty and unavailable sources aren't enriched. fulltext_available sums both kinds.
+    """
+    count = lambda column, values: [F.count_if(F.col(column) == v).alias(n) for n, v in values.items()]
+    source = F.coalesce("citation_source", F.lit(""))
+    of_papers = papers.agg(
+        F.count(F.lit(1)).alias("papers"), *count("full_text_status", STATUSES), F.count_if(F.col("full_text_status").isin("available", "pdf_available")).alias("fulltext_available"), F.count_if("extraction_done").alias("extracted"),
+        F.count_if(~source.isin("", "unavailable")).alias("s2_enriched"), *count("citation_source", SOURCES), *count("date_precision", PRECISIONS), F.count_if(F.coalesce("date_precision", F.lit("")) == "").alias("date_precision_missing"),
+    )
+    of_relations = relations.agg(F.count(F.lit(1)).alias("relations"), F.count_distinct("type", "name").alias("entities"), *count("granularity", GRANULARITIES))
+    of_journals = journals.agg(F.count("if_cents").alias("journals_with_if"))
+    rows = None
+    for one in (of_papers, of_relations, of_journals, sections.agg(F.count(F.lit(1)).alias("sections"))):
+        told = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("long").alias("value")) for c in one.columns])))
+        rows = told if rows is None else rows.unionByName(told)
+    return rows
+
+
+def stats_of_corpus(corpus: Corpus) -> DataFrame:
+    """The corpus as a database: sources by the paper's key, granularity by section, limitations as sections."""
+    papers = corpus.papers.withColumn("citation_source", F.expr("CASE pmid % 5 WHEN 0 THEN 'openalex' WHEN 1 THEN 'semantic_scholar' WHEN 2 THEN 'unavailable' WHEN 3 THEN 'other' END")).withColumn("date_precision", F.expr("IF(pmid % 7 = 0, '', date_precision)"))
+    relations = corpus.relations.withColumn("granularity", F.expr("CASE section WHEN 'results' THEN 'fulltext' WHEN 'methods' THEN 'mineru_pdf' WHEN 'discussion' THEN 'abstract' END"))
+    return database_stats(papers, relations, corpus.journals, corpus.of("Limitation"))

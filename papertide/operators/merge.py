@@ -143,3 +143,10 @@ def merged_lines(spark, sf_dir: str) -> DataFrame:
 def papers_without_relations(spark, sf_dir: str) -> DataFrame:
     orders, lines = spark.read.parquet(f"{sf_dir}/orders.parquet"), spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left_anti").select(F.col("o_orderkey").alias("pmid"), F.col("o_orderstatus").alias("status"))
+
+
+def new_links(known: DataFrame, arriving: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The arriving links whose key isn't known yet, the first of each by order; a key with a null links nothing."""
+    whole = arriving.dropna(subset=key)
+    first = whole.groupBy(*key).agg(F.min_by(F.struct(*[c for c in whole.columns if c not in key]), order).alias("_l")).select(*key, "_l.*")
+    return first.join(known.select(*key), key, "left_anti").select(*arriving.columns)

@@ -64,6 +64,8 @@ CORPUS_QUERIES = {
     "t17_shared_entities": lambda c: lifecycle.shared_entities(c, lifecycle.temporal_profiles(c)),
     "t17_shared_entity_rows": lambda c: lifecycle.shared_entity_rows(c, lifecycle.temporal_profiles(c)),
     "a09_corpus_stats": gap.corpus_stats,
+    "a09_database_stats": gap.stats_of_corpus,
+    "p06_expanded_foci": lambda c: concepts.expanded(c.of("Disease").select("name").distinct(), concepts.table(c.papers.sparkSession, CONCEPTS), "name").select("name", "concept_id", "canonical", *[F.array_join(x, "|").alias(x) for x in ("phrases", "sites", "morphology")]),
     "a16_method_disease_pivot": gap.method_disease_pivot,
     "h01_window_counts": hotspot.window_counts,
     "h02_emerging_methods": lambda c: hotspot.emerging_entities(c, "Method"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from papertide.plans import twins
 from papertide.plans.oracle import star
 
 
@@ -47,4 +48,18 @@ missing AS (  -- the strategies above hold only if no earlier one finds any pape
 FROM asked LEFT JOIN found USING (no), missing WHERE n = 0 GROUP BY keyword, strategy
 UNION ALL SELECT '  ', 'empty', 0, 0, 0 UNION ALL SELECT 'the urgent', 'no_match', 0, 0, 0 UNION ALL SELECT 'qqq www', 'no_match', 0, 0, 0""",
     ),
+    "a09_database_stats": star("""told AS (
+    SELECT *, CASE pmid % 5 WHEN 0 THEN 'openalex' WHEN 1 THEN 'semantic_scholar' WHEN 2 THEN 'unavailable' WHEN 3 THEN 'other' END AS src, CASE WHEN pmid % 7 <> 0 THEN date_precision END AS prec FROM papers
+)""", " UNION ALL ".join(f"SELECT '{name}' AS metric, count(*) AS value FROM {rows}" for name, rows in {
+        "papers": "told", "fulltext_jats": "told WHERE full_text_status = 'available'", "fulltext_mineru_pdf": "told WHERE full_text_status = 'pdf_available'", "fulltext_unavailable": "told WHERE full_text_status = 'unavailable'",
+        "fulltext_available": "told WHERE full_text_status IN ('available', 'pdf_available')", "extracted": "told WHERE extraction_done", "s2_enriched": "told WHERE src <> 'unavailable'", "citations_openalex": "told WHERE src = 'openalex'",
+        "citations_semantic_scholar": "told WHERE src = 'semantic_scholar'", "date_precision_day": "told WHERE prec = 'day'", "date_precision_month": "told WHERE prec = 'month'", "date_precision_year": "told WHERE prec = 'year'",
+        "date_precision_unknown": "told WHERE prec = 'unknown'", "date_precision_missing": "told WHERE prec IS NULL", "relations": "relations", "entities": "(SELECT DISTINCT type, name FROM relations)",
+        "relations_fulltext": "relations WHERE section = 'results'", "relations_mineru_pdf": "relations WHERE section = 'methods'", "relations_abstract": "relations WHERE section = 'discussion'",
+        "journals_with_if": "journals WHERE if_cents IS NOT NULL", "sections": "relations WHERE type = 'Limitation'",
+    }.items())),
+    "p06_expanded_foci": f"""
+SELECT k.name, k.concept_id, k.canonical, coalesce(phrases, '') AS phrases, coalesce(sites, '') AS sites, coalesce(morphology, '') AS morphology
+FROM ({twins.SQL["p05_resolved_foci"]}) k LEFT JOIN (VALUES
+    ('anvils', 'blue anvil|new  gear|red anvil', 'hot|cold', ''), ('widgets', 'old widget|small widget', 'widget|gizmo', 'large|tiny')) c(concept_id, phrases, sites, morphology) ON c.concept_id = k.concept_id""",
 }
