@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from papertide.operators.strings import overlapping
+
 #: Section types of structured articles by the first word that a section's type or title holds; fixed values.
 SECTION_WORDS = (
     ("introduction", ("introduction", "background", "overview")),
@@ -115,11 +117,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def revisited(titles: DataFrame, memory: DataFrame, threshold: float = 0.55) -> DataFrame:
-    """titles (title) with whether any title of memory overlaps; they meet by a shared token, never all with all."""
+    """titles (title) with whether any title of memory overlaps; they meet by their rarest tokens, never all with all."""
     t = titles.select("title").distinct().withColumn("a", fingerprint_tokens(F.col("title")))
     m = memory.select(F.col("title").alias("old")).distinct().withColumn("b", fingerprint_tokens(F.col("old")))
-    near = t.withColumn("k", F.explode("a")).join(m.withColumn("k", F.explode("b")), "k").select("title", "old", "a", "b").distinct()
-    hits = near.filter(jaccard(F.col("a"), F.col("b")) >= threshold).select("title").distinct().withColumn("revisited", F.lit(True))
+    hits = overlapping(t, m, int(threshold * 100)).filter(jaccard(F.col("a"), F.col("b")) >= threshold).select("title").distinct().withColumn("revisited", F.lit(True))
     return titles.join(hits, "title", "left").withColumn("revisited", F.coalesce("revisited", F.lit(False)))
 
 
@@ -179,7 +180,7 @@ def title_overlap(spark, sf_dir: str) -> DataFrame:
     titles = read(spark, sf_dir, "part").select(F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("title")).distinct()
     t = titles.withColumn("a", fingerprint_tokens(F.col("title")))
     other = t.select(F.col("title").alias("other"), F.col("a").alias("b"))
-    near = t.withColumn("k", F.explode("a")).join(other.withColumn("k", F.explode("b")), "k").filter("title < other").select("title", "other", "a", "b").distinct()
+    near = overlapping(t, other, 50).filter("title < other")
     shared = F.size(F.array_intersect("a", "b"))
     return near.filter(shared * 100 >= 50 * F.size(F.array_union("a", "b"))).select("title", "other", shared.cast("long").alias("shared"))
 

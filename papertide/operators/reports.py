@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from papertide.operators.documents import fingerprint, fingerprint_tokens, jaccard
+from papertide.operators.strings import overlapping
 
 #: Headings, numbered lines and labels of reports; fixed formats.
 GAP = r"(?:研究空白|Research\s+Gap|Gap|候选空白)"
@@ -74,13 +75,13 @@ def resolved_items(titles: DataFrame, items: DataFrame, run: str = "run_id", lea
     """titles (run, title) with the item of their run that each means, null where none does.
 
     The same title without case and outer blanks wins, then the largest overlap of words of at least `least`,
-    ties to the smaller item_id. Titles and items of a run meet by a shared word. Blank titles mean nothing.
+    ties to the smaller item_id. Titles and items of a run meet by their rarest words. Blank titles mean nothing.
     """
     asked = titles.select(run, "title").distinct().withColumns({"_low": F.lower(F.trim("title")), "_a": fingerprint_tokens(F.col("title"))}).filter("_low <> ''")
     known = items.select(run, "item_id", F.lower(F.trim(F.coalesce("title", F.lit("")))).alias("_other"), fingerprint_tokens(F.coalesce("title", F.lit(""))).alias("_b"))
     same = asked.join(known.withColumnRenamed("_other", "_low").drop("_b"), [run, "_low"]).select(run, "title", "item_id", F.lit(2.0).alias("score"))
-    near = asked.withColumn("_w", F.explode("_a")).join(known.withColumn("_w", F.explode("_b")), [run, "_w"])
-    scored = near.select(run, "title", "item_id", jaccard(F.col("_a"), F.col("_b")).alias("score")).filter(F.col("score") >= least)
+    near = overlapping(asked.select(run, "title", F.col("_a").alias("a")), known.select(run, "item_id", F.col("_b").alias("b")).distinct(), int(least * 100), (run,))
+    scored = near.select(run, "title", "item_id", jaccard(F.col("a"), F.col("b")).alias("score")).filter(F.col("score") >= least)
     best = same.unionByName(scored).groupBy(run, "title").agg(F.max_by("item_id", F.struct("score", -F.col("item_id"))).alias("item_id"))
     return titles.join(best, [run, "title"], "left")
 

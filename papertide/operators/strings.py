@@ -134,3 +134,25 @@ def similar_pairs(left: DataFrame, right: DataFrame, a: str, b: str, percent: in
     bound = met.filter(most_similar(F.col("_a"), F.col("_b")) >= percent / 100 - 1e-9)
     scored = bound.select(F.col("_a").alias(a), F.col("_b").alias(b), score(F.col("_a"), F.col("_b")).alias("similarity"))
     return scored.filter(F.col("similarity") >= percent / 100)
+
+
+def overlapping(left: DataFrame, right: DataFrame, percent: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """left (..., a) beside right (..., b), once for each two rows whose token sets a and b can overlap by `percent` of
+    all their tokens in a hundred, within equal columns of `by`; an exact test is to follow.
+
+    Such sets share at least that part of the larger one, so that their rarest tokens, as many as can be
+    missed and one more, have one in common: no token that all rows hold brings them together. Rows with
+    no tokens meet nothing; rows of either side must be distinct.
+    """
+    by_list = list(by)
+    tokens = lambda rows, c: rows.select(*by_list, F.explode(c).alias("_token"))
+    often = tokens(left, "a").unionAll(tokens(right, "b")).groupBy(*by_list, "_token").agg(F.count(F.lit(1)).alias("_n"))
+
+    def prefix(rows: DataFrame, c: str) -> DataFrame:
+        spare = F.floor(F.size(c) * (100 - percent) / 100 + 1e-9) + 1
+        each = rows.select(*rows.columns, F.explode(c).alias("_token")).join(often, [*by_list, "_token"])
+        ranked = each.groupBy(*rows.columns).agg(F.array_sort(F.collect_list(F.struct("_n", "_token"))).alias("_ranked"))
+        return ranked.select(*rows.columns, F.explode(F.slice("_ranked", F.lit(1), spare.cast("int"))).alias("_r")).select(*rows.columns, "_r._token")
+
+    met = prefix(left, "a").join(prefix(right, "b"), [*by_list, "_token"]).filter(f"100 * least(size(a), size(b)) >= {percent} * greatest(size(a), size(b))")
+    return met.drop("_token").distinct()

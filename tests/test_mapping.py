@@ -78,3 +78,18 @@ def test_mentions(spark):
         spark.createDataFrame([(0, "A", "lung", "", 1), (1, "C", "Lung cancer of all", "", 1)], "place int, disease_id string, name string, name_en string, cases int"),
     ).collect()
     assert {(r.mention, r.code, r.place, r.source) for r in rows} == {("Lung", "B", 0, "text_disease_match"), ("Lung", "A", 1, "text_disease_match"), ("Lung", "C", 1, "disease_dict"), ("lung cancer", "B", 0, "text_disease_match"), ("lung cancer", "A", 1, "text_disease_match"), ("lung cancer", "C", 1, "disease_dict")}
+
+
+def test_overlapping_sets(spark):
+    rng = random.Random(9)
+    sets = lambda n: [(i, rng.randint(0, 2), sorted(set(rng.choices("abcdefghij", k=rng.randint(0, 7))))) for i in range(n)]
+    left, right = sets(60), sets(60)
+    a, b = spark.createDataFrame(left, "x int, g int, a array<string>"), spark.createDataFrame(right, "y int, g int, b array<string>")
+    share = lambda p, q: len(set(p) & set(q)) / max(1, len(set(p) | set(q)))
+    for percent in (50, 55, 80, 100):
+        met = {(r.x, r.y) for r in strings.overlapping(a, b, percent, ("g",)).collect()}
+        want = {(i, j) for i, g, p in left for j, k, q in right if g == k and p and q and 100 * len(set(p) & set(q)) >= percent * len(set(p) | set(q))}
+        assert want <= met and all(share(left[i][2], right[j][2]) > 0 for i, j in met)
+    # a token that all rows hold brings none of them together
+    crowd = spark.range(300).selectExpr("id", "array('all', concat('o', id), concat('p', id)) AS a")
+    assert strings.overlapping(crowd, crowd.selectExpr("id AS other", "a AS b"), 55).filter("id <> other").count() == 0
