@@ -204,3 +204,12 @@ def lifecycle_stats(profiles: DataFrame, signals: DataFrame | None = None) -> Da
     if signals is None:
         return counts
     return counts.unionByName(signals.groupBy(F.col("signal_type").alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("signal").alias("kind"), "value", "n"))
+
+
+def limitation_lifecycle_counts(profiles: DataFrame, signals: DataFrame, least: float = 0.7) -> DataFrame:
+    """One row: profiles, those of each status, signals, and limitations with a topic follow-up of at least so much
+    confidence."""
+    of = lambda status: F.count_if(F.col("temporal_status") == status).alias(status)
+    one = profiles.agg(F.count(F.lit(1)).alias("limitation_temporal"), of("persistent"), of("declining"), of("emerging"))
+    sure = F.when((F.col("signal_type") == "topic_followup") & (F.col("confidence") >= least), F.col("limitation"))
+    return one.join(signals.agg(F.count(F.lit(1)).alias("resolution_signals"), F.count_distinct(sure).alias("topic_followup_moderate")))  # one row each

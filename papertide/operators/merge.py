@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from papertide.operators.checkpoints import checkpointed
 from papertide.sources.corpus import Corpus
 
 #: Strength of an evidence's origin and of an access class; fixed values.
@@ -150,3 +151,34 @@ def new_links(known: DataFrame, arriving: DataFrame, key: list[str], order: str)
     whole = arriving.dropna(subset=key)
     first = whole.groupBy(*key).agg(F.min_by(F.struct(*[c for c in whole.columns if c not in key]), order).alias("_l")).select(*key, "_l.*")
     return first.join(known.select(*key), key, "left_anti").select(*arriving.columns)
+
+
+def upserted_journals(journals: DataFrame, arriving: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """arriving (seq, name, abbr, issn) with the journal_id that each means, and the journals (journal_id, name, abbr,
+    issn) with the new ones.
+
+    A row means the journal of its issn, else that of its name as written; else it is new. New rows of one
+    name are one journal, as the first of them tells it, and rows of its issn mean it too. Blank names and
+    issns match nothing; rows without a name are no journals and mean the one of their issn or none. Of known
+    journals that share a key the least id counts. New ids follow the greatest one, in the order of names.
+    """
+    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    rows = arriving.select("seq", blank("name").alias("name"), blank("abbr").alias("abbr"), blank("issn").alias("issn"))
+
+    def meant(rows: DataFrame, known: DataFrame) -> DataFrame:
+        by = lambda c: known.filter(blank(c).isNotNull()).groupBy(blank(c).alias(f"_{c}")).agg(F.min("journal_id").alias(f"_by_{c}"))
+        found = rows.join(by("issn"), F.col("issn") == F.col("_issn"), "left").join(by("name"), F.col("name") == F.col("_name"), "left")
+        return found.withColumn("journal_id", F.coalesce("_by_issn", "_by_name")).drop("_issn", "_name", "_by_issn", "_by_name")
+
+    fresh = meant(rows, journals).filter("journal_id IS NULL AND name IS NOT NULL").groupBy("name").agg(F.min_by(F.struct("seq", "abbr", "issn"), "seq").alias("_f")).select("name", "_f.*")
+    # a name whose issn an earlier new name has brought means that one
+    first = fresh.groupBy("issn").agg(F.min("seq").alias("_least")).filter("issn IS NOT NULL").withColumnRenamed("issn", "_i")
+    fresh = fresh.join(first, F.col("issn") == F.col("_i"), "left").filter("_least IS NULL OR seq = _least")
+    top = journals.agg(F.coalesce(F.max("journal_id"), F.lit(0)).alias("_top"))
+    dealt = checkpointed(fresh.repartitionByRange("name").withColumn("_p", F.spark_partition_id()))  # ranges are sampled, so they are kept
+    sizes = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_ahead"))  # a row for each partition
+    ranked = dealt.join(F.broadcast(ahead), "_p").withColumn("_place", F.col("_ahead") + F.row_number().over(Window.partitionBy("_p").orderBy("name")))
+    new = ranked.join(F.broadcast(top)).select((F.col("_top") + F.col("_place")).cast(journals.schema["journal_id"].dataType).alias("journal_id"), "name", "abbr", "issn")
+    every = journals.select("journal_id", "name", "abbr", "issn").unionByName(new)
+    return meant(rows, every), every

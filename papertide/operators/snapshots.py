@@ -33,3 +33,8 @@ def recent_weeks(runs: DataFrame, limit: int = 12) -> DataFrame:
 def recent_assessments(assessments: DataFrame, limit: int = 50) -> DataFrame:
     """Assessments (id, assessed_at, ...), the last ones first."""
     return assessments.orderBy(F.desc("assessed_at"), F.desc("id")).limit(limit)
+
+
+def hotspot_counts(runs: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """One row: runs and snapshot rows."""
+    return runs.agg(F.count(F.lit(1)).alias("hotspot_runs")).join(snapshots.agg(F.count(F.lit(1)).alias("hotspot_snapshot_rows")))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from papertide.operators import articles, concepts, documents, focus, gap, merge, opportunity
+from papertide.operators import articles, concepts, documents, focus, gap, lifecycle, merge, opportunity, snapshots
 from papertide.operators.concepts import Concept
 from papertide.sources.corpus import RELATION_OF, Corpus
 
@@ -63,3 +63,18 @@ def test_preprints_by_any_name(spark):
     rows = [("k", "Nature", None, "Q1", 40.0), ("k", None, "bioRxiv", "Q1", 99.0), ("k", "x", "Research Square", "Q1", 50.0)]
     row = opportunity.research_bar(spark.createDataFrame(rows, "k string, journal_name string, journal_abbr string, quartile string, impact_factor double"), ["k"]).first()
     assert (row.support_papers, round(row.q1_ratio, 3), row.avg_if) == (3, 0.333, 40.0)
+
+
+def test_journals_by_issn_then_name(spark):
+    known = spark.createDataFrame([(1, "Nature", None, "1-1"), (2, "Cell", "C.", None), (3, "Cell", "x", "3-3")], "journal_id int, name string, abbr string, issn string")
+    rows = [(1, "other name", None, "1-1"), (2, "Cell", None, "9-9"), (3, "Zeta", "Z", "7-7"), (4, "Alpha", None, None), (5, "Zeta", "later", None), (6, "Zeta two", None, "7-7"), (7, "", None, "3-3"), (8, None, None, "8-8"), (9, "alpha", None, "")]
+    meant, every = merge.upserted_journals(known, spark.createDataFrame(rows, "seq int, name string, abbr string, issn string"))
+    assert {r.seq: r.journal_id for r in meant.collect()} == {1: 1, 2: 2, 3: 5, 4: 4, 5: 5, 6: 5, 7: 3, 8: None, 9: 6}
+    assert {tuple(r) for r in every.collect()} == {tuple(r) for r in known.collect()} | {(4, "Alpha", None, None), (5, "Zeta", "Z", "7-7"), (6, "alpha", None, None)}
+
+
+def test_counts_of_tables(spark):
+    profiles = spark.createDataFrame([("a", "persistent"), ("b", "emerging"), ("c", "active")], "limitation string, temporal_status string")
+    signals = spark.createDataFrame([("a", "topic_followup", 0.7), ("a", "topic_followup", 0.9), ("b", "topic_followup", 0.6), ("b", "other", 0.9)], "limitation string, signal_type string, confidence double")
+    assert tuple(lifecycle.limitation_lifecycle_counts(profiles, signals).first()) == (3, 1, 0, 1, 4, 1)
+    assert tuple(snapshots.hotspot_counts(profiles, signals).first()) == (3, 4)
