@@ -55,6 +55,18 @@ def test_run_is_the_stages(spark):
     assert len(corpus_pipeline.STAGES) == 4 and corpus_pipeline.run(spark, DATA).count() > 0
 
 
+def test_only_what_the_result_reads_stays(spark):
+    common.release(spark)
+    out = corpus_pipeline.run(spark, DATA)
+    read = out.inputFiles()
+    assert common.made() and all(any(os.path.basename(folder) in file for file in read) for folder in common.made())
+    assert out.count() > 0
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert len(os.listdir(f"{base}/papertide")) == len(common.made())
+    common.release(spark)
+    assert not os.listdir(f"{base}/papertide")
+
+
 ODD = "doc_id long, text string, lang string, source string, n_chars long, kept string, spans int, member_of int, ids string, sequence_id string"
 
 
