@@ -2,12 +2,15 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but
 the last return the columns of documents. Between stages rows are written as Parquet and read again;
-when a stage has been written, the rows that it read and all that its operators have left go. Columns besides those of documents are left out,
-whatever their names. An empty table of documents gives an empty result.
+when a stage has been written, the rows that it read and all that its operators have left go. Columns
+besides those of documents are left out, whatever their names. An empty table of documents gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +68,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one behind the other, from the documents of sf_dir."""
+    """The stages one behind the other, from the documents of sf_dir. Of what they have written only what the result reads
+    stays."""
+    earlier = made()
     rows, before = read_table(spark, sf_dir, "documents"), None
     for number, (name, stage) in enumerate(STAGES):
         held = made()
@@ -77,4 +82,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             if before:
                 drop_folder(spark, before)
             before = folder
+    read = rows.inputFiles()
+    for folder in made() - earlier:
+        if not any(os.path.basename(folder) in file for file in read):
+            drop_folder(spark, folder)
     return rows
