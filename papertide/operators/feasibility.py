@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from papertide.config import DEFAULT, EngineConfig
 from papertide.functions import scoring
 from papertide.operators import gap
+from papertide.operators.strings import containments
 from papertide.sources.corpus import Corpus
 
 
@@ -92,12 +93,11 @@ def match_summary(matches: DataFrame, pending_only: bool = False, top: int = 20)
 
 def matched_catalogue(names: DataFrame, catalogue: DataFrame, column: str = "disease") -> DataFrame:
     """names with the first entry of a catalogue (place, disease_id, name, cases) whose name holds theirs or is held by
-    it, in any case; null where none does. The catalogue is a list kept by hand, so that it may be broadcast."""
-    asked = names.select(column).distinct()
-    own, other = F.lower(F.col(column)), F.lower("name")
-    entries = F.broadcast(catalogue.filter("name <> ''").select("place", "disease_id", "name", "cases"))
-    met = asked.join(entries, (F.contains(own, other) | F.contains(other, own)) & (own != ""))
-    best = met.groupBy(column).agg(F.min_by(F.struct("disease_id", "cases"), "place").alias("_best"))
+    it, in any case; null where none does. Both meet by grams, in both directions."""
+    asked = names.select(column, F.lower(column).alias("_own")).distinct()
+    entries = catalogue.select("place", "disease_id", F.lower("name").alias("_other"), "cases")
+    met = containments(asked, entries, "_own", "_other").unionByName(containments(entries, asked, "_other", "_own")).distinct()
+    best = met.join(asked, "_own").join(entries, "_other").groupBy(column).agg(F.min_by(F.struct("disease_id", "cases"), "place").alias("_best"))
     return names.join(best, column, "left").select(*names.columns, "_best.disease_id", "_best.cases")
 
 
