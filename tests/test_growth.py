@@ -1,6 +1,38 @@
 """What keeps shuffles and pairs from outgrowing the tables, read from the plans."""
 
-from papertide.operators import projection
+import os
+
+import pytest
+
+import __spark_entry__ as entry
+from papertide.operators import graph, projection
+from papertide.sources.corpus import RELATION_OF, Corpus
+
+DATA = "/root/testdata/sf0.001"
+has_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+COLUMNS = "pmid long, relation string, type string, name string, section string, polarity string, quote string, metric_value double"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def exchanges(df, key):
+    return [line for line in plan(df).splitlines() if f"Exchange hashpartitioning({key}" in line]
+
+
+def corpus_of(spark, rows):
+    empty = spark.createDataFrame([], "pmid long")
+    relations = spark.createDataFrame([(p, RELATION_OF[k], k, n, "methods", "asserted", "q", None) for p, k, n in rows], COLUMNS)
+    return Corpus(empty, empty, relations, spark.createDataFrame([("d", "public")], "name string, access_class string"))
+
+
+def test_pairs_are_made_once_for_papers_of_the_same_entities(spark):
+    rows = [(p, "Task", n) for p in range(50) for n in "abc"] + [(99, "Task", n) for n in "ab"]
+    edges = graph.cooccurrence_edges(corpus_of(spark, rows))
+    assert {(r.src, r.dst): r.weight for r in edges.collect()} == {("Task|a", "Task|b"): 51, ("Task|a", "Task|c"): 50, ("Task|b", "Task|c"): 50}
+    assert exchanges(edges, "nodes")
+
 
 def test_papers_of_the_same_links_are_one_list(spark):
     columns = "paper long, place int, node string, relation string, section string, quote string"
