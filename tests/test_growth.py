@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from papertide.operators import graph, projection
-from papertide.sources.corpus import RELATION_OF, Corpus
+from papertide.sources.corpus import RELATION_OF, Corpus, from_star
 
 DATA = "/root/testdata/sf0.001"
 has_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -21,6 +21,13 @@ def exchanges(df, key):
     return [line for line in plan(df).splitlines() if f"Exchange hashpartitioning({key}" in line]
 
 
+@has_data
+def test_relations_are_shuffled_by_paper_before_they_are_made(spark):
+    corpus = from_star(spark, DATA)
+    assert not exchanges(corpus.relations.select("pmid", "type", "name").distinct(), "pmid")
+    assert len(exchanges(corpus.relations, "l_orderkey")) == 1
+
+
 def corpus_of(spark, rows):
     empty = spark.createDataFrame([], "pmid long")
     relations = spark.createDataFrame([(p, RELATION_OF[k], k, n, "methods", "asserted", "q", None) for p, k, n in rows], COLUMNS)
