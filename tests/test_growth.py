@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from papertide.operators import graph, projection
+from papertide.operators import graph, merge, projection
 from papertide.sources.corpus import RELATION_OF, Corpus, from_star
 
 DATA = "/root/testdata/sf0.001"
@@ -41,6 +41,12 @@ def test_pairs_are_made_once_for_papers_of_the_same_entities(spark):
     assert exchanges(edges, "nodes")
 
 
+@has_data
+def test_an_entitys_papers_are_counted_without_shuffling_relations(spark):
+    counted = merge.entities_of(from_star(spark, DATA))
+    assert not [line for line in plan(counted).splitlines() if "Exchange" in line and "pmid" in line]
+
+
 def test_papers_of_the_same_links_are_one_list(spark):
     columns = "paper long, place int, node string, relation string, section string, quote string"
     rows = [(p, i, n, "r", "s", f"q{n}") for p in range(40) for i, n in enumerate("ab")] + [(77, 0, "a", "r", "s", "q"), (78, 0, None, "r", "s", "q")]
