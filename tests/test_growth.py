@@ -1,11 +1,12 @@
 """What keeps shuffles and pairs from outgrowing the tables, read from the plans."""
 
 import os
+from dataclasses import replace
 
 import pytest
 
 import __spark_entry__ as entry
-from papertide.operators import graph, merge, projection
+from papertide.operators import focus, graph, merge, projection
 from papertide.sources.corpus import RELATION_OF, Corpus, from_star
 
 DATA = "/root/testdata/sf0.001"
@@ -55,3 +56,14 @@ def test_papers_of_the_same_links_are_one_list(spark):
     assert (one.n, list(one.papers)) == (40, [0, 1, 2])
     (edge,) = projection.entity_projection(links).collect()
     assert tuple(edge) == ("a", "b", 40, "CO_OCCURS", "r(80)", "s(80)", "qa | qb | qa")
+
+
+def test_keywords_are_looked_for_by_one_pass(spark, monkeypatch):
+    corpus = corpus_of(spark, [(1, "Task", "red anvil"), (2, "Task", "blue ring")])
+    corpus = replace(corpus, papers=spark.createDataFrame([(1, "of red things"), (2, None), (3, "anvil red")], "pmid long, title string"))
+    passes = []
+    once = focus.topic_candidates
+    monkeypatch.setattr(focus, "topic_candidates", lambda *a: passes.append(a) or once(*a))
+    found = [tuple(r) for r in focus.topic_strategies(corpus, ["red anvil", "anvil red ring", " ", "qqq www"]).collect()]
+    assert found == [("red anvil", "full_phrase", 1, 1, 0), ("anvil red ring", "token_score", 2, 4, 5), (" ", "empty", 0, 0, 0), ("qqq www", "no_match", 0, 0, 0)]
+    assert len(passes) == 1
