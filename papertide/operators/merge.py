@@ -12,8 +12,10 @@ from papertide.sources.corpus import Corpus
 #: Strength of an evidence's origin and of an access class; fixed values.
 GRANULARITY = {"fulltext": 3, "mineru_pdf": 2, "abstract": 1}
 ACCESS = {"public": 2, "private": 1}
-#: Parts that the rows of a key are dealt to while they are judged.
-SALTS = 16
+#: What an arriving relation says.
+FIELDS = ["metric_value", "confidence", "section", "quote", "granularity", "polarity"]
+#: Arrivals of a key from which they are many, and the parts that those of such a key are dealt to while they are judged.
+MANY, SALTS = 100_000, 16
 
 
 def strength(col: Column, ranks: dict[str, int]) -> Column:
@@ -30,44 +32,55 @@ def merge_relations(arrivals: DataFrame, key: list[str], order: str = "seq") ->
     A weaker origin changes nothing; an equal or stronger one takes over origin and polarity, appends
     its quote unless the quote is held already, keeps the greatest confidence, and fills section and
     metric where it has them. Rows without a pmid never merge: they come back as they are. The fold is made
-    of partial aggregates; only a key's distinct quotes come together in one row.
+    of partial aggregates; only a key's distinct quotes come together in one row. Arrivals are shuffled by
+    their key once; keys of MANY arrivals go apart, where their rows are dealt to parts.
     """
-    fields = ["metric_value", "confidence", "section", "quote", "granularity", "polarity"]
+    whole = arrivals.filter(F.col("pmid").isNotNull())
+    many = whole.groupBy(*key).agg(F.count(F.lit(1)).alias("_pt_n")).filter(F.col("_pt_n") >= MANY)
+    many = F.broadcast(checkpointed(many.select(*[F.col(k).alias(f"_pt_many_{i}") for i, k in enumerate(key)])))  # one for each MANY arrivals at most
+    hot = F.lit(True)
+    for i, k in enumerate(key):
+        hot = hot & F.col(k).eqNullSafe(F.col(f"_pt_many_{i}"))
+    few = folded_relations(whole.join(many, hot, "left_anti"), key, order, 1)
+    loose = arrivals.filter(F.col("pmid").isNull()).select(*key, *FIELDS, F.lit(1).alias("arrivals"))
+    return few.unionByName(folded_relations(whole.join(many, hot, "left_semi"), key, order, SALTS)).unionByName(loose)
+
+
+def folded_relations(arrivals: DataFrame, key: list[str], order: str, parts: int) -> DataFrame:
+    """The fold of merge_relations over rows with a pmid. With one part they are shuffled by their key once; else those
+    of a key are judged in so many parts."""
     at, rank = F.col("_pt_at"), F.col("_pt_rank")
-    keyed = arrivals.filter(F.col("pmid").isNotNull()).select(*key, *fields, F.struct(order, *fields).alias("_pt_at"), strength(F.col("granularity"), GRANULARITY).alias("_pt_rank"))
+    # keys are compared as structs, in which nulls are equal
+    keyed = arrivals.select(F.struct(*key).alias("_pt_key"), order, *FIELDS)
+    keyed = keyed.repartition("_pt_key") if parts == 1 else keyed
+    keyed = keyed.select("_pt_key", *FIELDS, F.struct(order, *FIELDS).alias("_pt_at"), strength(F.col("granularity"), GRANULARITY).alias("_pt_rank"))
     # a row is taken over unless a stronger one came before it: by strength, the first stronger arrival
     levels = range(max(GRANULARITY.values()))
-    firsts = keyed.groupBy(*key).agg(F.min("_pt_rank").alias("_pt_low"), F.max("_pt_rank").alias("_pt_high"), *[F.min(F.when(rank > n, at)).alias(f"_pt_{n}") for n in levels])
-    mixed = firsts.filter("_pt_low < _pt_high").select(*[F.col(k).alias(f"_pt_key_{i}") for i, k in enumerate(key)], *[f"_pt_{n}" for n in levels], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_pt_part"))
-    salted = keyed.withColumn("_pt_salt", F.pmod(F.xxhash64("_pt_at"), F.lit(SALTS)).cast("int"))
-    on = F.col("_pt_salt") == F.col("_pt_part")
-    for i, k in enumerate(key):
-        on = on & F.col(k).eqNullSafe(F.col(f"_pt_key_{i}"))
+    firsts = keyed.groupBy("_pt_key").agg(F.min("_pt_rank").alias("_pt_low"), F.max("_pt_rank").alias("_pt_high"), *[F.min(F.when(rank > n, at)).alias(f"_pt_{n}") for n in levels])
+    mixed, on = firsts.filter("_pt_low < _pt_high").drop("_pt_low", "_pt_high"), ["_pt_key"]
+    if parts > 1:
+        mixed, on = mixed.withColumn("_pt_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [*on, "_pt_part"]
+        keyed = keyed.withColumn("_pt_part", F.pmod(F.xxhash64("_pt_at"), F.lit(parts)).cast("int"))
     weaker = F.lit(False)
     for n in levels:
         weaker = weaker | ((rank == n) & F.coalesce(F.col(f"_pt_{n}") < at, F.lit(False)))
-    judged = salted.join(mixed, on, "left").select(*key, *fields, "_pt_at", (~weaker).alias("_pt_taken"))
+    judged = keyed.join(mixed, on, "left").select("_pt_key", *FIELDS, "_pt_at", (~weaker).alias("_pt_taken"))
     taken = lambda value, when=True: F.max_by(value, F.when(F.col("_pt_taken") & when, at))
     held = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    folded = judged.groupBy(*key).agg(
+    folded = judged.groupBy("_pt_key").agg(
         F.min("_pt_at").alias("_pt_first"), taken(F.col("metric_value"), held("metric_value")).alias("metric_value"), F.max(F.when(F.col("_pt_taken"), F.col("confidence"))).alias("confidence"),
         taken(F.col("section"), held("section")).alias("section"), taken(F.struct("granularity", "polarity")).alias("_pt_last"), F.count(F.lit(1)).cast("int").alias("arrivals"),
     )
     # a quote that came before is held already, so that only the first of equal ones matters
-    quotes = judged.filter(F.col("_pt_taken") & held("quote")).groupBy(*key, "quote").agg(F.min("_pt_at").alias("_pt_at"))
-    listed = quotes.groupBy(*[F.col(k).alias(f"_pt_key_{i}") for i, k in enumerate(key)]).agg(F.array_sort(F.collect_list(F.struct("_pt_at", "quote"))).alias("_pt_quotes"))
+    quotes = judged.filter(F.col("_pt_taken") & held("quote")).groupBy("_pt_key", "quote").agg(F.min("_pt_at").alias("_pt_at"))
+    listed = quotes.groupBy("_pt_key").agg(F.array_sort(F.collect_list(F.struct("_pt_at", "quote"))).alias("_pt_quotes"))
 
     def append(old: Column, new: Column) -> Column:
         return F.when(old == "", new["quote"]).when(F.contains(old, new["quote"]), old).otherwise(F.concat(old, F.lit("; "), new["quote"]))
 
-    same = F.lit(True)
-    for i, k in enumerate(key):
-        same = same & F.col(k).eqNullSafe(F.col(f"_pt_key_{i}"))
     first = lambda c: F.coalesce(F.col(c), F.col(f"_pt_first.{c}")).alias(c)
     quote = F.coalesce(F.aggregate("_pt_quotes", F.lit(""), append), F.col("_pt_first.quote"))
-    done = folded.join(listed, same, "left").select(*key, first("metric_value"), "confidence", first("section"), quote.alias("quote"), "_pt_last.granularity", "_pt_last.polarity", "arrivals")
-    loose = arrivals.filter(F.col("pmid").isNull()).select(*key, *fields, F.lit(1).alias("arrivals"))
-    return done.unionByName(loose)
+    return folded.join(listed, "_pt_key", "left").select("_pt_key.*", first("metric_value"), "confidence", first("section"), quote.alias("quote"), "_pt_last.granularity", "_pt_last.polarity", "arrivals")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], keep_old_if_blank: list[str]) -> DataFrame:

@@ -67,3 +67,15 @@ def test_keywords_are_looked_for_by_one_pass(spark, monkeypatch):
     found = [tuple(r) for r in focus.topic_strategies(corpus, ["red anvil", "anvil red ring", " ", "qqq www"]).collect()]
     assert found == [("red anvil", "full_phrase", 1, 1, 0), ("anvil red ring", "token_score", 2, 4, 5), (" ", "empty", 0, 0, 0), ("qqq www", "no_match", 0, 0, 0)]
     assert len(passes) == 1
+
+
+def test_arrivals_are_shuffled_by_key_once(spark, monkeypatch):
+    columns = "pmid string, k string, seq int, metric_value string, confidence double, section string, quote string, granularity string, polarity string"
+    rows = [("1", None, n, None, float(n), None, f"q{n % 3}", "abstract" if n % 2 else "fulltext", "p") for n in range(12)] + [("2", "x", n, "m", None, "s", "q", "fulltext", "p") for n in range(2)]
+    arrivals = spark.createDataFrame(rows, columns)
+    merged = merge.merge_relations(arrivals, ["pmid", "k"])
+    cold = sorted(map(repr, merged.collect()))
+    once = merge.folded_relations(arrivals, ["pmid", "k"], "seq", 1)
+    assert all("(_pt_key" in line and "REPARTITION" in line for line in plan(once).splitlines() if "Exchange" in line)
+    monkeypatch.setattr(merge, "MANY", 5)
+    assert sorted(map(repr, merge.merge_relations(arrivals, ["pmid", "k"]).collect())) == cold and len(cold) == 2
