@@ -123,6 +123,13 @@ def impact_sums(config: EngineConfig) -> list[Column]:
     ]
 
 
+def impact_of(rows: DataFrame, config: EngineConfig, *by: str) -> DataFrame:
+    """The sums of impact_sums by some columns, added up by paper first, which needs no shuffle where rows lie by paper."""
+    of_papers = rows.groupBy("pmid", *by).agg(*impact_sums(config)[1:])
+    sums = [c for c in of_papers.columns if c not in ("pmid", *by)]
+    return of_papers.groupBy(*by).agg(F.count("pmid").alias("paper_cnt"), *[F.sum(c).alias(c) for c in sums])
+
+
 def averages(rows: DataFrame) -> DataFrame:
     n = F.col("rows")
     return rows.withColumns({"avg_cite": F.col("cites") / n, "avg_cite_per_year": F.col("cpy_milli") / n / 1000, "avg_if": F.col("if_cents") / n / 50000})
@@ -143,7 +150,7 @@ def hotspot_entities(corpus: Corpus, focus: str | None = None, config: EngineCon
     Methods count where they are applied, not where they are only mentioned.
     """
     told = corpus.relations.filter(mentions(F.col("name"), focus)).filter("type <> 'Method' OR relation = 'APPLIES_METHOD'")
-    rows = told.join(corpus.judged, "pmid").groupBy("name", "type").agg(*impact_sums(config)).filter("paper_cnt >= 2")
+    rows = impact_of(told.join(corpus.judged, "pmid"), config, "name", "type").filter("paper_cnt >= 2")
     heat = F.floor(F.col("paper_cnt") * F.col("cites") / F.col("rows") + 0.5).cast("long")
     return rows.withColumn("heat", heat).orderBy(F.desc("heat"), "name", "type").limit(config.top_n).select("name", "type", "paper_cnt", "cites", "heat")
 

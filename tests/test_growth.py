@@ -6,7 +6,7 @@ from dataclasses import replace
 import pytest
 
 import __spark_entry__ as entry
-from papertide.operators import focus, graph, merge, projection
+from papertide.operators import focus, gap, graph, merge, projection
 from papertide.sources.corpus import RELATION_OF, Corpus, from_star
 
 DATA = "/root/testdata/sf0.001"
@@ -58,6 +58,16 @@ def test_papers_of_the_same_links_are_one_list(spark):
     assert tuple(edge) == ("a", "b", 40, "CO_OCCURS", "r(80)", "s(80)", "qa | qb | qa")
 
 
+def test_hotspots_shuffle_no_relations(spark):
+    relations = [(p, "Task", n) for p in range(6) for n in "ab"] + [(0, "Method", "a")]
+    papers = spark.createDataFrame([(p, f"t{p}", 2000, 10 * p, "x", 1) for p in range(6)], "pmid long, title string, year int, citation_count long, study_type string, journal_id long")
+    corpus = corpus_of(spark, relations)
+    corpus = replace(corpus, papers=papers, journals=spark.createDataFrame([(1, 50000, "Q1")], "journal_id long, if_cents long, quartile string"))
+    hot = gap.hotspot_entities(corpus)
+    assert [tuple(r) for r in hot.collect()] == [("a", "Task", 6, 150, 150), ("b", "Task", 6, 150, 150)]
+    assert not [line for line in plan(hot).splitlines() if "Exchange hashpartitioning(name" in line and "pmid" in line]
+
+
 def test_keywords_are_looked_for_by_one_pass(spark, monkeypatch):
     corpus = corpus_of(spark, [(1, "Task", "red anvil"), (2, "Task", "blue ring")])
     corpus = replace(corpus, papers=spark.createDataFrame([(1, "of red things"), (2, None), (3, "anvil red")], "pmid long, title string"))
