@@ -14,6 +14,9 @@ from papertide.operators.documents import read, section_type
 PIECE = "struct<title:string,sec_type:string,depth:int,content:string>"
 PARSED = f"struct<pmid:string,doi:string,pmcid:string,abstract:array<{PIECE}>,body:array<{PIECE}>,whole:string>"
 
+#: Articles of a batch that are held parsed at a time.
+AT_ONCE = 100
+
 
 def plain(element) -> str:
     return "" if element is None else " ".join("".join(element.itertext()).split())
@@ -52,8 +55,9 @@ def parsed(xml: str | None) -> dict | None:
 def parse(xml: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     columns = ["pmid", "doi", "pmcid", "abstract", "body", "whole"]
     for batch in xml:
-        rows = [parsed(x) or dict.fromkeys(columns) for x in batch]
-        yield pd.DataFrame(rows, columns=columns)
+        for start in range(0, len(batch), AT_ONCE):  # a batch's articles in parts, so that few are held as objects
+            rows = [parsed(x) or dict.fromkeys(columns) for x in batch.iloc[start : start + AT_ONCE]]
+            yield pd.DataFrame(rows, columns=columns)
 
 
 def sections(articles: DataFrame, key: str = "pmid", xml: str = "xml", least: int = 80, most: int | None = None) -> DataFrame:

@@ -3,10 +3,11 @@
 import os
 from dataclasses import replace
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from papertide.operators import focus, gap, graph, merge, projection
+from papertide.operators import articles, focus, gap, graph, merge, projection
 from papertide.sources.corpus import RELATION_OF, Corpus, from_star
 
 DATA = "/root/testdata/sf0.001"
@@ -89,3 +90,8 @@ def test_arrivals_are_shuffled_by_key_once(spark, monkeypatch):
     assert all("(_pt_key" in line and "REPARTITION" in line for line in plan(once).splitlines() if "Exchange" in line)
     monkeypatch.setattr(merge, "MANY", 5)
     assert sorted(map(repr, merge.merge_relations(arrivals, ["pmid", "k"]).collect())) == cold and len(cold) == 2
+
+
+def test_articles_are_parsed_in_parts():
+    batches = list(articles.parse(iter([pd.Series(["<a/>"] * (2 * articles.AT_ONCE + 1))])))
+    assert [len(b) for b in batches] == [articles.AT_ONCE, articles.AT_ONCE, 1]
