@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papertide.functions import scoring
+from papertide.operators.checkpoints import checkpointed
 from papertide.operators.concepts import holds_any
 
 #: Pools of markers, labels and annotations; others are called has_ and their name. Fixed values.
@@ -192,10 +193,14 @@ def hypotheses_of_orders(spark, sf_dir: str) -> DataFrame:
 
 def evolving(spark, sf_dir: str) -> DataFrame:
     """Hypotheses of all orders with their nation's pools, at late stages where the key is even, and the tasks it supports."""
+    return evolving_of(gaps_of_orders(spark, sf_dir), spark, sf_dir)
+
+
+def evolving_of(gaps: DataFrame, spark, sf_dir: str) -> DataFrame:
     from papertide.operators import landscape
 
     pools = landscape.pools_of_nations(spark, sf_dir).select("disease_id", "pools")
-    rows = from_gap(gaps_of_orders(spark, sf_dir)).join(pools, "disease_id")
+    rows = from_gap(gaps).join(pools, "disease_id")
     tasks = F.expr("IF(o_orderkey % 3 = 0, array('survival_prediction', 'grade_classification'), array())").cast("array<string>")
     return rows.withColumns({"stages": F.expr("IF(o_orderkey % 2 = 0, array('III'), array())").cast("array<string>"), "other_tasks": tasks})
 
@@ -208,7 +213,14 @@ def data_gaps_of_orders(spark, sf_dir: str) -> DataFrame:
 
 
 def evolved_orders(spark, sf_dir: str) -> DataFrame:
-    rows = evolved(evolving(spark, sf_dir))
+    # what repeats evolves alike, so that each gap of a disease, late or not, with tasks or without, evolves once
+    gaps = gaps_of_orders(spark, sf_dir).withColumns({"_late": F.expr("o_orderkey % 2 = 0"), "_tasks": F.expr("o_orderkey % 3 = 0")})
+    alike = ["gap_title", "gap_text", "disease_id", "_late", "_tasks"]
+    kinds = checkpointed(evolved(evolving_of(gaps.groupBy(*alike).agg(F.min("o_orderkey").alias("o_orderkey")), spark, sf_dir)))
+    same = F.lit(True)
+    for c in alike:
+        same = same & F.col(f"g.{c}").eqNullSafe(F.col(f"k.{c}"))
+    rows = gaps.alias("g").join(kinds.alias("k"), same).select("g.o_orderkey", *[f"k.{c}" for c in ("task_type", "labels", "markers", "annotations", "followup", "stages", "log")])
     joined = lambda c: F.array_join(c, "|").alias(c)
     line = lambda x: F.concat_ws(":", x["iteration"].cast("string"), x["action"], F.floor(x["score"] * 100 + 0.5).cast("long").cast("string"), x["status"], x["cohort"].cast("string"))
     return rows.select("o_orderkey", "task_type", joined("labels"), joined("markers"), joined("annotations"), "followup", joined("stages"), F.array_join(F.transform("log", line), "|").alias("log"))

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from papertide.operators import articles, focus, gap, graph, merge, projection
+from papertide.operators import articles, focus, gap, graph, hypotheses, merge, projection
 from papertide.sources.corpus import RELATION_OF, Corpus, from_star
 
 DATA = "/root/testdata/sf0.001"
@@ -95,3 +95,13 @@ def test_arrivals_are_shuffled_by_key_once(spark, monkeypatch):
 def test_articles_are_parsed_in_parts():
     batches = list(articles.parse(iter([pd.Series(["<a/>"] * (2 * articles.AT_ONCE + 1))])))
     assert [len(b) for b in batches] == [articles.AT_ONCE, articles.AT_ONCE, 1]
+
+
+@has_data
+def test_alike_hypotheses_evolve_once(spark, monkeypatch):
+    seen = []
+    once = hypotheses.evolved
+    monkeypatch.setattr(hypotheses, "evolved", lambda rows, *a: seen.append(rows) or once(rows, *a))
+    found = hypotheses.evolved_orders(spark, DATA).count()
+    assert found == spark.read.parquet(f"{DATA}/orders.parquet").count()
+    assert seen[0].count() < found
