@@ -9,28 +9,56 @@ from pyspark.sql.window import Window
 from papertide.config import DEFAULT, EngineConfig
 from papertide.functions import scoring
 from papertide.operators import gap
+from papertide.operators.checkpoints import checkpointed
 from papertide.operators.focus import focus_papers, mentions, normalized
-from papertide.sources.corpus import Corpus
+from papertide.sources.corpus import RELATION_OF, Corpus
 
 
 def dated_limitations(corpus: Corpus) -> DataFrame:
     return corpus.of("Limitation").join(corpus.papers.select("pmid", "year", "citation_count"), "pmid").filter("year IS NOT NULL").withColumnRenamed("name", "limitation")
 
 
-def temporal_profiles(corpus: Corpus, focus: str | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
-    """Every limitation's years, counts and status. early_cnt counts all papers, in focus or not.
+def told_by_paper(corpus: Corpus) -> DataFrame:
+    """One row of each paper with a year, written once, so that relations are made once however often they are read.
 
-    recent_cnt, asserted_cnt and hypothesized_cnt count relation rows, paper_cnt papers; the latest year
-    of any limitation is the clock (a single number, joined as such).
+    pmid, year, copies (rows of the paper with this year), cites (their sum), limitations (name, section, polarity),
+    diseases, means (a method or task is stated) and shown (in methods or results). Papers without limitations that
+    are no follow-ups either are left out.
     """
-    rows = dated_limitations(corpus)
-    as_of = F.broadcast(rows.agg(F.max("year").alias("as_of_year")))  # one row
-    chosen = rows.withColumn("chosen", F.lit(1))
-    if normalized(focus):
-        chosen = rows.join(focus_papers(corpus, focus).withColumn("chosen", F.lit(1)), "pmid", "left")
+    rows = corpus.placed("Limitation", "Disease", "Method", "Task").filter("pmid IS NOT NULL")
+    stated = lambda kind: (F.col("type") == kind) & (F.col("relation") == RELATION_OF[kind])
+    is_means = F.col("type").isin("Method", "Task")
+    found = rows.groupBy("pmid").agg(
+        F.collect_list(F.when(stated("Limitation"), F.struct("name", "section", "polarity"))).alias("limitations"),
+        F.array_sort(F.collect_set(F.when(stated("Disease"), F.col("name")))).alias("diseases"),
+        F.bool_or(is_means).alias("means"),
+        F.coalesce(F.bool_or(is_means & F.col("section").isin("methods", "results")), F.lit(False)).alias("shown"),
+    ).filter((F.size("limitations") > 0) | (F.size("diseases") > 0) & F.col("shown"))
+    papers = corpus.papers.select("pmid", "year", "citation_count").filter("pmid IS NOT NULL AND year IS NOT NULL").repartition("pmid")
+    return checkpointed(found.join(papers.groupBy("pmid", "year").agg(F.count(F.lit(1)).alias("copies"), F.sum("citation_count").alias("cites")), "pmid"))
+
+
+def years_of_told(chosen: DataFrame) -> DataFrame:
+    """years_of_rows of told_by_paper's rows; a paper states a limitation once, so that papers of the sections add up."""
+    rows = chosen.select("year", "copies", "cites", "chosen", F.inline("limitations")).withColumnRenamed("name", "limitation")
     here = F.col("chosen").isNotNull()
-    # a paper has one year, so that papers of the years add up; a limitation has no more rows than years
-    yearly = chosen.groupBy("limitation", "year").agg(
+    copies = lambda when: F.sum(F.when(when, F.col("copies")).otherwise(0))
+    placed = rows.groupBy("limitation", "year", "section").agg(
+        F.count(F.lit(1)).alias("all_papers"),
+        F.count_if(here).alias("papers"),
+        copies(here).alias("stated"),
+        copies(here & (F.col("polarity") == "asserted")).alias("asserted"),
+        copies(here & (F.col("polarity") == "hypothesized")).alias("hypothesized"),
+        F.sum(F.when(here, F.col("cites"))).alias("cites"),
+    )
+    sums = [F.sum(c).alias(c) for c in ("all_papers", "papers", "stated", "asserted", "hypothesized", "cites")]
+    return placed.groupBy("limitation", "year").agg(*sums, F.collect_set(F.when(F.col("papers") > 0, F.col("section"))).alias("sections"))
+
+
+def years_of_rows(chosen: DataFrame) -> DataFrame:
+    """Counts of every limitation and year over dated_limitations' rows, those in focus marked as chosen."""
+    here = F.col("chosen").isNotNull()
+    return chosen.groupBy("limitation", "year").agg(
         F.count_distinct("pmid").alias("all_papers"),
         F.count_distinct(F.when(here, F.col("pmid"))).alias("papers"),
         F.count_if(here).alias("stated"),
@@ -39,6 +67,21 @@ def temporal_profiles(corpus: Corpus, focus: str | None = None, config: EngineCo
         F.collect_set(F.when(here, F.col("section"))).alias("sections"),
         F.sum(F.when(here, F.col("citation_count"))).alias("cites"),
     )
+
+
+def temporal_profiles(corpus: Corpus, focus: str | None = None, config: EngineConfig = DEFAULT, told: DataFrame | None = None) -> DataFrame:
+    """Every limitation's years, counts and status. early_cnt counts all papers, in focus or not.
+
+    recent_cnt, asserted_cnt and hypothesized_cnt count relation rows, paper_cnt papers; the latest year
+    of any limitation is the clock (a single number, joined as such). told: told_by_paper, where it is there.
+    """
+    rows = dated_limitations(corpus) if told is None else told.filter(F.size("limitations") > 0)
+    as_of = F.broadcast(rows.agg(F.max("year").alias("as_of_year")))  # one row
+    chosen = rows.withColumn("chosen", F.lit(1))
+    if normalized(focus):
+        chosen = rows.join(focus_papers(corpus, focus).withColumn("chosen", F.lit(1)), "pmid", "left")
+    # a paper has one year, so that papers of the years add up; a limitation has no more rows than years
+    yearly = years_of_rows(chosen) if told is None else years_of_told(chosen)
     base = yearly.join(as_of, F.lit(True)).groupBy("limitation", "as_of_year").agg(
         F.min(F.when(F.col("stated") > 0, F.col("year"))).alias("first_year"),
         F.max(F.when(F.col("stated") > 0, F.col("year"))).alias("last_year"),
@@ -62,29 +105,22 @@ def temporal_profiles(corpus: Corpus, focus: str | None = None, config: EngineCo
     }).drop("years")
 
 
-def followup_stats(corpus: Corpus, profiles: DataFrame) -> DataFrame:
+def followup_stats(corpus: Corpus, profiles: DataFrame, told: DataFrame | None = None) -> DataFrame:
     """(limitation, followup_cnt, first_followup) of persistent and declining limitations.
 
     Anchors are the diseases of a limitation's papers of its first two years that also have a method or
     a task; follow-ups are later papers on such a disease with a method or task stated in their methods
     or results. Later papers that name the same diseases in the same year are counted before they meet the
     anchors, so that a disease of many papers costs an anchor its years and sets of diseases, not its papers.
+    told: told_by_paper, where it is there.
     """
+    told = (told_by_paper(corpus) if told is None else told).filter(F.size("diseases") > 0)
     targets = profiles.filter(F.col("temporal_status").isin("persistent", "declining")).select("limitation", "first_year")
-    means = corpus.typed("Method", "Task")
-    diseases = corpus.of("Disease").select("pmid", F.col("name").alias("disease"))
     anchors = (
-        dated_limitations(corpus).select("limitation", "pmid", "year").join(targets, "limitation")
-        .filter(F.col("year") <= F.col("first_year") + 1)
-        .join(means.select("pmid"), "pmid", "left_semi")
-        .join(diseases, "pmid").select("limitation", "first_year", "disease").distinct()
-    )
-    dated = corpus.papers.select("pmid", F.col("year").alias("followup_year")).filter("followup_year IS NOT NULL")
-    later = (
-        diseases.join(dated, "pmid").join(means.filter(F.col("section").isin("methods", "results")).select("pmid"), "pmid", "left_semi")
-        .groupBy("pmid", "followup_year").agg(F.array_sort(F.collect_set("disease")).alias("on"))  # a paper's diseases
-        .groupBy("on", "followup_year").agg(F.count(F.lit(1)).alias("papers"))
+        told.filter("means").select("year", "diseases", F.explode("limitations.name").alias("limitation")).join(targets, "limitation")
+        .filter(F.col("year") <= F.col("first_year") + 1).select("limitation", "first_year", F.explode("diseases").alias("disease")).distinct()
     )
+    later = told.filter("shown").groupBy(F.col("diseases").alias("on"), F.col("year").alias("followup_year")).agg(F.count(F.lit(1)).alias("papers"))
     met = anchors.join(later.withColumn("disease", F.explode("on")), "disease").filter("followup_year > first_year")
     # a set of diseases may be met through several of them
     once = met.groupBy("limitation", "on", "followup_year").agg(F.max("papers").alias("papers"))
@@ -93,12 +129,13 @@ def followup_stats(corpus: Corpus, profiles: DataFrame) -> DataFrame:
 
 def limitation_gap_status(corpus: Corpus, focus: str | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
     """Persistent and declining limitations with the signal of their follow-up papers."""
-    return limitation_gap_status_of(corpus, temporal_profiles(corpus, focus, config), config)
+    told = told_by_paper(corpus)
+    return limitation_gap_status_of(corpus, temporal_profiles(corpus, focus, config, told), config, told)
 
 
-def limitation_gap_status_of(corpus: Corpus, profiles: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    profiles = profiles.filter(F.col("temporal_status").isin("persistent", "declining"))
-    joined = profiles.join(followup_stats(corpus, profiles), "limitation", "left").withColumn("followup_cnt", F.coalesce("followup_cnt", F.lit(0)))
+def limitation_gap_status_of(corpus: Corpus, profiles: DataFrame, config: EngineConfig = DEFAULT, told: DataFrame | None = None) -> DataFrame:
+    profiles = checkpointed(profiles.filter(F.col("temporal_status").isin("persistent", "declining")))  # read twice
+    joined = profiles.join(followup_stats(corpus, profiles, told), "limitation", "left").withColumn("followup_cnt", F.coalesce("followup_cnt", F.lit(0)))
     signal = scoring.resolution_signal(F.col("first_year"), F.col("last_year"), F.col("followup_cnt"), F.col("first_followup"), config.min_followups)
     return joined.select("limitation", "temporal_status", "first_year", "last_year", "paper_cnt", "followup_cnt", "first_followup", signal.alias("resolution_signal"))
 
@@ -189,11 +226,12 @@ def run_lifecycle(corpus: Corpus, folder: str, temporal_only: bool = False, conf
     """Write all profiles with their impact to `folder`/profiles and all signals to `folder`/signals, in place of what is
     there, and give the counts of both as read back (lifecycle_stats). A run that is repeated writes the same."""
     spark = corpus.papers.sparkSession
-    profiles = temporal_profiles(corpus, None, config).join(limitation_impact(corpus, config).select("limitation", "impact_score", "impact_tier"), "limitation", "left")
+    told = None if temporal_only else told_by_paper(corpus)
+    profiles = temporal_profiles(corpus, None, config, told).join(limitation_impact(corpus, config).select("limitation", "impact_score", "impact_tier"), "limitation", "left")
     profiles.write.mode("overwrite").parquet(f"{folder}/profiles")
     stored = spark.read.parquet(f"{folder}/profiles")
     if not temporal_only:
-        resolution_signals(limitation_gap_status_of(corpus, stored, config)).write.mode("overwrite").parquet(f"{folder}/signals")
+        resolution_signals(limitation_gap_status_of(corpus, stored, config, told)).write.mode("overwrite").parquet(f"{folder}/signals")
     signals = None if temporal_only else spark.read.parquet(f"{folder}/signals")
     return lifecycle_stats(stored, signals)
 

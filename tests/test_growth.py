@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from papertide.operators import articles, focus, gap, graph, hypotheses, merge, projection
+from papertide.operators import articles, focus, gap, graph, hypotheses, lifecycle, merge, projection
 from papertide.sources.corpus import RELATION_OF, Corpus, from_star
 
 DATA = "/root/testdata/sf0.001"
@@ -105,3 +105,30 @@ def test_alike_hypotheses_evolve_once(spark, monkeypatch):
     found = hypotheses.evolved_orders(spark, DATA).count()
     assert found == spark.read.parquet(f"{DATA}/orders.parquet").count()
     assert seen[0].count() < found
+
+
+def test_gap_status_makes_relations_once(spark):
+    year_of = {1: 1990, 2: 1991, 3: 1993, 4: 1994, 5: 1994, 6: None, 7: 2000}
+    facts = [(1, "Limitation", "x"), (1, "Disease", "d"), (1, "Method", "m"), (2, "Limitation", "x"), (2, "Disease", "e")]
+    facts += [(p, k, n) for p in (3, 4, 5, 6) for k, n in (("Disease", "d"), ("Task", "t"))] + [(5, "Disease", "c"), (7, "Limitation", "y"), (None, "Limitation", "x"), (8, "Limitation", "x")]
+    corpus = corpus_of(spark, facts)
+    papers = [(p, y, 3) for p, y in year_of.items()] + [(1, 1990, 4)]  # a repeated paper counts once, its rows twice
+    corpus = replace(corpus, papers=spark.createDataFrame(papers, "pmid long, year int, citation_count long"))
+    made = []
+
+    def stated(*kinds, quoted=True):
+        made.append(kinds)
+        return corpus.relations.filter(corpus.relations["type"].isin(*kinds))
+
+    status = lifecycle.limitation_gap_status(replace(corpus, stated=stated)).filter("limitation = 'x'").collect()
+    assert [tuple(r) for r in status] == [("x", "declining", 1990, 1991, 2, 3, 1993, "moderate")] and len(made) == 1
+    (told,), (plain,) = [lifecycle.temporal_profiles(corpus, told=t).filter("limitation = 'x'").collect() for t in (lifecycle.told_by_paper(corpus), None)]
+    assert told == plain and (told["paper_cnt"], told["asserted_cnt"], told["cites"]) == (2, 3, 10)
+
+
+@has_data
+def test_places_need_no_quotes(spark):
+    corpus = from_star(spark, DATA)
+    kinds = ["Limitation", "Disease", "Method", "Task"]
+    placed = corpus.placed(*kinds)
+    assert placed.exceptAll(corpus.typed(*kinds).select(placed.columns)).isEmpty() and placed.count() == corpus.typed(*kinds).count()
