@@ -176,10 +176,14 @@ def combo_gap_temporal(corpus: Corpus, focus: str | None = None, config: EngineC
 
 
 def shared_entity_rows(corpus: Corpus, profiles: DataFrame) -> DataFrame:
-    """(limitation, type, name): what the anchor papers of each eligible limitation share with later work."""
+    """(limitation, type, name): what the anchor papers of each eligible limitation share with later work.
+
+    Anchors are written once, so that entities are made of their papers only.
+    """
     targets = profiles.filter(F.col("temporal_status").isin("persistent", "declining")).select("limitation", "first_year")
     anchors = dated_limitations(corpus).select("limitation", "pmid", "year").join(targets, "limitation").filter(F.col("year") <= F.col("first_year") + 1).select("limitation", "pmid").distinct()
-    found = anchors.join(corpus.typed("Disease", "Task", "Method"), "pmid")
+    anchors = checkpointed(anchors)  # read twice
+    found = anchors.join(corpus.placed_within(anchors.select("pmid"), "Disease", "Task", "Method"), "pmid")
     return found.select("limitation", "type", "name").distinct()
 
 

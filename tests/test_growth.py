@@ -132,3 +132,17 @@ def test_places_need_no_quotes(spark):
     kinds = ["Limitation", "Disease", "Method", "Task"]
     placed = corpus.placed(*kinds)
     assert placed.exceptAll(corpus.typed(*kinds).select(placed.columns)).isEmpty() and placed.count() == corpus.typed(*kinds).count()
+
+
+@has_data
+def test_shared_entities_are_made_of_anchor_papers_only(spark):
+    corpus = from_star(spark, DATA)
+    found = lifecycle.shared_entity_rows(corpus, lifecycle.temporal_profiles(corpus))
+    assert "LeftSemi" in plan(found)
+    assert found.count() == found.distinct().count() > 0
+    some = corpus.papers.filter("pmid % 3 = 0").select("pmid")
+    rows = lambda c: sorted(map(tuple, c.collect()), key=repr)
+    of = ("Disease", "Task", "Method")
+    plain = rows(corpus.placed(*of).join(some, "pmid", "left_semi"))
+    assert plain and rows(corpus.placed_within(some, *of)) == plain
+    assert rows(corpus.relations.filter(corpus.relations.type.isin(*of)).join(some, "pmid", "left_semi").select("pmid", "relation", "type", "name", "section", "polarity")) == plain
