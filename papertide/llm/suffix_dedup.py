@@ -2,8 +2,10 @@
 
 Texts that are equal as a whole enter once, under their least doc_id. A string of SPAN bytes that
 stands in two texts holds, in both, the same anchor: the least of the hashes of its GRAM-byte pieces.
-Only the stretches around anchors of two texts can repeat; they are cut out, packed into blocks of
-some hundred kilobytes, and their suffixes are sorted by the difference-cover algorithm:
+Only the stretches around anchors of two texts can repeat; they are cut out and packed into blocks of
+some hundred kilobytes, those of the same least anchor together, so that most copies of a passage lie in
+one block. Of strings of SPAN bytes that stand in a block several times only those of its least doc_id stay
+in it, the others are marked at once. The suffixes of what stays are sorted by the difference-cover algorithm:
 
 * A block's characters are its groups of six bytes, laid out in six interleaved tracks, so that every
   byte starts one character.
@@ -40,7 +42,9 @@ SPAN, GRAM = 50, 32
 #: Grams in a string of SPAN bytes.
 WINDOW = SPAN - GRAM + 1
 #: Bytes of texts in a bundle, anchors and suffixes of a part, least parts of a round, rounds of the four sorts.
-BUNDLE, ANCHORS, SUFFIXES, ROUND_PARTS, ROUNDS = 2_000_000, 3_000_000, 600_000, 16, (3, 1, 3, 6)
+BUNDLE, ANCHORS, SUFFIXES, ROUND_PARTS, ROUNDS = 2_000_000, 3_000_000, 600_000, 16, (2, 1, 2, 4)
+#: Bytes of stretches of one least anchor that make a block; more are dealt over several.
+CLUSTER = 4_000_000
 #: Slices of the blocks that receive their answers one after the other.
 SLICES = 4
 #: Bytes of a character, and tracks; bytes behind a block's last stretch, all END, which no text holds.
@@ -170,12 +174,14 @@ def shared_anchors(table: pa.Table) -> pa.Table:
     return pa.table([table.column("part"), table.column("block"), pa.array(bits, pa.binary())], schema=TOLD)
 
 
-BLOCK = "block long, digest array<binary>, least array<long>, owner array<long>, start array<long>, length array<long>, body binary"
+CUT = "cluster long, bundle long, digest array<binary>, least array<long>, owner array<long>, start array<long>, length array<long>, body binary"
+BLOCK = "block long, digest array<binary>, least array<long>, owner array<long>, start array<long>, length array<long>, body binary, marks array<binary>"
+LISTS = [("digest", pa.list_(pa.binary())), ("least", pa.list_(pa.int64())), ("owner", pa.list_(pa.int64())), ("start", pa.list_(pa.int64())), ("length", pa.list_(pa.int64())), ("body", pa.binary())]
 
 
-def stretches(parts: int) -> Callable:
-    """The stretches of a bundle's texts that can hold repeated strings, as one block."""
-    schema = pa.schema([("block", pa.int64()), ("digest", pa.list_(pa.binary())), ("least", pa.list_(pa.int64())), ("owner", pa.list_(pa.int64())), ("start", pa.list_(pa.int64())), ("length", pa.list_(pa.int64())), ("body", pa.binary())])
+def stretches(parts: int, clusters: int) -> Callable:
+    """The stretches of a bundle's texts that can hold repeated strings, dealt by their least anchors."""
+    schema = pa.schema([("cluster", pa.int64()), ("bundle", pa.int64()), *LISTS])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,28 +189,83 @@ def stretches(parts: int) -> Callable:
                 one = batch.slice(row, 1).to_pylist()[0]
                 values, part, order, own = bundle_anchors(one["body"], one["ends"], parts)
                 bits = {a["part"]: a["data"] for a in one["answers"]}
-                flags = np.empty(len(values), dtype=bool)
+                flags, hashes = np.empty(len(values), dtype=bool), np.empty(len(values), dtype=np.uint32)
+                hashes[order] = values
                 for p, a, b in slices(part):
                     flags[order[a:b]] = np.unpackbits(np.frombuffer(bits[p], dtype=np.uint8), count=b - a).astype(bool)
-                out = {"block": one["block"], "digest": one["digest"], "least": one["least"], "owner": [], "start": [], "length": []}
-                pieces = []
+                found: dict[int, dict] = {}
                 for text, (begin, end, at, inverse) in enumerate(own):
-                    at = at[flags[inverse]]
+                    at, known = at[flags[inverse]], hashes[inverse[flags[inverse]]]
                     if not len(at):
                         continue
                     lows, highs = np.maximum(at - WINDOW + 1, 0), np.minimum(at + SPAN, end - begin)
                     apart = np.flatnonzero(lows[1:] > highs[:-1])  # both rise with at
-                    for low, high in zip(lows[np.append(0, apart + 1)].tolist(), highs[np.append(apart, len(at) - 1)].tolist(), strict=True):
-                        out["owner"].append(text)
+                    first = np.append(0, apart + 1)
+                    of = (np.minimum.reduceat(known, first) % np.uint32(clusters)).tolist()
+                    for cluster, low, high in zip(of, lows[first].tolist(), highs[np.append(apart, len(at) - 1)].tolist(), strict=True):
+                        out = found.setdefault(cluster, {"cluster": cluster, "bundle": one["block"], "texts": [], "owner": [], "start": [], "length": [], "body": []})
+                        if not out["texts"] or out["texts"][-1] != text:
+                            out["texts"].append(text)
+                        out["owner"].append(len(out["texts"]) - 1)
                         out["start"].append(low)
                         out["length"].append(high - low)
-                        pieces.append(one["body"][begin + low : begin + high] + bytes([END]))
-                if pieces:
-                    yield pa.RecordBatch.from_pylist([out | {"body": b"".join(pieces)}], schema)
+                        out["body"].append(one["body"][begin + low : begin + high] + bytes([END]))
+                if found:
+                    yield pa.RecordBatch.from_pylist([
+                        out | {"digest": [one["digest"][i] for i in out["texts"]], "least": [one["least"][i] for i in out["texts"]], "body": b"".join(out["body"])} for out in found.values()
+                    ], schema)
 
     return cut
 
 
+def joined(places: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of those rising places of the same owner whose strings of SPAN bytes touch."""
+    apart = np.flatnonzero((places[1:] > places[:-1] + SPAN) | (of[1:] != of[:-1]))
+    return np.append(0, apart + 1), np.append(apart, len(places) - 1)
+
+
+def collapsed(table: pa.Table) -> pa.Table:
+    """One block of a cluster's stretches without the strings that it has of a lesser document too, which are marked."""
+    rows = table.to_pylist()
+    digest, least = [d for r in rows for d in r["digest"]], np.array([x for r in rows for x in r["least"]])
+    before = np.cumsum([0, *[len(r["digest"]) for r in rows]])
+    owner = np.concatenate([np.array(r["owner"]) + n for r, n in zip(rows, before[:-1], strict=True)])
+    start, length = np.array([x for r in rows for x in r["start"]]), np.array([x for r in rows for x in r["length"]])
+    body = b"".join(r["body"] for r in rows)
+    begin, count = np.cumsum(length + 1) - length - 1, length - SPAN + 1
+    stretch = np.repeat(np.arange(len(length)), count)
+    at = np.arange(len(stretch)) + np.repeat(begin - np.cumsum(count) + count, count)
+    strings, own = grams(np.frombuffer(body, dtype=np.uint8), SPAN)[at], least[owner[stretch]]
+    order = np.argsort(strings)
+    new = np.append(True, strings[order][1:] != strings[order][:-1])
+    later = np.empty(len(order), dtype=bool)
+    later[order] = own[order] > np.minimum.reduceat(own[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    place = at + (start - begin)[stretch]
+    marks = [b""] * len(digest)
+    gone = np.flatnonzero(later)
+    if len(gone):
+        a, b = joined(place[gone], owner[stretch[gone]])
+        runs, of = np.stack([place[gone[a]], place[gone[b]] + SPAN], axis=1).astype(np.int64), owner[stretch[gone[a]]]
+        for text in np.unique(of).tolist():
+            marks[text] = runs[of == text].tobytes()
+    kept = np.flatnonzero(~later)
+    a, b = joined(at[kept], stretch[kept])
+    a, b = kept[a], kept[b]
+    pieces = [body[x:y] + bytes([END]) for x, y in zip(at[a].tolist(), (at[b] + SPAN).tolist(), strict=True)]
+    one = {
+        "block": rows[0]["cluster"] << 32 | rows[0]["salt"], "digest": digest, "least": least.tolist(), "owner": owner[stretch[a]].tolist(), "start": place[a].tolist(),
+        "length": (at[b] + SPAN - at[a]).tolist(), "body": b"".join(pieces), "marks": marks,
+    }
+    return pa.Table.from_pylist([one], pa.schema([("block", pa.int64()), *LISTS, ("marks", pa.list_(pa.binary()))]))
+
+
+def blocks_of(cut: DataFrame) -> DataFrame:
+    """Blocks of written stretches; clusters of more than CLUSTER bytes are dealt over several by bundle."""
+    sizes = cut.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("body")) / CLUSTER).alias("salts")).filter("salts > 1")
+    dealt = cut.join(sizes, "cluster", "left").withColumn("salt", F.pmod(F.xxhash64("bundle"), F.coalesce("salts", F.lit(1)))).drop("salts")
+    return dealt.groupBy("cluster", "salt").applyInArrow(collapsed, BLOCK)
+
+
 class Block:
     """One block's string: bytes, the places of its characters in tracks, and those of the sample in the next string."""
 
@@ -593,6 +654,17 @@ def repeats(blocks: DataFrame, parts: int, rounds: list[int], folder: str) -> Da
     return expanded(rows, answers, runs_of, pa.schema([("digest", pa.binary()), ("runs", pa.binary())]), "digest binary, runs binary", folder, "runs")
 
 
+def united(found: list[bytes]) -> list[list[int]]:
+    """Maximal runs of the runs that several blocks have found in a text."""
+    out = []
+    for low, high in sorted(np.frombuffer(b"".join(found), dtype=np.int64).reshape(-1, 2).tolist()):
+        if out and low <= out[-1][1]:
+            out[-1][1] = max(high, out[-1][1])
+        else:
+            out.append([low, high])
+    return out
+
+
 def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
     for batch in batches:
@@ -600,7 +672,7 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for one in batch.slice(at, 256).to_pylist():
                 data = (one["text"] or "").encode()
-                runs = [(0, len(data))] if one["copy"] else np.frombuffer(one["runs"] or b"", dtype=np.int64).reshape(-1, 2).tolist()
+                runs = [(0, len(data))] if one["copy"] else united(one["runs"] or [])
                 edges = [0, *[x for run in runs for x in run], len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 rows.append({"doc_id": one["doc_id"], "n_bytes": len(data), "n_removed": len(data) - len(kept), "n_spans": len(runs), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept})
@@ -628,16 +700,23 @@ def without_repeats(docs: DataFrame, suffixes: int = SUFFIXES, round_parts: int
     size = bundles.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     parts = ceil(size * 2 / (WINDOW + 1) / ANCHORS) or 1
     shared = settle(bundles.select("block", "ends", "body").mapInArrow(tell_anchors(parts), ANSWER).groupBy("part").applyInArrow(shared_anchors, ANSWER), folder, "shared")
-    blocks = settle(with_answers(bundles, shared).mapInArrow(stretches(parts), BLOCK), folder, "blocks")
+    cut = settle(with_answers(bundles, shared).mapInArrow(stretches(parts, ceil(size / BUNDLE) or 1), CUT), folder, "cut")
     facts = shared_dir(spark)
     least = settle(bundles.select(F.explode(F.arrays_zip("digest", "least")).alias("x")).select("x.digest", F.col("x.least").alias("place")), facts, "least")
     for name in ("bundles", "shared"):
         drop_folder(spark, f"{folder}/{name}")
+    blocks = settle(blocks_of(cut), folder, "blocks")
+    drop_folder(spark, f"{folder}/cut")
+    marks = settle(blocks.select(F.explode(F.arrays_zip("digest", "marks")).alias("x")).select("x.digest", F.col("x.marks").alias("runs")).filter(F.octet_length("runs") > 0), facts, "marks")
+    blocks = blocks.drop("marks")
     total = blocks.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     sorts = ceil(total / suffixes) or 1
     runs = repeats(blocks, sorts, [max(1, min(r, sorts // round_parts)) for r in ROUNDS], folder)
     # a long text that isn't found under its own id stands, as a whole, under a smaller one
-    known = settle(least.join(runs, "digest", "left").withColumn("known", F.lit(True)), facts, "known")
+    found = runs.unionByName(marks).groupBy("digest").agg(F.collect_list("runs").alias("runs"))
+    known = settle(least.join(found, "digest", "left").withColumn("known", F.lit(True)), facts, "known")
+    for name in ("least", "marks"):
+        drop_folder(spark, f"{facts}/{name}")
     drop_folder(spark, folder)
     rows = docs.join(known, ["digest", "place"], "left").select("doc_id", "text", "runs", (F.col("known").isNull() & F.coalesce(long, F.lit(False))).alias("copy"))
     return rows.mapInArrow(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

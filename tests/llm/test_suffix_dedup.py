@@ -65,3 +65,22 @@ def test_odd_rows(spark):
 
 def test_nothing(spark):
     assert run(spark, []) == [] and run(spark, [(1, None)]) == brute([(1, None)])
+
+
+def test_a_block_holds_a_passage_of_many_documents_once(spark):
+    passage = "".join(chr(97 + (i * i + i // 7) % 25) for i in range(3000))
+    rows = [(f"{i:b}".encode() + passage.encode(), i) for i in (3, 1, 2)]
+    cut = [
+        {"cluster": 5, "bundle": n, "digest": [b"%d" % i], "least": [i], "owner": [0], "start": [10], "length": [len(text)], "body": text + b"\xff"} for n, (text, i) in enumerate(rows)
+    ]
+    (block,) = suffix_dedup.blocks_of(spark.createDataFrame(cut, suffix_dedup.CUT)).collect()
+    assert bytes(block.body).count(passage[100:2900].encode()) == 1
+    assert len(block.body) < len(passage) + 400
+    assert {bytes(d): bool(m) for d, m in zip(block.digest, block.marks, strict=True)} == {b"1": False, b"2": True, b"3": True}
+
+
+def test_large_clusters_are_dealt_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CLUSTER", 300)
+    monkeypatch.setattr(suffix_dedup, "BUNDLE", 500)
+    rows = mixed(3, 40)
+    assert run(spark, rows, suffixes=700, round_parts=2) == brute(rows)
