@@ -1,26 +1,23 @@
-"""Removal of passages that stand in an earlier document, by a distributed difference-cover suffix sort.
+"""Removal of passages that stand in an earlier document, by a distributed, sampled suffix array.
 
 Texts that are equal as a whole enter once, under their least doc_id. A string of SPAN bytes that
 stands in two texts holds, in both, the same anchor: the least of the hashes of its GRAM-byte pieces.
 Only the stretches around anchors of two texts can repeat; they are cut out and packed into blocks of
 some hundred kilobytes, those of the same least anchor together, so that most copies of a passage lie in
 one block. Of strings of SPAN bytes that stand in a block several times only those of its least doc_id stay
-in it, the others are marked at once. The suffixes of what stays are sorted by the difference-cover algorithm:
-
-* A block's characters are its groups of six bytes, laid out in six interleaved tracks, so that every
-  byte starts one character.
-* The suffixes at places 1 and 2 of 3 are the sample. Its triples (18 bytes) are sorted and named, and
-  the names make a shorter string, on which the same is done once more. Names then stand for 54 bytes,
-  no less than SPAN, so the recursion ends.
-* On the way back the suffixes at place 0 are merged with the sample: against place 1 by character and
-  next rank, against place 2 by two characters and the rank behind them.
-* In the final order the suffixes that begin alike are neighbours; neighbours are compared by a 64-bit
-  hash of their first SPAN bytes, and all but those of the least doc_id are marked.
-
-Sorting is global, strings are local. A block tells each part of the suffixes' order (ranges of 48-byte
-prefixes, from a sample) its distinct entries as arrays, and the part answers with ranks in the same
-order, so that places never travel. Parts are worked off in rounds, one shuffle at a time, which bounds
-the disk that they need together.
+in it, the others are marked at once. Of what stays a sampled suffix array is made (a sparse one: suffixes start at
+anchors only, about every tenth byte):
+
+* A block tells the part of the suffixes' order (ranges of GRAM-byte prefixes, from a sample) each distinct suffix, by
+  its first SPAN bytes and the LEFT bytes before it, and its least doc_id.
+* The part sorts its suffixes, and also what stands before them, nearest byte first. A string of SPAN bytes that starts
+  d bytes before its anchor is repeated where suffixes agree in SPAN - d bytes, which makes them neighbours in the one
+  order, and in d bytes before them, which makes them neighbours in the other. Bytes are compared, not hashes.
+* It answers, for each suffix and d, whether a document of smaller doc_id has that string too. Every string of SPAN
+  bytes has an anchor at most LEFT bytes behind its start, so no string is left out.
+
+Sorting is global, and a block's answers come back in the order in which it told, so that places never travel. Parts
+are worked off in rounds, one shuffle at a time, each of about as many bytes as the texts have at most.
 """
 
 from __future__ import annotations
@@ -41,16 +38,19 @@ from .common import drop_folder, read_table, settle, shared_dir
 SPAN, GRAM = 50, 32
 #: Grams in a string of SPAN bytes.
 WINDOW = SPAN - GRAM + 1
-#: Bytes of texts in a bundle, anchors and suffixes of a part, least parts of a round, rounds of the four sorts.
-BUNDLE, ANCHORS, SUFFIXES, ROUND_PARTS, ROUNDS = 2_000_000, 3_000_000, 600_000, 16, (2, 1, 2, 4)
+#: The farthest start of such a string before its anchor.
+LEFT = WINDOW - 1
+#: Bytes of texts in a bundle, anchors and sampled suffixes of a part, least parts of a round.
+BUNDLE, ANCHORS, SUFFIXES, ROUND_PARTS = 2_000_000, 3_000_000, 300_000, 16
 #: Bytes of stretches of one least anchor that make a block; more are dealt over several.
 CLUSTER = 4_000_000
-#: Slices of the blocks that receive their answers one after the other.
-SLICES = 4
-#: Bytes of a character, and tracks; bytes behind a block's last stretch, all END, which no text holds.
-TRACKS, PAD, END = 6, 60, 0xFF
-PREFIX = 48
-#: Prefixes that the driver takes the parts' borders from.
+#: The byte between stretches, which no text holds.
+END = 0xFF
+#: Columns of a told suffix: SPAN bytes from it on, LEFT before it, what is left of both, the least doc_id.
+KINDS = [*[np.uint64] * 6, *[np.uint64] * 2, np.uint32, np.int64]
+#: Anchors whose bytes are laid out at once.
+CHUNK = 100_000
+#: Grams of a block, and blocks, that the driver takes the parts' borders from.
 SAMPLE, SAMPLE_BLOCKS = 64, 4096
 #: The place of null ids: behind all others.
 LAST = 2**63 - 1
@@ -266,37 +266,46 @@ def blocks_of(cut: DataFrame) -> DataFrame:
     return dealt.groupBy("cluster", "salt").applyInArrow(collapsed, BLOCK)
 
 
-class Block:
-    """One block's string: bytes, the places of its characters in tracks, and those of the sample in the next string."""
+def sampled(one: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of a block, and where each one's stretch begins and ends."""
+    length = np.asarray(one["length"], dtype=np.int64)
+    begin = np.cumsum(length + 1) - length - 1
+    at, _ = anchors(np.frombuffer(one["body"], dtype=np.uint8))
+    of = np.searchsorted(begin, at, side="right") - 1
+    inside = at + GRAM <= (begin + length)[of]  # no gram holds an END
+    return at[inside], begin[of[inside]], (begin + length)[of[inside]]
 
-    def __init__(self, body: bytes):
-        self.n, self.numbers = len(body) + PAD, None
-        self.bytes = np.full(self.n + 64, END, dtype=np.uint8)
-        self.bytes[: len(body)] = np.frombuffer(body, dtype=np.uint8)
-        tracks = [np.append(np.arange(r, self.n, TRACKS), self.n) for r in range(TRACKS)]
-        self.places = np.concatenate(tracks)
-        m = len(self.places)
-        self.sample = np.concatenate([np.arange(1, m, 3), [m], np.arange(2, m, 3)])  # m: between the two
-        self.sample_places = np.append(self.places, self.n)[self.sample]
 
-    def prefixes(self, places: np.ndarray, size: int) -> np.ndarray:
-        rows = sliding_window_view(self.bytes, size)[places]
-        return np.ascontiguousarray(rows).view(f"S{size}").ravel()
+def suffixes(one: dict) -> tuple[list[np.ndarray], np.ndarray]:
+    """A block's distinct sampled suffixes with what stands before them, and for each anchor the number of its own.
 
-    def heads(self) -> np.ndarray:
-        """The eight bytes from every place on, as numbers."""
-        if self.numbers is None:
-            n, data = self.n + 1, self.bytes.tobytes()
-            self.numbers = np.empty(n, dtype=np.uint64)
-            for k in range(8):
-                words = np.frombuffer(data, dtype=">u8", count=(len(data) - k) // 8, offset=k)
-                self.numbers[k::8] = words[: len(self.numbers[k::8])]
-        return self.numbers
-
-    def characters(self) -> np.ndarray:
-        """Of every place of the tracks; three of END beyond."""
-        values = self.heads() >> np.uint64(8 * (8 - TRACKS))
-        return np.append(values[self.places], np.full(3, (1 << 8 * TRACKS) - 1, dtype=np.uint64))
+    Columns: the SPAN bytes from the anchor on and the LEFT before it, nearest first, as numbers in the order of the
+    bytes, END beyond the stretch; and the least doc_id.
+    """
+    at, begin, end = sampled(one)
+    data = np.concatenate([np.full(LEFT, END, np.uint8), np.frombuffer(one["body"], dtype=np.uint8), np.full(SPAN, END, np.uint8)])
+    length = np.asarray(one["length"], dtype=np.int64)
+    least = np.asarray(one["least"], dtype=np.int64)[np.asarray(one["owner"], dtype=np.int64)]
+    least = least[np.searchsorted(np.cumsum(length + 1), at, side="right")]
+    found, numbers, total = [], [], 0
+    for low in range(0, len(at), CHUNK):
+        mine = slice(low, low + CHUNK)
+        offset = np.arange(-LEFT, SPAN)
+        inside = (offset >= (begin[mine] - at[mine])[:, None]) & (offset < (end[mine] - at[mine])[:, None])
+        rows = np.where(inside, sliding_window_view(data, LEFT + SPAN)[at[mine]], np.uint8(END))
+        right, left = rows[:, LEFT:], rows[:, LEFT - 1 :: -1]
+        words = [np.ascontiguousarray(x).view(">u8").astype(np.uint64) for x in (right[:, :48], left[:, :16])]
+        rest = np.ascontiguousarray(np.concatenate([right[:, 48:], left[:, 16:]], axis=1)).view(">u4").astype(np.uint32)
+        columns = [*words[0].T, *words[1].T, rest[:, 0], least[mine]]
+        first, number = distinct(columns)
+        found.append([c[first] for c in columns])
+        numbers.append(total + number)
+        total += len(first)
+    if not found:
+        return [np.empty(0, dtype=k) for k in KINDS], np.empty(0, dtype=np.int64)
+    columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+    first, number = distinct(columns)
+    return [c[first] for c in columns], number[np.concatenate(numbers)]
 
 
 def distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -316,156 +325,66 @@ def distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order[new], number
 
 
-def dealt(columns: list[np.ndarray], part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows to tell, sorted by part; their parts; and for every row the number of the told one."""
-    first, number = distinct(columns)
-    order = np.argsort(part[first].astype(np.uint16) if part.max(initial=0) < 1 << 16 else part[first], kind="stable")
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    return first[order], part[first[order]], place[number]
-
-
-def packed(columns: list[np.ndarray]) -> bytes:
-    return b"".join(c.tobytes() for c in columns)
+def grams_of(columns: list[np.ndarray]) -> np.ndarray:
+    """The first GRAM bytes of sampled suffixes."""
+    return np.stack(columns[: GRAM // 8], axis=1).astype(">u8").view(f"S{GRAM}").ravel()
 
 
-def unpacked(table: pa.Table, kinds: list[type]) -> tuple[list[np.ndarray], list[int]]:
-    width, columns, sizes = sum(np.dtype(k).itemsize for k in kinds), [[] for _ in kinds], []
+def unpacked(table: pa.Table) -> tuple[list[np.ndarray], list[int]]:
+    width, columns, sizes = sum(np.dtype(k).itemsize for k in KINDS), [[] for _ in KINDS], []
     for data in table.column("data"):
         buffer, at = data.as_buffer(), 0
         n = len(buffer) // width
         sizes.append(n)
-        for column, kind in zip(columns, kinds, strict=True):
+        for column, kind in zip(columns, KINDS, strict=True):
             column.append(np.frombuffer(buffer, dtype=kind, count=n, offset=at))
             at += n * np.dtype(kind).itemsize
     return [np.concatenate(c) for c in columns], sizes
 
 
-def groups(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The order of rows, first column first, and which of them, so ordered, begin a new value."""
-    order = np.lexsort(columns[::-1])
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0) if len(order) > 1 else new[1:]
-    return order, new
-
-
-def named(table: pa.Table, kinds: list[type]) -> tuple[np.ndarray, list[int]]:
-    """Ranks of the entries, equal ones alike, from 0."""
-    columns, sizes = unpacked(table, kinds)
-    order, new = groups(columns)
-    ranks = np.empty(len(order), dtype=np.int64)
-    ranks[order] = np.cumsum(new) - 1
-    return ranks, sizes
-
-
-def dense(values: np.ndarray) -> np.ndarray:
-    """Ranks of values, equal ones alike."""
-    return np.unique(values, return_inverse=True)[1].astype(np.uint64)
-
-
-def paired(high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """One number for each pair, in the order of the pairs; high and low are less than 2 ** 32."""
-    return high << np.uint64(32) | low.astype(np.uint64)
-
-
-def merged(columns: list[np.ndarray]) -> np.ndarray:
-    """How many suffixes come before each: the sample by rank, place 0 between by characters and ranks."""
-    turn, rank, c0, c1, x, y = columns[:6]
-    if x.dtype.itemsize > 4:
-        x, y = dense(np.concatenate([x, y])).reshape(2, -1)
-    head = dense(c0)
-    both = dense(paired(head, dense(c1)))
-    zero, one, two = (np.flatnonzero(turn == k) for k in range(3))
-    less = np.zeros(len(turn), dtype=np.int64)
-
-    def count(these: np.ndarray, those: np.ndarray, keys: np.ndarray) -> None:
-        less[these] += np.searchsorted(np.sort(keys[those]), keys[these])
-
-    sample = np.concatenate([one, two])
-    count(sample, sample, rank)
-    by_one = paired(head, x)
-    count(zero, zero, by_one)
-    count(zero, one, by_one)
-    count(one, zero, by_one)
-    by_two = paired(both, np.where(turn == 0, y, x))
-    count(zero, two, by_two)
-    count(two, zero, by_two)
-    return less
-
-
-def merge_columns(string: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """What merged() needs of the suffixes at these places of a string; string and ranks go on by three."""
-    turn = (at % 3).astype(np.uint8)
-    nothing = ranks.dtype.type(0)
-    return [
-        turn,
-        np.where(turn > 0, ranks[at], nothing),
-        string[at],
-        np.where(turn != 1, string[at + 1], string.dtype.type(0)),
-        np.where(turn == 2, ranks[at + 2], ranks[at + 1]),
-        np.where(turn == 0, ranks[at + 2], nothing),
-    ]
-
-
-class Step:
-    """One global sort: what a block tells of its suffixes, and what a part answers."""
-
-    def __init__(self, columns: Callable, kinds: list[type], answer: Callable):
-        self.columns, self.kinds, self.answer = columns, kinds, answer
-
-    @staticmethod
-    def told(columns: list[np.ndarray], part: np.ndarray, turn: int, rounds: int) -> tuple:
-        mine = np.flatnonzero(part % rounds == turn) if rounds > 1 else np.arange(len(part))
-        columns = [c[mine] for c in columns]
-        return mine, columns, *dealt(columns, part[mine])
-
-    def run(self, rows: DataFrame, rounds: int, folder: str, name: str) -> list[DataFrame]:
-        """Answers of all parts, a table for each round."""
-
-        def tell(turn: int) -> Callable:
-            def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    for row in range(batch.num_rows):
-                        one = batch.slice(row, 1).to_pylist()[0]
-                        _, columns, first, part, _ = self.told(*self.columns(one), turn, rounds)
-                        yield pa.RecordBatch.from_pylist([{"part": p, "block": one["block"], "data": packed([c[first[a:b]] for c in columns])} for p, a, b in slices(part)], TOLD)
-
-            return emit
-
-        def answer(table: pa.Table) -> pa.Table:
-            values, sizes = self.answer(table, self.kinds)
-            kind = np.uint8 if values.dtype == bool else np.uint32 if values.max(initial=0) < 2**32 else np.uint64
-            pieces = [v.astype(kind).tobytes() for v in np.split(values, np.cumsum(sizes)[:-1])]
-            top = [int(values.max(initial=0))] * len(pieces)
-            return pa.table([table.column("part"), table.column("block"), pa.array(pieces, pa.binary()), pa.array(top, pa.int64())], names=["part", "block", "data", "top"])
-
-        return [settle(rows.mapInArrow(tell(turn), ANSWER).groupBy("part").applyInArrow(answer, ANSWER + ", top long"), folder, f"{name}{turn}") for turn in range(rounds)]
-
-    def values(self, one: dict, rounds: int, offsets: dict | None) -> np.ndarray:
-        """What the parts have answered, for every suffix that was told; ranks count from 1 over all parts."""
-        answers = {a["part"]: a["data"] for a in one["answers"] or []}
-        columns, parts = self.columns(one)
-        out = np.zeros(len(parts), dtype=np.int64)
-        for turn in range(rounds):
-            mine, _, first, part, number = self.told(columns, parts, turn, rounds)
-            got = np.empty(len(first), dtype=np.int64)
-            for p, a, b in slices(part):
-                data = answers[p]
-                got[a:b] = np.frombuffer(data, dtype={1: np.uint8, 4: np.uint32, 8: np.uint64}[len(data) // (b - a)])
-                if offsets is not None:
-                    got[a:b] += offsets[p] + 1
-            out[mine] = got[number]
+def beginnings(words: list[np.ndarray], sizes: list[int], order: np.ndarray) -> list[np.ndarray]:
+    """For each number of bytes, from none, which rows in this order begin a new string of so many."""
+    out = [np.arange(len(order)) == 0]
+    for word, size in zip(words, sizes, strict=True):
+        ranked, before = word[order], out[-1][1:]
+        differ = ranked[1:] ^ ranked[:-1]
+        out += [np.append(True, before | (differ >> differ.dtype.type(8 * (size - k)) > 0)) for k in range(1, size + 1)]
+    return out
+
+
+def repeated(columns: list[np.ndarray]) -> np.ndarray:
+    """For each sampled suffix, as bits, how far before it strings of SPAN bytes start that a lesser document has too.
+
+    A string that starts d bytes before an anchor is its d bytes before and SPAN - d bytes from it on. In the suffixes'
+    order those of equal SPAN - d bytes are neighbours, in the order of what stands before them those of equal d bytes.
+    """
+    right, left, rest, least = columns[:6], columns[6:8], columns[8], columns[9]
+    right, left = [*right, rest >> np.uint32(16)], [*left, rest & np.uint32(0xFFFF)]
+    out = np.zeros(len(least), dtype=np.uint32)
+    order = np.lexsort(right[::-1])
+    new = beginnings(right, [*[8] * 6, 2], order)
+    starts = np.flatnonzero(new[GRAM])
+    several = (np.minimum.reduceat(least[order], starts) < np.maximum.reduceat(least[order], starts))[np.cumsum(new[GRAM]) - 1]
+    mine = order[several]
+    if not len(mine):
         return out
+    by_left = np.lexsort([c[mine] for c in left[::-1]])
+    new_left = beginnings([c[mine] for c in left], [8, 8, 2], by_left)
+    least, run = least[mine], np.empty(len(mine), dtype=np.uint64)
+    for d in range(WINDOW):
+        run[by_left] = np.cumsum(new_left[d])
+        both = run << np.uint64(32) | np.cumsum(new[SPAN - d])[several].astype(np.uint64)
+        alike = np.argsort(both)
+        first = np.append(True, both[alike][1:] != both[alike][:-1])
+        lesser = np.minimum.reduceat(least[alike], np.flatnonzero(first))[np.cumsum(first) - 1]
+        out[mine[alike[least[alike] > lesser]]] |= np.uint32(1 << d)
+    return out
 
 
-def offsets_of(answers: DataFrame) -> tuple[dict[int, int], type]:
-    """Ranks before each part (one number a part comes to the driver), and the type that holds all ranks."""
-    tops = answers.groupBy("part").agg(F.max("top").alias("top")).collect()
-    total, out = 0, {}
-    for row in sorted(tops, key=lambda r: r["part"]):
-        out[row["part"]] = total
-        total += row["top"] + 1
-    return out, np.uint32 if total < 2**32 - 1 else np.uint64
+def answered(table: pa.Table) -> pa.Table:
+    columns, sizes = unpacked(table)
+    pieces = [bits.tobytes() for bits in np.split(repeated(columns), np.cumsum(sizes)[:-1])]
+    return pa.table([table.column("part"), table.column("block"), pa.array(pieces, pa.binary())], schema=TOLD)
 
 
 def with_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:
@@ -473,12 +392,6 @@ def with_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:
     return rows.join(answers.groupBy("block").agg(F.collect_list(F.struct("part", "data")).alias("answers")), "block", "left")
 
 
-def expanded(rows: DataFrame, answers: DataFrame, make: Callable[[dict], list[dict]], schema: pa.Schema, ddl: str, folder: str, name: str) -> DataFrame:
-    """Rows made from blocks and their answers, a slice of the blocks at a time, so that only a slice is shuffled at once."""
-    mine = lambda table, turn: table.filter(F.pmod(F.xxhash64("block"), F.lit(SLICES)) == turn)
-    return all_of([settle(with_answers(mine(rows, turn), mine(answers, turn)).mapInArrow(each(make, schema), ddl), folder, f"{name}{turn}") for turn in range(SLICES)])
-
-
 def all_of(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for table in tables[1:]:
@@ -496,153 +409,57 @@ def each(make: Callable[[dict], list[dict]], schema: pa.Schema) -> Callable:
 
 
 def borders_of(blocks: DataFrame, parts: int) -> np.ndarray:
-    """Prefixes that part the suffixes evenly, from a bounded sample; where they lie changes no result."""
+    """Grams that part the suffixes evenly, from a bounded sample; where they lie changes no result."""
     every = max(1, blocks.count() // SAMPLE_BLOCKS)
 
     def take(one: dict) -> list[dict]:
-        block = Block(one["body"])
-        step = max(1, len(one["body"]) // SAMPLE)
-        return [{"prefix": p} for p in block.prefixes(np.arange(0, len(one["body"]), step), PREFIX).tolist()]
+        at, _, _ = sampled(one)
+        at = at[:: max(1, len(at) // SAMPLE)]
+        return [{"grams": sliding_window_view(np.frombuffer(one["body"], dtype=np.uint8), GRAM)[at].tobytes()}]
 
-    sample = blocks.filter(F.pmod(F.xxhash64("block"), F.lit(every)) == 0).select("body").mapInArrow(each(take, pa.schema([("prefix", pa.binary())])), "prefix binary").collect()
-    found = np.sort(np.array([bytes(r["prefix"]) for r in sample], dtype=f"S{PREFIX}"))
+    sample = blocks.filter(F.pmod(F.xxhash64("block"), F.lit(every)) == 0).select("length", "body").mapInArrow(each(take, pa.schema([("grams", pa.binary())])), "grams binary").collect()
+    found = np.sort(np.frombuffer(b"".join(r["grams"] for r in sample), dtype=f"S{GRAM}"))
     return found[np.linspace(0, len(found), parts + 1).astype(int)[1:-1]] if len(found) else found
 
 
-def repeats(blocks: DataFrame, parts: int, rounds: list[int], folder: str) -> DataFrame:
+def repeats(blocks: DataFrame, parts: int, rounds: int, folder: str) -> DataFrame:
     """(digest, runs): maximal runs (from, to) of bytes to remove from the text, 64-bit numbers."""
-    borders = blocks.sparkSession.sparkContext.broadcast(borders_of(blocks, parts))  # parts * PREFIX bytes at most
-
-    def parts_of(block: Block, places: np.ndarray, size: int) -> np.ndarray:
-        """By their first eight bytes; where a border begins alike, by `size` bytes."""
-        cut = borders.value.astype(f"S{size}")
-        heads = np.array([int.from_bytes(c[:8].ljust(8, b"\0"), "big") for c in cut.tolist()], dtype=np.uint64)
-        of = block.heads()[places]
-        part = np.searchsorted(heads, of, side="left")
-        unsure = np.flatnonzero(heads[np.minimum(part, len(heads) - 1)] == of) if len(heads) else np.empty(0, dtype=np.int64)
-        part[unsure] = np.searchsorted(cut, block.prefixes(places[unsure], size), side="right")
-        return part
-
-    def triples(one: dict) -> tuple[list[np.ndarray], np.ndarray]:
-        block = Block(one["body"])
-        c = block.characters()
-        at = np.minimum(block.sample, len(block.places))
-        a, b, d = c[at], c[np.minimum(at + 1, len(c) - 1)], c[np.minimum(at + 2, len(c) - 1)]
-        low = np.uint64(0xFFFFFFFF)
-        columns = [a << np.uint64(16) | b >> np.uint64(32), (b & low) << np.uint64(32) | d >> np.uint64(16), (d & np.uint64(0xFFFF)).astype(np.uint16)]
-        return columns, parts_of(block, block.sample_places, 3 * TRACKS)
-
-    def done(name: str, turns: int) -> None:
-        for turn in range(turns):
-            drop_folder(blocks.sparkSession, f"{folder}/{name}{turn}")
-
-    first = Step(triples, [np.uint64, np.uint64, np.uint16], named)
-    answers = all_of(first.run(blocks.select("block", "body"), rounds[0], folder, "first"))
-    offsets, kind = offsets_of(answers)
-
-    def string_of(one: dict) -> list[dict]:
-        block = Block(one["body"])
-        names = first.values(one, rounds[0], offsets).astype(kind)
-        names[block.sample == len(block.places)] = 0  # between the two
-        return [{"block": one["block"], "body": one["body"], "names": names.tobytes()}]
-
-    schema = pa.schema([("block", pa.int64()), ("body", pa.binary()), ("names", pa.binary())])
-    rows = expanded(blocks.select("block", "body"), answers, string_of, schema, "block long, body binary, names binary", folder, "second_rows")
-    done("first", rounds[0])
-
-    def names_of(one: dict) -> np.ndarray:
-        return np.append(np.frombuffer(one["names"], dtype=kind), np.zeros(3, dtype=kind))
-
-    def name_triples(one: dict) -> tuple[list[np.ndarray], np.ndarray]:
-        block, names = Block(one["body"]), names_of(one)
-        m = len(names) - 3
-        at = np.concatenate([np.arange(1, m, 3), np.arange(2, m, 3)])
-        return [names[at], names[at + 1], names[at + 2]], parts_of(block, block.sample_places[at], PREFIX)
-
-    second = Step(name_triples, [kind] * 3, named)
-    answers = all_of(second.run(rows, rounds[1], folder, "second"))
-    offsets2, kind2 = offsets_of(answers)
-
-    def second_ranks(one: dict) -> list[dict]:
-        m = len(names_of(one)) - 3
-        ranks = np.zeros(m, dtype=kind2)
-        ranks[np.concatenate([np.arange(1, m, 3), np.arange(2, m, 3)])] = second.values(one, rounds[1], offsets2)
-        return [{"block": one["block"], "body": one["body"], "names": one["names"], "ranks": ranks.tobytes()}]
-
-    schema = pa.schema([("block", pa.int64()), ("body", pa.binary()), ("names", pa.binary()), ("ranks", pa.binary())])
-    rows = expanded(rows, answers, second_ranks, schema, "block long, body binary, names binary, ranks binary", folder, "third_rows")
-    done("second", rounds[1])
-    done("second_rows", SLICES)
-
-    def name_suffixes(one: dict) -> tuple[list[np.ndarray], np.ndarray]:
-        block, names = Block(one["body"]), names_of(one)
-        ranks = np.append(np.frombuffer(one["ranks"], dtype=kind2), np.zeros(3, dtype=kind2))
-        return merge_columns(names, ranks, np.arange(len(names) - 3)), parts_of(block, block.sample_places, PREFIX)
-
-    def merged_ranks(table: pa.Table, kinds: list[type]) -> tuple[np.ndarray, list[int]]:
-        columns, sizes = unpacked(table, kinds)
-        return merged(columns), sizes
-
-    third = Step(name_suffixes, [np.uint8, kind2, kind, kind, kind2, kind2], merged_ranks)
-    answers = all_of(third.run(rows, rounds[2], folder, "third"))
-    offsets3, kind3 = offsets_of(answers)
-
-    def sample_ranks(one: dict) -> list[dict]:
-        block = Block(one["body"])
-        ranks = np.zeros(len(block.places) + 1, dtype=kind3)
-        ranks[block.sample] = third.values(one, rounds[2], offsets3)
-        ranks[-1] = 0
-        return [{"block": one["block"], "ranks": ranks[:-1].tobytes()}]
-
-    schema = pa.schema([("block", pa.int64()), ("ranks", pa.binary())])
-    ranked = expanded(rows, answers, sample_ranks, schema, "block long, ranks binary", folder, "ranked")
-    done("third", rounds[2])
-    done("third_rows", SLICES)
-    rows = settle(blocks.join(ranked, "block"), folder, "last_rows")
-    done("ranked", SLICES)
-    drop_folder(blocks.sparkSession, f"{folder}/blocks")
-
-    def suffixes(one: dict) -> tuple[list[np.ndarray], np.ndarray]:
-        """Only suffixes with SPAN bytes of their stretch before them."""
-        block = Block(one["body"])
-        ranks = np.append(np.frombuffer(one["ranks"], dtype=kind3), np.zeros(3, dtype=kind3))
-        length = np.asarray(one["length"])
-        begin = np.cumsum(length + 1) - length - 1
-        held = np.full(block.n + 1, -1, dtype=np.int64)
-        for low, size, owner in zip(begin.tolist(), one["length"], one["owner"], strict=True):
-            held[low : low + size - SPAN + 1] = owner
-        at = np.flatnonzero(held[block.places] >= 0)
-        places = block.places[at]
-        begins = np.append(grams(block.bytes[: block.n], SPAN), np.zeros(SPAN, dtype=np.uint64))[places]
-        columns = [*merge_columns(block.characters(), ranks, at), begins, np.asarray(one["least"], dtype=np.int64)[held[places]]]
-        return columns, parts_of(block, places, PREFIX)
-
-    def marked(table: pa.Table, kinds: list[type]) -> tuple[np.ndarray, list[int]]:
-        """Neighbours in the merged order that begin alike: those not of the least document."""
-        columns, sizes = unpacked(table, kinds)
-        begins, least = columns[6:]
-        order = np.argsort(merged(columns), kind="stable")
-        new = np.append(True, begins[order][1:] != begins[order][:-1])
-        first = np.minimum.reduceat(least[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-        out = np.empty(len(order), dtype=bool)
-        out[order] = least[order] > first
-        return out, sizes
-
-    last = Step(suffixes, [np.uint8, kind3, np.uint64, np.uint64, kind3, kind3, np.uint64, np.int64], marked)
-    answers = all_of(last.run(rows, rounds[3], folder, "last"))
+    borders = blocks.sparkSession.sparkContext.broadcast(borders_of(blocks, parts))  # parts * GRAM bytes at most
+
+    def dealt(one: dict) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """A block's suffixes by part, their parts, and for each anchor the place of its own. All of a gram go to one part."""
+        columns, number = suffixes(one)
+        part = np.searchsorted(borders.value, grams_of(columns), side="right")
+        order = np.argsort(part, kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        return [c[order] for c in columns], part[order], place[number]
+
+    def tell(turn: int) -> Callable:
+        def of(one: dict) -> list[dict]:
+            columns, part, _ = dealt(one)
+            return [{"part": p, "block": one["block"], "data": b"".join(c[a:b].tobytes() for c in columns)} for p, a, b in slices(part) if p % rounds == turn]
+
+        return each(of, TOLD)
+
+    told = blocks.select("block", "least", "owner", "length", "body")
+    answers = all_of([settle(told.mapInArrow(tell(turn), ANSWER).groupBy("part").applyInArrow(answered, ANSWER), folder, f"answers{turn}") for turn in range(rounds)])
 
     def runs_of(one: dict) -> list[dict]:
-        block = Block(one["body"])
-        length = np.asarray(one["length"])
-        begin = np.cumsum(length + 1) - length - 1
-        held = np.zeros(block.n + 1, dtype=bool)
-        for low, size in zip(begin.tolist(), one["length"], strict=True):
-            held[low : low + size - SPAN + 1] = True
-        at = np.flatnonzero(held[block.places])
-        hits = np.sort(block.places[at[last.values(one, rounds[3], None) > 0]])
-        stretch = np.searchsorted(begin, hits, side="right") - 1
-        shift = np.asarray(one["start"])[stretch] - begin[stretch]
-        owner = np.asarray(one["owner"])[stretch]
+        at, begin, end = sampled(one)
+        _, part, place = dealt(one)
+        answers = {a["part"]: a["data"] for a in one["answers"] or []}
+        bits = np.concatenate([np.empty(0, dtype=np.uint32), *[np.frombuffer(answers[p], dtype=np.uint32) for p, _, _ in slices(part)]])[place]
+        hit = np.zeros(len(one["body"]), dtype=bool)
+        for d in range(WINDOW):
+            start = at - d
+            hit[start[(bits >> np.uint32(d) & np.uint32(1) > 0) & (start >= begin) & (start + SPAN <= end)]] = True
+        hits = np.flatnonzero(hit)
+        length = np.asarray(one["length"], dtype=np.int64)
+        first = np.cumsum(length + 1) - length - 1
+        stretch = np.searchsorted(first, hits, side="right") - 1
+        shift = np.asarray(one["start"], dtype=np.int64)[stretch] - first[stretch]
+        owner = np.asarray(one["owner"], dtype=np.int64)[stretch]
         out = []
         for text in np.unique(owner).tolist():
             lows = (hits + shift)[owner == text]
@@ -651,7 +468,7 @@ def repeats(blocks: DataFrame, parts: int, rounds: list[int], folder: str) -> Da
             out.append({"digest": one["digest"][text], "runs": runs.astype(np.int64).tobytes()})
         return out
 
-    return expanded(rows, answers, runs_of, pa.schema([("digest", pa.binary()), ("runs", pa.binary())]), "digest binary, runs binary", folder, "runs")
+    return settle(with_answers(blocks, answers).mapInArrow(each(runs_of, pa.schema([("digest", pa.binary()), ("runs", pa.binary())])), "digest binary, runs binary"), folder, "runs")
 
 
 def united(found: list[bytes]) -> list[list[int]]:
@@ -710,8 +527,10 @@ def without_repeats(docs: DataFrame, suffixes: int = SUFFIXES, round_parts: int
     marks = settle(blocks.select(F.explode(F.arrays_zip("digest", "marks")).alias("x")).select("x.digest", F.col("x.marks").alias("runs")).filter(F.octet_length("runs") > 0), facts, "marks")
     blocks = blocks.drop("marks")
     total = blocks.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    sorts = ceil(total / suffixes) or 1
-    runs = repeats(blocks, sorts, [max(1, min(r, sorts // round_parts)) for r in ROUNDS], folder)
+    sorted_ = total * 2 / (WINDOW + 1)
+    sorts = ceil(sorted_ / suffixes) or 1
+    shuffled = sorted_ * sum(np.dtype(k).itemsize for k in KINDS)
+    runs = repeats(blocks, sorts, max(1, min(ceil(shuffled / (size or 1)), sorts // round_parts)), folder)
     # a long text that isn't found under its own id stands, as a whole, under a smaller one
     found = runs.unionByName(marks).groupBy("digest").agg(F.collect_list("runs").alias("runs"))
     known = settle(least.join(found, "digest", "left").withColumn("known", F.lit(True)), facts, "known")

@@ -84,3 +84,21 @@ def test_large_clusters_are_dealt_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BUNDLE", 500)
     rows = mixed(3, 40)
     assert run(spark, rows, suffixes=700, round_parts=2) == brute(rows)
+
+
+def test_the_sort_shuffles_its_suffixes_once(spark, monkeypatch):
+    written, settle = [], suffix_dedup.settle
+    monkeypatch.setattr(suffix_dedup, "settle", lambda df, folder, name: written.append(name) or settle(df, folder, name))
+    rows = mixed(4, 40)
+    assert run(spark, rows) == brute(rows)
+    assert len(written) <= 9  # bundles, shared, cut, least, blocks, marks, answers, runs, known
+
+
+def test_every_string_has_a_sampled_suffix_near(spark):
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefgh") for _ in range(20_000)).encode() + b"z" * 5000
+    one = {"least": [1], "owner": [0], "start": [0], "length": [len(text)], "body": text + b"\xff"}
+    at, _, _ = suffix_dedup.sampled(one)
+    assert set(range(len(text) - 49)) <= {a - d for a in at.tolist() for d in range(suffix_dedup.WINDOW)}
+    columns, number = suffix_dedup.suffixes(one)
+    assert len(number) == len(at) and len(columns[0]) < 20_000 / 5
