@@ -146,10 +146,7 @@ SEEN = f"seen AS ({windows(AS_OF)})"
 TOPIC = "topic AS (SELECT pmid FROM papers WHERE contains(title, 'anvil') UNION SELECT pmid FROM relations WHERE contains(lower(name), 'anvil'))"
 FOCUS = "chosen AS (SELECT pmid FROM relations WHERE type = 'Disease' AND contains(name, 'anvil') UNION SELECT pmid FROM papers WHERE contains(title, 'anvil'))"
 EDGES = """
-nodes AS (
-    SELECT pmid, node FROM (SELECT pmid, node, row_number() OVER (PARTITION BY pmid ORDER BY node) AS place
-        FROM (SELECT DISTINCT pmid, type || '|' || name AS node FROM relations WHERE type <> 'Limitation')) WHERE place <= 40
-),
+nodes AS (SELECT DISTINCT pmid, type || '|' || name AS node FROM relations WHERE type <> 'Limitation'),
 edges AS (SELECT a.node AS src, b.node AS dst, count(*) AS weight FROM nodes a JOIN nodes b ON a.pmid = b.pmid AND a.node < b.node GROUP BY a.node, b.node)"""
 
 

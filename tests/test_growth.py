@@ -1,5 +1,6 @@
 """What keeps shuffles and pairs from outgrowing the tables, read from the plans."""
 
+import itertools
 import os
 from dataclasses import replace
 
@@ -43,6 +44,26 @@ def test_pairs_are_made_once_for_papers_of_the_same_entities(spark):
     assert exchanges(edges, "nodes")
 
 
+def long_papers():
+    return [(1, "Task", f"t{i:03}") for i in range(150)] + [(2, "Method", f"m{i:03}") for i in range(45)] + [(2, "Task", "t149"), (3, "Task", "t000"), (3, "Task", "t149"), (None, "Task", "t000"), (None, "Task", "t149")]
+
+
+def plain_edges(rows):
+    edges = {}
+    for pmid in {p for p, _, _ in rows if p is not None}:
+        for pair in itertools.combinations(sorted({f"{k}|{n}" for p, k, n in rows if p == pmid}), 2):
+            edges[pair] = edges.get(pair, 0) + 1
+    return edges
+
+
+def test_all_entities_of_a_paper_are_paired(spark):
+    want = plain_edges(long_papers())
+    edges = graph.cooccurrence_edges(corpus_of(spark, long_papers()))
+    assert {(r.src, r.dst): r.weight for r in edges.collect()} == want and want["Task|t000", "Task|t149"] == 2
+    long = spark.createDataFrame([(list(range(1000)),)], "nodes array<int>")
+    assert graph.weighted_pairs(long).count() == 1000 * 999 // 2  # in blocks, which are dealt by the blocks' nodes
+
+
 @has_data
 def test_an_entitys_papers_are_counted_without_shuffling_relations(spark):
     counted = merge.entities_of(from_star(spark, DATA))
