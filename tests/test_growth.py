@@ -64,6 +64,15 @@ def test_all_entities_of_a_paper_are_paired(spark):
     assert graph.weighted_pairs(long).count() == 1000 * 999 // 2  # in blocks, which are dealt by the blocks' nodes
 
 
+def test_degrees_count_all_entities_of_a_paper(spark):
+    degree, strength = {}, {}
+    for pair, weight in plain_edges(long_papers()).items():
+        for node in pair:
+            degree[node], strength[node] = degree.get(node, 0) + 1, strength.get(node, 0) + weight
+    found = graph.degrees(graph.cooccurrence_edges(corpus_of(spark, long_papers()))).collect()
+    assert {r.node: (r.degree, r.strength) for r in found} == {n: (degree[n], strength[n]) for n in degree}
+
+
 @has_data
 def test_an_entitys_papers_are_counted_without_shuffling_relations(spark):
     counted = merge.entities_of(from_star(spark, DATA))
