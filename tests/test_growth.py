@@ -89,6 +89,20 @@ def test_papers_of_the_same_links_are_one_list(spark):
     assert tuple(edge) == ("a", "b", 40, "CO_OCCURS", "r(80)", "s(80)", "qa | qb | qa")
 
 
+def test_what_pairs_show_meets_by_one_shuffle(spark):
+    columns = "paper long, place int, node string, relation string, section string, quote string"
+    rows = [(p, i, f"n{(p * i) % 7}", f"r{i % 2}", f"s{p % 3}", f"q{p}") for p in range(30) for i in range(5)]
+    edges = projection.entity_projection(spark.createDataFrame(rows, columns))
+    shuffles = [line for line in plan(edges).splitlines() if "Exchange" in line]
+    assert shuffles and all("hashpartitioning(src" in line and "REPARTITION_BY_COL" in line for line in shuffles) and "Join" not in plan(edges)
+    weights = {}
+    for p in range(30):
+        for i, j in itertools.combinations(range(5), 2):
+            pair = tuple(sorted((f"n{(p * i) % 7}", f"n{(p * j) % 7}")))
+            weights[pair] = weights.get(pair, 0) + 1
+    assert {(r.src, r.dst): r.weight for r in edges.collect()} == weights
+
+
 def test_hotspots_shuffle_no_relations(spark):
     relations = [(p, "Task", n) for p in range(6) for n in "ab"] + [(0, "Method", "a")]
     papers = spark.createDataFrame([(p, f"t{p}", 2000, 10 * p, "x", 1) for p in range(6)], "pmid long, title string, year int, citation_count long, study_type string, journal_id long")
